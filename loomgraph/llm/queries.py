@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import substring_dedup
+from loomgraph.llm import packing, pivotal_mix, simhash, substring_dedup
 from loomgraph.llm.common import table
 
 
+def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = pivotal_mix.sizes(table(spark, sf_dir, "documents"))
+    return pivotal_mix.mix(items, weights=(5, 2, 1), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "copies", "source")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=20)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup,)}
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+
+
+def op6_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+QUERIES = {f.__name__: f for f in (op2_pivotal_mix, op3_substring_dedup, op4_best_fit_packing, op6_simhash_pivot)}
 
 ORACLES = {
     "op3_substring_dedup": """

@@ -23,31 +23,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import small_batches, stash
+from loomgraph.llm.common import as_bytes, small_batches, stash
 
 GROUP = 16_384
-_SPACE = re.compile(r"[^\x20\x09-\x0D]+")
+#: Letters that stay one pre-token and lower one by one; other words go through the whole tokenizer.
+_PLAIN = re.compile("[a-zß-öø-ÿÀ-ÖØ-Þ]+")
+
+
+def _byte_characters() -> dict[int, str]:
+    """The printable stand-ins of bytes in byte-level vocabularies: printable
+    Latin-1 characters stand for themselves, the others follow from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordTokens(dict):
-    """Ids by word, for a tokenizer that drops white space and so treats words apart."""
+    """Ids by word, for the tokenizers of ``word_bpe`` kind: they lower case,
+    drop white space and so treat words apart.  Words of plain letters go to
+    the merges directly, a stop at a word's end is a token of its own."""
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.characters = Tokenizer.from_file(path), most, _byte_characters()
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.most:
             self.clear()
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-        value = self[word] = np.array(ids, "<u4").tobytes()
+        if word[-1] in b".," and word[-2:-1].isalnum():
+            value = self[word[:-1]] + self[word[-1:]]
+        elif _PLAIN.fullmatch(text := word.decode()):
+            stands = text.lower().encode().decode("latin-1").translate(self.characters)
+            value = np.array([t.id for t in self.tokenizer.model.tokenize(stands)], "<u4").tobytes()
+        else:
+            value = self.whole(text)
+        self[word] = value
         return value
 
-    def of(self, text: str) -> bytes:
-        """Little-endian 32-bit ids of a whole text."""
-        return b"".join(map(self.__getitem__, _SPACE.findall(text)))
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
+        """Little-endian 32-bit ids of a whole text.  ASCII letters are lowered
+        at once, but where the text may name a special token."""
+        if b"<|" in text:
+            return b"".join(map(self.__getitem__, text.split()))
+        return b"".join(map(self.__getitem__, text.lower().split()))
 
 
 _tokens: dict[str, WordTokens] = {}
@@ -65,8 +88,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: i
         words, serial = _tokens[tokenizer_path], 0
         for batch in batches:
             out: list[list] = [[] for _ in range(7)]
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                ids = words.of(text or "") + end
+            for doc_id, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
+                ids = words.of(text) + end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at : at + 4 * capacity]
                     serial += 1

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import packing, pivotal_mix, simhash, substring_dedup
+from loomgraph.llm import bloom_lookup, mil_quality, packing, pivotal_mix, pu_toxicity, simhash, substring_dedup
 from loomgraph.llm.common import table
 
 
@@ -24,12 +24,26 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
+def op5_toxicity_nnpu(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pu_toxicity.score(docs, pu_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, shingle=4, seed=42)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op2_pivotal_mix, op3_substring_dedup, op4_best_fit_packing, op6_simhash_pivot)}
+def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lookup.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
+QUERIES = {f.__name__: f for f in (op2_pivotal_mix, op3_substring_dedup, op4_best_fit_packing, op5_toxicity_nnpu, op6_simhash_pivot, op8_iblt_fingerprint, op9_quality_mil)}
 
 ORACLES = {
     "op3_substring_dedup": """

@@ -24,7 +24,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import WORD_PATTERN, stash
+from loomgraph.llm.common import LAST_ID, WORD_PATTERN, stash
 
 FAN_IN = 256
 
@@ -32,9 +32,13 @@ _DECIDED = "array<struct<id:{id},source:string,size:bigint,source_size:bigint,ta
 _RESIDUAL = "struct<id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,base:bigint,w:double,m:double,salt:bigint>"
 
 
+def size_of(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """doc_id, source, size: the number of words of each row."""
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"))
+    return docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of("text").alias("size"))
 
 
 def targets(items: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
@@ -127,3 +131,16 @@ def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
         "target",
         (F.floor(F.col("total") / F.col("n")) + (F.col("k") <= F.col("total") % F.col("n")).cast("long")).cast("long").alias("copies"),
     ).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, each as often as the mix has it."""
+    columns = docs.columns
+    item = {"_id": F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), "_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "_size": size_of("text")}
+    found = mix(sizes(docs), **options)
+    decided = found.withColumns(item | {"_size": F.col("size")}).groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
+    keys = list(item)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
+    each = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_nth") <= F.col("_copies") % F.col("_n")).cast("long")
+    rows = docs.withColumns(item).join(decided, keys).withColumn("_nth", nth).withColumn("_each", each).where("_each > 0")
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*columns)

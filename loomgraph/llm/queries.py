@@ -2,12 +2,34 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bloom_lookup, mil_quality, packing, pivotal_mix, pu_toxicity, simhash, substring_dedup
-from loomgraph.llm.common import table
+from loomgraph.llm import bloom_lookup, mil_quality, packing, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
+from loomgraph.llm.common import shared_dir, table
+
+
+#: Rules of op7: host, path, verdict.
+URL_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+
+
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tiff_pages.from_texts(table(spark, sf_dir, "documents"))
+    read = tiff_pages.features(tiff_pages.pages(files, keep=("doc_id", "n_bytes", "content")))
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("pixels").cast("long").alias("payload_bytes"),
+        F.sha2("pixels", 256).alias("payload_sha256"),
+        F.crc32(F.substring("pixels", -64, 64)).alias("tail_crc32"),
+        F.octet_length("content").cast("long").alias("media_bytes"),
+        F.sha2("content", 256).alias("media_sha256"),
+        "feature",
+        "compression",
+    )
 
 
 def op2_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +56,11 @@ def op6_simhash_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"), rules, default="allow")
+
+
 def op8_iblt_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lookup.fingerprint_edits(table(spark, sf_dir, "documents"))
 
@@ -43,7 +70,30 @@ def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mil_quality.score(docs, mil_quality.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
 
 
-QUERIES = {f.__name__: f for f in (op2_pivotal_mix, op3_substring_dedup, op4_best_fit_packing, op5_toxicity_nnpu, op6_simhash_pivot, op8_iblt_fingerprint, op9_quality_mil)}
+def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
+    found = secret_ledger.findings(versions, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secret_ledger.BASE))
+    return found.select(F.col("path").alias("doc_id"), *map(count, secret_ledger.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_tiff_pages,
+        op2_pivotal_mix,
+        op3_substring_dedup,
+        op4_best_fit_packing,
+        op5_toxicity_nnpu,
+        op6_simhash_pivot,
+        op7_url_filter,
+        op8_iblt_fingerprint,
+        op9_quality_mil,
+        op10_secret_ledger,
+    )
+}
 
 ORACLES = {
     "op3_substring_dedup": """
@@ -55,5 +105,16 @@ x as (select doc_id, unnest(words) as word, unnest(range(0, len(words))) as i fr
 k as (select x.doc_id, string_agg(word, ' ' order by x.i) as kept, count(*) as n from x anti join c on c.doc_id = x.doc_id and c.i = x.i group by x.doc_id)
 select w.doc_id, cast(len(words) as bigint) as n_words, cast(len(words) - coalesce(n, 0) as bigint) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from w left join k on k.doc_id = w.doc_id
+""",
+    "op7_url_filter": """
+with u as (
+    select page_id, url, coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') as path
+    from pages),
+r(h, p, v) as (values ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow'))
+select page_id, host, path,
+       (select h || p from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1) as rule,
+       coalesce((select v from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1), 'allow') as verdict
+from u
 """,
 }

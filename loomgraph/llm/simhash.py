@@ -17,10 +17,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomgraph.llm.common import as_bytes, small_batches, stash
+from loomgraph.llm.common import LAST_ID, as_bytes, small_batches, stash
 from loomgraph.llm.components import components
 
 _BITS = 64
@@ -170,3 +170,14 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
     classes = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
     return found.join(classes.drop("least").join(ids, "root"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
+def keep_first(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs``, all columns, that are the first of their component:
+    the least doc_id, null last, then a hash of the text; one of repeated rows."""
+    columns = docs.columns
+    found = near_duplicates(docs, **options).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("_key"), F.col("text_hash").alias("_hash"))
+    first = found.groupBy("root").agg(F.min(F.struct("_key", "_hash")).alias("m")).select("m._key", "m._hash")
+    keyed = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), "_hash": F.xxhash64("text")})
+    nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
+    return keyed.join(first, ["_key", "_hash"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*columns)

@@ -1,4 +1,458 @@
-"""The registered queries and their SQL."""
+"""The registered queries of the graph operators, and their SQL.
 
-QUERIES = {}
-ORACLES = {}
+Graph queries run on the property graph that ``relational`` builds from the
+star tables; text queries on documents, pages, conversations and events.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomgraph.functions import redact, text
+from loomgraph.operators import graph_ops, resolve, retrieve, windows
+from loomgraph.plans import relational
+from loomgraph.plans.relational import table
+from loomgraph.plans.schema import Graph, first_rows
+from loomgraph.streaming import rate_limit
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+CUSTOMER, PART, ORDER, NATION = "Customer#000000007", "external::5", "order::7", "nation/7"
+
+
+def registered(sql: str | None = None, graph: bool = False) -> Callable:
+    """Registers a query under its name, with SQL; ``graph`` adds the graph's tables to the SQL."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = (lambda spark, sf_dir: f(relational.graph(spark, sf_dir))) if graph else f
+        if sql:
+            ORACLES[f.__name__] = f"with recursive {relational.SQL}{sql}" if graph else sql
+        return f
+
+    return add
+
+
+# counts and lookups
+
+
+@registered("select kind, count(*) as n from nodes group by kind", graph=True)
+def graph_nodes_by_kind(g: Graph) -> DataFrame:
+    return g.nodes.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@registered("select type, count(*) as n from edges group by type", graph=True)
+def graph_edges_by_type(g: Graph) -> DataFrame:
+    return g.edges.groupBy("type").agg(F.count("*").alias("n"))
+
+
+@registered(
+    """select 'nodes' as section, '' as key, count(*) as count from nodes union all select 'edges', '', count(*) from edges
+    union all select 'nodes_by_kind', kind, count(*) from nodes group by kind union all select 'edges_by_type', type, count(*) from edges group by type""",
+    graph=True,
+)
+def graph_summary(g: Graph) -> DataFrame:
+    return graph_ops.summarize(g)
+
+
+DEGREES = ", deg as (select id, count(*) as degree from (select src as id from edges union all select dst from edges) group by id)"
+NODE = "id, kind, name, path, language, start_line, start_line as end_line"
+
+
+@registered(f"{DEGREES} select {NODE}, coalesce(degree, 0) as degree from nodes left join deg using (id) order by coalesce(degree, 0) desc, id limit 20", graph=True)
+def degree_topk(g: Graph) -> DataFrame:
+    return graph_ops.top_by_degree(g, 20)
+
+
+@registered(f"select {NODE} from nodes where name = '{CUSTOMER}'", graph=True)
+def find_symbol_exact(g: Graph) -> DataFrame:
+    return graph_ops.find_nodes(g.nodes, name=CUSTOMER, exact=True)
+
+
+@registered(f"select {NODE} from nodes where contains(lower(name), '#00000001') and kind = 'class'", graph=True)
+def find_symbol_substring(g: Graph) -> DataFrame:
+    return graph_ops.find_nodes(g.nodes, name="#00000001", kind="class")
+
+
+@registered(f"select {NODE} from nodes where starts_with(path, 'nation/1') and language = 'supplier'", graph=True)
+def find_symbol_prefix(g: Graph) -> DataFrame:
+    return graph_ops.find_nodes(g.nodes, path_prefix="nation/1", language="supplier")
+
+
+@registered(f"select {NODE} from nodes where path = '{NATION}'", graph=True)
+def file_summary_nodes(g: Graph) -> DataFrame:
+    return graph_ops.file_summary(g, NATION)[0]
+
+
+@registered(f"select distinct * from edges where src in (select id from nodes where path = '{NATION}') or dst in (select id from nodes where path = '{NATION}')", graph=True)
+def file_summary_edges(g: Graph) -> DataFrame:
+    return graph_ops.file_summary(g, NATION)[1]
+
+
+@registered(f"select distinct src as id from edges where dst = '{ORDER}'", graph=True)
+def neighbors_in(g: Graph) -> DataFrame:
+    return graph_ops.neighbors(g.edges, ORDER, "in")
+
+
+@registered(f"select distinct dst as id from edges where src = '{ORDER}'", graph=True)
+def neighbors_out(g: Graph) -> DataFrame:
+    return graph_ops.neighbors(g.edges, ORDER, "out")
+
+
+@registered(f"select src as id from edges where dst = '{ORDER}' union select dst from edges where src = '{ORDER}'", graph=True)
+def neighbors_both(g: Graph) -> DataFrame:
+    return graph_ops.neighbors(g.edges, ORDER, "both")
+
+
+# traversals
+
+
+def _reached(symbol: str, walk: str, depth: int) -> str:
+    steps = {"callees": "select src as a, dst as b from edges", "callers": "select dst as a, src as b from edges"}
+    steps["both"] = f"{steps['callees']} union all {steps['callers']}"
+    return f""", walk as ({steps[walk]}), r(id, d) as (select id, 0 from nodes where name = '{symbol}' or id = '{symbol}'
+        union select w.b, r.d + 1 from r join walk w on w.a = r.id where r.d < {depth}),
+        reached as (select id, min(d) as depth from r group by id)"""
+
+
+@registered(f"{_reached(CUSTOMER, 'callees', 2)} select id, depth from reached", graph=True)
+def impact_callees(g: Graph) -> DataFrame:
+    return graph_ops.impact(g, CUSTOMER, "callees", 2)[0].select("id", "depth")
+
+
+@registered(f"{_reached(PART, 'callers', 3)} select id, depth from reached", graph=True)
+def impact_callers(g: Graph) -> DataFrame:
+    return graph_ops.impact(g, PART, "callers", 3)[0].select("id", "depth")
+
+
+@registered(f"{_reached(CUSTOMER, 'both', 2)} select id, depth from reached", graph=True)
+def impact_both(g: Graph) -> DataFrame:
+    return graph_ops.impact(g, CUSTOMER, "both", 2)[0].select("id", "depth")
+
+
+@registered(f"{_reached(PART, 'callers', 3)} select distinct e.* from edges e join reached on dst = id where depth < 3", graph=True)
+def impact_edges(g: Graph) -> DataFrame:
+    return graph_ops.impact(g, PART, "callers", 3)[1]
+
+
+@registered(
+    f""", r(start, cur, len, keys, seen) as (
+        select id, id, 0, cast([] as struct(type varchar, dst varchar, path varchar, line int, col int, src varchar)[]), [id] from nodes where id = 'file::nation/16'
+        union all
+        select r.start, e.dst, r.len + 1, list_append(r.keys, struct_pack(type := e.type, dst := e.dst, path := e.path, line := e.line, col := e.col, src := e.src)), list_append(r.seen, e.dst)
+        from r join edges e on e.src = r.cur where r.len < 5 and not list_contains(r.seen, e.dst)),
+    best as (select start, len, keys from r where len > 0 and cur = '{PART}' order by len, start, keys limit 1)
+    select unnest(range(len(keys))) ::int as step, unnest(keys, recursive := true) from best""",
+    graph=True,
+)
+def path_between_edges(g: Graph) -> DataFrame:
+    return graph_ops.path_between(g, "file::nation/16", PART, 5)
+
+
+KEPT = "(select id from nodes where path in ('nation/7', 'nation/8') or kind = 'constant')"
+
+
+@registered(f"select * from edges where src in {KEPT} and dst in {KEPT}", graph=True)
+def induced_subgraph(g: Graph) -> DataFrame:
+    return graph_ops.induced_edges(g.edges, g.nodes.where("path in ('nation/7', 'nation/8') or kind = 'constant'"))
+
+
+VIEW = f"{DEGREES}, view as (select {NODE}, coalesce(degree, 0) as degree from nodes left join deg using (id) order by coalesce(degree, 0) desc, id limit 6000)"
+
+
+@registered(f"{VIEW} select * from view", graph=True)
+def viewer_nodes(g: Graph) -> DataFrame:
+    return graph_ops.viewer_payload(g, 6000, 20_000)[0]
+
+
+@registered(f"{VIEW} select * from edges where src in (select id from view) and dst in (select id from view) order by src, type, dst, path, line, col limit 20000", graph=True)
+def viewer_edges(g: Graph) -> DataFrame:
+    return graph_ops.viewer_payload(g, 6000, 20_000)[1]
+
+
+RANK = "case kind when 'function' then 0 when 'method' then 0 when 'class' then 1 when 'interface' then 1 when 'constant' then 2 when 'file' then 2 when 'unparsed' then 3 when 'external' then 9 else 5 end"
+
+
+@registered(
+    f""", ranked as (select *, {RANK} as k, row_number() over (partition by kind = 'external' order by {RANK}, path = '', id) as n from nodes where kind != 'function')
+    select {NODE} from (select * from ranked where kind != 'external' or n <= 6 order by k, path = '', id limit 2000)""",
+    graph=True,
+)
+def prune_ranked(g: Graph) -> DataFrame:
+    return graph_ops.prune(g.nodes.where("kind != 'function'").select("id", "kind", "name", "path", "language", "start_line", "end_line"), 2000, 6)
+
+
+@registered(
+    """, twice as (select * from edges union all select src, dst, type, path || '/again', line, col + 1 from edges where type in ('defines', 'imports'))
+    select src, dst, type, path, line, col from (select *, row_number() over (partition by src, type, dst, line order by path, col) as n from twice) where n = 1""",
+    graph=True,
+)
+def merge_results(g: Graph) -> DataFrame:
+    again = g.edges.where("type in ('defines', 'imports')").withColumns({"path": F.concat("path", F.lit("/again")), "col": F.col("col") + 1})
+    return graph_ops.merge_edges(g.edges.unionByName(again), [F.col("path"), F.col("col")])
+
+
+@registered("select distinct path || ':' || start_line as citation from nodes where path != ''", graph=True)
+def citations(g: Graph) -> DataFrame:
+    return graph_ops.citations(g.nodes)
+
+
+@registered(
+    "select split_part(src, '::', -1) || ' -[' || type || ']-> ' || split_part(dst, '::', -1) || '  ' || path || ':' || line as line from edges where type != 'references'",
+    graph=True,
+)
+def rendered_edges(g: Graph) -> DataFrame:
+    return graph_ops.rendered_edges(g.edges.where("type != 'references'"))
+
+
+@registered(f"{DEGREES} select id, round((2.0 + least(sqrt(degree) * 0.85, 7.0)) * 1.5, 6) as radius from deg", graph=True)
+def node_radii(g: Graph) -> DataFrame:
+    return graph_ops.degrees(g.edges).select("id", F.round(graph_ops.node_radius(F.col("degree"), 2.0, 1.5), 6).alias("radius"))
+
+
+@registered(
+    "select count(*) as n, cast(sum(cast('0x' || substr(sha256(concat_ws('|', src, dst, type, path, line, col)), 1, 15) as bigint)) as varchar) as digest from edges",
+    graph=True,
+)
+def graph_digest(g: Graph) -> DataFrame:
+    row = F.sha2(F.concat_ws("|", "src", "dst", "type", "path", F.col("line").cast("string"), F.col("col").cast("string")), 256)
+    part = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(38,0)")
+    return g.edges.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
+
+
+# resolution joins
+
+CALLS = """
+d as (select distinct 'nation/' || s_nationkey as path, 'part_' || l_partkey as name, 'supplier::' || l_suppkey || '/' || l_partkey as id from lineitem join supplier on s_suppkey = l_suppkey where l_suppkey % 4 = 1 and l_linenumber <= 2),
+c as (select 'nation/' || c_nationkey as path, 'order::' || l_orderkey as src, 'part_' || l_partkey as name, l_linenumber as line, 0 as col from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey),
+n as (select name, count(*) as n from d group by name),
+hit as (select c.*, d.id from c join d using (path, name)),
+miss as (select c.*, coalesce(n, 0) as n from c left join n using (name) where not exists (select 1 from d where d.path = c.path and d.name = c.name)),
+e as (select src, id as dst, 'calls' as type, path, line, col, 0 as ambiguous from hit where src != id
+    union all select miss.src, d.id, 'calls', miss.path, miss.line, miss.col, 0 from miss join d using (name) where n between 1 and 4
+    union all select src, 'external::' || name, 'references', path, line, col, cast(n > 4 as int) from miss where n = 0 or n > 4)
+"""
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name)
+    items = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.concat(F.lit("part_"), F.col("l_partkey").cast("string")).alias("name"))
+    nation = lambda key: F.concat(F.lit("nation/"), F.col(key).cast("string")).alias("path")
+    by = F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"))
+    definitions = items.where("l_suppkey % 4 = 1 and l_linenumber <= 2").join(read("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select(nation("s_nationkey"), "name", by.alias("id")).distinct()
+    orders = read("orders").join(read("customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), nation("c_nationkey"))
+    calls = items.join(orders, "l_orderkey").select("path", F.concat(F.lit("order::"), F.col("l_orderkey").cast("string")).alias("src"), "name", F.col("l_linenumber").alias("line"), F.lit(0).alias("col"))
+    return resolve.resolve_calls(calls, definitions)
+
+
+@registered(f"with {CALLS} select src, dst, type, path, line, col, ambiguous from e")
+def call_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir)
+
+
+@registered(f"with {CALLS} select type, cast(sum(ambiguous) as bigint) as ambiguous, count(*) as made from e group by type")
+def ambiguous_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _calls(spark, sf_dir).groupBy("type").agg(F.sum("ambiguous").alias("ambiguous"), F.count("*").alias("made"))
+
+
+RANGES = "select l_orderkey as path, l_linenumber as lo, l_linenumber + cast(floor(l_quantity / 10) as int) as hi, l_partkey as id, l_returnflag, l_linestatus from lineitem"
+
+
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hi = F.col("l_linenumber") + F.floor(F.col("l_quantity") / 10).cast("int")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("path"), F.col("l_linenumber").alias("lo"), hi.alias("hi"), F.col("l_partkey").alias("id"), "l_returnflag", "l_linestatus")
+
+
+@registered(
+    f"""with r as ({RANGES}), p as (select distinct path, lo + 1 as "at" from r),
+    m as (select p.*, r.id, row_number() over (partition by p.path, p."at" order by hi - lo, r.id) as n from p join r on p.path = r.path and lo <= p."at" and p."at" < hi)
+    select p.path, p."at", m.id as enclosing from p left join m on m.path = p.path and m."at" = p."at" and n = 1"""
+)
+def enclosing_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = _ranges(spark, sf_dir)
+    return resolve.innermost(ranges.select("path", (F.col("lo") + 1).alias("at")).distinct(), ranges, "path", F.col("at"))
+
+
+@registered(f"with r as ({RANGES}) select path, lo, hi, id from r f where exists (select 1 from r c where c.l_returnflag = 'R' and c.path = f.path and c.lo <= f.lo and f.hi <= c.hi and not (c.lo = f.lo and c.hi = f.hi))")
+def class_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranges = _ranges(spark, sf_dir)
+    return resolve.promoted_methods(ranges.select("path", "lo", "hi", "id"), ranges.where("l_returnflag = 'R'"))
+
+
+@registered(f"with r as ({RANGES}) select path, id as name, lo as line from r c where l_returnflag = 'A' and not exists (select 1 from r o where o.l_linestatus = 'F' and o.path = c.path and o.id = c.id and o.lo = c.lo)")
+def const_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    named = _ranges(spark, sf_dir).select("path", F.col("id").alias("name"), F.col("lo").alias("line"), "l_returnflag", "l_linestatus")
+    return resolve.unshadowed_constants(named.where("l_returnflag = 'A'").select("path", "name", "line"), named.where("l_linestatus = 'F'"))
+
+
+SIGNALS = (("src1", "One", "framework"), ("src10-en", "Ten in English", "build"), ("src10", "Ten", "framework"), ("src2", "Two", "database"))
+
+
+@registered(
+    f"""with d as (select distinct source || '-' || lang as name from documents), s(signal, framework, category, ordinal) as (values {", ".join(str((*x, k)) for k, x in enumerate(SIGNALS))}),
+    m as (select name, framework, category, row_number() over (partition by name order by lower(name) != signal, ordinal) as n from d join s on lower(name) = signal or starts_with(lower(name), signal || '-') or starts_with(lower(name), signal || '/'))
+    select name, framework, category from m where n = 1"""
+)
+def dependency_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signals = spark.createDataFrame([(*x, k) for k, x in enumerate(SIGNALS)], "signal string, framework string, category string, ordinal int")
+    names = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), "lang").alias("name")).distinct()
+    return resolve.dependency_signals(names, signals)
+
+
+@registered(
+    """with x as (select p_name as name, lower(o_orderstatus) as language, row_number() over (partition by p_name order by c_nationkey, o_orderkey, l_linenumber, l_partkey) as n
+    from lineitem join orders on o_orderkey = l_orderkey join customer on c_custkey = o_custkey join part on p_partkey = l_partkey) select name, language from x where n = 1"""
+)
+def external_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = lambda name: table(spark, sf_dir, name)
+    x = read("lineitem").join(read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(read("customer"), F.col("o_custkey") == F.col("c_custkey")).join(read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    first = F.min_by(F.lower("o_orderstatus"), F.struct("c_nationkey", "o_orderkey", "l_linenumber", "l_partkey"))
+    return x.groupBy(F.col("p_name").alias("name")).agg(first.alias("language"))
+
+
+# windows and first-wins
+
+
+@registered("select lang, source, doc_id, n_chars from (select *, row_number() over (partition by lang, source order by doc_id) as n from documents) where n = 1")
+def stack_first_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_rows(table(spark, sf_dir, "documents").select("lang", "source", "doc_id", "n_chars"), ["lang", "source"], [F.col("doc_id")])
+
+
+@registered("select sha256, doc_id from (select sha256(text) as sha256, doc_id, row_number() over (partition by sha256(text) order by doc_id) as n from documents) where n = 1")
+def first_wins_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return first_rows(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), "doc_id"), ["sha256"], [F.col("doc_id")])
+
+
+@registered("select doc_id, lang, coalesce(sum(cast(lang = 'en' as int)) over (order by doc_id rows between unbounded preceding and 1 preceding), 0) >= 100 as capped from documents")
+def running_file_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.first_of(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", F.col("lang") == "en", 100)
+
+
+@registered(
+    """with s as (select doc_id, octet_length(encode(text)) as bytes, sum(octet_length(encode(text))) over (order by doc_id) as running from documents)
+    select doc_id, cast(bytes as bigint) as bytes, cast(running as bigint) as running, running > 500000 as over from s where running - bytes <= 500000"""
+)
+def running_byte_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.octet_length("text").cast("bigint").alias("bytes"))
+    return windows.within_budget(docs, "doc_id", F.col("bytes"), 500_000)
+
+
+@registered("select event_id, count(*) over (partition by user_id order by ts range between interval 60 seconds preceding and current row) as hits from events")
+def sliding_hits_60s(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.sliding_hits(table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), "user_id", "ts", 60).select("event_id", "hits")
+
+
+@registered()
+def rate_limit_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    hits = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), at.alias("at"), "event_id")
+    return rate_limit.limited(hits, most=3, seconds=86_400)
+
+
+@registered("select event_type as stage, count(*) as runs, cast(sum(cast(value as decimal(18, 4))) as double) as ms from events group by event_type")
+def stage_timings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ms = F.sum(F.col("value").cast("decimal(18,4)")).cast("double")
+    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("stage")).agg(F.count("*").alias("runs"), ms.alias("ms"))
+
+
+@registered("select event_type, cast(sum(try_cast(props ->> '$.k' as double)) as double) as total, count(try_cast(props ->> '$.k' as double)) as n from events group by event_type")
+def props_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("double")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count(k).alias("n"))
+
+
+# content and text
+
+
+@registered(
+    """select doc_id, case when lang = 'de' then 'unsupported' when octet_length(encode(text)) > 4000 then 'skipped' else 'parsed' end as status,
+    case when lang = 'de' then 'no grammar' when octet_length(encode(text)) > 4000 then 'file_too_large: ' || octet_length(encode(text)) || ' > 4000' else '' end as reason from documents"""
+)
+def file_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    language = F.when(F.col("lang") != "de", F.col("lang"))
+    found = text.file_status(F.octet_length("text"), F.col("text").cast("binary"), language, F.lit(False), 4000)
+    return table(spark, sf_dir, "documents").select("doc_id", found.alias("f")).select("doc_id", "f.status", "f.reason")
+
+
+@registered("select doc_id, sha256(text) as sha256, cast(octet_length(encode(text)) as bigint) as bytes from documents")
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
+
+
+@registered("select sha256(text) as sha256, count(*) as copies, min(doc_id) as first_id from documents group by 1 having count(*) > 1")
+def duplicate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("sha256"), "doc_id")
+    return docs.groupBy("sha256").agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_id")).where("copies > 1")
+
+
+@registered("select d.doc_id from documents d where not exists (select 1 from documents c where c.doc_id % 2 = 0 and c.doc_id = d.doc_id and sha256(c.text) = sha256(d.text))")
+def cache_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+    return docs.join(docs.where("doc_id % 2 = 0"), ["doc_id", "sha256"], "left_anti").select("doc_id")
+
+
+@registered("select doc_id, length(text) - length(replace(text, chr(10), '')) + 1 as lines from documents")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", text.line_count(F.col("text")).alias("lines"))
+
+
+@registered("select doc_id, array_to_string(string_split(text, chr(10))[2:13], chr(10)) as snippet from documents")
+def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.snippet(F.col("text"), F.lit(2), 12), "\n").alias("snippet"))
+
+
+ASSIGNED = r"""(?i)["'`]?\b\w*(?:api[-_]?key|apikey|secret|token|passwd|password|pwd|auth|credential|private[-_]?key|access[-_]?key|client[-_]?secret|session[-_]?key|bearer)\w*["'`]?\s*(?:=|:|=>|:=)\s*(?:(?:bearer|token|basic)\s+)?(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|[^\s,;)\]}#]+)"""
+
+
+@registered("select doc_id, cast(len(regexp_extract_all(text, '" + ASSIGNED.replace("'", "''") + "')) as bigint) as redactions from documents")
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", redact.redacted(F.col("text"))["count"].alias("redactions"))
+
+
+@registered("select doc_id, cast(floor(length(text) / 3.5) + 1 as bigint) as tokens, round((floor(length(text) / 3.5) + 1 + 500) / 1e6 * 5, 6) as cost from documents")
+def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return docs.withColumn("cost", text.cost_estimate(F.col("tokens"), F.lit(500)))
+
+
+STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+@registered(f"select conv_id, turn, token, count(*) as n from (select conv_id, turn, unnest(regexp_extract_all(text, '{text.TOKEN}')) as token from conversations where role = 'user') where lower(token) not in ({STOPS}) group by all")
+def question_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'")
+    words = asked.select("conv_id", "turn", F.explode(text.tokens(F.col("text"))).alias("token"))
+    return words.where(~text.is_stop_word(F.col("token"))).groupBy("conv_id", "turn", "token").agg(F.count("*").alias("n"))
+
+
+@registered(
+    f"""with names as (select distinct unnest(regexp_extract_all(text, '{text.TOKEN}')) as name from benchmark),
+    t as (select distinct conv_id, turn, unnest(regexp_extract_all(text, '{text.TOKEN}')) as raw from conversations where role = 'user'),
+    hit as (select conv_id, turn, name, lower(raw) in ({STOPS}) as weak from t join names on name = raw
+        union select conv_id, turn, name, false from t join names on lower(name) = lower(raw) where raw not in (select name from names) and lower(raw) not in ({STOPS})),
+    tier as (select conv_id, turn, name, weak, bool_and(weak) over (partition by conv_id, turn) as only_weak from hit),
+    k as (select distinct conv_id, turn, name from tier where weak = only_weak),
+    n as (select conv_id, turn, name, row_number() over (partition by conv_id, turn order by -length(name), name) as rank from k)
+    select conv_id, turn, name as term, cast(rank as int) as rank from n where rank <= 6"""
+)
+def extract_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "benchmark").select(F.explode(text.tokens(F.col("text"))).alias("name")).distinct()
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+    return retrieve.extract_terms(asked, ["conv_id", "turn"], names, 6)
+
+
+@registered("select distinct page_id, 'external::' || unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) as dst, 'imports' as type from pages")
+def page_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    found = table(spark, sf_dir, "pages").select("page_id", F.explode(hrefs).alias("href"))
+    return found.select("page_id", F.concat(F.lit("external::"), "href").alias("dst"), F.lit("imports").alias("type")).distinct()
+
+
+@registered("select name, count(*) as calls from (select unnest(regexp_extract_all(script, '([A-Za-z_]\\w*)\\(', 1)) as name from (select unnest(regexp_extract_all(html, '(?s)<script[^>]*>(.*?)</script>', 1)) as script from pages)) group by name")
+def page_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scripts = F.regexp_extract_all("html", F.lit(r"(?s)<script[^>]*>(.*?)</script>"), F.lit(1))
+    names = table(spark, sf_dir, "pages").select(F.explode(scripts).alias("script")).select(F.explode(F.regexp_extract_all("script", F.lit(r"([A-Za-z_]\w*)\("), F.lit(1))).alias("name"))
+    return names.groupBy("name").agg(F.count("*").alias("calls"))

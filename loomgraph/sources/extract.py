@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.functions import text
-from loomgraph.operators.resolve import resolve_calls
+from loomgraph.operators.resolve import innermost, promoted_methods, resolve_calls
 from loomgraph.plans.schema import EDGE_COLUMNS, Graph, first_rows, node_id
 from loomgraph.plans.storage import stash
 from loomgraph.sources.languages import EXTENSIONS, LANGUAGES, NOISE, Language
@@ -75,47 +75,71 @@ def _unbalanced() -> Column:
 
 
 def lines(files: DataFrame) -> DataFrame:
-    """path, language, line, body, and ``level``: the nesting before and after each line."""
-    split = files.where("status = 'parsed'").select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "body"))
+    """Pieces of lines: ``line``, ``shift`` (bytes before the piece), ``seq`` (its
+    place in the file), ``body``, and the nesting ``before`` and ``after`` it.
+
+    Where braces nest, a line is cut after each of ``{``, ``}`` and ``;``, so
+    that several definitions on a line are each at the start of a piece."""
+    split = files.where("status = 'parsed'").select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
+    braced = by_language(lambda lang: F.lit(True) if lang.nesting == "brace" else None, F.lit(False))
+    pieces = F.when(braced, F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole"))
+    split = split.withColumn("braced", braced).withColumn("pieces", pieces)
+    split = split.select("path", "language", "walk_order", "braced", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
+    shift = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), ""))
     code = _code(F.col("body"))
-    split = split.withColumn("line", F.col("at") + 1).withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", F.trim(code) == "")
-    after = F.sum("change").over(Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", F.trim(code) == "").withColumn("shift", shift)
+    split = split.withColumn("seq", F.col("at").cast("bigint") * (1 << 20) + F.col("nth")).withColumn("line", F.col("at") + 1)
+    after = F.sum("change").over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     indent = F.length(F.regexp_extract("body", r"^(\s*)", 1))
-    braced = by_language(lambda lang: F.lit(True) if lang.nesting == "brace" else None, F.lit(False))
-    split = split.withColumn("after", after)
-    return split.select("path", "language", "walk_order", "line", "body", "blank", F.when(braced, F.col("after") - F.col("change")).otherwise(indent).alias("before"), F.when(braced, F.col("after")).otherwise(indent).alias("after"), braced.alias("braced"))
+    split = split.withColumn("total", after)
+    return split.select(
+        "path",
+        "language",
+        "walk_order",
+        "line",
+        "shift",
+        "seq",
+        "body",
+        "blank",
+        F.when(F.col("braced"), F.col("total") - F.col("change")).otherwise(indent).alias("before"),
+        F.when(F.col("braced"), F.col("total")).otherwise(indent).alias("after"),
+        "braced",
+    )
 
 
 def _hits(rows: DataFrame, patterns: Callable[[Language], list[tuple[str, str]]], label: str) -> DataFrame:
-    """(path, ..., label, name, col) for each pattern that a line meets."""
+    """(path, ..., label, name, col) for each pattern that a piece meets."""
 
     def found(lang: Language) -> Column | None:
         made = [F.struct(F.lit(k).alias(label), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col")) for k, p in patterns(lang)]
         return F.array(*made) if made else None
 
     hits = rows.withColumn("hit", F.explode(by_language(found)))
-    return hits.where("hit.name != ''").select(*rows.columns, f"hit.{label}", "hit.name", "hit.col")
+    return hits.where("hit.name != ''").select(*rows.columns, f"hit.{label}", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))
 
 
 def definitions(rows: DataFrame) -> DataFrame:
-    """path, kind, name, line, col, end_line of each definition; methods promoted,
-    constants dropped where another definition has their name and line."""
-    raw = _hits(rows, lambda lang: list(lang.definitions), "kind").select("path", "language", "walk_order", "kind", "name", "line", "col", "before", "braced").dropDuplicates(["path", "kind", "name", "line"])
+    """path, kind, name, line, col, end_line, and the range [lo, hi) of pieces of
+    each definition; functions in classes promoted to methods, constants dropped
+    where another definition has their name and line."""
+    raw = _hits(rows, lambda lang: list(lang.definitions), "kind").select("path", "language", "walk_order", "kind", "name", "line", "col", "seq", "before", "braced")
+    first = F.min(F.struct("seq", "col", "language", "walk_order", "before", "braced")).alias("f")
+    raw = raw.groupBy("path", "kind", "name", "line").agg(first).select("path", "kind", "name", "line", "f.*")
     others = raw.where("kind != 'constant'").select("path", "name", "line").distinct()
     raw = raw.where("kind != 'constant'").unionByName(raw.where("kind = 'constant'").join(others, ["path", "name", "line"], "left_anti"))
-    ends = rows.select("path", F.col("line").alias("at"), F.col("before").alias("b"), F.col("after").alias("a"), "blank")
-    closes = F.when(F.col("braced"), (F.col("at") >= F.col("line")) & (F.col("a") <= F.col("before"))).otherwise((F.col("at") > F.col("line")) & ~F.col("blank") & (F.col("b") <= F.col("before")))
-    last = rows.where("not blank").groupBy("path").agg(F.max("line").alias("last"))
-    ended = raw.join(ends, "path").groupBy(*raw.columns).agg(F.min(F.when(closes, F.col("at"))).alias("close"), F.max(F.when(~F.col("blank"), F.col("at"))).alias("tail"))
-    before_close = ended.join(rows.where("not blank").select("path", F.col("line").alias("at")), "path").where(F.col("braced") | (F.col("at") < F.coalesce("close", F.col("tail") + 1)))
-    whole = before_close.groupBy(*raw.columns, "close", "tail").agg(F.max("at").alias("inner")).join(last, "path")
-    end = F.when(F.col("braced"), F.coalesce("close", "last")).otherwise(F.greatest("inner", "line"))
-    whole = whole.select(*raw.columns, end.cast("int").alias("end_line"))
-    outer = whole.where("kind in ('class', 'interface')").select(F.col("path").alias("cp"), F.col("line").alias("lo"), F.col("end_line").alias("hi"))
-    inside = (F.col("path") == F.col("cp")) & (F.col("lo") < F.col("line")) & (F.col("end_line") <= F.col("hi"))
-    methods = whole.where("kind = 'function'").join(outer, inside, "left_semi").select("path", "name", "line").distinct().withColumn("_method", F.lit(True))
-    promoted = whole.join(methods, ["path", "name", "line"], "left")
-    return promoted.withColumn("kind", F.when((F.col("kind") == "function") & F.col("_method"), F.lit("method")).otherwise(F.col("kind"))).drop("_method", "before", "braced")
+    # braces: up to the first piece that brings the nesting back; indents: up to the next line that is not deeper
+    later = rows.where("not blank").select("path", F.col("seq").alias("at"), F.col("line").alias("there"), F.col("before").alias("b"), F.col("after").alias("a"))
+    closes = F.when(F.col("braced"), (F.col("at") >= F.col("seq")) & (F.col("a") <= F.col("before"))).otherwise((F.col("at") > F.col("seq")) & (F.col("b") <= F.col("before")))
+    met = raw.join(later, "path").where(F.col("at") >= F.col("seq"))
+    closed = met.groupBy(*raw.columns).agg(F.min(F.when(closes, F.struct("at", "there"))).alias("close"), F.max(F.struct("at", "there")).alias("tail"))
+    inner = met.select("path", "name", "kind", "line", "at", "there").join(closed.select("path", "name", "kind", "line", "close"), ["path", "name", "kind", "line"]).where(F.col("close").isNull() | (F.col("at") < F.col("close.at")))
+    inner = inner.groupBy("path", "name", "kind", "line").agg(F.max(F.struct("at", "there")).alias("inner"))
+    whole = closed.join(inner, ["path", "name", "kind", "line"], "left")
+    end = F.when(F.col("braced"), F.coalesce("close", "tail")).otherwise(F.coalesce("inner", "tail"))
+    whole = whole.withColumn("end", end).select("path", "language", "walk_order", "kind", "name", "line", "col", F.col("end.there").cast("int").alias("end_line"), F.col("seq").alias("lo"), (F.col("end.at") + 1).alias("hi"))
+    methods = promoted_methods(whole.where("kind = 'function'"), whole.where("kind in ('class', 'interface')")).select("path", "name", "line", "lo").withColumn("_method", F.lit(True))
+    promoted = whole.join(methods, ["path", "name", "line", "lo"], "left")
+    return promoted.withColumn("kind", F.when((F.col("kind") == "function") & F.col("_method"), F.lit("method")).otherwise(F.col("kind"))).drop("_method")
 
 
 def calls(rows: DataFrame) -> DataFrame:
@@ -131,7 +155,7 @@ def calls(rows: DataFrame) -> DataFrame:
         )
 
     hits = rows.where("not blank").withColumn("hit", F.explode(by_language(found)))
-    return hits.select("path", "walk_order", "hit.name", "line", F.octet_length(F.expr("substring(body, 1, hit.at - 1)")).alias("col"))
+    return hits.select("path", "walk_order", "hit.name", "line", "seq", (F.col("shift") + F.octet_length(F.expr("substring(body, 1, hit.at - 1)"))).alias("col"))
 
 
 def build(scan: DataFrame) -> Graph:
@@ -145,11 +169,10 @@ def build(scan: DataFrame) -> Graph:
     known = files.where("status in ('parsed', 'partial')")
     file_id = F.concat(F.lit("file::"), F.col("path"))
 
-    made = calls(rows).join(defs.select("path", "name", "line"), ["path", "name", "line"], "left_anti")
-    owners = defs.where("kind not in ('constant')").select(F.col("path").alias("_p"), F.col("line").alias("lo"), (F.col("end_line") + 1).alias("hi"), "id")
-    around = (F.col("path") == F.col("_p")) & (F.col("lo") <= F.col("line")) & (F.col("line") < F.col("hi"))
-    inner = F.min_by("id", F.when(F.col("id").isNotNull(), F.struct(F.col("hi") - F.col("lo"), "id")))
-    made = made.join(owners, around, "left").groupBy("path", "name", "line", "col").agg(inner.alias("src"))
+    heads = defs.select("path", "name", "line", F.col("lo").alias("seq"))
+    made = calls(rows).join(heads, ["path", "name", "line", "seq"], "left_anti")
+    owners = defs.where("kind != 'constant'").select("path", "lo", "hi", "id")
+    made = innermost(made.select("path", "name", "line", "col", "seq"), owners, "path", F.col("seq")).withColumnRenamed("enclosing", "src")
     made = made.withColumn("src", F.coalesce("src", file_id))
     resolved = stash(resolve_calls(made, defs.select("path", "name", "id")).select(*EDGE_COLUMNS), "resolved")
 

@@ -28,12 +28,12 @@ _JS = (
     ("function", r"^(\s*(?:export\s+)?(?:default\s+)?)(?:async\s+)?function\s*\*?\s*" + NAME),
     ("function", r"^(\s*(?:export\s+)?(?:const|let|var)\s+)" + NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)"),
     ("class", r"^(\s*(?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+" + NAME),
-    ("method", r"^(\s+(?:static\s+|async\s+|get\s+|set\s+)*)(?!(?:if|for|while|switch|catch|function|return)\b)" + NAME + r"\s*\([^)]*\)\s*(?::\s*[^{]+)?\{\s*$"),
+    ("method", r"^(\s*(?:static\s+|async\s+|get\s+|set\s+)*)(?!(?:if|for|while|switch|catch|function|return)\b)" + NAME + r"\s*\([^)]*\)\s*(?::\s*[^{]+)?\{\s*$"),
     ("constant", r"^((?:export\s+)?(?:const|let)\s+)" + NAME + r"\s*(?::[^=]+)?=(?!\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>))"),
 )
 _TS = (*_JS, ("interface", r"^(\s*(?:export\s+)?)interface\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)(?:const\s+)?enum\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)type\s+" + NAME + r"\s*(?:<[^>]*>)?\s*="))
 _JS_IMPORTS = (r"""^(\s*import\s[^"']*["'])([^"']+)""", r"""^(.*\bfrom\s+["'])([^"']+)""", r"""^(.*\brequire\(\s*["'])([^"']+)""")
-_C = (("function", r"^((?:[A-Za-z_][\w:<>,*&\s]*?[\s*&]))" + r"(?:\w+::)*([A-Za-z_]\w*)\s*\([^;]*$"), ("class", r"^(\s*(?:typedef\s+)?)(?:struct|enum|union)\s+" + NAME + r"[^;()]*\{"))
+_C = (("function", r"^((?:\s*(?:public|private|protected)\s*:)?\s*(?!(?:return|else|new|case|goto)\b)[A-Za-z_][\w:<>,*&\s]*?[\s*&])(?:\w+::)*([A-Za-z_]\w*)\s*\([^;]*\{?$"), ("class", r"^(\s*(?:typedef\s+)?)(?:struct|enum|union)\s+" + NAME + r"[^;()]*\{"))
 _INCLUDE = (r'^(\s*#\s*include\s*[<"])([^>"]+)',)
 _RUBY_CALL = r"(?:\.\s*|(?<![\w.]))" + NAME + r"\s*(?:\(|(?=\s+[\"':\w]))"
 
@@ -46,11 +46,11 @@ LANGUAGES = (
     Language("rust", (".rs",), (("function", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+" + NAME), ("class", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|mod|type|union)\s+" + NAME), ("interface", r"^(\s*)(?:pub\s+)?(?:unsafe\s+)?trait\s+" + NAME), ("constant", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?" + NAME + r"\s*:")), (r"^(\s*(?:pub\s+)?use\s+)([\w:]+)",)),
     Language("java", (".java",), (("class", r"^(\s*)(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|private|protected|static)\s+)*interface\s+" + NAME), ("method", r"^(\s+)(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*(?!return\b|new\b|else\b)(?:[\w<>\[\],.?]+\s+)?" + NAME + r"\s*\([^;]*\{")), (r"^(\s*import\s+(?:static\s+)?)([\w.]+)",)),
     Language("c", (".c", ".h"), _C, _INCLUDE),
-    Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), (*_C, ("class", r"^(\s*)(?:class|namespace)\s+" + NAME + r"[^;]*\{"), ("method", r"^(\s+)[\w:<>,*&\s]+[\s*&]([A-Za-z_]\w*)\s*\([^;]*\)\s*(?:const\s*)?\{")), _INCLUDE),
-    Language("c_sharp", (".cs",), (("class", r"^(\s*)(?:(?:public|private|internal|protected|static|sealed|abstract|partial)\s+)*(?:class|struct|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|internal)\s+)*interface\s+" + NAME), ("method", r"^(\s+)(?:(?:public|private|internal|protected|static|async|override|virtual)\s+)+[\w<>\[\],.?]+\s+" + NAME + r"\s*\(")), (r"^(\s*using\s+)([\w.]+)\s*;",)),
+    Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), (*_C, ("class", r"^(\s*)(?:class|namespace)\s+" + NAME + r"[^;]*\{")), _INCLUDE),
+    Language("c_sharp", (".cs",), (("class", r"^(\s*)(?:(?:public|private|internal|protected|static|sealed|abstract|partial)\s+)*(?:class|struct|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|internal)\s+)*interface\s+" + NAME), ("method", r"^(\s*)(?:(?:public|private|internal|protected|static|async|override|virtual)\s+)*(?!(?:return|new|else|using|namespace|class)\b)[\w<>\[\],.?]+\s+" + NAME + r"\s*\([^;]*\{")), (r"^(\s*using\s+)([\w.]+)\s*;",)),
     Language("ruby", (".rb", ".rake", ".gemspec"), (("class", r"^(\s*)(?:class|module)\s+" + NAME), ("method", r"^(\s*)def\s+self\.([A-Za-z_]\w*[?!]?)"), ("function", r"^(\s*)def\s+(?!self\.)([A-Za-z_]\w*[?!]?)")), (), "end", "#", _RUBY_CALL),
-    Language("php", (".php", ".phtml"), (("class", r"^(\s*)(?:abstract\s+|final\s+)?(?:class|trait)\s+" + NAME), ("interface", r"^(\s*)interface\s+" + NAME), ("method", r"^(\s+)(?:(?:public|private|protected|static)\s+)+function\s+" + NAME), ("function", r"^(\s*)function\s+" + NAME)), (r"^(\s*use\s+)([\w\\]+)",)),
-    Language("bash", (".sh", ".bash", ".zsh"), (("function", r"^(\s*)(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)"),), (), "brace", "#", r"^\s*([A-Za-z_][\w-]*)(?=\s|$)"),
+    Language("php", (".php", ".phtml"), (("class", r"^(\s*)(?:abstract\s+|final\s+)?(?:class|trait)\s+" + NAME), ("interface", r"^(\s*)interface\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+" + NAME)), (r"^(\s*use\s+)([\w\\]+)",)),
+    Language("bash", (".sh", ".bash", ".zsh"), (("function", r"^(\s*)(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)"),), (), "brace", "#", r"^\s*([A-Za-z_][\w-]*)(?=\s|;|$)"),
     Language("kotlin", (".kt", ".kts"), (("class", r"^(\s*)(?:(?:data|open|sealed|abstract|enum)\s+)*(?:class|object|interface)\s+" + NAME), ("function", r"^(\s*)(?:(?:override|private|public|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?" + NAME)), (r"^(\s*import\s+)([\w.]+)",)),
     Language("swift", (".swift",), (("class", r"^(\s*)(?:(?:public|private|final|open)\s+)*(?:class|struct|enum|extension)\s+" + NAME), ("interface", r"^(\s*)(?:public\s+)?protocol\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|static|override|mutating)\s+)*func\s+" + NAME)), (r"^(\s*import\s+)([\w.]+)",)),
     Language("scala", (".scala", ".sc"), (("class", r"^(\s*)(?:case\s+|abstract\s+|sealed\s+)*(?:class|object)\s+" + NAME), ("interface", r"^(\s*)(?:sealed\s+)?trait\s+" + NAME), ("function", r"^(\s*)(?:override\s+|private\s+)*def\s+" + NAME)), (r"^(\s*import\s+)(\w+)",)),
@@ -58,7 +58,7 @@ LANGUAGES = (
     Language("sql", (".sql",), (("class", r"(?i)^(\s*)create\s+(?:or\s+replace\s+)?(?:table|view)\s+(?:if\s+not\s+exists\s+)?" + NAME),), (), "brace", "--", r"(?i)\bfrom\s+([A-Za-z_]\w*)"),
 )
 
-#: Extensions that are known and hold no source.
-NOISE = (".md", ".txt", ".rst", ".lock", ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".html", ".css", ".svg", ".png", ".jpg", ".gif", ".ico", ".pdf", ".log")
+# Extensions that are known and hold no source.
+NOISE = (".md", ".txt", ".json", ".yaml", ".yml", ".toml", ".lock", ".cfg", ".ini", ".gitignore")
 
 EXTENSIONS = {e: lang.name for lang in LANGUAGES for e in lang.extensions}

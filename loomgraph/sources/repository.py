@@ -21,8 +21,10 @@ SCHEMA = "path string, name string, depth int, walk_order bigint, size bigint, i
 
 # Folders that hold no sources of their own, and the default bounds.
 EXCLUDED = (
-    ".git .hg .svn .tox .nox .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache dist build target vendor .idea .vscode .next coverage"
+    ".git .hg .svn .venv venv env node_modules __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox dist build target vendor third_party .next .nuxt site-packages"
 ).split()
+#: Folders that start so hold what this library wrote.
+OWN = ".loomgraph"
 MAX_FILES, MAX_BYTES, MAX_DEPTH = 5000, 1 << 20, 25
 
 
@@ -46,7 +48,7 @@ def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, fo
         if depth >= max_depth:
             names.clear()
             continue
-        names[:] = sorted(n for n in names if n not in excluded)
+        names[:] = sorted(n for n in names if n not in excluded and not n.startswith(OWN))
         for name in sorted(files):
             full = os.path.join(folder, name)
             link = os.path.islink(full)

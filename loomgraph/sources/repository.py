@@ -61,12 +61,13 @@ def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, fo
 
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
-        get = lambda key, default: type(default)(options.get(key, default))
+        options = {k.lower(): v for k, v in options.items()}
+        get = lambda key, default: type(default)(options.get(key.lower(), default))
         self.root = os.path.realpath(options["root"])
         self.bounds = get("maxFiles", MAX_FILES), get("maxDepth", MAX_DEPTH), get("maxBytes", MAX_BYTES)
         self.excluded = frozenset(options["exclude"].split(",") if "exclude" in options else EXCLUDED)
-        self.with_content = options.get("withContent", "true") == "true"
-        self.follow = options.get("followSymlinks", "false") == "true"
+        self.with_content = options.get("withcontent", "true") == "true"
+        self.follow = options.get("followsymlinks", "false") == "true"
         self.chunk = get("filesPerTask", 256)
 
     def partitions(self) -> list[Chunk]:

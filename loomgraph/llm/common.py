@@ -2,23 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import shared_dir, stash
+
+__all__ = ["LAST_ID", "WORD_PATTERN", "SpanHashes", "WordHashes", "as_bytes", "held_out", "mixed", "shared_dir", "small_batches", "stash", "table"]
+
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Documents without an id sort after all others.
 LAST_ID = 9223372036854775807
 
-_made: dict[str, str] = {}
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -28,31 +26,6 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Only a local session without the setting gets a temporary folder.
-    """
-    sc = spark.sparkContext
-    if found := sc.getConf().get("spark.checkpoint.dir"):
-        return found.rstrip("/")
-    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return _made.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="loomgraph-"))
-
-
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again, so that a lost
-    executor costs a read and not the work before.  The JVM deletes it at exit."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """crc32 of the id as text, modulo 5, is 0 (a null id is never held out)."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id

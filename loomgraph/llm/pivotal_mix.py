@@ -135,12 +135,12 @@ def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, each as often as the mix has it."""
-    columns = docs.columns
-    item = {"_id": F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), "_source": F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")), "_size": size_of("text")}
-    found = mix(sizes(docs), **options)
-    decided = found.withColumns(item | {"_size": F.col("size")}).groupBy("_id", "_source", "_size").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_n"))
-    keys = list(item)
+    key = F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("key")
+    source = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit("")).alias("of")
+    keys = ["key", "of", "size"]
+    decided = mix(sizes(docs), **options).select(key, source, "size", "copies").groupBy(*keys).agg(F.sum("copies").alias("copies"), F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*keys))
-    each = F.floor(F.col("_copies") / F.col("_n")) + (F.col("_nth") <= F.col("_copies") % F.col("_n")).cast("long")
-    rows = docs.withColumns(item).join(decided, keys).withColumn("_nth", nth).withColumn("_each", each).where("_each > 0")
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_each")))).select(*columns)
+    each = F.floor(F.col("copies") / F.col("n")) + (F.col("nth") <= F.col("copies") % F.col("n")).cast("long")
+    rows = docs.select(F.struct("*").alias("row"), key, source, size_of("text").alias("size")).join(decided, keys)
+    rows = rows.withColumn("nth", nth).withColumn("each", each).where("each > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("each"))).alias("k")).select("row.*")

@@ -127,17 +127,15 @@ def mask(docs: DataFrame, ledger: str, rule_version: str = RULE_VERSION) -> Data
     """``docs`` with all spans in ``text`` masked and ``n_chars`` counted anew.
 
     Only texts that have spans go through Python."""
-    columns = docs.columns
     update(docs.select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content")), ledger, rule_version)
-    found = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans"))
+    found = read_ledger(docs.sparkSession, ledger).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
 
     @F.pandas_udf("string")
     def masked_text(text, spans):
         return text.combine(spans, lambda t, s: None if s is None else masked(t, list(s)))
 
-    joined = docs.withColumn("_blob", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "_blob", "left")
-    part = masked_text(F.when(F.col("_spans").isNotNull(), F.col("text")), "_spans")
-    joined = joined.withColumn("text", F.coalesce(part, "text"))
-    if "n_chars" in columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*columns)
+    joined = docs.select(F.struct("*").alias("row"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("blob")).join(found, "blob", "left")
+    part = masked_text(F.when(F.col("spans").isNotNull(), F.col("row.text")), F.col("spans"))
+    joined = joined.select("row", "spans", F.coalesce(part, "row.text").alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.when(F.col("spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("row.n_chars"))} if "n_chars" in docs.columns else {"text": F.col("text")}
+    return joined.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))

@@ -175,9 +175,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed:
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component:
     the least doc_id, null last, then a hash of the text; one of repeated rows."""
-    columns = docs.columns
-    found = near_duplicates(docs, **options).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("_key"), F.col("text_hash").alias("_hash"))
-    first = found.groupBy("root").agg(F.min(F.struct("_key", "_hash")).alias("m")).select("m._key", "m._hash")
-    keyed = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(LAST_ID)).cast("long"), "_hash": F.xxhash64("text")})
-    nth = F.row_number().over(Window.partitionBy("_key", "_hash").orderBy("_key"))
-    return keyed.join(first, ["_key", "_hash"], "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*columns)
+    found = near_duplicates(docs, **options).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("key"), F.col("text_hash").alias("hash"))
+    first = found.groupBy("root").agg(F.min(F.struct("key", "hash")).alias("m")).select("m.key", "m.hash")
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("key"), F.xxhash64("text").alias("hash"))
+    nth = F.row_number().over(Window.partitionBy("key", "hash").orderBy("key"))
+    return keyed.join(first, ["key", "hash"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import redact, text
-from loomgraph.operators import graph_ops, resolve, retrieve, windows
+from loomgraph.operators import graph_ops, layout, resolve, retrieve, windows
 from loomgraph.plans import relational
 from loomgraph.plans.relational import table
 from loomgraph.plans.schema import Graph, first_rows
@@ -120,22 +120,22 @@ def _reached(symbol: str, walk: str, depth: int) -> str:
 
 @registered(f"{_reached(CUSTOMER, 'callees', 2)} select id, depth from reached", graph=True)
 def impact_callees(g: Graph) -> DataFrame:
-    return graph_ops.impact(g, CUSTOMER, "callees", 2)[0].select("id", "depth")
+    return graph_ops.impact(g.persist(), CUSTOMER, "callees", 2)[0].select("id", "depth")
 
 
 @registered(f"{_reached(PART, 'callers', 3)} select id, depth from reached", graph=True)
 def impact_callers(g: Graph) -> DataFrame:
-    return graph_ops.impact(g, PART, "callers", 3)[0].select("id", "depth")
+    return graph_ops.impact(g.persist(), PART, "callers", 3)[0].select("id", "depth")
 
 
 @registered(f"{_reached(CUSTOMER, 'both', 2)} select id, depth from reached", graph=True)
 def impact_both(g: Graph) -> DataFrame:
-    return graph_ops.impact(g, CUSTOMER, "both", 2)[0].select("id", "depth")
+    return graph_ops.impact(g.persist(), CUSTOMER, "both", 2)[0].select("id", "depth")
 
 
 @registered(f"{_reached(PART, 'callers', 3)} select distinct e.* from edges e join reached on dst = id where depth < 3", graph=True)
 def impact_edges(g: Graph) -> DataFrame:
-    return graph_ops.impact(g, PART, "callers", 3)[1]
+    return graph_ops.impact(g.persist(), PART, "callers", 3)[1]
 
 
 @registered(
@@ -149,7 +149,7 @@ def impact_edges(g: Graph) -> DataFrame:
     graph=True,
 )
 def path_between_edges(g: Graph) -> DataFrame:
-    return graph_ops.path_between(g, "file::nation/16", PART, 5)
+    return graph_ops.path_between(g.persist(), "file::nation/16", PART, 5)
 
 
 KEPT = "(select id from nodes where path in ('nation/7', 'nation/8') or kind = 'constant')"
@@ -223,6 +223,37 @@ def graph_digest(g: Graph) -> DataFrame:
     return g.edges.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
 
 
+LCG = "(({0} * 1664525 + 1013904223) % 4294967296)"
+FIRST = LCG.format("cast(start_line + length(id) as bigint)")
+START = ", ".join(f"round(({x} / 4294967296.0 * 2 - 1) * 100.0, 6) as {axis}" for axis, x in zip("xyz", (FIRST, LCG.format(FIRST), LCG.format(LCG.format(FIRST)))))
+
+
+def _start(g: Graph) -> DataFrame:
+    return layout.start(g.nodes, (F.col("start_line") + F.length("id")).cast("bigint"))
+
+
+@registered(f"select id, {START} from nodes", graph=True)
+def layout_start(g: Graph) -> DataFrame:
+    return _start(g).select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
+
+
+@registered(graph=True)
+def layout_positions(g: Graph) -> DataFrame:
+    """One force step from the start; the repulsion of cell means has no SQL counterpart here."""
+    return layout.step(_start(g), g.edges)
+
+
+@registered(
+    """with s as (select 'nation/' || (doc_id % 25) as path, case when n_chars > 4000 then 'skipped' when lang = 'de' then 'partial' else 'parsed' end as status,
+    case when n_chars > 4000 then 'file_too_large' else '' end as reason, doc_id from documents) select * from s where status != 'parsed' or reason != ''"""
+)
+def file_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = F.when(F.col("n_chars") > 4000, "skipped").when(F.col("lang") == "de", "partial").otherwise("parsed")
+    reason = F.when(F.col("n_chars") > 4000, "file_too_large").otherwise("")
+    path = F.concat(F.lit("nation/"), (F.col("doc_id") % 25).cast("string"))
+    return graph_ops.report(table(spark, sf_dir, "documents").select(path.alias("path"), status.alias("status"), reason.alias("reason"), "doc_id"))
+
+
 # resolution joins
 
 CALLS = """

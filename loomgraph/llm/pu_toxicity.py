@@ -20,8 +20,12 @@ return; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,27 +33,28 @@ from loomgraph.llm.common import as_bytes, held_out, small_batches
 from loomgraph.llm.samples import first_ids
 
 #: Documents to fit on, at most; documents a word must be in.
-POSITIVES, UNLABELLED, LEAST_DOCUMENTS = 3000, 9000, 4
+POSITIVES, UNLABELLED, LEAST_DOCUMENTS = 2000, 6000, 4
 #: Times the prior over the root of the number of positives: noise below it selects no word.
 LASSO = 0.3
-STEM = 5
+STEMS = (5, 7)
 _DROP = bytes(b".,;:!?\"'()[]{}")
 
 
-def words(text: bytes) -> set[bytes]:
-    """The distinct words, without case and stops, and the first ``STEM`` bytes of the longer ones."""
+def words(text: bytes) -> set[int]:
+    """CRC-32 of the distinct words, without case and stops, and of the first bytes of the longer ones (``STEMS``)."""
     found = set(text.lower().translate(None, _DROP).split())
-    return found | {w[:STEM] + b"*" for w in found if len(w) > STEM}
+    stems = {w[:n] + b"*" for n in STEMS for w in found if len(w) > n}
+    return set(map(zlib.crc32, found | stems))
 
 
 class PuModel:
-    """Word weights and bias; ``score`` is the logistic of their sum."""
+    """Weights by word code, and bias; ``score`` is the logistic of their sum."""
 
-    def __init__(self, weights: dict[bytes, float], bias: float):
+    def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
 
     def score(self, text: bytes) -> float:
-        total = self.bias + sum(self.weights[w] for w in sorted(words(text) & self.weights.keys()))
+        total = self.bias + math.fsum(self.weights[w] for w in words(text) & self.weights.keys())
         return float(1 / (1 + np.exp(-np.clip(total, -30, 30))))
 
 
@@ -93,31 +98,27 @@ def descend(bag: np.ndarray, word: np.ndarray, n_words: int, positive: np.ndarra
     return theta
 
 
-def fit(words_of: pa.Array, positive: np.ndarray, prior: float) -> PuModel:
-    """``words_of``: the distinct words of each bag.  A lasso in proportion to
-    the noise of the positives' gradient selects words; they are fitted anew."""
+def fit(word: np.ndarray, bag: np.ndarray, positive: np.ndarray, prior: float) -> PuModel:
+    """``word``, ``bag``: which bag has which word code.  A lasso in proportion
+    to the noise of the positives' gradient selects words; they are fitted anew."""
     if not positive.any() or positive.all() or not 0 < prior < 1:
         return PuModel({}, 30.0 if positive.any() and prior >= 1 else -30.0)
-    coded = words_of.flatten().dictionary_encode()
-    word = np.asarray(coded.indices).astype(np.int64)
-    bag = np.repeat(np.arange(len(positive)), np.diff(np.asarray(words_of.offsets)))
     for least, lasso, steps in ((LEAST_DOCUMENTS, LASSO * prior / np.sqrt(positive.sum()), 150), (1, 0.0, 300)):
-        names, place = np.unique(word, return_inverse=True)
-        often = np.bincount(place) >= least
-        keep = often[place]
-        bag, word = bag[keep], word[keep]
-        names, place = np.unique(word, return_inverse=True)
+        names, often = np.unique(word, return_counts=True)
+        names = names[often >= least]
+        keep = np.isin(word, names)
+        word, bag = word[keep], bag[keep]
+        place = np.searchsorted(names, word)
         theta = descend(bag, place, len(names), positive, prior, lasso, steps)
         chosen = theta[:-1] != 0
-        bag, word = bag[chosen[place]], word[chosen[place]]
-    text = coded.dictionary.take(pa.array(names[chosen])).to_pylist()
-    return PuModel(dict(zip(text, theta[:-1][chosen].tolist())), float(theta[-1]))
+        word, bag = word[chosen[place]], bag[chosen[place]]
+    return PuModel(dict(zip(names[chosen].tolist(), theta[:-1][chosen].tolist())), float(theta[-1]))
 
 
 def _word_rows(batches):
     for batch in batches:
-        bags = [sorted(words(t)) for t in as_bytes(batch["text"])]
-        yield pa.RecordBatch.from_arrays([batch["toxic"], batch["h"], pa.array(bags, pa.list_(pa.binary()))], ["toxic", "h", "words"])
+        bags = [np.sort(np.fromiter(words(t), np.uint32)).view(np.int32) for t in as_bytes(batch["text"])]
+        yield pa.RecordBatch.from_arrays([batch["toxic"], batch["h"], pa.array(bags, pa.list_(pa.int32()))], ["toxic", "h", "words"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PuModel:
@@ -129,10 +130,11 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: i
     toxic = first_ids(known.where(F.col(label) == 1), positives).withColumn("toxic", F.lit(1))
     rest = first_ids(docs, unlabelled).withColumn("toxic", F.lit(0))
     chosen = docs.select("doc_id", "text").join(F.broadcast(toxic.union(rest).limit(positives + unlabelled)), "doc_id")
-    rows = chosen.select("toxic", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_word_rows, "toxic int, h long, words array<binary>").toArrow()
-    rows = rows.sort_by([("toxic", "ascending"), ("h", "ascending")]).combine_chunks()
-    bags = rows["words"].combine_chunks() if rows.num_rows else pa.array([], pa.list_(pa.binary()))
-    return fit(bags.chunk(0) if isinstance(bags, pa.ChunkedArray) else bags, np.asarray(rows["toxic"]) == 1, prior)
+    rows = chosen.select("toxic", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_word_rows, "toxic int, h long, words array<int>").toArrow()
+    rows = rows.sort_by([("toxic", "ascending"), ("h", "ascending")])
+    word = np.asarray(pc.list_flatten(rows["words"])).view(np.uint32)
+    bag = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.asarray(pc.list_value_length(rows["words"])))
+    return fit(word, bag, np.asarray(rows["toxic"]) == 1, prior)
 
 
 def score(docs: DataFrame, model: PuModel) -> DataFrame:

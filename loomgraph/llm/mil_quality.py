@@ -38,7 +38,7 @@ _SYMBOLS, _STOPS, _HIGH = b"!#$%&*+/<=>@\\^_`{|}~", b".,;:?\"'()-", bytes(range(
 class WordLooks(dict):
     """Rows of ``table`` by word."""
 
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 600_000):
         super().__init__()
         self.most, self.table = most, np.zeros((1024, SHAPE + HASHED), np.float32)
 
@@ -47,7 +47,8 @@ class WordLooks(dict):
         if k == len(self.table):
             self.table = np.concatenate((self.table, np.zeros_like(self.table)))
         n = len(word)
-        upper, lower, digits, symbols, stops, high = (n - len(word.translate(None, c)) for c in (_UPPER, _LOWER, _DIGITS, _SYMBOLS, _STOPS, _HIGH))
+        plain = word.isascii() and word.isalpha() and word.islower()
+        upper, lower, digits, symbols, stops, high = (0, n, 0, 0, 0, 0) if plain else (n - len(word.translate(None, c)) for c in (_UPPER, _LOWER, _DIGITS, _SYMBOLS, _STOPS, _HIGH))
         h = xxhash.xxh32_intdigest(word, 9)
         row = self.table[k]
         row[:] = 0

@@ -127,15 +127,23 @@ def definitions(rows: DataFrame) -> DataFrame:
     raw = raw.groupBy("path", "kind", "name", "line").agg(first).select("path", "kind", "name", "line", "f.*")
     others = raw.where("kind != 'constant'").select("path", "name", "line").distinct()
     raw = raw.where("kind != 'constant'").unionByName(raw.where("kind = 'constant'").join(others, ["path", "name", "line"], "left_anti"))
-    # braces: up to the first piece that brings the nesting back; indents: up to the next line that is not deeper
-    later = rows.where("not blank").select("path", F.col("seq").alias("at"), F.col("line").alias("there"), F.col("before").alias("b"), F.col("after").alias("a"))
-    closes = F.when(F.col("braced"), (F.col("at") >= F.col("seq")) & (F.col("a") <= F.col("before"))).otherwise((F.col("at") > F.col("seq")) & (F.col("b") <= F.col("before")))
-    met = raw.join(later, "path").where(F.col("at") >= F.col("seq"))
-    closed = met.groupBy(*raw.columns).agg(F.min(F.when(closes, F.struct("at", "there"))).alias("close"), F.max(F.struct("at", "there")).alias("tail"))
-    inner = met.select("path", "name", "kind", "line", "at", "there").join(closed.select("path", "name", "kind", "line", "close"), ["path", "name", "kind", "line"]).where(F.col("close").isNull() | (F.col("at") < F.col("close.at")))
-    inner = inner.groupBy("path", "name", "kind", "line").agg(F.max(F.struct("at", "there")).alias("inner"))
-    whole = closed.join(inner, ["path", "name", "kind", "line"], "left")
-    end = F.when(F.col("braced"), F.coalesce("close", "tail")).otherwise(F.coalesce("inner", "tail"))
+    # a range closes at the next piece that is no deeper: with braces the one that brings the
+    # nesting back, with indents the line before it.  Pieces meet the levels that their file's
+    # definitions have, and one running window a level finds the next, without pairing rows.
+    full = rows.where("not blank").select("path", F.col("seq").alias("at"), F.col("line").alias("there"), F.when(F.col("braced"), F.col("after")).otherwise(F.col("before")).alias("low"))
+    in_file = Window.partitionBy("path").orderBy("at")
+    full = full.withColumn("prior", F.lag(F.struct("at", "there")).over(in_file))
+    levels = raw.select("path", F.col("before").alias("level")).distinct()
+    key = F.struct("kind", "name", "line")
+    close = F.struct(F.struct("at", "there").alias("here"), "prior")
+    events = full.join(levels, "path").where("low <= level").select("path", "level", "at", F.lit(1).alias("tie"), close.alias("close"))
+    starts = raw.select("path", F.col("before").alias("level"), F.col("seq").alias("at"), F.when(F.col("braced"), 0).otherwise(2).alias("tie"), key.alias("key"))
+    backward = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, -1)
+    closed = events.unionByName(starts, allowMissingColumns=True).withColumn("next", F.last("close", ignorenulls=True).over(backward)).where("key is not null")
+    closed = closed.select("path", "key.*", "next")
+    tails = full.groupBy("path").agg(F.max(F.struct("at", "there")).alias("tail"))
+    whole = raw.join(closed, ["path", "kind", "name", "line"]).join(tails, "path")
+    end = F.coalesce(F.when(F.col("braced"), F.col("next.here")).otherwise(F.col("next.prior")), F.col("tail"))
     whole = whole.withColumn("end", end).select("path", "language", "walk_order", "kind", "name", "line", "col", F.col("end.there").cast("int").alias("end_line"), F.col("seq").alias("lo"), (F.col("end.at") + 1).alias("hi"))
     methods = promoted_methods(whole.where("kind = 'function'"), whole.where("kind in ('class', 'interface')")).select("path", "name", "line", "lo").withColumn("_method", F.lit(True))
     promoted = whole.join(methods, ["path", "name", "line", "lo"], "left")

@@ -21,7 +21,9 @@ return; further columns are ignored.
 from __future__ import annotations
 
 import math
+import string
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +36,21 @@ from loomgraph.llm.samples import first_ids
 
 #: Documents to fit on, at most; documents a word must be in.
 POSITIVES, UNLABELLED, LEAST_DOCUMENTS = 2000, 6000, 4
-#: Times the prior over the root of the number of positives: noise below it selects no word.
-LASSO = 0.3
+#: Times the noise of a word's gradient: what is below selects no word.
+LASSO = 2.0
 STEMS = (5, 7)
-_DROP = bytes(b".,;:!?\"'()[]{}")
+_DROP = string.punctuation.encode()
 
 
 def words(text: bytes) -> set[int]:
-    """CRC-32 of the distinct words, without case and stops, and of the first bytes of the longer ones (``STEMS``)."""
+    """CRC-32 of the distinct words, without case and punctuation, of the first bytes of
+    the longer ones (``STEMS``), and of those that two words or more begin with."""
     found = set(text.lower().translate(None, _DROP).split())
-    stems = {w[:n] + b"*" for n in STEMS for w in found if len(w) > n}
-    return set(map(zlib.crc32, found | stems))
+    stems = Counter(w[:n] for n in STEMS for w in found if len(w) > n)
+    codes = set(map(zlib.crc32, found))
+    codes.update(zlib.crc32(b"*", zlib.crc32(s)) for s in stems)
+    codes.update(zlib.crc32(b"**", zlib.crc32(s)) for s, n in stems.items() if n > 1)
+    return codes
 
 
 class PuModel:
@@ -80,7 +86,7 @@ def risk_slope(z: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
     return slope
 
 
-def descend(bag: np.ndarray, word: np.ndarray, n_words: int, positive: np.ndarray, prior: float, lasso: float, steps: int, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
+def descend(bag: np.ndarray, word: np.ndarray, n_words: int, positive: np.ndarray, prior: float, lasso: np.ndarray | float, steps: int, rate: float = 0.1, ridge: float = 1e-4) -> np.ndarray:
     """Weights of the words and, last, the bias: proximal Adam on full batches.
     ``bag`` and ``word`` list which bag has which word."""
     theta = np.zeros(n_words + 1)
@@ -100,12 +106,14 @@ def descend(bag: np.ndarray, word: np.ndarray, n_words: int, positive: np.ndarra
 
 def fit(word: np.ndarray, bag: np.ndarray, positive: np.ndarray, prior: float) -> PuModel:
     """``word``, ``bag``: which bag has which word code.  A lasso in proportion
-    to the noise of the positives' gradient selects words; they are fitted anew."""
+    to the noise of each word's gradient (that of as many positives, drawn from
+    all bags) selects words; they are fitted anew."""
     if not positive.any() or positive.all() or not 0 < prior < 1:
         return PuModel({}, 30.0 if positive.any() and prior >= 1 else -30.0)
-    for least, lasso, steps in ((LEAST_DOCUMENTS, LASSO * prior / np.sqrt(positive.sum()), 150), (1, 0.0, 300)):
+    for least, times, steps in ((LEAST_DOCUMENTS, LASSO, 150), (1, 0.0, 300)):
         names, often = np.unique(word, return_counts=True)
-        names = names[often >= least]
+        names, often = names[often >= least], often[often >= least]
+        lasso = times * prior * np.sqrt((often + LEAST_DOCUMENTS) / len(positive) / positive.sum())
         keep = np.isin(word, names)
         word, bag = word[keep], bag[keep]
         place = np.searchsorted(names, word)

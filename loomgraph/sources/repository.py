@@ -4,7 +4,8 @@
     spark.read.format("repository").option("root", "/shared/repo").load()
 
 The driver lists names (excluded folders are not entered, depth and number of
-files are bounded); tasks read the contents.  On a cluster the root has to be
+sources are bounded: files of a known language and at most ``maxBytes``); tasks
+read the contents.  On a cluster the root has to be
 a folder that all executors see.  Contents are read only if asked for
 (``withContent``), and files over ``maxBytes`` never are.
 """
@@ -17,6 +18,8 @@ from dataclasses import dataclass
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from loomgraph.sources.languages import EXTENSIONS
+
 SCHEMA = "path string, name string, depth int, walk_order bigint, size bigint, is_symlink boolean, status string, reason string, content binary"
 
 # Folders that hold no sources of their own, and the default bounds.
@@ -34,7 +37,7 @@ class Chunk(InputPartition):
     files: list[tuple]
 
 
-def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, follow: bool = False) -> Iterator[tuple]:
+def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, follow: bool = False, max_bytes: int = MAX_BYTES) -> Iterator[tuple]:
     """(path, name, depth, order, size, is_symlink, status, reason), folders and files in sorted order."""
     taken, order, seen = 0, 0, set()
     for folder, names, files in os.walk(root, followlinks=follow):
@@ -52,9 +55,11 @@ def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, fo
         for name in sorted(files):
             full = os.path.join(folder, name)
             link = os.path.islink(full)
-            size = os.lstat(full).st_size
+            sound = not link or os.path.exists(full)
+            size = (os.stat if follow and sound else os.lstat)(full).st_size
             reason = "max_files_reached" if taken >= max_files else "symlink" if link and not follow else ""
-            taken += not reason
+            source = "." in name and f".{name.rpartition('.')[2]}".lower() in EXTENSIONS
+            taken += not reason and source and sound and size <= max_bytes
             yield (name if inside == "." else f"{inside}/{name}", name, depth, order, size, link, "skipped" if reason else "", reason)
             order += 1
 
@@ -71,7 +76,7 @@ class RepositoryReader(DataSourceReader):
         self.chunk = get("filesPerTask", 256)
 
     def partitions(self) -> list[Chunk]:
-        files = list(walk(self.root, self.excluded, self.bounds[0], self.bounds[1], self.follow))
+        files = list(walk(self.root, self.excluded, self.bounds[0], self.bounds[1], self.follow, self.bounds[2]))
         return [Chunk(self.root, files[k : k + self.chunk]) for k in range(0, len(files), self.chunk)] or [Chunk(self.root, [])]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:

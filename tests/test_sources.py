@@ -130,6 +130,16 @@ def test_bounds(spark, tmp_path):
     assert capped.count() >= 2
 
 
+def test_file_cap_counts_sources(spark, tmp_path):
+    noise = {f"a/{k}{end}": "x" * 2000 for k in range(10) for end in (".md", ".png", "")}
+    write(tmp_path, {**noise, "a/big.py": "x = 1\n" * 1000, "b/one.py": "x = 1\n", "b/two.js": "f()\n", "b/z.py": "x = 1\n"})
+    (tmp_path / "a/link.py").symlink_to(tmp_path / "b/one.py")
+    found = {r.path: r.reason for r in scan(spark, tmp_path, maxFiles=2, maxBytes=1000).collect()}
+    assert found["b/one.py"] == found["b/two.js"] == "" and found["b/z.py"] == "max_files_reached"
+    assert found["a/big.py"] == "file_too_large: 6000 > 1000" and found["a/link.py"] == "symlink"
+    assert sum(r == "max_files_reached" for r in found.values()) == 1
+
+
 def test_stacks(spark, tmp_path):
     write(
         tmp_path,

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.functions import text
 from loomgraph.operators.resolve import innermost, promoted_methods, resolve_calls
+from loomgraph.operators.windows import running_sum
 from loomgraph.plans.schema import EDGE_COLUMNS, Graph, first_rows, node_id
 from loomgraph.plans.storage import stash
 from loomgraph.sources.languages import EXTENSIONS, LANGUAGES, NOISE, Language
@@ -38,15 +39,20 @@ def by_language(make: Callable[[Language], Column | None], otherwise: Column | N
 
 def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
     """Status and language of each scanned file; unknown extensions are
-    ``unsupported``, noise is left out."""
+    ``unsupported``, noise is left out.
+
+    Only sources that were read count towards ``max_total_bytes``: the first one
+    over it is reported, those after it are dropped.  The sum carries no content."""
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
     files = scan.withColumn("language", F.coalesce(language_of(F.col("name")), F.lit("")))
     files = files.where((F.col("language") != "") | (ext != "") & ~ext.isin(*NOISE))
     has_nul = F.col("content").isNotNull() & F.contains(F.substring("content", 1, 8192), F.lit(b"\0"))
-    order = Window.orderBy("walk_order").rowsBetween(Window.unboundedPreceding, 0)
-    used = F.sum(F.when(F.col("content").isNotNull(), F.col("size")).otherwise(0)).over(order)
-    files = files.withColumn("_used", used).where(F.col("_used") - F.col("size") <= max_total_bytes)
     known = F.col("status") != ""
+    counted = (F.col("language") != "") & ~known & F.col("content").isNotNull()
+    sizes = files.where(counted).select("walk_order", "size")
+    used = running_sum(sizes, "walk_order", F.col("size"), "_used").drop("size")
+    files = files.join(used, "walk_order", "left").select(*files.columns, F.coalesce("_used", F.lit(0)).alias("_used"))
+    files = files.where(~counted | (F.col("_used") - F.col("size") <= max_total_bytes))
     why = (
         F.when(F.col("language") == "", F.struct(F.lit("unsupported").alias("s"), F.concat(F.lit("no grammar for '"), ext, F.lit("'")).alias("r")))
         .when(known, F.struct(F.col("status").alias("s"), F.col("reason").alias("r")))
@@ -168,7 +174,7 @@ def calls(rows: DataFrame) -> DataFrame:
 
 def build(scan: DataFrame) -> Graph:
     """The property graph of a scan; each step is a table in the shared folder, so contents are read once."""
-    files = stash(classified(scan), "files")
+    files = stash(classified(stash(scan, "scan")), "files")
     rows = stash(lines(files), "lines")
     defs = definitions(rows)
     defs = stash(defs.withColumn("id", node_id(F.col("kind"), F.col("name"), F.col("path"), F.col("line"))), "definitions")

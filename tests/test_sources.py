@@ -140,6 +140,15 @@ def test_file_cap_counts_sources(spark, tmp_path):
     assert sum(r == "max_files_reached" for r in found.values()) == 1
 
 
+def test_read_budget_counts_sources(spark, tmp_path):
+    write(tmp_path, {"a.csv": "x" * 500, "b.py": "x = 1\n" * 10, "c.csv": "x" * 500, "d.py": "x = 1\n" * 10, "e.py": "x = 1\n" * 10, "f.py": "x = 1\n" * 10, "g.csv": "x", "bin.py": b"x" * 900})
+    files = extract.classified(scan(spark, tmp_path, maxBytes=800), max_total_bytes=130)
+    found = {r.path: (r.status, r.reason) for r in files.collect()}
+    assert found["b.py"] == found["d.py"] == ("parsed", "") and found["e.py"] == ("skipped", "total_bytes_exceeded")
+    assert "f.py" not in found and found["bin.py"] == ("skipped", "file_too_large: 900 > 800")
+    assert all(found[n] == ("unsupported", "no grammar for '.csv'") for n in ("a.csv", "c.csv", "g.csv"))
+
+
 def test_stacks(spark, tmp_path):
     write(
         tmp_path,

@@ -113,12 +113,23 @@ def lines(files: DataFrame) -> DataFrame:
     )
 
 
+def _listed(kind: str, pattern: str, label: str) -> Column:
+    """An array of (label, name, col): the names of the comma list that the pattern's second group holds."""
+    items = F.split(F.regexp_extract("body", pattern, 2), ",")
+    start = F.octet_length(F.regexp_extract("body", pattern, 1))
+    before = lambda k: F.octet_length(F.array_join(F.slice(items, F.lit(1), k), ",")) + F.when(k > 0, 1).otherwise(0)
+    name = lambda x: F.regexp_extract(x, r"^\s*([^\s,]+)", 1)
+    blank = lambda x: F.octet_length(F.regexp_extract(x, r"^(\s*)", 1))
+    return F.transform(items, lambda x, k: F.struct(F.lit(kind).alias(label), name(x).alias("name"), (start + before(k) + blank(x)).alias("col")))
+
+
 def _hits(rows: DataFrame, patterns: Callable[[Language], list[tuple[str, str]]], label: str) -> DataFrame:
     """(path, ..., label, name, col) for each pattern that a piece meets."""
 
     def found(lang: Language) -> Column | None:
-        made = [F.struct(F.lit(k).alias(label), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col")) for k, p in patterns(lang)]
-        return F.array(*made) if made else None
+        made = [F.struct(F.lit(k).alias(label), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col")) for k, p in patterns(lang) if p not in lang.lists]
+        each = [_listed(k, p, label) for k, p in patterns(lang) if p in lang.lists]
+        return F.concat(*([F.array(*made)] if made else []), *each) if made or each else None
 
     hits = rows.withColumn("hit", F.explode(by_language(found)))
     return hits.where("hit.name != ''").select(*rows.columns, f"hit.{label}", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))

@@ -1,7 +1,8 @@
 """Patterns by language: extensions, definitions, imports.
 
 A definition pattern has two groups: what stands before the definition on its
-line, and the name.  An import pattern has the same two, with what is imported.
+line, and the name.  An import pattern has the same two, with what is imported;
+where a comma lists several modules, its second group is the whole list.
 They find what usual formatting puts on one line; they are no grammar.
 """
 
@@ -22,6 +23,8 @@ class Language:
     comment: str = "//"
     calls: str = r"(?<!\w)" + NAME + r"\s*\("
     keywords: tuple[str, ...] = field(default=("if", "for", "while", "switch", "return", "catch", "function", "func", "fn", "def", "class", "elif", "and", "or", "not", "in", "print!", "sizeof", "match", "when", "with", "assert", "await", "new", "else", "super", "foreach", "until", "unless", "lambda", "yield"))
+    #: Those of the imports whose second group is a comma list, each of its parts a name.
+    lists: tuple[str, ...] = ()
 
 
 _JS = (
@@ -35,10 +38,13 @@ _TS = (*_JS, ("interface", r"^(\s*(?:export\s+)?)interface\s+" + NAME), ("class"
 _JS_IMPORTS = (r"""^(\s*import\s[^"']*["'])([^"']+)""", r"""^(.*\bfrom\s+["'])([^"']+)""", r"""^(.*\brequire\(\s*["'])([^"']+)""")
 _C = (("function", r"^((?:\s*(?:public|private|protected)\s*:)?\s*(?!(?:return|else|new|case|goto)\b)[A-Za-z_][\w:<>,*&\s]*?[\s*&])(?:\w+::)*([A-Za-z_]\w*)\s*\([^;]*\{?$"), ("class", r"^(\s*(?:typedef\s+)?)(?:struct|enum|union)\s+" + NAME + r"[^;()]*\{"))
 _INCLUDE = (r'^(\s*#\s*include\s*[<"])([^>"]+)',)
+_PY_LIST = r"^(\s*import\s+)([\w.]+(?:\s+as\s+\w+)?(?:\s*,\s*[\w.]+(?:\s+as\s+\w+)?)*)"
+# further names have a namespace, as those of traits have none
+_PHP_LIST = r"^(\s*use\s+)([\w\\]+(?:\s+as\s+\w+)?(?:\s*,\s*\w*(?:\\\w+)+(?:\s+as\s+\w+)?)*)"
 _RUBY_CALL = r"(?:\.\s*|(?<![\w.]))" + NAME + r"\s*(?:\(|(?=\s+[\"':\w]))"
 
 LANGUAGES = (
-    Language("python", (".py", ".pyi"), (("function", r"^(\s*)(?:async\s+)?def\s+" + NAME + r"\s*\((?!:)"), ("class", r"^(\s*)class\s+" + NAME), ("constant", r"^()" + NAME + r"\s*(?::[^=]+)?=(?!=)")), (r"^(\s*from\s+)([\w.]+)\s+import", r"^(\s*import\s+)([\w.]+)"), "indent", "#"),
+    Language("python", (".py", ".pyi"), (("function", r"^(\s*)(?:async\s+)?def\s+" + NAME + r"\s*\((?!:)"), ("class", r"^(\s*)class\s+" + NAME), ("constant", r"^()" + NAME + r"\s*(?::[^=]+)?=(?!=)")), (r"^(\s*from\s+)([\w.]+)\s+import", _PY_LIST), "indent", "#", lists=(_PY_LIST,)),
     Language("javascript", (".js", ".mjs", ".cjs", ".jsx"), _JS, _JS_IMPORTS),
     Language("typescript", (".ts", ".mts", ".cts"), _TS, _JS_IMPORTS),
     Language("tsx", (".tsx",), _TS, _JS_IMPORTS),
@@ -49,7 +55,7 @@ LANGUAGES = (
     Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), (*_C, ("class", r"^(\s*)(?:class|namespace)\s+" + NAME + r"[^;]*\{")), _INCLUDE),
     Language("c_sharp", (".cs",), (("class", r"^(\s*)(?:(?:public|private|internal|protected|static|sealed|abstract|partial)\s+)*(?:class|struct|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|internal)\s+)*interface\s+" + NAME), ("method", r"^(\s*)(?:(?:public|private|internal|protected|static|async|override|virtual)\s+)*(?!(?:return|new|else|using|namespace|class)\b)[\w<>\[\],.?]+\s+" + NAME + r"\s*\([^;]*\{")), (r"^(\s*using\s+)([\w.]+)\s*;",)),
     Language("ruby", (".rb", ".rake", ".gemspec"), (("class", r"^(\s*)(?:class|module)\s+" + NAME), ("method", r"^(\s*)def\s+self\.([A-Za-z_]\w*[?!]?)"), ("function", r"^(\s*)def\s+(?!self\.)([A-Za-z_]\w*[?!]?)")), (), "end", "#", _RUBY_CALL),
-    Language("php", (".php", ".phtml"), (("class", r"^(\s*)(?:abstract\s+|final\s+)?(?:class|trait)\s+" + NAME), ("interface", r"^(\s*)interface\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+" + NAME)), (r"^(\s*use\s+)([\w\\]+)",)),
+    Language("php", (".php", ".phtml"), (("class", r"^(\s*)(?:abstract\s+|final\s+)?(?:class|trait)\s+" + NAME), ("interface", r"^(\s*)interface\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+" + NAME)), (_PHP_LIST,), lists=(_PHP_LIST,)),
     Language("bash", (".sh", ".bash", ".zsh"), (("function", r"^(\s*)(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)"),), (), "brace", "#", r"^\s*([A-Za-z_][\w-]*)(?=\s|;|$)"),
     Language("kotlin", (".kt", ".kts"), (("class", r"^(\s*)(?:(?:data|open|sealed|abstract|enum)\s+)*(?:class|object|interface)\s+" + NAME), ("function", r"^(\s*)(?:(?:override|private|public|suspend|inline)\s+)*fun\s+(?:<[^>]*>\s*)?(?:\w+\.)?" + NAME)), (r"^(\s*import\s+)([\w.]+)",)),
     Language("swift", (".swift",), (("class", r"^(\s*)(?:(?:public|private|final|open)\s+)*(?:class|struct|enum|extension)\s+" + NAME), ("interface", r"^(\s*)(?:public\s+)?protocol\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|static|override|mutating)\s+)*func\s+" + NAME)), (r"^(\s*import\s+)([\w.]+)",)),

@@ -173,6 +173,8 @@ def detect(scan: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     signals = spark.createDataFrame([(*x, k) for k, x in enumerate(rows(SIGNALS))], "signal string, framework string, category string, ordinal int")
 
     named = files.join(manifests, "name").select(F.col("stack").alias("name"), "category", F.col("path").alias("evidence"), F.lit("").alias("detail"))
+    # any file of Terraform's, by its suffix
+    terraform = files.where("name like '_%.tf'").select(F.lit("Terraform").alias("name"), F.lit("infra").alias("category"), F.col("path").alias("evidence"), F.lit("").alias("detail"))
     # each folder above a file, and the file itself, by all of its suffixes
     parts = F.split("path", "/")
     above = files.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(F.array_join(F.slice(parts, 1, k), "/").alias("at"), (k == F.size(parts)).alias("is_file")))).alias("a")).select("a.*").distinct()
@@ -182,7 +184,7 @@ def detect(scan: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
     declared = files.where((F.col("size") <= MOST_BYTES) & F.col("content").isNotNull())
     declared = declared.select("path", F.explode(dependencies_of(F.col("name"), F.col("content").try_cast("string"))).alias("name"))
     proved = dependency_signals(declared.distinct(), signals).select(F.col("framework").alias("name"), "category", F.col("path").alias("evidence"), F.col("name").alias("detail"))
-    return first_rows(named.unionByName(marked).unionByName(proved), ["name", "category"], [F.col("evidence"), F.col("detail")])
+    return first_rows(named.unionByName(terraform).unionByName(marked).unionByName(proved), ["name", "category"], [F.col("evidence"), F.col("detail")])
 
 
 def by_category(detections: DataFrame) -> DataFrame:

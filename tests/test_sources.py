@@ -149,6 +149,24 @@ def test_read_budget_counts_sources(spark, tmp_path):
     assert all(found[n] == ("unsupported", "no grammar for '.csv'") for n in ("a.csv", "c.csv", "g.csv"))
 
 
+def test_import_lists(spark, tmp_path):
+    write(tmp_path, {"a.py": "import os, sys as system,json\nfrom x import y, z\n", "b.php": "<?php\nuse A\\B, C\\D as E;\n"})
+    edges = extract.build(scan(spark, tmp_path)).edges.where("type = 'imports'").collect()
+    assert {(r.path, r.dst, r.line, r.col) for r in edges} == {
+        ("a.py", "external::os", 1, 7),
+        ("a.py", "external::sys", 1, 11),
+        ("a.py", "external::json", 1, 25),
+        ("a.py", "external::x", 2, 5),
+        ("b.php", "external::A\\B", 2, 4),
+        ("b.php", "external::C\\D", 2, 9),
+    }
+
+
+def test_any_tf_file_proves_terraform(spark, tmp_path):
+    found = stacks.detect(scan(spark, write(tmp_path, {"main.tf": "x", "x/y.tf": "x", ".tf": "x"}))).collect()
+    assert [(r.name, r.category, r.evidence) for r in found] == [("Terraform", "infra", "main.tf")]
+
+
 def test_stacks(spark, tmp_path):
     write(
         tmp_path,

@@ -35,7 +35,9 @@ _START_BITS, _MORE_BITS = 32, 8
 
 
 def seats(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """Anchor hash, extent hash, first window and number of further windows, of each seat."""
+    """Anchor hash, extent hash, first window and number of further windows, of each seat.
+
+    Over 256 windows of one anchor are several seats, with a hash of their own each."""
     none = np.empty(0, np.uint64)
     n = len(words) - length + 1
     if n < 1:
@@ -45,12 +47,15 @@ def seats(words: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     grams, reach = span.windows(gram), length - gram + 1
     back = sliding_window_view(grams, reach)[:, ::-1].argmin(axis=1)
     anchor = np.arange(n) + reach - 1 - back
-    first = np.flatnonzero(np.concatenate(([True], anchor[1:] != anchor[:-1])))
+    # equal windows have their anchor at the same distance, so seats cut by it still meet
+    part = (anchor - np.arange(n)) >> _MORE_BITS
+    first = np.flatnonzero(np.concatenate(([True], (anchor[1:] != anchor[:-1]) | (part[1:] != part[:-1]))))
     last = np.concatenate((first[1:], [n])) - 1
-    anchor = anchor[first]
+    anchor, part = anchor[first], part[first].astype(np.uint64)
+    key = np.where(part > 0, mixed(grams[anchor] ^ mixed(part)), grams[anchor])
     shape = ((anchor - first) * 256 + (last - first)).astype(np.uint64)
     extent = mixed(span.spans(first, last + length) + shape)
-    return grams[anchor], extent, first.astype(np.uint64), (last - first).astype(np.uint64)
+    return key, extent, first.astype(np.uint64), (last - first).astype(np.uint64)
 
 
 def _settle(key: np.ndarray, extent: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

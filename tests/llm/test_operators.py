@@ -52,6 +52,25 @@ def test_repeats_equal_brute_force(docs, data, no_docs):
     assert substring_dedup.remove_repeats(no_docs, 20).count() == 0
 
 
+def test_long_windows_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    shared = [f"w{k}" for k in rng.integers(0, 5000, 2500)]
+    own = lambda k, n: [f"d{k}x{j}" for j in range(n)]
+    texts = [own(0, 40) + shared, shared[100:2000] + own(1, 700), own(2, 300) + shared[700:1290] + own(3, 30) + shared[50:900], ["x"] * 1500, own(4, 200) + ["x"] * 900]
+    for length in (264, 600):
+        got = {r.doc_id: r for r in substring_dedup.remove_repeats(spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string"), length).collect()}
+        first, marked = {}, 0
+        for k, words in enumerate(texts):
+            gone = set()
+            for a in range(len(words) - length + 1):
+                if first.setdefault(tuple(words[a : a + length]), (k, a)) != (k, a):
+                    gone |= set(range(a, a + length))
+            marked += len(gone)
+            assert (got[k].n_words, got[k].n_removed) == (len(words), len(gone)), (length, k)
+            assert got[k].kept == " ".join(w for j, w in enumerate(words) if j not in gone)
+        assert marked > 4000
+
+
 def test_hot_passage_and_periodic_texts(spark):
     passage = " ".join(f"w{k}" for k in range(50))
     rows = [(k, f"a{k} b{k} {passage} c{k}") for k in range(60)] + [(100, "x " * 500), (101, "x y " * 100), (102, "y x " * 100)]

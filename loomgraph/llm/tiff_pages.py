@@ -1,11 +1,11 @@
 """Media columns: TIFF.
 
 ``pages`` walks the image directories of each file, reads its strips or tiles
-(uncompressed, PackBits, LZW or deflate), undoes the horizontal predictor and
-emits one row for each page: its size, samples and raw bytes, rows from the
+(uncompressed, PackBits, LZW or deflate), undoes the horizontal and the
+floating-point predictor and emits one row for each page: its size, samples and raw bytes, rows from the
 top, samples interleaved or plane by plane as stored.  ``encode`` writes the
-same formats.  Either byte order is read; samples have 8, 16, 24 or 32 bits
-(fewer bits are given as stored, packed by row, without predictor).
+same formats.  Either byte order is read; samples have 8, 16, 24, 32 or
+64 bits (other depths are given packed by row, as stored).
 
 Edge cases: a null file has no pages and gives one row with page -1 and the
 error ``no bytes``; so does a file that is no TIFF.  A page that can't be read
@@ -190,11 +190,40 @@ def difference(data: bytes, width: int, samples: int) -> bytes:
 
 
 def _undo(data: bytes, width: int, samples: int, bits: int, order: str) -> bytes:
-    if bits not in (8, 16, 32):
+    """Undoes the horizontal predictor; samples of any depth up to 64 bits keep the file's byte order."""
+    if bits > 64:
         raise TiffError(f"predictor with {bits} bits")
-    kind = np.dtype(f"{order}u{bits // 8}")
-    rows = np.frombuffer(data, kind).reshape(-1, width, samples)
-    return np.cumsum(rows, axis=1, dtype=kind.newbyteorder("=")).astype(kind).tobytes()
+    if bits in (8, 16, 32, 64):
+        kind = np.dtype(f"{order}u{bits // 8}")
+        rows = np.frombuffer(data, kind).reshape(-1, width, samples)
+        return np.cumsum(rows, axis=1, dtype=kind.newbyteorder("=")).astype(kind).tobytes()
+    swap = order == "<" and bits % 8 == 0
+    row = (width * samples * bits + 7) // 8
+    out = []
+    # by blocks of rows, as each bit takes a word
+    block = max(1, (1 << 22) // (width * samples * bits)) * row
+    for at in range(0, len(data), block):
+        part = np.frombuffer(data[at : at + block], np.uint8).reshape(-1, row)
+        if swap:
+            part = part.reshape(len(part), -1, bits // 8)[:, :, ::-1].reshape(len(part), row)
+        cells = np.unpackbits(part, axis=1, count=width * samples * bits).reshape(-1, width, samples, bits)
+        places = np.arange(bits - 1, -1, -1, dtype=np.uint64)
+        values = np.cumsum((cells.astype(np.uint64) << places).sum(axis=3, dtype=np.uint64), axis=1, dtype=np.uint64)
+        cells = ((values[..., None] >> places) & np.uint64(1)).astype(np.uint8)
+        part = np.packbits(cells.reshape(len(part), -1), axis=1)
+        if swap:
+            part = part.reshape(len(part), -1, bits // 8)[:, :, ::-1]
+        out.append(part.tobytes())
+    return b"".join(out)
+
+
+def _undo_float(data: bytes, width: int, samples: int, bits: int, order: str) -> bytes:
+    """Undoes the floating-point predictor: sums of bytes, then planes of bytes, the highest first, back to samples."""
+    if bits not in (16, 24, 32, 64):
+        raise TiffError(f"floating-point predictor with {bits} bits")
+    rows = np.frombuffer(data, np.uint8).reshape(-1, width * bits // 8, samples)
+    planes = np.cumsum(rows, axis=1, dtype=np.uint8).reshape(len(rows), bits // 8, width * samples)
+    return (planes[:, ::-1] if order == "<" else planes).transpose(0, 2, 1).tobytes()
 
 
 class Reader:
@@ -264,6 +293,8 @@ class Reader:
                 raise TiffError("a strip or tile ends early")
             if page.predictor == 2:
                 block = _undo(block, across, inside, page.bits, self.order)
+            elif page.predictor == 3:
+                block = _undo_float(block, across, inside, page.bits, self.order)
             elif page.predictor != 1:
                 raise TiffError(f"predictor {page.predictor}")
             grid = np.frombuffer(block, np.uint8).reshape(height, -1)

@@ -300,6 +300,42 @@ def test_tiles_and_byte_order():
     assert page.error is None and page.pixels == image.astype(">u2").tobytes()
 
 
+def one_strip(order: str, width: int, height: int, samples: int, bits: int, predictor: int, strip: bytes) -> bytes:
+    import struct
+
+    tags = [(256, width), (257, height), (258, bits), (259, 1), (273, 8), (277, samples), (278, height), (279, len(strip)), (317, predictor)]
+    directory = struct.pack(f"{order}H", len(tags)) + b"".join(struct.pack(f"{order}HHII", tag, 4, 1, value) for tag, value in tags) + bytes(4)
+    return {"<": b"II", ">": b"MM"}[order] + struct.pack(f"{order}HI", 42, 8 + len(strip)) + strip + directory
+
+
+@pytest.mark.parametrize("order", ["<", ">"])
+def test_every_predictor(order):
+    width, height, rng = 7, 5, np.random.default_rng(6)
+    for samples in (1, 3):
+        for bits in (4, 8, 12, 16, 24, 32, 64):
+            values = [[[int(rng.integers(0, 1 << min(bits, 62))) for _ in range(samples)] for _ in range(width)] for _ in range(height)]
+            less = [[[(v - (row[x - 1][s] if x else 0)) % (1 << bits) for s, v in enumerate(cell)] for x, cell in enumerate(row)] for row in values]
+
+            def stored(grid, bits=bits):
+                flat = [[v for cell in row for v in cell] for row in grid]
+                if bits % 8 == 0:
+                    return b"".join(v.to_bytes(bits // 8, "little" if order == "<" else "big") for row in flat for v in row)
+                whole = ["".join(f"{v:0{bits}b}" for v in row) for row in flat]
+                return b"".join(int(b + "0" * (-len(b) % 8), 2).to_bytes(-(-len(b) // 8), "big") for b in whole)
+
+            (page,) = tiff_pages.read(one_strip(order, width, height, samples, bits, 2, stored(less)))
+            assert (page.error, page.pixels) == (None, stored(values)), (samples, bits)
+        for bits in (16, 32, 64):
+            image = rng.normal(size=(height, width * samples)).astype(f"{order}f{bits // 8}")
+            strip = b""
+            for row in image:
+                high_first = row.astype(f">f{bits // 8}").tobytes()
+                planes = b"".join(high_first[k :: bits // 8] for k in range(bits // 8))
+                strip += bytes((b - (planes[k - samples] if k >= samples else 0)) % 256 for k, b in enumerate(planes))
+            (page,) = tiff_pages.read(one_strip(order, width, height, samples, bits, 3, strip))
+            assert (page.error, page.pixels) == (None, image.tobytes()), (samples, bits)
+
+
 def test_pages_of_broken_files(spark):
     good = tiff_pages.encode([(b"x" * 128, 64), (b"y" * 64, 64)])
     loop = bytearray(good)

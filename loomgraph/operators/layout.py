@@ -21,16 +21,42 @@ def start(nodes: DataFrame, seed: Column, extent: float = 100.0) -> DataFrame:
     return steps.select("id", scale("a").alias("x"), scale("b").alias("y"), scale("c").alias("z"))
 
 
+def _masses(at: DataFrame, cell: float) -> DataFrame:
+    """Per cell that holds nodes (cx, cy, cz): ``groups``, (m, mx, my, mz) of all cells.
+
+    Level by level, edges double.  A cell meets the 27 cells around its own at
+    the first level; at each level it meets what lies in the 27 around its
+    parent and not in the 27 around itself.  At the last level all are among
+    the 27, so that each node counts once for each cell."""
+    axes = ("x", "y", "z")
+    mass = at.groupBy(*(F.floor(F.col(a) / cell).alias(f"c{a}") for a in axes)).agg(F.count("*").alias("m"), *(F.sum(a).alias(f"s{a}") for a in axes))
+    own = [f"c{a}" for a in axes]
+    far = F.greatest(*(F.max(F.greatest(F.col(c), -F.col(c) - 1)) for c in own))
+    height = mass.agg(F.length(F.bin(far)).alias("levels"))
+    tall = mass.crossJoin(F.broadcast(height)).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)))
+    tall = tall.select(*own, "m", *(f"s{a}" for a in axes), "level", *(F.expr(f"shiftright(c{a}, level)").alias(f"u{a}") for a in axes))
+    up = ["level", *(f"u{a}" for a in axes)]
+    groups = tall.groupBy(*up).agg(F.sum("m").alias("m"), *(F.sum(f"s{a}").alias(f"s{a}") for a in axes))
+    met = groups.select(*up)
+    for a in axes:
+        first = F.shiftright(f"u{a}", 1) * 2 - 2
+        met = met.withColumn(f"o{a}", F.explode(F.sequence(first, first + 5)))
+    near = F.greatest(*(F.abs(F.col(f"o{a}") - F.col(f"u{a}")) for a in axes)) <= 1
+    met = met.where((F.col("level") == 0) | ~near)
+    masses = groups.select("level", *(F.col(f"u{a}").alias(f"o{a}") for a in axes), F.struct("m", *((F.col(f"s{a}") / F.col("m")).alias(f"m{a}") for a in axes)).alias("g"))
+    lists = met.join(masses, ["level", "ox", "oy", "oz"]).groupBy(*up).agg(F.collect_list("g").alias("groups"))
+    return tall.select(*own, *up).join(lists, up).groupBy(*own).agg(F.flatten(F.collect_list("groups")).alias("groups"))
+
+
 def step(at: DataFrame, edges: DataFrame, spring: float = 0.05, repulsion: float = 400.0, cell: float = 50.0, centring: float = 0.012, limit: float = 30.0) -> DataFrame:
     """One step of springs, repulsion and centring.
 
-    Repulsion comes from the mean positions of the 27 cells around a node's
-    own, so that no step pairs all nodes; springs sum over edges."""
+    Repulsion comes from the mean positions of cells, the larger the farther
+    they are, and leaves no node out; no step pairs all nodes.  Springs sum
+    over edges."""
     axes = ("x", "y", "z")
     cells = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in axes]
-    mass = at.groupBy(*cells).agg(F.count("*").alias("m"), *(F.avg(a).alias(f"m{a}") for a in axes))
-    near = F.array(*(F.struct(*(F.lit(v).alias(f"d{a}") for a, v in zip(axes, d))) for d in [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]))
-    around = at.withColumn("d", F.explode(near)).select("id", *axes, *((F.floor(F.col(a) / cell) + F.col(f"d.d{a}")).alias(f"c{a}") for a in axes)).join(mass, [f"c{a}" for a in axes])
+    around = at.select("id", *axes, *cells).join(_masses(at, cell), [f"c{a}" for a in axes]).select("id", *axes, F.explode("groups").alias("g")).select("id", *axes, "g.*")
     gap = F.greatest(sum(((F.col(a) - F.col(f"m{a}")) ** 2 for a in axes), F.lit(0.0)), F.lit(36.0))
     push = around.groupBy("id").agg(*(F.sum(F.lit(repulsion) * F.col("m") * (F.col(a) - F.col(f"m{a}")) / (gap * F.sqrt(gap))).alias(f"f{a}") for a in axes))
     both = edges.select("src", "dst").union(edges.select("dst", "src")).join(at.select(F.col("id").alias("dst"), *(F.col(a).alias(f"o{a}") for a in axes)), "dst")

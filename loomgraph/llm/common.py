@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from loomgraph.plans.storage import shared_dir, stash
 
-__all__ = ["LAST_ID", "WORD_PATTERN", "SpanHashes", "WordHashes", "as_bytes", "held_out", "mixed", "shared_dir", "small_batches", "stash", "table"]
+__all__ = ["LAST_ID", "WORD_PATTERN", "SpanHashes", "WordHashes", "as_bytes", "held_out", "mixed", "shared_dir", "small_batches", "stash", "table", "with_small"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -21,6 +21,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that are broadcast at most.
+MOST_BROADCAST = 100_000
+
+
+def with_small(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``rows`` left joined to ``few``, which is mostly empty or small: it is
+    broadcast only if it is counted to have at most ``MOST_BROADCAST`` rows."""
+    n = few.limit(MOST_BROADCAST + 1).count()
+    return rows.join(F.broadcast(few) if n <= MOST_BROADCAST else few, key, "left")
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch of long texts holds in a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -26,32 +26,64 @@ def ids_of(df):
 # substring dedup
 
 
-def test_repeats_equal_brute_force(docs, data, no_docs):
-    got = substring_dedup.remove_repeats(docs, 20).collect()
+def brute_repeats(data, length=20):
+    """(id, text): words, kept words, by first occurrence; rows without id come last, by MD5."""
     first, expected = {}, {}
-    unique = sorted({(LAST_ID if i is None else i, t) for i, t, _ in data}, key=lambda x: (x[0], x[1] or ""))
-    for i, t in unique:
-        w = WORD.findall(t or "")
-        for a in range(len(w) - 19):
-            first.setdefault(tuple(w[a : a + 20]), (i, t, a))
-    for i, t in unique:
-        w = WORD.findall(t or "")
+    unique = sorted({(LAST_ID if i is None else i, i is None, hashlib.md5((t or "").encode()).digest(), i, t or "") for i, t in data})
+    for *_, i, t in unique:
+        w = WORD.findall(t)
         gone = set()
-        for a in range(len(w) - 19):
-            if first[tuple(w[a : a + 20])] != (i, t, a):
-                gone |= set(range(a, a + 20))
+        for a in range(len(w) - length + 1):
+            if first.setdefault(tuple(w[a : a + length]), (i, t, a)) != (i, t, a):
+                gone |= set(range(a, a + length))
         expected[i, t] = (len(w), len(gone), " ".join(x for k, x in enumerate(w) if k not in gone))
-    # rows without id differ in their texts only by hash order, and none of them repeats another here
-    by_id = defaultdict(set)
-    for (i, _), v in expected.items():
-        by_id[i].add(v)
-    assert len(got) == len(data)
+    return expected
+
+
+def check_repeats(df, data, length=20):
+    expected = brute_repeats(data, length)
+    got = substring_dedup.remove_repeats(df, length).collect()
+    assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got) == Counter((i, *expected[i, t or ""]) for i, t in data)
+    texts = defaultdict(set)
+    for i, t in data:
+        texts[i].add(tuple(WORD.findall(t or "")))
     for r in got:
-        assert (r.n_words, r.n_removed, r.kept) in by_id[LAST_ID if r.doc_id is None else r.doc_id]
-        assert r.n_removed == sum(s.end - s.start for s in r.removed)
+        assert sum(s.end - s.start for s in r.repeats) >= r.n_removed and all(s.end - s.start >= length for s in r.repeats)
+        for s in r.repeats:  # each repeat is there, in an earlier place
+            n = s.end - s.start
+            assert any(w[s.start : s.end] == v[s.of_start : s.of_start + n] for w in texts[r.doc_id] for v in texts[s.of])
+            assert s.of is None or r.doc_id is None or (s.of, s.of_start) < (r.doc_id, s.start)
+    return got
+
+
+def test_repeats_equal_brute_force(docs, data, no_docs):
+    check_repeats(docs, [(i, t) for i, t, _ in data])
     assert substring_dedup.remove_repeats(no_docs, 20).count() == 0
 
 
+def test_repeats_of_rows_without_an_id_of_their_own(spark):
+    """Null ids, the greatest id, and ids given to several texts are never taken for one another."""
+    rng = np.random.default_rng(5)
+    passage = " ".join(f"p{k}" for k in range(30))
+    own = lambda k: " ".join(f"u{k}x{j}" for j in rng.integers(0, 1000, 60))
+    rows = [(1, passage)] + [(None, passage)] * 20 + [(None, own(k)) for k in range(300)] + [(LAST_ID, own(400)), (LAST_ID, f"{own(401)} {passage}"), (7, own(402)), (7, f"{own(403)} {passage} {own(404)}"), (7, passage)]
+    rows += [(None, f"{own(k)} {passage} {own(k)}") for k in range(500, 520)] + [(8, rows[25][1]), (None, rows[26][1])]
+    check_repeats(spark.createDataFrame(rows, "doc_id long, text string"), rows)
+
+
+def test_an_anchor_with_many_extensions(spark):
+    """A common phrase in different contexts, some of which repeat, over several batches."""
+    rng = np.random.default_rng(6)
+    phrase = " ".join(f"c{k}" for k in range(9))
+    context = lambda n, of: " ".join(f"v{k}" for k in rng.integers(0, of, n))
+    pool = [f"{context(12, 10**6)} {phrase} {context(12, 10**6)}" for _ in range(30)]
+    rows = [(k, f"{context(5, 10**6)} {pool[rng.integers(30)] if k % 3 == 0 else context(14, 10**6) + ' ' + phrase + ' ' + context(14, 10**6)} {context(5, 10**6)}") for k in range(400)]
+    rows += [(1000, f"{phrase} {phrase} {phrase} {phrase}"), (1001, pool[0]), (1002, f"x {pool[1]} y {pool[1]} z")]
+    got = check_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), rows)
+    whole = next(r for r in got if r.doc_id == 1002)
+    assert max(s.end - s.start for s in whole.repeats) == 33
+
+
 def test_long_windows_equal_brute_force(spark):
     rng = np.random.default_rng(8)
     shared = [f"w{k}" for k in rng.integers(0, 5000, 2500)]

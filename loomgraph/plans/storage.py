@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
+_where: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,13 +24,38 @@ def shared_dir(spark: SparkSession) -> str:
     return _made.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="loomgraph-"))
 
 
+def _file(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file(spark, path)
+    return fs.exists(where)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> str:
+    """The JVM deletes the folder when it ends."""
+    fs, where = _file(spark, path)
+    fs.deleteOnExit(where)
+    return path
+
+
 def stash(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it again, so that a lost
-    executor costs a read and not the work before.  The JVM deletes it at exit."""
+    executor costs a read and not the work before.  ``drop_stash`` deletes it,
+    or else the JVM at its end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(conf).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(delete_at_exit(spark, path))
+    _where[out] = path
+    return out
+
+
+def drop_stash(*tables: DataFrame) -> None:
+    """Deletes stashed tables that nothing reads any more; others are left alone."""
+    for table in tables:
+        if path := _where.pop(table, None):
+            fs, where = _file(table.sparkSession, path)
+            fs.delete(where, True)

@@ -8,9 +8,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.plans.storage import shared_dir, stash
+from loomgraph.plans.storage import delete_at_exit, drop_stash, exists, shared_dir, stash
 
-__all__ = ["LAST_ID", "WORD_PATTERN", "SpanHashes", "WordHashes", "as_bytes", "held_out", "mixed", "shared_dir", "small_batches", "stash", "table", "with_small"]
+__all__ = ["LAST_ID", "WORD_PATTERN", "SpanHashes", "WordHashes", "as_bytes", "delete_at_exit", "drop_stash", "exists", "held_out", "mixed", "shared_dir", "small_batches", "stash", "table", "with_small"]
 
 #: A word is a run of characters other than space and U+0009 to U+000D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"

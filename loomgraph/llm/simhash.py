@@ -1,12 +1,18 @@
 """SimHash near-duplicates with pivot distance tables.
 
-Equal fingerprints are one class.  Distinct fingerprints meet by an equi-join
-that misses no link: 64 bits are cut into ``distance + 2`` blocks, and two
+Equal fingerprints are one class.  Each distinct fingerprint gets, once, its
+row of the pivot table: the Hamming distances to ``references`` reference
+fingerprints.  The row travels with it and decides which pairs are verified: by
+the triangle inequality a pair with a coordinate that differs by more than
+``distance`` is discarded unseen, and only the survivors' bits are compared.
+With 32 pivots about one pair of strangers in ten million survives.
+
+So that not all pairs need to meet, fingerprints are dealt by an equi-join that
+misses no link: 64 bits are cut into ``distance + 2`` blocks, and two
 fingerprints with at most ``distance`` differing bits agree on at least two of
-them, so each fingerprint is dealt once for each pair of blocks.  Among those
-that meet, a table of Hamming distances to reference fingerprints (pivots)
-decides: by the triangle inequality a pair whose distances to any pivot differ
-by more than ``distance`` is discarded, and the survivors are verified.  A
+them, so each is dealt once for each pair of blocks.  Where a pair of values
+has over ``MOST`` fingerprints, these are dealt again by the bits left over,
+cut into ``distance + 1`` blocks of which linked ones share at least one.  A
 group emits a forest of its links, never all its pairs.
 """
 
@@ -17,14 +23,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomgraph.llm.common import LAST_ID, as_bytes, small_batches, stash
 from loomgraph.llm.components import components
 
 _BITS = 64
-#: Groups of at most so many fingerprints are compared together, larger ones by themselves.
+#: Pivots, and fingerprints of a group before it is dealt again.
+REFERENCES, MOST = 32, 20_000
+#: Groups of at most so many fingerprints are compared together, larger ones row by row.
 _SMALL = 32
 
 
@@ -63,36 +71,68 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42) -> DataFrame
     return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {id_type}, text_hash long, fp long")
 
 
+def _signed(x: int) -> int:
+    return x - (1 << _BITS) if x >> (_BITS - 1) else x
+
+
+def _blocks(places: list[int], count: int) -> list[int]:
+    """Masks of ``count`` nearly equal blocks of the bits ``places``."""
+    edges = np.linspace(0, len(places), count + 1).round().astype(int).tolist()
+    return [sum(1 << p for p in places[a:b]) for a, b in zip(edges, edges[1:])]
+
+
 def block_masks(distance: int) -> list[int]:
-    """Masks of each pair of ``distance + 2`` blocks, as signed longs."""
-    edges = np.linspace(0, _BITS, distance + 3).round().astype(int).tolist()
-    blocks = [(1 << b) - (1 << a) for a, b in zip(edges, edges[1:])]
-    both = [x | y for x, y in combinations(blocks, 2)]
-    return [m - (1 << _BITS) if m >> (_BITS - 1) else m for m in both]
+    """Masks of each pair of ``distance + 2`` blocks of all bits."""
+    return [x | y for x, y in combinations(_blocks(list(range(_BITS)), distance + 2), 2)]
+
+
+def finer_masks(mask: int, distance: int) -> list[int]:
+    """Masks of ``mask`` and one of ``distance + 1`` blocks of the other bits."""
+    return [mask | x for x in _blocks([b for b in range(_BITS) if not mask >> b & 1], distance + 1)]
 
 
 def pivots(count: int, seed: int = 7) -> np.ndarray:
-    return np.random.default_rng(seed).integers(0, 1 << 63, count, np.uint64) * np.uint64(2) + np.arange(count, dtype=np.uint64) % np.uint64(2)
+    return np.random.default_rng(seed).integers(0, 1 << 64, count, np.uint64, endpoint=False)
 
 
-class _Groups:
-    """Verified links within runs of rows with one table and one block value."""
+def pivot_table(fps: np.ndarray, references: np.ndarray) -> np.ndarray:
+    """A row of distances for each fingerprint."""
+    return np.bitwise_count(fps[:, None] ^ references[None, :]).astype(np.int8)
+
 
-    def __init__(self, distance: int, references: np.ndarray):
-        self.distance, self.references = distance, references
+def with_pivots(distinct: DataFrame, count: int = REFERENCES) -> DataFrame:
+    """``fp`` and ``distances``, its row of the pivot table as bytes."""
 
-    def tables(self, fp: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(fp[None, :] ^ self.references[:, None]).astype(np.int8)
+    def run(batches):
+        references = pivots(count)
+        for batch in batches:
+            table = pivot_table(np.asarray(batch["fp"]).view(np.uint64), references)
+            yield pa.RecordBatch.from_arrays([batch["fp"], pa.array([row.tobytes() for row in table], pa.binary())], ["fp", "distances"])
+
+    return distinct.select("fp").mapInArrow(run, "fp long, distances binary")
+
+
+def survivors(table: np.ndarray, i: np.ndarray, j: np.ndarray, distance: int) -> np.ndarray:
+    """Places of the pairs whose rows of the table differ by at most ``distance`` in every coordinate."""
+    left = np.arange(len(i))
+    for column in table.T:
+        left = left[np.abs(column[i[left]] - column[j[left]]) <= distance]
+    return left
+
+
+class _Groups:
+    """Verified links within runs of rows of one group."""
+
+    def __init__(self, distance: int):
+        self.distance = distance
 
     def linked(self, fp: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Which of the pairs differ in at most ``distance`` bits."""
-        left = np.arange(len(i))
-        for row in table:
-            left = left[np.abs(row[i[left]] - row[j[left]]) <= self.distance]
+        left = survivors(table, i, j, self.distance)
         return left[np.bitwise_count(fp[i[left]] ^ fp[j[left]]) <= self.distance]
 
-    def small(self, fp: np.ndarray, run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        table, out, step = self.tables(fp), [], 1
+    def small(self, fp: np.ndarray, table: np.ndarray, run: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        out, step = [], 1
         at = np.flatnonzero(run[1:] == run[:-1])
         while len(at):
             found = at[self.linked(fp, table, at, at + step)]
@@ -102,9 +142,12 @@ class _Groups:
             at = at[run[at] == run[at + step]]
         return out
 
-    def large(self, fp: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        table, label, out = self.tables(fp), np.arange(len(fp)), []
+    def large(self, fp: np.ndarray, table: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ends as soon as all hang together."""
+        label, parts, out = np.arange(len(fp)), len(fp), []
         for k in range(len(fp) - 1):
+            if parts == 1:
+                break
             open_ = k + 1 + np.flatnonzero(label[k + 1 :] != label[k])
             found = open_[self.linked(fp, table, np.full(len(open_), k), open_)]
             if len(found):
@@ -112,71 +155,100 @@ class _Groups:
                 found = found[first]
                 out.append((np.full(len(found), fp[k]), fp[found]))
                 label[np.isin(label, label[found])] = label[k]
+                parts -= len(found)
         return out
 
-    def links(self, fp: np.ndarray, run: np.ndarray):
-        size = np.diff(np.concatenate((np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1]))), [len(run)])))
+    def links(self, fp: np.ndarray, table: np.ndarray, run: np.ndarray):
+        first = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        size = np.diff(np.concatenate((first, [len(run)])))
         of = np.repeat(size, size)
         if (few := (of > 1) & (of <= _SMALL)).any():
-            yield from self.small(fp[few], run[few])
-        for start in np.flatnonzero(of > _SMALL) if (of > _SMALL).any() else ():
-            if start == 0 or run[start] != run[start - 1]:
-                yield from self.large(fp[start : start + of[start]])
+            yield from self.small(fp[few], table[few], run[few])
+        for a, n in zip(first[size > _SMALL], size[size > _SMALL]):
+            yield from self.large(fp[a : a + n], table[a : a + n])
 
 
 def _link_rows(distance: int, count: int):
     def run(batches):
-        groups = _Groups(distance, pivots(count))
-        rest = None
+        groups, held = _Groups(distance), []
         for batch in batches:
-            rows = np.stack([np.asarray(batch[c]) for c in ("which", "block", "fp")])
-            rows = rows if rest is None else np.concatenate((rest, rows), axis=1)
-            new = np.concatenate(([True], (rows[:2, 1:] != rows[:2, :-1]).any(axis=0)))
-            cut = np.flatnonzero(new)[-1] if rows.shape[1] else 0
-            yield from _links(groups, rows[:, :cut], new[:cut])
-            rest = rows[:, cut:]
-        if rest is not None and rest.shape[1]:
-            yield from _links(groups, rest, np.arange(rest.shape[1]) == 0)
+            key = np.stack([np.asarray(batch[c]) for c in ("mask", "block")])
+            distances = np.frombuffer(b"".join(batch["distances"].to_pylist()), np.int8).reshape(-1, count)
+            if not key.shape[1]:
+                continue
+            part = (key, np.asarray(batch["fp"]).view(np.uint64), distances)
+            ends = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if held and (held[-1][0][:, -1] != key[:, 0]).any():
+                yield from _links(groups, held)
+                held = []
+            if len(ends):
+                cut = ends[-1]
+                yield from _links(groups, [*held, tuple(x[..., :cut] if x.ndim < 2 or x is key else x[:cut] for x in part)])
+                held = [tuple(x[..., cut:] if x.ndim < 2 or x is key else x[cut:] for x in part)]
+            else:
+                held.append(part)
+        yield from _links(groups, held)
 
     return run
 
 
-def _links(groups: _Groups, rows: np.ndarray, new: np.ndarray):
-    if rows.shape[1]:
-        found = list(groups.links(rows[2].view(np.uint64), np.cumsum(new)))
+def _links(groups: _Groups, held: list[tuple]):
+    if held:
+        key, fp, table = np.concatenate([h[0] for h in held], axis=1), np.concatenate([h[1] for h in held]), np.concatenate([h[2] for h in held])
+        new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
+        found = list(groups.links(fp, table, np.cumsum(new)))
         if found:
             a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
 
-def links(distinct: DataFrame, distance: int = 4, references: int = 16) -> DataFrame:
-    """(a, b): links that connect all fingerprints (distinct ``fp``) within ``distance`` bits."""
-    masks = F.array(*(F.struct(F.lit(k).cast("long").alias("which"), F.lit(m).alias("mask")) for k, m in enumerate(block_masks(distance))))
-    dealt = distinct.select("fp", F.explode(masks).alias("t")).select(F.col("t.which").alias("which"), F.col("fp").bitwiseAND(F.col("t.mask")).alias("block"), "fp")
-    return dealt.repartition("which", "block").sortWithinPartitions("which", "block").mapInArrow(_link_rows(distance, references), "a long, b long")
+def _dealt(rows: DataFrame, masks: Column) -> DataFrame:
+    dealt = rows.select("fp", "distances", F.explode(masks).alias("mask"))
+    return dealt.select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("block"), "fp", "distances")
 
 
-def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, references: int = 16) -> DataFrame:
-    """doc_id, text_hash, fp, root (the least fingerprint of the component) and
-    component_id (the least doc_id of it) of each row.
+def links(distinct: DataFrame, distance: int = 4, references: int = REFERENCES, most: int = MOST) -> DataFrame:
+    """(a, b): links that connect all fingerprints (distinct ``fp``) within ``distance`` bits."""
+    table = stash(with_pivots(distinct, references), "pivots")
+    masks = block_masks(distance)
+    dealt = _dealt(table, F.array(*(F.lit(_signed(m)) for m in masks)))
+    full = dealt.groupBy("mask", "block").agg(F.count("*").alias("n")).where(F.col("n") > most).select("mask", "block")
+    full = stash(full, "full")
+    if not full.isEmpty():
+        # such groups number at most 15 for each ``most`` fingerprints, so Spark may broadcast them
+        finer = F.create_map(*(x for m in masks for x in (F.lit(_signed(m)), F.array(*(F.lit(_signed(k)) for k in finer_masks(m, distance))))))
+        again = dealt.join(full, ["mask", "block"], "left_semi").withColumn("_finer", F.element_at(finer, F.col("mask")))
+        dealt = dealt.join(full, ["mask", "block"], "left_anti").unionByName(_dealt(again, F.col("_finer")))
+    return dealt.repartition("mask", "block").sortWithinPartitions("mask", "block").mapInArrow(_link_rows(distance, references), "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, distance: int = 4, shingle: int = 4, seed: int = 42, references: int = REFERENCES) -> DataFrame:
+    """doc_id, text_hash, fp, root (the first of its component: ``last``,
+    whether it has no id, doc_id and fp) and component_id (its doc_id, the least
+    of the component) of each row.
 
     Texts without words have fingerprint 0 and are linked like any other.  A
     null id is never the least; a component with null ids only has a null id.
     Repeated rows each return.  Further columns are ignored.
     """
     found = stash(fingerprints(docs, shingle, seed), "fingerprints")
-    classes = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), distance, references)).select(F.col("node").alias("fp"), "root")
-    classes = classes.join(roots, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    ids = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    return found.join(classes.drop("least").join(ids, "root"), "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+    # a class goes by its least document, so the least of a component names it and nothing is gathered by component
+    first = F.struct(F.col("least").isNull().alias("last"), F.col("least").alias("doc_id"), "fp").alias("first")
+    classes = stash(found.groupBy("fp").agg(F.min("doc_id").alias("least")).select("fp", first), "classes")
+    named = lambda end: classes.select(F.col("fp").alias(end), F.col("first").alias(f"{end}_first"))
+    pairs = links(classes.select("fp"), distance, references).join(named("a"), "a").join(named("b"), "b")
+    roots = components(pairs.select(F.col("a_first").alias("a"), F.col("b_first").alias("b")))
+    rooted = classes.join(roots.select(F.col("node.fp").alias("fp"), "root"), "fp", "left")
+    rooted = stash(rooted.select("fp", F.coalesce("root", "first").alias("root")), "roots")
+    return found.join(rooted, "fp").select("doc_id", "text_hash", "fp", "root", F.col("root.doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs``, all columns, that are the first of their component:
     the least doc_id, null last, then a hash of the text; one of repeated rows."""
-    found = near_duplicates(docs, **options).select("root", F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("key"), F.col("text_hash").alias("hash"))
-    first = found.groupBy("root").agg(F.min(F.struct("key", "hash")).alias("m")).select("m.key", "m.hash")
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(LAST_ID)).cast("long").alias("key"), F.xxhash64("text").alias("hash"))
-    nth = F.row_number().over(Window.partitionBy("key", "hash").orderBy("key"))
-    return keyed.join(first, ["key", "hash"], "left_semi").withColumn("nth", nth).where("nth = 1").select("row.*")
+    key = lambda c: (F.col(c).isNull().alias("last"), F.coalesce(F.col(c).cast("long"), F.lit(LAST_ID)).alias("key"))
+    found = near_duplicates(docs, **options).select("root", *key("doc_id"), F.col("text_hash").alias("hash"))
+    keys = ["last", "key", "hash"]
+    first = found.groupBy("root").agg(F.min(F.struct(*keys)).alias("m")).select("m.*")
+    keyed = docs.select(F.struct("*").alias("row"), *key("doc_id"), F.xxhash64("text").alias("hash"))
+    return keyed.join(stash(first, "first"), keys, "left_semi").dropDuplicates(keys).select("row.*")

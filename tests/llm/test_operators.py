@@ -156,8 +156,8 @@ def test_keep_first(docs, data, no_docs):
     assert simhash.keep_first(no_docs).count() == 0
 
 
-@pytest.mark.parametrize("center", [0, 0x0123456789ABCDEF])
-def test_links_of_a_dense_ball(spark, center):
+@pytest.mark.parametrize("center,most", [(0, 20_000), (0x0123456789ABCDEF, 50)])
+def test_links_of_a_dense_ball(spark, center, most):
     """All fingerprints within two bits of one, chains, and strays: the components equal brute force."""
     rng = np.random.default_rng(3)
     fps = {center} | {center ^ (1 << a) ^ (1 << b) for a in range(64) for b in range(a)} | set(rng.integers(0, 1 << 63, 200).tolist())
@@ -166,13 +166,26 @@ def test_links_of_a_dense_ball(spark, center):
         chain ^= 0xF << k
         fps.add(chain)
     signed = [x - (1 << 64) if x >> 63 else x for x in sorted(fps)]
-    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), most=most)
     assert found.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) > 4).count() == 0
     roots = {r.node: r.root for r in components.components(found).collect()}
     pairs = [(x, x % (1 << 64)) for x in signed]
     assert [roots.get(x, x) for x in signed] == brute_components(pairs)
 
 
+def test_pivots_discard_strangers_and_no_link(spark):
+    rng = np.random.default_rng(12)
+    fps = rng.integers(0, 1 << 64, 3000, np.uint64)
+    near = fps ^ (np.uint64(1) << rng.integers(0, 64, (3000, 4), np.uint64)).T.copy().view(np.uint64)[0] ^ (np.uint64(1) << rng.integers(0, 64, 3000, np.uint64))
+    rows = simhash.with_pivots(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long"), 32).collect()
+    table = {r.fp: np.frombuffer(r.distances, np.int8) for r in rows}
+    assert all(table[int(np.int64(x.view(np.int64)))].tolist() == [(int(x) ^ int(p)).bit_count() for p in simhash.pivots(32)] for x in fps[:50])
+    both = np.concatenate((simhash.pivot_table(fps, simhash.pivots(32)), simhash.pivot_table(near, simhash.pivots(32))))
+    assert len(simhash.survivors(both, np.arange(3000), 3000 + np.arange(3000), 4)) == 3000
+    i, j = np.triu_indices(3000, 1)
+    assert len(simhash.survivors(both, i, j, 4)) < 10  # of 4.5 million pairs
+
+
 def test_components_of_chains_and_stars(spark):
     chain = [(k, k + 1) for k in range(100, 160)]
     star = [(5, k) for k in range(6, 60)]

@@ -469,6 +469,20 @@ def test_urls(spark):
     assert url_filter.judge(empty, spark.createDataFrame(RULES, "host string, path string, verdict string")).count() == 0
 
 
+def test_urls_of_any_length(spark):
+    """Long paths and hosts cost no more than their length, and many rule shapes hold."""
+    import time
+
+    rules = [*RULES, *(("net", "/" + "x" * n, "block" if n % 2 else "allow") for n in range(1, 2500)), ("1.0.9.8", "", "block"), (None, "/", "block"), ("a", None, "block")]
+    urls = ["http://net/" + "a/" * 100_000, "http://" + "a." * 1000 + "net/q", "http://net/" + "x" * 2600, "http://net/" + "x" * 77 + "?x", "http://9.1.0.9.8"]
+    frame = spark.createDataFrame([(k, u, 1, "clash") for k, u in enumerate(urls)], "page_id long, url string, rule int, host string")
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.judge(frame, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()}
+    assert time.time() - began < 60
+    assert [(r.rule and len(r.rule), r.verdict) for _, r in sorted(got.items())] == [(4, "block"), (4, "block"), (2503, "block"), (81, "block"), (7, "block")]
+    assert got[0].path == "/" + "a/" * 100_000 and got[1].host == "a." * 1000 + "net"
+
+
 # sketches
 
 

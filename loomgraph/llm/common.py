@@ -33,8 +33,13 @@ def with_small(rows: DataFrame, few: DataFrame, key: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bounds what one Arrow batch of long texts holds in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Bounds what one Arrow batch of long texts holds in a Python worker: lowers
+    the session's setting if it is above.  Spark reads it when a query runs, so
+    it stays lowered."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now > rows or now <= 0:
+        spark.conf.set(name, str(rows))
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.llm import bloom_lookup, mil_quality, packing, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
-from loomgraph.llm.common import shared_dir, table
+from loomgraph.llm.common import delete_at_exit, shared_dir, table
 
 
 #: Rules of op7: host, path, verdict.
@@ -72,7 +72,10 @@ def op9_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    found = secret_ledger.findings(versions, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger = delete_at_exit(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    # the ledger is filled first, and then meets the same blobs again, of which it has none to scan
+    secret_ledger.update(versions, ledger)
+    found = secret_ledger.findings(versions, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     base = F.filter("spans", lambda s: s["kind"].isin(*secret_ledger.BASE))

@@ -431,6 +431,39 @@ def test_ledger_scans_a_blob_once(spark, docs, data, no_docs, tmp_path):
     assert secret_ledger.findings(versions(no_docs), str(tmp_path / "none")).count() == 0
 
 
+def test_a_ledger_with_a_pair_twice(spark, tmp_path):
+    """Two writers at once; no row doubles, and nothing is scanned anew."""
+    ledger = str(tmp_path / "ledger")
+    rows = spark.createDataFrame([(None, 0, "token=abcdef99 é"), (1, 0, None), (1, 1, "plain"), (1, 1, "plain")], "path long, version int, content string")
+    secret_ledger.update(rows, ledger)
+    spark.read.parquet(ledger).write.mode("append").parquet(ledger + "-copy")
+    spark.read.parquet(ledger + "-copy").write.mode("append").parquet(ledger)
+    before = secret_ledger.read_ledger(spark, ledger).count()
+    got = secret_ledger.findings(rows, ledger)
+    assert sorted((r.path or 0, r.version, len(r.spans)) for r in got.collect()) == [(0, 0, 1), (1, 0, 0), (1, 1, 0), (1, 1, 0)]
+    assert secret_ledger.read_ledger(spark, ledger).count() == before == 6
+
+
+def test_scans_take_time_in_proportion():
+    import time
+
+    for part in (b"eyJ", b"a", b"token ", b"-----BEGIN A ", b"xox", b"xoxb-", b"a://b:", b"0a", "é=".encode(), b"AKIA", b"ghp_", b"secret = "):
+        began = time.time()
+        secret_ledger.scan(part * (3_000_000 // len(part)) + b"://")
+        assert time.time() - began < 5, part
+    many = "é token=abcdef9 " * 100_000
+    assert secret_ledger.scan(many.encode())[-1] == (99_999 * 16 + 2, 0, 99_999 * 16 + 15)
+
+
+def test_user_info_equals_a_plain_pattern():
+    rng = np.random.default_rng(3)
+    plain = re.compile(r"[a-z][a-z0-9+.-]*://[^\x00-\x20/@:]+:[^\x00-\x20/@]+@")
+    for _ in range(3000):
+        text = "".join(rng.choice(["a", "Z", "1", "+", "://", ":", "@", "/", " ", "é"], 30, p=[0.2, 0.05, 0.1, 0.05, 0.2, 0.15, 0.15, 0.03, 0.04, 0.03]))
+        got = [(a, b) for a, k, b in secret_ledger.scan(text.encode()) if secret_ledger.KINDS[k] == "userinfo"]
+        assert got == [m.span() for m in plain.finditer(text)], text
+
+
 def test_mask(docs, no_docs, tmp_path):
     got = secret_ledger.mask(docs, str(tmp_path / "a"))
     assert got.columns == docs.columns and ids_of(got) == ids_of(docs)

@@ -9,14 +9,19 @@ same formats.  Either byte order is read; samples have 8, 16, 24, 32 or
 
 Edge cases: a null file has no pages and gives one row with page -1 and the
 error ``no bytes``; so does a file that is no TIFF.  A page that can't be read
-has its error and null pixels, and the pages after it are still read.  A
-directory that was visited before ends the walk.  Further columns are ignored.
+has its error and null pixels, whose feature is null, and the pages after it
+are still read.  A page that claims more than its strips or tiles can hold is
+refused before anything is allocated, as is one over what a binary value of
+Spark holds (2 GiB).  A directory that overlaps one visited before ends the
+walk.  Of the columns kept, those named like one of a page are called
+``file_...``; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -29,12 +34,15 @@ from loomgraph.llm.common import small_batches
 
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 #: Tags of TIFF 6.0.
+SUBFILE = 254
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZE, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_SIZE = 322, 323, 324, 325
 _SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 _CODES = {1: "B", 3: "H", 4: "I"}
-#: A page may hold at most so many bytes.
-MOST_BYTES = 1 << 31
+#: A binary value holds at most so many bytes.
+MOST_BYTES = (1 << 31) - 1
+#: Bytes that one stored byte can stand for at most.
+_MOST_EACH = {NONE: 1, PACKBITS: 64, LZW: 4096, DEFLATE: 1032, OLD_DEFLATE: 1032}
 
 
 class TiffError(ValueError):
@@ -71,25 +79,23 @@ def pack_bits(data: bytes) -> bytes:
     """Runs of 3 to 128 equal bytes, literals between them."""
     values = np.frombuffer(data, np.uint8)
     edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, int)
-    out, literal = bytearray(), bytearray()
+    long = np.diff(edges) >= 3
+    out, at = bytearray(), 0
 
-    def flush() -> None:
-        for at in range(0, len(literal), 128):
-            part = literal[at : at + 128]
+    def literal(a: int, b: int) -> None:
+        for k in range(a, b, 128):
+            part = data[k : min(k + 128, b)]
             out.append(len(part) - 1)
             out.extend(part)
-        literal.clear()
 
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist()):
-        if b - a < 3:
-            literal += data[a:b]
-            continue
-        flush()
+    for a, b in zip(edges[:-1][long].tolist(), edges[1:][long].tolist()):
+        literal(at, a)
+        at = b
         while a < b:
             n = min(128, b - a)
             out += bytes((257 - n if n > 1 else 0, data[a]))
             a += n
-    flush()
+    literal(at, len(data))
     return bytes(out)
 
 
@@ -134,40 +140,35 @@ def unpack_lzw(data: bytes, size: int) -> bytes:
 
 
 def pack_lzw(data: bytes) -> bytes:
-    out, value, bits = bytearray(), 0, 0
-    table: dict[bytes, int] = {}
-    width = 9
-
-    def put(code: int) -> None:
-        nonlocal value, bits
-        value, bits = (value << width) | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(value >> bits)
-            value &= (1 << bits) - 1
-
-    put(_CLEAR)
-    table, next_code, prefix = {bytes((k,)): k for k in range(256)}, 258, b""
+    """A phrase is known by its code, a longer one by that code and the next byte."""
+    out, value, bits = bytearray(), _CLEAR, 9
+    known: dict[int, int] = {}
+    next_code, width, phrase = 258, 9, -1
     for byte in data:
-        longer = prefix + bytes((byte,))
-        if longer in table:
-            prefix = longer
+        if phrase < 0:
+            phrase = byte
+            continue
+        longer = phrase << 8 | byte
+        if (code := known.get(longer)) is not None:
+            phrase = code
             continue
-        put(table[prefix])
-        table[longer], next_code, prefix = next_code, next_code + 1, bytes((byte,))
+        value, bits = (value << width) | phrase, bits + width
+        known[longer], next_code, phrase = next_code, next_code + 1, byte
         if next_code + 1 > 1 << width:
             width += 1
         if next_code >= 4094:
-            put(_CLEAR)
-            table, next_code, width = {bytes((k,)): k for k in range(256)}, 258, 9
-    if prefix:
-        put(table[prefix])
+            value, bits = (value << width) | _CLEAR, bits + width
+            known, next_code, width = {}, 258, 9
+        if bits >= 256:
+            out += (value >> bits % 8).to_bytes(bits // 8, "big")
+            value, bits = value & ((1 << bits % 8) - 1), bits % 8
+    if phrase >= 0:
+        value, bits = (value << width) | phrase, bits + width
         if next_code + 1 >= 1 << width and width < 12:
             width += 1
-    put(_END)
-    if bits:
-        out.append((value << (8 - bits)) & 255)
-    return bytes(out)
+    value, bits = (value << width) | _END, bits + width
+    value, bits = value << (-bits % 8), bits + -bits % 8
+    return bytes(out + value.to_bytes(bits // 8, "big"))
 
 
 def _inflate(data: bytes, size: int) -> bytes:
@@ -242,24 +243,27 @@ class Reader:
             raise TiffError("the file ends early") from e
 
     def directories(self) -> Iterator[dict[int, tuple]]:
-        at, seen = self.unpack("I", 4)[0], set()
-        while at and at not in seen:
-            seen.add(at)
+        at, ranges = self.unpack("I", 4)[0], []
+        while at:
             (count,) = self.unpack("H", at)
+            end = at + 2 + 12 * count
+            k = bisect_right(ranges, (at, end))
+            if (k and ranges[k - 1][1] > at) or (k < len(ranges) and ranges[k][0] < end):
+                return
+            ranges.insert(k, (at, end))
             tags = {}
-            for k in range(count):
-                place = at + 2 + 12 * k
+            for place in range(at + 2, end, 12):
                 tag, kind, n = self.unpack("HHI", place)
-                code = _CODES.get(kind)
-                if code and _SIZES[kind] * n <= len(self.data):
-                    start = place + 8 if _SIZES[kind] * n <= 4 else self.unpack("I", place + 8)[0]
-                    tags[tag] = self.unpack(f"{n}{code}", start)
+                code, size = _CODES.get(kind), _SIZES.get(kind, 0) * n
+                if code and 0 < size <= len(self.data):
+                    tags[tag] = self.unpack(f"{n}{code}", place + 8 if size <= 4 else self.unpack("I", place + 8)[0])
             yield tags
-            (at,) = self.unpack("I", at + 2 + 12 * count)
+            (at,) = self.unpack("I", end)
 
     def page(self, tags: dict[int, tuple]) -> Page:
         one = lambda tag, default: tags.get(tag, (default,))[0]
-        page = Page(one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1), tags=tags)
+        numbers = [one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, NONE), one(PREDICTOR, 1)]
+        page = Page(*(min(x, 0x7FFFFFFF) for x in numbers), tags=tags)
         try:
             page.pixels = self._pixels(page, one(PLANAR, 1), tags)
         except TiffError as e:
@@ -267,28 +271,33 @@ class Reader:
         return page
 
     def _pixels(self, page: Page, planar: int, tags: dict[int, tuple]) -> bytes:
-        if len(set(tags.get(BITS, (1,)))) > 1 or not page.width or not page.height:
-            raise TiffError("no size, or samples of different depths")
+        if len(set(tags.get(BITS, (1,)))) > 1 or not page.width or not page.height or not page.samples or not 0 < page.bits <= 64:
+            raise TiffError("no size, no samples, or samples of different or odd depths")
         if page.compression not in _DECODERS:
             raise TiffError(f"compression {page.compression}")
         inside = page.samples if planar == 1 else 1
         planes = 1 if planar == 1 else page.samples
         tiled = TILE_AT in tags
-        across = tags[TILE_WIDTH][0] if tiled else page.width
-        down = tags[TILE_HEIGHT][0] if tiled else min(tags.get(STRIP_ROWS, (page.height,))[0], page.height)
+        one = lambda tag, default: tags.get(tag, (default,))[0]
+        across = one(TILE_WIDTH, 0) if tiled else page.width
+        down = one(TILE_HEIGHT, 0) if tiled else min(one(STRIP_ROWS, page.height), page.height)
         starts, sizes = (tags.get(k) for k in ((TILE_AT, TILE_SIZE) if tiled else (STRIP_AT, STRIP_SIZE)))
+        if not starts or not sizes or not across or not down:
+            raise TiffError("no strips or tiles")
         row_bytes = lambda width: (width * inside * page.bits + 7) // 8
-        if not starts or not sizes or not across or not down or row_bytes(page.width) * page.height * planes > MOST_BYTES:
-            raise TiffError("no strips or tiles, or a page too large")
         columns, rows = -(-page.width // across), -(-page.height // down)
-        if min(len(starts), len(sizes)) < columns * rows * planes or tiled and page.bits % 8:
+        if min(len(starts), len(sizes)) < columns * rows * planes or (tiled and page.bits % 8):
             raise TiffError("too few strips or tiles")
+        needed = row_bytes(page.width) * page.height * planes
+        stored = sum(max(0, min(n, len(self.data) - a)) for a, n in zip(starts, sizes))
+        if needed > min(MOST_BYTES, stored * _MOST_EACH[page.compression]) or row_bytes(across) * down > MOST_BYTES:
+            raise TiffError("a page larger than its strips or tiles can hold")
         out = np.zeros((planes, page.height, row_bytes(page.width)), np.uint8)
         for k in range(columns * rows * planes):
             plane, r, c = k // (columns * rows), k // columns % rows, k % columns
             height = down if tiled else min(down, page.height - r * down)
             size = row_bytes(across) * height
-            block = _DECODERS[page.compression](self.data[starts[k] : starts[k] + sizes[k]], size)
+            block = _DECODERS[page.compression](self.data[starts[k] : starts[k] + sizes[k]], size)[:size]
             if len(block) < size:
                 raise TiffError("a strip or tile ends early")
             if page.predictor == 2:
@@ -318,20 +327,33 @@ def read(data: bytes | None) -> list[Page]:
     return found or [Page(error="no image directory")]
 
 
-def encode(images: list[tuple[bytes, int]], compression: int = DEFLATE, predictor: int = 2, strip_bytes: int = 1 << 15) -> bytes:
-    """A little-endian file with a page for each (pixels, width): 8-bit grey rows, in strips of about ``strip_bytes``."""
+def _blocks(pixels: bytes, width: int, strip_bytes: int, tile: int) -> tuple[list[tuple[bytes, int]], int]:
+    """(bytes, width) of each tile of ``tile`` squared, filled up with 0, or of each strip; and the rows of one."""
+    if not tile:
+        rows = max(1, strip_bytes // width)
+        return [(pixels[at : at + rows * width], width) for at in range(0, len(pixels), rows * width)], rows
+    grid = np.frombuffer(pixels, np.uint8).reshape(-1, width)
+    grid = np.pad(grid, ((0, -len(grid) % tile), (0, -width % tile)))
+    return [(grid[r : r + tile, c : c + tile].tobytes(), tile) for r in range(0, grid.shape[0], tile) for c in range(0, grid.shape[1], tile)], tile
+
+
+def encode(images: list[tuple[bytes, int]], compression: int = DEFLATE, predictor: int = 2, strip_bytes: int = 1 << 15, tile: int = 0) -> bytes:
+    """A little-endian file with a page for each (pixels, width): 8-bit grey
+    rows, in tiles of ``tile`` squared (a multiple of 16), or in strips of about
+    ``strip_bytes``.  Pages after the first are marked as reduced versions of it."""
     out = bytearray(b"II*\0\0\0\0\0")
     link = 4
-    for pixels, width in images:
-        height, rows = len(pixels) // width, max(1, strip_bytes // width)
+    for n, (pixels, width) in enumerate(images):
+        blocks, rows = _blocks(pixels, width, strip_bytes, tile)
         starts, sizes = [], []
-        for at in range(0, len(pixels), rows * width):
-            part = pixels[at : at + rows * width]
-            part = _ENCODERS[compression](difference(part, width, 1) if predictor == 2 else part)
+        for part, across in blocks:
+            part = _ENCODERS[compression](difference(part, across, 1) if predictor == 2 else part)
             starts.append(len(out))
             sizes.append(len(part))
             out += part + b"\0" * (len(part) % 2)
-        entries = [(WIDTH, [width]), (HEIGHT, [height]), (BITS, [8]), (COMPRESSION, [compression]), (PHOTOMETRIC, [1]), (STRIP_AT, starts), (SAMPLES, [1]), (STRIP_ROWS, [rows]), (STRIP_SIZE, sizes), (PREDICTOR, [predictor])]
+        shape = [(TILE_WIDTH, [tile]), (TILE_HEIGHT, [tile]), (TILE_AT, starts), (TILE_SIZE, sizes)] if tile else [(STRIP_AT, starts), (STRIP_ROWS, [rows]), (STRIP_SIZE, sizes)]
+        plain = [(SUBFILE, [int(n > 0)]), (WIDTH, [width]), (HEIGHT, [len(pixels) // width]), (BITS, [8]), (COMPRESSION, [compression]), (PHOTOMETRIC, [1]), (SAMPLES, [1]), (PREDICTOR, [predictor])]
+        entries = sorted(plain + shape)
         places = {}
         for tag, values in entries:
             if len(values) > 1:
@@ -363,19 +385,26 @@ def pages(files: DataFrame, content: str = "content", keep: tuple[str, ...] = ()
             rows = pa.array(out[0], pa.int64())
             kept = [batch[c].take(rows) for c in keep]
             made = [*(pa.array(x, pa.int32()) for x in out[1:8]), pa.array(out[8], pa.binary()), pa.array(out[9], pa.string())]
-            yield pa.RecordBatch.from_arrays(kept + made, [*keep, *(f.split()[0] for f in _SCHEMA.split(", "))])
+            yield pa.RecordBatch.from_arrays(kept + made, names)
 
     small_batches(files.sparkSession, 1000)
+    own = [f.split()[0] for f in _SCHEMA.split(", ")]
+    names = [*(f"file_{c}" if c in own else c for c in keep), *own]
     types = dict(files.dtypes)
-    kept = "".join(f"{c} {types[c]}, " for c in keep)
+    kept = "".join(f"`{n}` {types[c]}, " for n, c in zip(names, keep))
     return files.select(*dict.fromkeys((*keep, content))).mapInArrow(run, kept + _SCHEMA)
 
 
 def _stored(data: bytes) -> bytes:
-    """The padded bytes as one page, 64 wide; the codec goes by size, small ones by the cheap codecs."""
+    """The padded bytes as a page, 64 wide.  Codec, strips or tiles, and whether
+    a page of every fourth sample of every fourth row follows, go by a checksum
+    of the text, so that texts of all lengths meet them all."""
     data += b"\0" * (-len(data) % 64 or 64 * (not data))
-    codec = PACKBITS if len(data) <= 256 else LZW if len(data) <= 1024 else DEFLATE
-    return encode([(data, 64)], codec)
+    choice = zlib.crc32(data)
+    images = [(data, 64)]
+    if choice // 6 % 2:
+        images.append((np.frombuffer(data, np.uint8).reshape(-1, 64)[::4, ::4].tobytes(), 16))
+    return encode(images, (PACKBITS, LZW, DEFLATE)[choice % 3], tile=32 * (choice // 3 % 2))
 
 
 def from_texts(docs: DataFrame) -> DataFrame:
@@ -396,13 +425,15 @@ def features(rows: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def feature_of(pixels, width):
-        return pixels.combine(width, _feature)
+        return pixels.combine(width, lambda p, w: None if p is None else _feature(p, w))
 
     return rows.withColumn("feature", feature_of("pixels", "width"))
 
 
 def _feature(pixels: bytes, width: int) -> str:
-    grid = np.frombuffer(pixels, np.uint8).reshape(-1, width)
+    grid = np.frombuffer(pixels, np.uint8)
+    width = width if len(grid) % width == 0 else len(grid)  # rows of packed bits or of several samples
+    grid = grid.reshape(-1, width)
     rows = np.linspace(0, len(grid), 9).astype(int)[:8]
     columns = np.linspace(0, width, 9).astype(int)[:8]
     sums = np.add.reduceat(np.add.reduceat(grid, rows, axis=0, dtype=np.int64), columns, axis=1)

@@ -307,8 +307,9 @@ def test_word_tokens_equal_the_whole_text(text):
 def test_codecs_round_trip(codec):
     rng = np.random.default_rng(4)
     images = [(rng.integers(0, 256, 64 * 90).astype(np.uint8).tobytes(), 64), (bytes(64 * 1000), 64), (b"ab" * 320 * 60, 640), (rng.integers(0, 3, 64 * 700).astype(np.uint8).tobytes(), 64)]
-    for predictor in (1, 2):
-        found = tiff_pages.read(tiff_pages.encode(images, codec, predictor, strip_bytes=4096))
+    images.append((rng.integers(97, 123, 50 * 333).astype(np.uint8).tobytes(), 50))
+    for predictor, tile in ((1, 0), (2, 0), (1, 16), (2, 48)):
+        found = tiff_pages.read(tiff_pages.encode(images, codec, predictor, strip_bytes=4096, tile=tile))
         assert [(p.pixels, p.width, p.error) for p in found] == [(*x, None) for x in images]
 
 
@@ -381,6 +382,61 @@ def test_every_predictor(order):
             assert (page.error, page.pixels) == (None, image.tobytes()), (samples, bits)
 
 
+def test_broken_files_never_raise():
+    """Every truncation, every byte changed, odd values of every tag: pages or errors, never an exception."""
+    import struct
+
+    rng = np.random.default_rng(9)
+    for codec, tile in ((tiff_pages.PACKBITS, 0), (tiff_pages.LZW, 16), (tiff_pages.DEFLATE, 16)):
+        good = tiff_pages.encode([(rng.integers(0, 4, 64 * 20).astype(np.uint8).tobytes(), 64), (b"y" * 64, 64)], codec, tile=tile)
+        for n in range(len(good)):
+            assert tiff_pages.read(good[:n])
+        for at in range(len(good)):
+            for value in (0, 1, 255, int(rng.integers(256))):
+                assert tiff_pages.read(good[:at] + bytes((value,)) + good[at + 1 :])
+        # entries of the first directory: tag, type, count, value
+        (first,) = struct.unpack_from("<I", good, 4)
+        for k in range(struct.unpack_from("<H", good, first)[0]):
+            place = first + 2 + 12 * k
+            for field, code, values in ((2, "H", (0, 1, 3, 99)), (4, "I", (0, 2, 1 << 31)), (8, "I", (0, 2, 7, 65, 1 << 16, (1 << 32) - 1))):
+                for value in values:
+                    odd = bytearray(good)
+                    struct.pack_into(f"<{code}", odd, place + field, value)
+                    pages = tiff_pages.read(bytes(odd))
+                    assert pages and all((p.pixels is None) == (p.error is not None) for p in pages)
+
+
+def test_a_page_too_large_for_its_bytes_is_refused():
+    (page,) = tiff_pages.read(one_strip("<", 40_000, 40_000, 1, 8, 1, b"x" * 10))
+    assert page.pixels is None and "larger" in page.error
+
+
+def test_features_of_broken_pages_and_clashing_names(spark):
+    good = tiff_pages.encode([(b"x" * 128, 64)])
+    files = spark.createDataFrame([(1, good, "a"), (2, None, "b"), (3, good[:-20], "c"), (3, one_strip("<", 7, 3, 3, 4, 1, bytes(33)), "d")], "page int, content binary, error string")
+    got = {r.file_error: r for r in tiff_pages.features(tiff_pages.pages(files, keep=("page", "error"))).collect()}
+    assert got["a"].feature and got["a"].file_page == 1 and got["a"].page == 0
+    assert got["b"].feature is None and got["c"].feature is None and got["c"].error and got["d"].feature
+
+
+def test_stored_texts_meet_every_form(spark, sf_dir):
+    """op1's columns against plain Python; all codecs, strips, tiles and second pages occur in short and long texts."""
+    from loomgraph.llm import queries
+
+    got = {r.doc_id: r for r in queries.op1_tiff_pages(spark, sf_dir).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    assert got.keys() == texts.keys()
+    forms = {False: set(), True: set()}
+    for i, text in texts.items():
+        padded, r = text + bytes(-len(text) % 64 or 64 * (not text)), got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
+        media = tiff_pages._stored(text)
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        pages = tiff_pages.read(media)
+        forms[len(text) > 2000].add((pages[0].compression, tiff_pages.TILE_AT in pages[0].tags, len(pages)))
+    assert len(forms[False]) == len(forms[True]) == 12
+
+
 def test_pages_of_broken_files(spark):
     good = tiff_pages.encode([(b"x" * 128, 64), (b"y" * 64, 64)])
     loop = bytearray(good)
@@ -395,7 +451,7 @@ def test_pages_of_broken_files(spark):
 
 
 def test_texts_as_media(docs, data, no_docs):
-    found = tiff_pages.features(tiff_pages.pages(tiff_pages.from_texts(docs), keep=("doc_id", "n_bytes"))).collect()
+    found = tiff_pages.features(tiff_pages.pages(tiff_pages.from_texts(docs), keep=("doc_id", "n_bytes")).where("page = 0")).collect()
     pad = lambda t: t + bytes(-len(t) % 64 or 64 * (not t))
     assert Counter((r.doc_id, bytes(r.pixels)) for r in found) == Counter((i, pad((t or "").encode())) for i, t, _ in data)
     assert len({(bytes(r.pixels), r.feature) for r in found}) == len({bytes(r.pixels) for r in found})

@@ -1,5 +1,6 @@
 """Each operator on rows with nulls, empties, ties and copies, against brute force."""
 
+import base64
 import hashlib
 import re
 import zlib
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from loomgraph.llm import bloom_lookup, components, mil_quality, packing, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
-from loomgraph.llm.common import LAST_ID
+from loomgraph.llm.common import LAST_ID, mixed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -605,6 +606,54 @@ def test_sketches_recover_all_differences(spark, docs, no_docs):
     assert one.near_next == 1.0
 
 
+def plain_sketch(text, width):
+    """The sketch of a text by its definition, one digest at a time."""
+    cells, count = np.zeros((3, width), [("count", "<i4"), ("key", "<u8"), ("check", "<u4")]), Counter()
+    with np.errstate(over="ignore"):
+        for k in bloom_lookup.paragraphs(text.encode()):
+            key = mixed(k + np.uint64(count[int(k)]) * bloom_lookup._SALTS[0])
+            count[int(k)] += 1
+            for t, salt in enumerate(bloom_lookup._SALTS):
+                c = cells[t, int(mixed(key ^ salt)) % width]
+                c["count"] += 1
+                c["key"] ^= key
+                c["check"] ^= bloom_lookup.Cells.checks(key).astype(np.uint32)
+    return base64.b64encode(cells.tobytes()).decode()
+
+
+def test_fingerprints_alone_give_the_likeness(spark, docs):
+    """Each fingerprint is the sketch it should be, and most edits are told from the two fingerprints only."""
+    rows = bloom_lookup.fingerprint_edits(docs).collect()
+    texts = defaultdict(set)
+    for r in docs.collect():
+        texts[r.doc_id].add(r.text or "")
+    alone = 0
+    for r in rows:
+        sizes = {len(bloom_lookup.paragraphs(t.encode())): t for t in texts[r.doc_id]}
+        assert r.fingerprint in {plain_sketch(t, int(bloom_lookup.widths(np.array([n]))[0])) for n, t in sizes.items()}
+        found = bloom_lookup.subtract(r.fingerprint, r.edited_fingerprint)
+        if found is not None:
+            alone += 1
+            assert sorted(found[0].view(np.int64).tolist()) == sorted(r.gone) and sorted(found[1].view(np.int64).tolist()) == sorted(r.come)
+            n = sum(bloom_lookup.Cells.of_string(r.fingerprint).count) // 3
+            assert r.near_edited == (1.0 if not n + len(r.come) else (n - len(r.gone)) / (n + len(r.come)))
+    assert alone >= 0.9 * len(rows)
+
+
+def test_next_documents_where_ids_are_equal_or_missing(spark):
+    """Very many rows without id are dealt over several ranges, in the order of their hashes."""
+    rng = np.random.default_rng(7)
+    rows = [(int(rng.integers(40)) if k % 4 == 0 else None if k % 4 < 3 else 17, " ".join(f"w{x}" for x in rng.integers(0, 50, 30))) for k in range(400)] + [(3, None), (None, None), (LAST_ID, "x y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    keyed = frame.select(F.coalesce("doc_id", F.lit(LAST_ID)).alias("key"), F.xxhash64("text").alias("hash"), "doc_id", "text").collect()
+    ordered = sorted(keyed, key=lambda r: (r.key, r.hash))
+    expected = Counter()
+    for r, after in zip(ordered, ordered[1:] + ordered[:1]):
+        edit = bloom_lookup.edited(r.text or "", after.text or "")
+        expected[r.doc_id, len(r.text or ""), hashlib.sha256(edit.encode()).hexdigest(), round(jaccard(digest_set(r.text or ""), digest_set(after.text or "")), 9)] += 1
+    assert Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_next, 9)) for r in bloom_lookup.fingerprint_edits(frame).collect()) == expected
+
+
 # classifiers
 
 

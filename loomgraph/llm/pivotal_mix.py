@@ -8,12 +8,13 @@ the two is wholly taken or wholly left out.  The other goes on to the next
 pair.  The pairs form a reduction tree: documents are dealt by hash into
 groups of about ``FAN_IN``, each group folds to one residual, and the
 residuals are dealt again, until one a source is left, which a coin settles.
-A document that is large for its group would seldom be settled by single
-pairs, so in the first level it is paired with the pool of the documents after
-it: it is taken with its probability, and the pool's common probability gives
-or gets the mass.  So a source's words miss its target by less than a small
-document's size, and no task ever holds more than a group, however large a
-source is.
+A document that is large for its group would settle one small partner after
+another and stay fractional itself, up to the last coin.  It is therefore
+paired with the bundle of all documents after it (``large``: the share of the
+group's words from which on): mass moves until the document is integral, and
+the bundle's common probability gives or gets it.  So a source's words miss its
+target by less than a small document's size, and no task ever holds more than a
+group, however large a source is.
 
 Sources are ordered by code point, null last.  Edge cases: a null or empty
 text has size 0 and is taken 0 times with certainty.  Repeated rows (equal id,
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import LAST_ID, WORD_PATTERN, stash
 
 FAN_IN = 256
-#: A document over this share of its group's words is paired with all of the group's others at once.
+#: Share of its group's words from which on a document is paired with a bundle.
 LARGE = 1 / 64
 
 _DECIDED = "array<struct<id:{id},source:string,size:bigint,source_size:bigint,target:double,n:bigint,base:bigint,up:int>>"
@@ -85,7 +86,7 @@ def _step() -> str:
     return f"if(s.r is null, named_struct('out', s.out, 'r', x), {paired})"
 
 
-def _pooled(id_type: str, seed: int) -> str:
+def _pooled(id_type: str, seed: int, large: float) -> str:
     """Settles the large items of ``xs`` (sorted, largest first) against the
     pool of those after them; gives out (decided) and rest (with their new mass)."""
     item, decided = f"array<{_RESIDUAL.format(id=id_type)}>", _DECIDED.format(id=id_type)
@@ -99,24 +100,23 @@ def _pooled(id_type: str, seed: int) -> str:
     wait = f"named_struct('m', t.m - {share}, 's', t.s - x.w, 'out', t.out, 'rest', concat(t.rest, array({changed})))"
     apart = "named_struct('m', t.m, 's', t.s, 'out', t.out, 'rest', concat(t.rest, array(x)))"
     coin = f"(xxhash64(x.salt, {seed + 1}L) & 9007199254740991L) / 9007199254740992D * t.s < t.m"
-    one = f"if(x.n > 1, {apart}, if(x.w > y.s * {LARGE}D and x.w <= t.m and x.w <= t.s - t.m, if({coin}, {take}, {leave}), {wait}))"
+    one = f"if(x.n > 1, {apart}, if(x.w > y.s * {float(large)!r}D and x.w <= t.m and x.w <= t.s - t.m, if({coin}, {take}, {leave}), {wait}))"
     return f"element_at(transform(array({sums}), y -> aggregate(xs, {start}, (t, x) -> {one})), 1)"
 
 
-def _fold(items: DataFrame, id_type: str, seed: int, group: Column, first: bool) -> DataFrame:
+def _fold(items: DataFrame, id_type: str, seed: int, group: Column, large: float) -> DataFrame:
     """Folds each group of a source's fractional items: out (decided), r (the residual or null)."""
     start = f"named_struct('out', p.out, 'r', cast(null as {_RESIDUAL.format(id=id_type)}))"
     listed = items.groupBy("source", group.alias("grp")).agg(
         F.sort_array(F.collect_list(F.struct((-F.col("x.w")).alias("rank"), F.col("x.salt").alias("salt"), F.col("x").alias("x")))).alias("xs")
     )
     listed = listed.select(F.expr("transform(xs, z -> z.x)").alias("xs"))
-    none = f"named_struct('out', cast(array() as {_DECIDED.format(id=id_type)}), 'rest', xs)"
-    pooled = listed.select(F.expr(_pooled(id_type, seed) if first else none).alias("p"))
+    pooled = listed.select(F.expr(_pooled(id_type, seed, large)).alias("p"))
     folded = F.expr(f"aggregate(p.rest, {start}, (s, x) -> {_step().format(seed=seed)})")
     return pooled.select(folded.alias("s")).select("s.out", "s.r")
 
 
-def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1) -> DataFrame:
+def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, seed: int = 1, large: float = LARGE) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of each row of
     ``sizes()``: ``copies`` is how often the mix has the row."""
     id_type = items.schema["doc_id"].dataType.simpleString()
@@ -136,7 +136,7 @@ def mix(items: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1
     results, width = [whole], FAN_IN
     for level in range(levels):
         groups = F.ceil(F.col("rows") / width) if level < levels - 1 else F.lit(1)
-        folded = _fold(rows, id_type, seed, F.pmod(F.shiftright(F.col("x.salt"), 7), groups), level == 0)
+        folded = _fold(rows, id_type, seed, F.pmod(F.shiftright(F.col("x.salt"), 7), groups), large)
         done = folded.select(F.explode("out").alias("d")).select("d.*")
         results.append(done)
         rest = folded.where("r is not null").select(F.col("r.source").alias("source"), F.col("r").alias("x"))

@@ -7,8 +7,9 @@ and hashed words), then by a learned layer h = tanh(x W + b).  Gated attention
 and the weighted passage representation is scored by a logistic.  All weights
 are learned from document labels.
 
-Fitting reads a bounded sample of labelled documents (``LABELLED``, by a hash
-of the id), whole texts; every document is scored whole.
+Fitting reads a bounded sample of labelled documents (``LABELLED`` of at most
+``LONGEST`` bytes, by a hash of the id), whole texts; every document is scored
+whole.
 
 Edge cases: a null or empty text is one empty passage.  Without labels of both
 classes every score is the share of label 1 (0.5 without labels).  Null labels
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import as_bytes, held_out, small_batches
 from loomgraph.llm.samples import labelled
 
-PASSAGE, LABELLED, HASHED, HIDDEN = 64, 6000, 16, 16
+PASSAGE, LABELLED, LONGEST, HASHED, HIDDEN = 64, 6000, 1 << 20, 16, 16
 SHAPE = 9
 #: Of a word, then of a passage: share of repeated neighbours, share of distinct words, log of length.
 WIDTH = SHAPE + HASHED + 3
@@ -158,11 +159,12 @@ def _bag_rows(batches):
         yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["label"], pa.array(found, pa.list_(pa.float32()))], ["doc_id", "label", "passages"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED) -> MilModel:
-    """Fits on rows that are not held out; brings the passages of at most ``most`` documents to the driver."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = LABELLED, longest: int = LONGEST) -> MilModel:
+    """Fits on rows that are not held out; brings the passages of at most ``most``
+    documents of at most ``longest`` bytes to the driver."""
     small_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    chosen = labelled(docs, labels, label, most).select("doc_id", "label", "text")
+    chosen = labelled(docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest), labels, label, most).select("doc_id", "label", "text")
     rows = chosen.mapInArrow(_bag_rows, f"doc_id {id_type}, label int, passages array<float>").toArrow().sort_by("doc_id")
     bags = [np.asarray(x.values, np.float32).reshape(-1, WIDTH) for x in rows["passages"]]
     return fit(bags, np.asarray(rows["label"], np.float64))

@@ -8,9 +8,9 @@ positives as negative; the latter difference cannot be below 0 for true
 risks, so where the estimate falls below, the step is taken to raise it
 (Kiryo et al., 2017).
 
-Fitting reads bounded samples (``POSITIVES`` and ``UNLABELLED`` documents, by
-a hash of the id); the prior is counted over all labelled rows that are not
-held out, and every document is scored whole.
+Fitting reads bounded samples (``POSITIVES`` and ``UNLABELLED`` documents of at
+most ``LONGEST`` bytes, by a hash of the id); the prior is counted over all
+labelled rows that are not held out, and every document is scored whole.
 
 Edge cases: a null or empty text scores as a text without known words.
 Without positives every score is 0.  Null labels count as unlabelled, a
@@ -34,22 +34,31 @@ from pyspark.sql import functions as F
 from loomgraph.llm.common import as_bytes, held_out, small_batches
 from loomgraph.llm.samples import first_ids
 
-#: Documents to fit on, at most; documents a word must be in.
-POSITIVES, UNLABELLED, LEAST_DOCUMENTS = 2000, 6000, 4
+#: Documents to fit on, at most, and bytes of one; documents a word must be in.
+POSITIVES, UNLABELLED, LONGEST, LEAST_DOCUMENTS = 2000, 6000, 1 << 20, 8
 #: Times the noise of a word's gradient: what is below selects no word.
-LASSO = 2.0
-STEMS = (5, 7)
+LASSO = 1.0
+#: Documents added to those of a word when its noise is estimated.
+SMOOTH = 4
+#: Bytes of a stem; one distinct word in so many must have it, for the text to be full of it.
+STEMS, DENSE = (5, 7), 100
 _DROP = string.punctuation.encode()
 
 
 def words(text: bytes) -> set[int]:
     """CRC-32 of the distinct words, without case and punctuation, of the first bytes of
-    the longer ones (``STEMS``), and of those that two words or more begin with."""
+    the longer ones (``STEMS``), of those that two words or more begin with, and of those
+    that one distinct word in ``DENSE`` begins with."""
     found = set(text.lower().translate(None, _DROP).split())
     stems = Counter(w[:n] for n in STEMS for w in found if len(w) > n)
     codes = set(map(zlib.crc32, found))
-    codes.update(zlib.crc32(b"*", zlib.crc32(s)) for s in stems)
-    codes.update(zlib.crc32(b"**", zlib.crc32(s)) for s, n in stems.items() if n > 1)
+    for stem, n in stems.items():
+        code = zlib.crc32(stem)
+        codes.add(zlib.crc32(b"*", code))
+        if n > 1:
+            codes.add(zlib.crc32(b"**", code))
+            if n * DENSE >= len(found):
+                codes.add(zlib.crc32(b"%", code))
     return codes
 
 
@@ -110,10 +119,10 @@ def fit(word: np.ndarray, bag: np.ndarray, positive: np.ndarray, prior: float) -
     all bags) selects words; they are fitted anew."""
     if not positive.any() or positive.all() or not 0 < prior < 1:
         return PuModel({}, 30.0 if positive.any() and prior >= 1 else -30.0)
-    for least, times, steps in ((LEAST_DOCUMENTS, LASSO, 150), (1, 0.0, 300)):
+    for least, times, steps in ((LEAST_DOCUMENTS, LASSO, 150), (1, 0.0, 800)):
         names, often = np.unique(word, return_counts=True)
         names, often = names[often >= least], often[often >= least]
-        lasso = times * prior * np.sqrt((often + LEAST_DOCUMENTS) / len(positive) / positive.sum())
+        lasso = times * prior * np.sqrt((often + SMOOTH) / len(positive) / positive.sum())
         keep = np.isin(word, names)
         word, bag = word[keep], bag[keep]
         place = np.searchsorted(names, word)
@@ -129,15 +138,15 @@ def _word_rows(batches):
         yield pa.RecordBatch.from_arrays([batch["toxic"], batch["h"], pa.array(bags, pa.list_(pa.int32()))], ["toxic", "h", "words"])
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> PuModel:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", positives: int = POSITIVES, unlabelled: int = UNLABELLED, longest: int = LONGEST) -> PuModel:
     """Fits on rows that are not held out; brings at most ``positives`` +
-    ``unlabelled`` bags of words to the driver."""
+    ``unlabelled`` bags of words, of texts of at most ``longest`` bytes, to the driver."""
     small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isNotNull() & ~held_out())
     prior = known.agg(F.avg((F.col(label) == 1).cast("double"))).first()[0] or 0.0
     toxic = first_ids(known.where(F.col(label) == 1), positives).withColumn("toxic", F.lit(1))
     rest = first_ids(docs, unlabelled).withColumn("toxic", F.lit(0))
-    chosen = docs.select("doc_id", "text").join(F.broadcast(toxic.union(rest).limit(positives + unlabelled)), "doc_id")
+    chosen = docs.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= longest).select("doc_id", "text").join(F.broadcast(toxic.union(rest).limit(positives + unlabelled)), "doc_id")
     rows = chosen.select("toxic", F.xxhash64("doc_id", "text").alias("h"), "text").mapInArrow(_word_rows, "toxic int, h long, words array<int>").toArrow()
     rows = rows.sort_by([("toxic", "ascending"), ("h", "ascending")])
     word = np.asarray(pc.list_flatten(rows["words"])).view(np.uint32)

@@ -2,7 +2,9 @@
 
 import base64
 import hashlib
+import math
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -693,6 +695,47 @@ def test_toxicity_held_out(corpus, docs, no_docs):
     pu_toxicity.train(no_docs, labels)
 
 
+def test_toxicity_scores_and_risk_by_their_definitions(corpus):
+    """Scores from the features one by one; the slope against differences of the non-negative risk."""
+    texts, labels = corpus
+    model = pu_toxicity.train(texts, labels)
+    for r in pu_toxicity.score(texts, model).join(texts, "doc_id").limit(100).collect():
+        found = {"".join(c for c in w if c not in string.punctuation) for w in r.text.lower().split()} - {""}
+        stems = Counter(w[:n] for w in found for n in (5, 7) if len(w) > n)
+        names = found | {s + "*" for s in stems} | {s + "**" for s in stems if stems[s] > 1} | {s + "%" for s in stems if stems[s] > 1 and stems[s] * 100 >= len(found)}
+        z = model.bias + sum(model.weights.get(zlib.crc32(n.encode()), 0.0) for n in names)
+        assert abs(r.score - 1 / (1 + math.exp(-z))) < 1e-9
+
+    def risk(z, positive, prior):
+        loss = lambda m: np.log1p(np.exp(-m))
+        rest = loss(-z[~positive]).mean() - prior * loss(-z[positive]).mean()
+        return (prior * loss(z[positive]).mean() + rest) if rest >= 0 else -rest
+
+    rng = np.random.default_rng(4)
+    for scale in (0.5, 6.0):
+        positive = np.arange(12) < 5
+        z = np.where(positive, scale, -scale) + rng.normal(0, 0.1, 12)
+        slope = pu_toxicity.risk_slope(z, positive, 0.4)
+        for k in range(12):
+            up, down = z.copy(), z.copy()
+            up[k] += 1e-5
+            down[k] -= 1e-5
+            assert abs((risk(up, positive, 0.4) - risk(down, positive, 0.4)) / 2e-5 - slope[k]) < 1e-6
+
+
+def test_quality_scores_by_their_definition(corpus):
+    """The forward pass, passage by passage, from the weights."""
+    texts, labels = corpus
+    model = mil_quality.train(texts, labels)
+    p = model.weights
+    for r in mil_quality.score(texts, model).join(texts, "doc_id").limit(40).collect():
+        x = (mil_quality.passages(r.text.encode()).astype(float) - p["mean"]) / p["scale"]
+        hs = [np.tanh(row @ p["W"] + p["b"]) for row in x]
+        e = [math.exp(float((np.tanh(h @ p["V"]) / (1 + np.exp(-(h @ p["U"])))) @ p["w"][:, 0])) for h in hs]
+        z = sum(a / sum(e) * h for a, h in zip(e, hs))
+        assert len(x) == -(-len(r.text.split()) // 64) and abs(r.score - 1 / (1 + math.exp(-float(z @ p["c"][:, 0] + p["d"][0])))) < 1e-6
+
+
 def test_risk_never_goes_negative():
     positive = np.array([True, True, False, False])
     z = np.array([3.0, 3.0, -6.0, -6.0])

@@ -87,7 +87,9 @@ def _starts(place: np.ndarray) -> np.ndarray:
     return np.repeat(_start(place), more + 1) + np.arange(int(more.sum()) + len(more)) - np.repeat(np.cumsum(more + 1) - more - 1, more + 1)
 
 
-_FOUND = "key long, extent long, doc long, tag binary, place long, of_doc long, of_start long, open boolean"
+#: ``note``: 0, or -1 for an anchor with many extensions; a row settled in its batch has the
+#: first equal one's start plus 1 there, and its document as ``extent``.
+_FOUND = "key long, extent long, doc long, tag binary, place long, note long"
 
 
 def _settled(parts: list[tuple], batch: pa.RecordBatch, few: int | None) -> Iterator[pa.RecordBatch]:
@@ -119,15 +121,15 @@ def _settled(parts: list[tuple], batch: pa.RecordBatch, few: int | None) -> Iter
     stay = ~given_twice
     of_doc, of_start, late = doc[row[head[stay]]], _start(place[head[stay]]), late[stay]
     none, rows = len(marked), pa.array(row[stay])
+    extent = np.where(late, of_doc, extent[stay].view(np.int64))
+    note = np.where(late, of_start + 1, np.where(hot[stay], -1, 0))
     columns = {
         "key": pa.array(np.concatenate((scattered[stay], marked)).view(np.int64)),
-        "extent": pa.array(np.concatenate((extent[stay], np.zeros(none, np.uint64))).view(np.int64)),
+        "extent": pa.array(np.concatenate((extent, np.zeros(none, np.int64)))),
         "doc": pa.concat_arrays([batch["doc"].take(rows), pa.nulls(none, pa.int64())]),
         "tag": pa.concat_arrays([batch["tag"].take(rows), pa.nulls(none, pa.binary())]),
         "place": pa.concat_arrays([pa.array(place[stay]), pa.nulls(none, pa.int64())]),
-        "of_doc": pa.concat_arrays([pa.array(of_doc, mask=~late), pa.nulls(none, pa.int64())]),
-        "of_start": pa.concat_arrays([pa.array(of_start, mask=~late), pa.nulls(none, pa.int64())]),
-        "open": pa.array(np.concatenate((hot[stay], np.ones(none, bool)))),
+        "note": pa.array(np.concatenate((note, np.full(none, -1)))),
     }
     yield pa.RecordBatch.from_pydict(columns)
 
@@ -231,18 +233,18 @@ def _numbered(docs: DataFrame) -> DataFrame:
     digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     rows = with_small(docs.select("doc_id", "text"), again, "doc_id")
     tag = F.when(F.col("doc_id").isNull(), F.concat(F.lit(b"\1"), digest)).when(F.col("again"), F.concat(F.lit(b"\0"), digest)).otherwise(F.lit(b""))
-    return rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), tag.alias("tag"), "text")
+    # never null, so that both joins of the texts can share one shuffle
+    return rows.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(tag, F.lit(b"")).alias("tag"), "text")
 
 
 def _judged(found: DataFrame) -> DataFrame:
     """``found`` with the earliest equal row as ``of_doc`` and ``of_start``, null for that one itself."""
     check = F.shiftright("place", _CHECK_AT)
     equal = Window.partitionBy("key", "extent", check).orderBy("doc", "tag", "place")
-    late = F.col("of_start").isNull() & (F.rank().over(equal) > 1)
     start = F.shiftright(F.col("place").bitwiseAND(F.lit((1 << _CHECK_AT) - 1)), _MORE_BITS)
-    ranked = found.withColumns({"_late": late, "_doc": F.first("doc").over(equal), "_start": F.first(start).over(equal)})
-    known = {c: F.when(F.col("_late"), F.col(f"_{c[3:]}")).otherwise(F.col(c)) for c in ("of_doc", "of_start")}
-    return ranked.withColumns(known).drop("_late", "_doc", "_start")
+    ranked = found.repartition("key").withColumns({"_again": F.rank().over(equal) > 1, "_doc": F.first("doc").over(equal), "_start": F.first(start).over(equal)})
+    of = lambda here, there: F.when(F.col("note") > 0, here).when(F.col("_again"), F.col(there))
+    return ranked.withColumns({"of_doc": of(F.col("extent"), "_doc"), "of_start": of(F.col("note") - 1, "_start")}).drop("_again", "_doc", "_start")
 
 
 def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
@@ -255,7 +257,7 @@ def remove_repeats(docs: DataFrame, length: int = 20) -> DataFrame:
     text = _numbered(docs)
     found = text.select("doc", "tag", "text").mapInArrow(_seat_rows(length), _FOUND)
     of_key = Window.partitionBy("key")
-    differ = (F.min("extent").over(of_key) != F.max("extent").over(of_key)) | F.max("open").over(of_key)
+    differ = (F.min("extent").over(of_key) != F.max("extent").over(of_key)) | (F.min("note").over(of_key) < 0)
     judged = _judged(found).withColumn("open", differ).where("place is not null and (of_start is not null or open)")
     listed = F.collect_set(F.struct("place", "of_doc", "of_start"))
     seat_list = judged.groupBy("doc", "tag").agg(listed.alias("found"))

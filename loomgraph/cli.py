@@ -1,7 +1,10 @@
 """Command line: map a source tree, then query the graph.
 
     python -m loomgraph.cli map ROOT GRAPH
-    python -m loomgraph.cli find|impact|path|file|stats|ask|stacks|report|tools|doctor ...
+    python -m loomgraph.cli find|impact|path|file|stats|ask|explain|stacks|report|models|tools|doctor ...
+
+``map --cache FOLDER`` extracts only what changed; ``--root ROOT`` beside a query
+adds snippets.  Limits come from the environment (``plans/settings.py``).
 """
 
 from __future__ import annotations
@@ -11,23 +14,28 @@ import dataclasses
 import json
 import sys
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomgraph import ship
-from loomgraph.operators import graph_ops, retrieve
+from loomgraph.operators import egress, graph_ops, retrieve
 from loomgraph.operators.engine import Engine
-from loomgraph.operators.policy import QueryRefused
-from loomgraph.sources import extract, graph_files, stacks
+from loomgraph.operators.policy import QueryCaps, QueryRefused
+from loomgraph.plans import settings
+from loomgraph.sources import extract, graph_files, models, stacks
 from loomgraph.sources.languages import LANGUAGES
 from loomgraph.sources.repository import RepositorySource
 
-OK, REFUSED, MISSING = 0, 2, 1
+OK, FAILED, REFUSED, NOT_CONFIGURED, INTERRUPTED = 0, 1, 2, 78, 130
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     ship(spark)
     spark.dataSource.register(RepositorySource)
-    return spark.read.format("repository").option("root", root).load()
+    limits = settings.of(settings.Limits, spark)
+    bounds = {"maxFiles": limits.max_files, "maxBytes": limits.max_file_bytes, "maxDepth": limits.max_depth, "maxSeconds": limits.max_wall_seconds}
+    return spark.read.format("repository").options(root=root, **bounds).load()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -42,6 +50,8 @@ def parser() -> argparse.ArgumentParser:
         "stats": ("graph",),
         "report": ("graph",),
         "ask": ("graph", "question"),
+        "explain": ("graph", "symbol"),
+        "models": ("document",),
         "stacks": ("root",),
         "tools": (),
         "doctor": (),
@@ -51,6 +61,12 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(name)
         if verb == "impact":
             sub.add_argument("--direction", default="callers")
+        if verb == "map":
+            sub.add_argument("--cache")
+        if verb in ("impact", "ask", "explain"):
+            sub.add_argument("--root")
+        if verb == "models":
+            sub.add_argument("--free", action="store_true")
         if verb in ("impact", "path"):
             sub.add_argument("--depth", type=int, default=2 if verb == "impact" else 5)
     return p
@@ -60,14 +76,23 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.verb == "doctor":
         return {"languages": [lang.name for lang in LANGUAGES], "spark": spark.version}
     if args.verb == "map":
-        built = extract.build(scan(spark, args.root))
+        built = extract.build(scan(spark, args.root), args.cache, settings.of(settings.Limits, spark).max_total_bytes)
         graph_files.write(built, args.graph)
         return Engine(graph_files.read(spark, args.graph)).stats()
     if args.verb == "stacks":
         return [r.asDict() for r in stacks.detect(scan(spark, args.root)).orderBy("category", "name").collect()]
     if args.verb == "tools":
         return Engine(None).manifest()
-    engine = Engine(graph_files.read(spark, args.graph))
+    if args.verb == "models":
+        listed = models.parse(spark.read.text(args.document, wholetext=True), "value")
+        shown = models.price_label(models.free_only(listed) if args.free else listed).orderBy("id").limit(60)
+        return [f"{r.id}  {r.context}  {r.price}" for r in shown.collect()]
+    root = getattr(args, "root", None)
+    contents = scan(spark, root).where("content is not null").select("path", F.col("content").try_cast("string").alias("content")) if root else None
+    engine = Engine(graph_files.read(spark, args.graph), settings.of(QueryCaps, spark, prefix="query_"), contents, log=sys.stderr)
+    if args.verb == "explain":
+        found = engine.impact(args.symbol, "both", 1, include_snippets=contents is not None)
+        return dataclasses.asdict(egress.build_plan(f"What does {args.symbol} do?", found, egress.EgressPolicy(), "none"))
     if args.verb == "report":
         return [r.asDict() for r in graph_ops.report(engine.graph.files).orderBy("path").limit(200).collect()]
     if args.verb == "ask":
@@ -76,7 +101,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
         return engine.stats()
     calls = {
         "find": lambda: engine.find_symbol(args.name),
-        "impact": lambda: engine.impact(args.symbol, args.direction, args.depth),
+        "impact": lambda: engine.impact(args.symbol, args.direction, args.depth, include_snippets=contents is not None),
         "path": lambda: engine.path_between(args.source, args.target, args.depth),
         "file": lambda: engine.file_summary(args.path),
     }
@@ -85,12 +110,20 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
 
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
-    spark = SparkSession.builder.appName("loomgraph").getOrCreate()
     try:
-        out = run(spark, args)
+        settings.check_start()
+        out = run(SparkSession.builder.appName("loomgraph").getOrCreate(), args)
+    except settings.StartupError as e:
+        print(e, file=sys.stderr)
+        return NOT_CONFIGURED
     except QueryRefused as e:
         print(e, file=sys.stderr)
         return REFUSED
+    except (ValueError, AnalysisException) as e:
+        print(e, file=sys.stderr)
+        return FAILED
+    except KeyboardInterrupt:
+        return INTERRUPTED
     print(out if isinstance(out, str) else json.dumps(out, indent=2, default=str))
     return OK
 

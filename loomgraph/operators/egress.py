@@ -35,9 +35,12 @@ def estimated_tokens(text: str) -> int:
 
 
 def context_lines(result: QueryResult, most_edges: int = 200) -> list[str]:
-    nodes = [f"{n['kind']} {n['name']} ({n['path']}:{n['start_line']})" for n in result.nodes]
-    edges = [f"{e['src']} -[{e['type']}]-> {e['dst']}  @{e['path']}:{e['line']}" for e in result.edges[:most_edges]]
-    return nodes + edges + [line for k in sorted(result.snippets) for line in (k, *result.snippets[k])]
+    """What a model is told: symbols with their places, then relations, then snippets under their ids."""
+    place = lambda x, line: f"{x['path']}:{x[line]}" if x["path"] else "elsewhere"
+    symbols = [f"* {n['name']}, {n['kind']}, {place(n, 'start_line')}" for n in result.nodes]
+    relations = [f"* {e['src']} {e['type']} {e['dst']} ({place(e, 'line')})" for e in result.edges[:most_edges]]
+    quoted = [text for k, lines in sorted(result.snippets.items()) for text in (f"# {k}", *lines)]
+    return [*symbols, *relations, *quoted]
 
 
 def build_plan(question: str, result: QueryResult, policy: EgressPolicy, model: str) -> EgressPlan:

@@ -17,13 +17,18 @@ from loomgraph.operators.policy import QueryCaps, QueryRefused, QueryResult
 from loomgraph.plans.schema import DIRECTIONS, EDGE_COLUMNS, KINDS, NODE_COLUMNS, Graph
 
 
+LEVELS = {"debug": 10, "info": 20, "warning": 30, "error": 40}
+
+
 class Engine:
     """Answers capped queries on one graph.
 
-    ``contents`` (path, content) serves snippets; ``log`` gets one JSON line a query."""
+    ``contents`` (path, content) serves snippets; ``log`` gets one JSON line for
+    each record of at least ``level``."""
 
-    def __init__(self, graph: Graph, caps: QueryCaps | None = None, contents: DataFrame | None = None, log: TextIO | None = None):
+    def __init__(self, graph: Graph, caps: QueryCaps | None = None, contents: DataFrame | None = None, log: TextIO | None = None, level: str = "info"):
         self.graph, self.caps, self.contents, self.log = graph, caps or QueryCaps(), contents, log
+        self.level = LEVELS[policy.one_of(level, tuple(LEVELS), "level")]
         self._total: int | None = None
 
     @property
@@ -32,11 +37,11 @@ class Engine:
             self._total = self.graph.nodes.count()
         return self._total
 
-    def audit(self, event: str, **fields: Any) -> None:
+    def audit(self, event: str, level: str = "info", **fields: Any) -> None:
         """Redacts and writes one line; never raises."""
         try:
-            record, _ = redact.redact_tree({"ts": time.time(), "event": event, **fields})
-            if self.log:
+            record, _ = redact.redact_tree({"ts": time.time(), "level": level, "event": event, **fields})
+            if self.log and LEVELS.get(level, LEVELS["info"]) >= self.level:
                 print(json.dumps(record, sort_keys=True, default=str), file=self.log)
         except (OSError, TypeError, ValueError):
             pass

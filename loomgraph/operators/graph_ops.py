@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomgraph.operators.policy import one_of
-from loomgraph.plans.schema import DIRECTIONS, EDGE_COLUMNS, NODE_COLUMNS, Graph
+from loomgraph.plans.schema import DIRECTIONS, EDGE_COLUMNS, EDGE_TYPES, NODE_COLUMNS, Graph
+from loomgraph.plans.storage import stash
 
 # Rank of a node kind when an answer is pruned; others rank 5.
 KIND_RANK = {"function": 0, "method": 0, "class": 1, "interface": 1, "constant": 2, "file": 2, "unparsed": 3, "external": 9}
@@ -32,6 +34,11 @@ def seeds(nodes: DataFrame, symbol: str) -> DataFrame:
     return nodes.where((F.col("name") == symbol) | (F.col("id") == symbol)).select("id")
 
 
+def of_types(edges: DataFrame, types: Sequence[str] = ()) -> DataFrame:
+    """Edges of the given types; of all, if none is given."""
+    return edges.where(F.col("type").isin(*(one_of(t, EDGE_TYPES, "edge type") for t in types))) if types else edges
+
+
 def steps(edges: DataFrame, direction: str) -> DataFrame:
     """(here, there) with the edge's columns, for each way that it may be walked."""
     one_of(direction, DIRECTIONS, "direction")
@@ -40,51 +47,62 @@ def steps(edges: DataFrame, direction: str) -> DataFrame:
     return {"callers": into, "callees": out, "both": into.union(out)}[direction]
 
 
-def levels(graph: Graph, start: DataFrame, direction: str, depth: int) -> DataFrame:
+def levels(graph: Graph, start: DataFrame, direction: str, depth: int, types: Sequence[str] = ()) -> DataFrame:
     """(id, depth) of what ``start`` reaches, level by level.
 
-    Each level is persisted, so that a hop is one join of the edges with the
-    frontier; Spark broadcasts the frontier while it is small."""
-    walk = steps(graph.edges, direction).select("here", "there")
-    frontier = start.select("id").distinct().withColumn("depth", F.lit(0)).persist()
+    Each level is written to the shared folder, so that a hop is one join of the
+    edges with the level before; Spark broadcasts it while it is small."""
+    walk = steps(of_types(graph.edges, types), direction).select("here", "there")
+    frontier = stash(start.select("id").distinct().withColumn("depth", F.lit(0)), "level")
     seen = frontier
     for hop in range(1, depth + 1):
         new = walk.join(frontier.select(F.col("id").alias("here")), "here").select(F.col("there").alias("id")).distinct()
-        frontier = new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)).persist()
+        frontier = stash(new.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(hop)), "level")
         seen = seen.union(frontier)
     return seen
 
 
-def impact(graph: Graph, symbol: str, direction: str = "callers", depth: int = 2) -> tuple[DataFrame, DataFrame]:
+def impact(graph: Graph, symbol: str, direction: str = "callers", depth: int = 2, types: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Nodes that are reached (with their depth), and the edges that were walked
     from a node at less than the full depth."""
-    reached = levels(graph, seeds(graph.nodes, symbol), direction, depth)
+    reached = levels(graph, seeds(graph.nodes, symbol), direction, depth, types)
     nodes = graph.nodes.join(reached, "id").select(*NODE_COLUMNS, "depth")
     inner = reached.where(F.col("depth") < depth).select(F.col("id").alias("here"))
-    return nodes, steps(graph.edges, direction).join(inner, "here", "left_semi").select(*EDGE_COLUMNS).distinct()
+    return nodes, steps(of_types(graph.edges, types), direction).join(inner, "here", "left_semi").select(*EDGE_COLUMNS).distinct()
+
 
+_TRAIL = "array<struct<type:string,dst:string,path:string,line:int,col:int,src:string>>"
 
-def path_between(graph: Graph, source: str, target: str, max_depth: int = 5) -> DataFrame:
+
+def path_between(graph: Graph, source: str, target: str, max_depth: int = 5, types: Sequence[str] = ()) -> DataFrame:
     """The edges of the shortest directed path, numbered by ``step``; no rows if there is none.
 
     Of equally short ones the least start wins, then the least edges by (type,
-    dst, path, line, col).  A level keeps one path to each node of each start;
-    the walk ends at the first level that meets a target."""
-    edges = graph.edges.select(*EDGE_COLUMNS)
+    dst, path, line, col).  Ids alone walk on, a level after the other, up to
+    the first that meets a target; from there edges are followed back, so that
+    trails are laid only along shortest paths."""
+    edges = of_types(graph.edges.select(*EDGE_COLUMNS), types)
     ends = seeds(graph.nodes, target).select(F.col("id").alias("at"))
-    first = seeds(graph.nodes, source).distinct()
+    walked = [stash(seeds(graph.nodes, source).distinct().select(F.col("id").alias("start"), F.col("id").alias("at")), "level")]
+    seen, back = walked[0], walked[0].limit(0)
+    ways = edges.select(F.col("src").alias("at"), F.col("dst").alias("next"))
+    while len(walked) <= max_depth and back.isEmpty() and not walked[-1].isEmpty():
+        new = walked[-1].join(ways, "at").select("start", F.col("next").alias("at")).distinct()
+        walked.append(stash(new.join(seen, ["start", "at"], "left_anti"), "level"))
+        seen = seen.union(walked[-1])
+        back = walked[-1].join(ends, "at", "left_semi").select("start", "at")
+    hops: list[DataFrame] = []
+    for level in reversed(walked[:-1] if not back.isEmpty() else []):
+        last = back.join(edges, F.col("at") == F.col("dst")).select("start", *EDGE_COLUMNS)
+        hops.append(stash(last.join(level.withColumnRenamed("at", "src"), ["start", "src"], "left_semi"), "hops"))
+        back = hops[-1].select("start", F.col("src").alias("at")).distinct()
+    trails = back.withColumn("trail", F.array().cast(_TRAIL))
     hop = F.struct("type", "dst", "path", "line", "col", "src")
-    frontier = first.select(F.col("id").alias("start"), F.col("id").alias("at"), F.array().cast("array<struct<type:string,dst:string,path:string,line:int,col:int,src:string>>").alias("trail")).persist()
-    seen = frontier.select("start", "at")
-    for _ in range(max_depth):
-        longer = frontier.join(edges, F.col("at") == F.col("src")).select("start", F.col("dst").alias("at"), F.concat("trail", F.array(hop)).alias("trail"))
-        frontier = longer.groupBy("start", "at").agg(F.min("trail").alias("trail")).join(seen, ["start", "at"], "left_anti").persist()
-        met = frontier.join(ends, "at", "left_semi")
-        best = met.orderBy("start", "trail").limit(1)
-        if not best.isEmpty():
-            break
-        seen = seen.union(frontier.select("start", "at"))
+    for step in reversed(hops):
+        longer = trails.join(step.withColumnRenamed("src", "at").withColumn("src", F.col("at")), ["start", "at"])
+        trails = longer.groupBy("start", F.col("dst").alias("at")).agg(F.min(F.concat("trail", F.array(hop))).alias("trail"))
     e = F.col("e")
+    best = trails.orderBy("start", "trail").limit(1)
     return best.select(F.posexplode("trail").alias("step", "e")).select("step", *(e[c].alias(c) for c in EDGE_COLUMNS))
 
 
@@ -137,6 +155,19 @@ def top_by_degree(graph: Graph, k: int) -> DataFrame:
     return joined.select(*NODE_COLUMNS, "degree").orderBy(F.desc("degree"), "id").limit(k)
 
 
+def search(graph: Graph, text: str, k: int = 40) -> DataFrame:
+    """The k nodes of greatest degree whose name has ``text`` in it, in any case."""
+    found = find_nodes(graph.nodes, name=text)
+    ends = graph.edges.select(F.explode(F.array("src", "dst")).alias("id")).join(found.select("id"), "id", "left_semi")
+    ranked = found.join(ends.groupBy("id").agg(F.count("*").alias("degree")), "id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("bigint"))
+    return ranked.select(*NODE_COLUMNS, "degree").orderBy(F.desc("degree"), "id").limit(k)
+
+
+def labelled(graph: Graph, k: int = 160) -> DataFrame:
+    """The k nodes that a drawing names: of greatest degree, externals left out."""
+    return top_by_degree(Graph(graph.nodes.where("kind != 'external'"), graph.edges), k)
+
+
 def induced_edges(edges: DataFrame, keep: DataFrame) -> DataFrame:
     """Edges with both ends in ``keep`` (id)."""
     some = edges.join(keep.select(F.col("id").alias("src")), "src", "left_semi")

@@ -37,6 +37,12 @@ class Graph:
                 df.persist()
         return self
 
+    def stored(self) -> Graph:
+        """The same graph with its edges in a table of the shared folder, for operators that read them often."""
+        from loomgraph.plans.storage import stash
+
+        return Graph(self.nodes, stash(self.edges, "edges"), self.files)
+
 
 def node_id(kind: Column, name: Column, path: Column, line: Column) -> Column:
     return (

@@ -21,6 +21,7 @@ from loomgraph.operators.resolve import innermost, promoted_methods, resolve_cal
 from loomgraph.operators.windows import running_sum
 from loomgraph.plans.schema import EDGE_COLUMNS, Graph, first_rows, node_id
 from loomgraph.plans.storage import stash
+from loomgraph.sources import graph_files
 from loomgraph.sources.languages import EXTENSIONS, LANGUAGES, NOISE, Language
 
 
@@ -29,12 +30,14 @@ def language_of(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair)), ext)
 
 
-def by_language(make: Callable[[Language], Column | None], otherwise: Column | None = None) -> Column:
-    """One expression that takes the branch of the row's language."""
-    branches = [(lang.name, made) for lang in LANGUAGES if (made := make(lang)) is not None]
-    start = F.when(F.col("language") == branches[0][0], branches[0][1])
-    whole = reduce(lambda c, b: c.when(F.col("language") == b[0], b[1]), branches[1:], start)
-    return whole if otherwise is None else whole.otherwise(otherwise)
+def each_language(rows: DataFrame, make: Callable[[DataFrame, Language], DataFrame], label: str) -> DataFrame:
+    """A table of ``make`` of the rows of each language that is there.
+
+    So each expression has the patterns of one language only, and compiles, and
+    what reads the table does not carry them all along."""
+    there = {r.language for r in rows.select("language").distinct().collect()}
+    parts = [make(rows.where(F.col("language") == lang.name), lang) for lang in LANGUAGES if lang.name in there]
+    return stash(reduce(DataFrame.unionByName, parts) if parts else make(rows.limit(0), LANGUAGES[0]), label)
 
 
 def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
@@ -65,19 +68,25 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
     return files.withColumn("_why", why).withColumns({"status": F.col("_why.s"), "reason": F.col("_why.r")}).drop("_why", "_used")
 
 
-def _code(column: Column) -> Column:
+def _code(column: Column, comment: str = "") -> Column:
     """Without the insides of strings and without line comments."""
     plain = F.regexp_replace(column, r"""'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*\"""", '""')
-    return by_language(lambda lang: F.regexp_replace(plain, ("#" if lang.comment == "#" else lang.comment) + ".*", ""), plain)
+    return F.regexp_replace(plain, comment + ".*", "") if comment else plain
 
 
 def _count(column: Column, mark: str) -> Column:
     return F.length(column) - F.length(F.replace(column, F.lit(mark), F.lit("")))
 
 
+_COMMENTS = sorted({lang.comment for lang in LANGUAGES})
+
+
 def _unbalanced() -> Column:
-    code = _code(F.col("content").try_cast("string"))
-    return reduce(Column.__or__, (_count(code, a) != _count(code, b) for a, b in ("()", "[]", "{}")))
+    text = F.col("content").try_cast("string")
+    of = lambda comment: [lang.name for lang in LANGUAGES if lang.comment == comment]
+    code = reduce(lambda c, m: c.when(F.col("language").isin(*of(m)), _code(text, m)), _COMMENTS[1:], F.when(F.col("language").isin(*of(_COMMENTS[0])), _code(text, _COMMENTS[0])))
+    # stripped once for each file
+    return F.element_at(F.transform(F.array(code), lambda c: reduce(Column.__or__, (_count(c, a) != _count(c, b) for a, b in ("()", "[]", "{}")))), 1)
 
 
 def lines(files: DataFrame) -> DataFrame:
@@ -86,13 +95,17 @@ def lines(files: DataFrame) -> DataFrame:
 
     Where braces nest, a line is cut after each of ``{``, ``}`` and ``;``, so
     that several definitions on a line are each at the start of a piece."""
-    split = files.where("status = 'parsed'").select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
-    braced = by_language(lambda lang: F.lit(True) if lang.nesting == "brace" else None, F.lit(False))
+    return each_language(files.where("status = 'parsed'"), _lines, "lines")
+
+
+def _lines(files: DataFrame, lang: Language) -> DataFrame:
+    split = files.select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
+    braced = F.lit(lang.nesting == "brace")
     pieces = F.when(braced, F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole"))
     split = split.withColumn("braced", braced).withColumn("pieces", pieces)
     split = split.select("path", "language", "walk_order", "braced", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
     shift = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), ""))
-    code = _code(F.col("body"))
+    code = _code(F.col("body"), lang.comment)
     split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", F.trim(code) == "").withColumn("shift", shift)
     split = split.withColumn("seq", F.col("at").cast("bigint") * (1 << 20) + F.col("nth")).withColumn("line", F.col("at") + 1)
     after = F.sum("change").over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
@@ -126,13 +139,16 @@ def _listed(kind: str, pattern: str, label: str) -> Column:
 def _hits(rows: DataFrame, patterns: Callable[[Language], list[tuple[str, str]]], label: str) -> DataFrame:
     """(path, ..., label, name, col) for each pattern that a piece meets."""
 
-    def found(lang: Language) -> Column | None:
+    def found(of: DataFrame, lang: Language) -> DataFrame:
         made = [F.struct(F.lit(k).alias(label), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col")) for k, p in patterns(lang) if p not in lang.lists]
         each = [_listed(k, p, label) for k, p in patterns(lang) if p in lang.lists]
-        return F.concat(*([F.array(*made)] if made else []), *each) if made or each else None
+        if not made and not each:
+            return of.withColumn("hit", F.lit(None).cast(f"struct<{label}:string,name:string,col:int>")).where("false")
+        hits = F.filter(F.concat(*([F.array(*made)] if made else []), *each), lambda h: h["name"] != "")
+        return of.withColumn("hit", F.explode(hits))
 
-    hits = rows.withColumn("hit", F.explode(by_language(found)))
-    return hits.where("hit.name != ''").select(*rows.columns, f"hit.{label}", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))
+    hits = each_language(rows, found, "hits")
+    return hits.select(*rows.columns, f"hit.{label}", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))
 
 
 def definitions(rows: DataFrame) -> DataFrame:
@@ -170,36 +186,69 @@ def definitions(rows: DataFrame) -> DataFrame:
 def calls(rows: DataFrame) -> DataFrame:
     """path, name, line, col of each call; the places follow from the matches in order."""
 
-    def found(lang: Language) -> Column:
+    def found(of: DataFrame, lang: Language) -> DataFrame:
         skip = ", ".join(f"'{k}'" for k in lang.keywords)
         pattern = lang.calls.replace("\\", "\\\\").replace("'", "\\'")
-        return F.expr(
+        hits = F.expr(
             f"filter(aggregate(regexp_extract_all(body, '{pattern}', 1), named_struct('p', 1, 'out', cast(array() as array<struct<name:string,at:int>>)),"
             " (s, m) -> named_struct('p', locate(m, body, s.p) + length(m), 'out', concat(s.out, array(named_struct('name', m, 'at', locate(m, body, s.p)))))).out,"
             f" x -> x.name not in ({skip}))"
         )
+        return of.withColumn("hit", F.explode(hits))
 
-    hits = rows.where("not blank").withColumn("hit", F.explode(by_language(found)))
+    hits = each_language(rows.where("not blank"), found, "calls")
     return hits.select("path", "walk_order", "hit.name", "line", "seq", (F.col("shift") + F.octet_length(F.expr("substring(body, 1, hit.at - 1)"))).alias("col"))
 
 
-def build(scan: DataFrame) -> Graph:
-    """The property graph of a scan; each step is a table in the shared folder, so contents are read once."""
-    files = stash(classified(stash(scan, "scan")), "files")
-    rows = stash(lines(files), "lines")
+#: What a file gives by itself, whatever the others hold, and which version of it.
+_FACTS = {
+    "definitions": "path string, name string, line int, lo bigint, language string, walk_order bigint, kind string, col int, end_line int, hi bigint, id string",
+    "imports": "path string, language string, walk_order bigint, name string, line int, col int",
+    "calls": "path string, name string, line int, col int, seq bigint, src string",
+}
+_PARSED = "path string, sha256 string"
+
+
+def facts(files: DataFrame) -> dict[str, DataFrame]:
+    """Definitions, imports and calls (with their callers) of classified files."""
+    rows = lines(files)
     defs = definitions(rows)
     defs = stash(defs.withColumn("id", node_id(F.col("kind"), F.col("name"), F.col("path"), F.col("line"))), "definitions")
     imported = _hits(rows, lambda lang: [("imports", p) for p in lang.imports], "type").withColumn("name", text.unquoted(F.col("name")))
     imported = imported.select("path", "language", "walk_order", "name", "line", "col").dropDuplicates(["path", "name", "line"])
-    known = files.where("status in ('parsed', 'partial')")
-    file_id = F.concat(F.lit("file::"), F.col("path"))
-
     heads = defs.select("path", "name", "line", F.col("lo").alias("seq"))
     made = calls(rows).join(heads, ["path", "name", "line", "seq"], "left_anti")
     owners = defs.where("kind != 'constant'").select("path", "lo", "hi", "id")
     made = innermost(made.select("path", "name", "line", "col", "seq"), owners, "path", F.col("seq")).withColumnRenamed("enclosing", "src")
-    made = made.withColumn("src", F.coalesce("src", file_id))
-    resolved = stash(resolve_calls(made, defs.select("path", "name", "id")).select(*EDGE_COLUMNS), "resolved")
+    made = made.withColumn("src", F.coalesce("src", F.concat(F.lit("file::"), F.col("path"))))
+    return {"definitions": defs, "imports": stash(imported, "imports"), "calls": made}
+
+
+def build(scan: DataFrame, cache: str | None = None, max_total_bytes: int = 256 << 20) -> Graph:
+    """The property graph of a scan; each step is a table in the shared folder, so contents are read once.
+
+    With a ``cache`` folder only files that it has not (by path and SHA-256)
+    are extracted, and it holds the facts of all files of this scan afterwards."""
+    files = stash(classified(stash(scan, "scan"), max_total_bytes), "files")
+    if not cache:
+        return assemble(files, facts(files))
+    parsed = files.where("status = 'parsed'").select("path", F.sha2("content", 256).alias("sha256"), "walk_order")
+    old = graph_files.read_cache(files.sparkSession, cache, {"parsed": _PARSED, **_FACTS})
+    same = stash(parsed.join(old["parsed"], ["path", "sha256"], "left_semi").select("path", "walk_order"), "same")
+    fresh = facts(files.join(same, "path", "left_anti"))
+    # the place of a file in the walk may have moved
+    kept = lambda name: old[name].drop("walk_order").join(same, "path").select(*fresh[name].columns)
+    found = {name: stash(fresh[name].unionByName(kept(name)), name) for name in _FACTS}
+    graph_files.write_cache({"parsed": parsed.drop("walk_order"), **found}, cache)
+    return assemble(files, found)
+
+
+def assemble(files: DataFrame, found: dict[str, DataFrame]) -> Graph:
+    """The graph of classified files and their facts: calls are bound, nodes and edges made."""
+    defs, imported = found["definitions"], found["imports"]
+    file_id = F.concat(F.lit("file::"), F.col("path"))
+    resolved = stash(resolve_calls(found["calls"], defs.select("path", "name", "id")).select(*EDGE_COLUMNS), "resolved")
+    known = files.where("status in ('parsed', 'partial')")
 
     edges = (
         defs.select(file_id.alias("src"), F.col("id").alias("dst"), F.lit("defines").alias("type"), "path", "line", "col")

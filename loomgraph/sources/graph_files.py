@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JError
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.schema import EDGES, FILES, NODES, Graph
+from loomgraph.plans.storage import exists
 
 FORMAT = "loomgraph/1"
 _TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES}
@@ -41,18 +46,31 @@ def read_document(spark: SparkSession, path: str) -> Graph:
     return Graph(*map(fill, tables))
 
 
-def write_cache(files: DataFrame, path: str) -> None:
-    """path, sha256, status, language of files that were read."""
-    files.where("sha256 != ''").select("path", "sha256", "status", "language", F.lit(FORMAT).alias("version")).write.mode("overwrite").parquet(path)
-
-
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """The cache; empty if there is none or it has another version."""
-    schema = "path string, sha256 string, status string, language string, version string"
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(path).where(F.col("version") == FORMAT)
+def write_cache(facts: dict[str, DataFrame], path: str) -> None:
+    """A new generation of the cache: one table for each kind of fact, and which generation holds."""
+    spark = next(iter(facts.values())).sparkSession
+    generation = uuid.uuid4().hex
+    for name, table in facts.items():
+        table.write.parquet(f"{path}/{generation}/{name}")
+    spark.createDataFrame([(FORMAT, generation)], "version string, generation string").write.mode("overwrite").json(f"{path}/current")
+
+
+def read_cache(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:
+    """The tables of the cache that holds; empty ones if there is none, it has
+    another version, or it can't be read."""
+    empty = {name: spark.createDataFrame([], schema) for name, schema in schemas.items()}
+    if not exists(spark, f"{path}/current"):
+        return empty
+    try:
+        holds = spark.read.schema("version string, generation string").json(f"{path}/current").where(F.col("version") == FORMAT).first()
+        if holds is None:
+            return empty
+        tables = {name: spark.read.schema(schema).parquet(f"{path}/{holds.generation}/{name}") for name, schema in schemas.items()}
+        for table in tables.values():  # reads all of it once, so that a broken file shows here
+            table.agg(F.count(F.struct("*"))).first()
+        return tables
+    except (AnalysisException, Py4JError):
+        return empty
 
 
 def changed(scan: DataFrame, cache: DataFrame) -> DataFrame:

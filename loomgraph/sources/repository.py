@@ -5,7 +5,7 @@
 
 The driver lists names (excluded folders are not entered, depth and number of
 sources are bounded: files of a known language and at most ``maxBytes``); tasks
-read the contents.  On a cluster the root has to be
+read the contents, until ``maxSeconds`` after the listing are over.  On a cluster the root has to be
 a folder that all executors see.  Contents are read only if asked for
 (``withContent``), and files over ``maxBytes`` never are.
 """
@@ -13,6 +13,7 @@ a folder that all executors see.  Contents are read only if asked for
 from __future__ import annotations
 
 import os
+import time
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,13 +29,14 @@ EXCLUDED = (
 ).split()
 #: Folders that start so hold what this library wrote.
 OWN = ".loomgraph"
-MAX_FILES, MAX_BYTES, MAX_DEPTH = 5000, 1 << 20, 25
+MAX_FILES, MAX_BYTES, MAX_DEPTH, MAX_SECONDS = 5000, 1 << 20, 25, 120.0
 
 
 @dataclass
 class Chunk(InputPartition):
     root: str
     files: list[tuple]
+    until: float
 
 
 def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, follow: bool = False, max_bytes: int = MAX_BYTES) -> Iterator[tuple]:
@@ -73,17 +75,21 @@ class RepositoryReader(DataSourceReader):
         self.excluded = frozenset(options["exclude"].split(",") if "exclude" in options else EXCLUDED)
         self.with_content = options.get("withcontent", "true") == "true"
         self.follow = options.get("followsymlinks", "false") == "true"
-        self.chunk = get("filesPerTask", 256)
+        self.chunk = get("filesPerTask", 64)
+        self.seconds = get("maxSeconds", MAX_SECONDS)
 
     def partitions(self) -> list[Chunk]:
         files = list(walk(self.root, self.excluded, self.bounds[0], self.bounds[1], self.follow, self.bounds[2]))
-        return [Chunk(self.root, files[k : k + self.chunk]) for k in range(0, len(files), self.chunk)] or [Chunk(self.root, [])]
+        until = time.time() + self.seconds
+        return [Chunk(self.root, files[k : k + self.chunk], until) for k in range(0, len(files), self.chunk)] or [Chunk(self.root, [], until)]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
         for path, name, depth, order, size, link, status, reason in partition.files:
             content = None
             if not status and size > self.bounds[2]:
                 status, reason = "skipped", f"file_too_large: {size} > {self.bounds[2]}"
+            elif not status and time.time() > partition.until:
+                status, reason = "skipped", "wall_clock_exceeded"
             elif not status and self.with_content:
                 try:
                     with open(os.path.join(partition.root, path), "rb") as f:

@@ -58,15 +58,20 @@ def test_path_file_and_stats(engine):
     assert {t["name"] for t in engine.manifest()} == {"find_symbol", "impact", "path_between", "file_summary", "stats"}
 
 
-def test_retrieval(engine):
+def test_retrieval(engine, spark):
     found = retrieve.retrieve(engine, "how does alpha_run connect to GAMMA_RUN?")
     assert found["terms"] == ["alpha_run", "gamma_run"]
     assert [r.operation for r in found["results"]] == ["impact", "impact", "path_between"]
-    assert "connection found:" in retrieve.answer(found) and "m.py:1" in found["citations"]
+    told = retrieve.answer(found)
+    assert all(part in told for part in ("alpha_run", "(calls)", "`beta_run`", "m.py:1")) and "m.py:1" in found["citations"]
     assert retrieve.retrieve(engine, "what calls connect?")["terms"] == ["connect"]
     assert retrieve.retrieve(engine, "what happens when it explodes")["terms"] == []
-    whole = retrieve.merged(found["results"], QueryCaps(max_nodes=2))
-    assert len(whole.nodes) == 2 and whole.truncated
+    whole = retrieve.merged(spark, found["results"], QueryCaps(max_nodes=2))
+    assert len(whole.nodes) == 2 and whole.truncated and whole.total_matched == 4
+    everything = retrieve.merged(spark, found["results"], QueryCaps())
+    assert [n["id"] for n in everything.nodes] == sorted({n["id"] for r in found["results"] for n in r.nodes}) and len(everything.edges) == 3
+    few = retrieve.pruned(spark, found["results"][1], max_nodes=2, max_external=0)
+    assert len(few.nodes) == 2 and all({e["src"], e["dst"]} <= {n["id"] for n in few.nodes} for e in few.edges)
 
 
 SECRETS = [
@@ -95,6 +100,18 @@ def test_values(spark, line):
     assert row[1].r["text"] is None and row[2].r["text"] == "plain words"
 
 
+def test_every_value_under_a_secret_key_goes():
+    tree = {"token": 12345, "credentials": {"a": 1}, "password": ["hunter2"], "secret": None, "ok": {"apiKey": True, "n": 1}}
+    assert redact.redact_tree(tree) == ({"token": redact.MARK, "credentials": redact.MARK, "password": redact.MARK, "secret": redact.MARK, "ok": {"apiKey": redact.MARK, "n": 1}}, 5)
+    assert redact.redact_tree(redact.redact_tree(tree)[0])[1] == 0
+
+
+def test_rules_claim_text_in_their_order():
+    assert redact.redact("OPENAI_API_KEY=sk-proj-abcdefghijklmnop1234567890") == ("OPENAI_API_KEY=[REDACTED]", 1)
+    assert redact.redact("x-auth-token: v; my_secret = `a b`") == ("x-auth-token: [REDACTED]; my_secret = [REDACTED]", 2)
+    assert redact.redact("1://a:b@c +x://a:b@c") == ("1://a:b@c +x://a:[REDACTED]@c", 1)
+
+
 def test_tree_and_benign_lines():
     assert redact.redact_tree({"token": "abc", "list": ["sk-" + "y2" * 12, 3]}) == ({"token": redact.MARK, "list": [redact.MARK, 3]}, 2)
     for line in ("def total(items):", "the keyboard is here", "x = y + 1", "see http://host/path"):

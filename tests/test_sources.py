@@ -4,7 +4,10 @@ import json
 
 import pytest
 
-from loomgraph.sources import extract, graph_files, stacks
+from loomgraph import cli
+from loomgraph.operators.policy import QueryCaps
+from loomgraph.plans import settings
+from loomgraph.sources import extract, graph_files, models, stacks
 from loomgraph.sources.languages import EXTENSIONS, LANGUAGES
 from loomgraph.sources.repository import RepositorySource
 
@@ -67,12 +70,96 @@ def test_graph_of_a_small_tree(spark, tmp_path):
     graph_files.write(graph, str(tmp_path / "out"))
     again = graph_files.read(spark, str(tmp_path / "out"))
     assert again.nodes.count() == graph.nodes.count() and again.edges.count() == graph.edges.count()
-    graph_files.write_cache(graph.files, str(tmp_path / "cache"))
+    cache = spark.createDataFrame([(r.path, r.sha256) for r in graph.files.collect()], "path string, sha256 string")
     write(tmp_path, {"shop/tax.py": "def rate():\n    return 4\n"})
-    fresh = graph_files.changed(scan(spark, tmp_path, exclude="out,cache"), graph_files.read_cache(spark, str(tmp_path / "cache")))
+    fresh = graph_files.changed(scan(spark, tmp_path, exclude="out,cache"), cache)
     assert "shop/tax.py" in {r.path for r in fresh.collect()} and "web/view.js" not in {r.path for r in fresh.collect()}
 
 
+def test_incremental_build(spark, tmp_path, monkeypatch):
+    """Only what changed is extracted, the graph is that of a whole build, and a broken cache counts as none."""
+    root, cache = tmp_path / "tree", str(tmp_path / "cache")
+    write(root, {"a.py": "import os\ndef one():\n    return two()\n", "b.py": "def two():\n    return 2\n", "c.js": "function three(){ return one(); }\n"})
+    rows = lambda g: (sorted(map(tuple, g.nodes.collect())), sorted(map(tuple, g.edges.collect())))
+    taken, whole_facts = [], extract.facts
+
+    def facts(files):
+        taken.append({r.path for r in files.where("status = 'parsed'").collect()})
+        return whole_facts(files)
+
+    monkeypatch.setattr(extract, "facts", facts)
+    assert rows(extract.build(scan(spark, root), cache)) == rows(extract.build(scan(spark, root)))
+    write(root, {"b.py": "def two():\n    return one()\n", "0.py": "x = 1\n"})
+    assert rows(extract.build(scan(spark, root), cache)) == rows(extract.build(scan(spark, root)))
+    assert taken[0] == {"a.py", "b.py", "c.js"} and taken[2] == {"b.py", "0.py"}
+    for f in (tmp_path / "cache").rglob("*.parquet"):
+        f.write_bytes(b"broken")
+    assert rows(extract.build(scan(spark, root), cache)) == rows(extract.build(scan(spark, root)))
+    assert taken[4] == {"0.py", "a.py", "b.py", "c.js"}
+
+
+def test_deadline(spark, tmp_path):
+    write(tmp_path, {"a.py": "x = 1\n", "b.py": "x = 1\n"})
+    assert {(r.status, r.reason) for r in scan(spark, tmp_path, maxSeconds=-1.0).collect()} == {("skipped", "wall_clock_exceeded")}
+
+
+def test_toml_manifests(spark, tmp_path):
+    project = """
+[project]
+dependencies = ["flask>=3", "numpy", # a remark
+  "celery[redis]"]
+optional-dependencies.test = ["pytest"]
+[tool.poetry]
+dependencies = {django = "5", redis = {version = "1"}}
+[tool.poetry.group.dev.dependencies]
+pandas = "2"
+"""
+    assert stacks.toml_dependencies(project) == ["flask", "numpy", "celery", "pytest", "django", "redis", "pandas"]
+    assert stacks.toml_dependencies("dependencies.axum = '1'") == ["axum"] and stacks.toml_dependencies("= bad") == stacks.toml_dependencies("project = 3") == []
+    found = {r.name for r in stacks.detect(scan(spark, write(tmp_path, {"pyproject.toml": project, "x/Cargo.toml": "= bad"}))).collect()}
+    assert found == {"Python", "Flask", "NumPy", "Celery", "pytest", "Django", "Redis client", "pandas", "Rust"}
+
+
+def test_settings():
+    env = {"LOOMGRAPH_MAX_FILES": "7", "LOOMGRAPH_MAX_DEPTH": "-1", "LOOMGRAPH_MAX_WALL_SECONDS": "2.5", "LOOMGRAPH_MAX_FILE_BYTES": "x", "LOOMGRAPH_QUERY_MAX_NODES": " 9 "}
+    assert settings.of(settings.Limits, env=env) == settings.Limits(max_files=7, max_wall_seconds=2.5)
+    assert settings.of(QueryCaps, env=env, prefix="query_") == QueryCaps(max_nodes=9)
+    assert settings.truth(" Yes ") and not settings.truth("0") and settings.truth(None, True)
+    settings.check_start({})
+    settings.check_start({"LOOMGRAPH_ENV": "production", "LOOMGRAPH_MODEL_KEY": "k"})
+    with pytest.raises(settings.StartupError):
+        settings.check_start({"LOOMGRAPH_ENV": " Production "})
+
+
+def test_model_lists(spark):
+    body = json.dumps({"data": [{"id": "b/x", "name": "X", "context_length": 128000, "pricing": {"prompt": "0.0000015", "completion": "0"}}, {"id": "a/free", "pricing": {"prompt": 0}}, {"name": "no id"}, 3, {"id": "c", "pricing": {"prompt": "?"}}]})
+    frame = spark.createDataFrame([(body,), ("{",), ("{}",), (None,)], "body string")
+    found = models.parse(frame)
+    assert [(r.id, r.name, r.context_length, r.prompt_price, r.completion_price, r.free) for r in found.orderBy("id").collect()] == [("a/free", "a/free", None, 0.0, None, True), ("b/x", "X", 128000, 1.5e-6, 0.0, False), ("c", "c", None, None, None, False)]
+    assert [r.id for r in models.free_only(found).collect()] == ["a/free"]
+    assert [(r.context, r.price) for r in models.price_label(found).orderBy("id").collect()] == [("?", "free"), ("128,000", "$0.0000015/token"), ("?", "?")]
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    """Each command through ``main``."""
+    root, graph = tmp_path / "tree", str(tmp_path / "graph")
+    write(root, {"a.py": "def one(key):\n    password = 'hunter2hunter2'\n    return two()\n", "b.py": "def two():\n    return 2\n", "requirements.txt": "flask\n"})
+    (tmp_path / "models.json").write_text(json.dumps({"data": [{"id": "m", "pricing": {"prompt": 0}}]}))
+
+    def told(*argv):
+        assert cli.main(list(argv)) == 0, argv
+        return capsys.readouterr().out
+
+    assert json.loads(told("map", str(root), graph, "--cache", str(tmp_path / "cache")))["nodes"] == 4
+    assert "hunter2" not in told("impact", graph, "one", "--direction", "both", "--root", str(root)) and "hunter2" not in told("explain", graph, "one", "--root", str(root))
+    assert "`two`" in told("ask", graph, "what is two?") and json.loads(told("path", graph, "one", "two"))["edges"]
+    for argv in (("find", graph, "one"), ("file", graph, "a.py"), ("stats", graph), ("report", graph), ("stacks", str(root)), ("models", str(tmp_path / "models.json"), "--free"), ("tools",), ("doctor",)):
+        assert told(*argv)
+    assert cli.main(["find", graph, ""]) == 2 and cli.main(["impact", graph, "one", "--direction", "up"]) == 1
+    monkeypatch.setenv("LOOMGRAPH_ENV", "production")
+    assert cli.main(["doctor"]) == 78
+
+
 # one line of each language: definitions, a call, an import
 SAMPLES = {
     "python": ("import sys\nclass Box:\n    def size(self):\n        return measure(2)\ndef measure(n): return n\n", {"Box", "size", "measure"}, "measure", "sys"),

@@ -70,7 +70,8 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
 
 def _code(column: Column, comment: str = "") -> Column:
     """Without the insides of strings and without line comments."""
-    plain = F.regexp_replace(column, r"""'(?:\\.|[^'\\\n])*'|"(?:\\.|[^"\\\n])*\"""", '""')
+    # possessive, so that a long string needs no deep stack
+    plain = F.regexp_replace(column, r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+\"""", '""')
     return F.regexp_replace(plain, comment + ".*", "") if comment else plain
 
 

@@ -177,7 +177,7 @@ def sketches(digests: Digests, which: np.ndarray) -> list[str]:
     return out.tolist()
 
 
-def differences(digests: Digests, left: np.ndarray, right: np.ndarray, most_cells: int = 1 << 19) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def differences(digests: Digests, left: np.ndarray, right: np.ndarray, most_cells: int = 1 << 17) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """The digests that only the left and only the right text of each pair has,
     as peeled from the difference of their sketches: at first at the width of
     the smaller fingerprint, to which the other folds, then wider."""
@@ -289,7 +289,7 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     meets its next one after a single shuffle.  What the driver learns is a cut
     and a first row for each range.
     """
-    small_batches(docs.sparkSession, 1000)
+    small_batches(docs.sparkSession, 400)
     rows = docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("key"), F.xxhash64("text").alias("hash"))
     rows = rows.withColumn("b", _ranges(rows)("key", "hash"))
     firsts = rows.groupBy("b").agg(F.min(F.struct("key", "hash")).alias("first")).select("b", "first.*").orderBy("b").collect()

@@ -30,13 +30,17 @@ def language_of(name: Column) -> Column:
     return F.element_at(F.create_map(*(F.lit(x) for pair in EXTENSIONS.items() for x in pair)), ext)
 
 
-def each_language(rows: DataFrame, make: Callable[[DataFrame, Language], DataFrame], label: str) -> DataFrame:
+def languages_of(rows: DataFrame) -> list[Language]:
+    there = {r.language for r in rows.select("language").distinct().collect()}
+    return [lang for lang in LANGUAGES if lang.name in there]
+
+
+def each_language(rows: DataFrame, make: Callable[[DataFrame, Language], DataFrame], there: list[Language], label: str) -> DataFrame:
     """A table of ``make`` of the rows of each language that is there.
 
     So each expression has the patterns of one language only, and compiles, and
     what reads the table does not carry them all along."""
-    there = {r.language for r in rows.select("language").distinct().collect()}
-    parts = [make(rows.where(F.col("language") == lang.name), lang) for lang in LANGUAGES if lang.name in there]
+    parts = [make(rows.where(F.col("language") == lang.name), lang) for lang in there]
     return stash(reduce(DataFrame.unionByName, parts) if parts else make(rows.limit(0), LANGUAGES[0]), label)
 
 
@@ -45,7 +49,8 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
     ``unsupported``, noise is left out.
 
     Only sources that were read count towards ``max_total_bytes``: the first one
-    over it is reported, those after it are dropped.  The sum carries no content."""
+    over it is reported, those after it are dropped.  The sum carries no content,
+    and where all sources together are within it, no running sum is needed."""
     ext = F.lower(F.regexp_extract("name", r"(\.[^.]+)$", 1))
     files = scan.withColumn("language", F.coalesce(language_of(F.col("name")), F.lit("")))
     files = files.where((F.col("language") != "") | (ext != "") & ~ext.isin(*NOISE))
@@ -53,8 +58,11 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
     known = F.col("status") != ""
     counted = (F.col("language") != "") & ~known & F.col("content").isNotNull()
     sizes = files.where(counted).select("walk_order", "size")
-    used = running_sum(sizes, "walk_order", F.col("size"), "_used").drop("size")
-    files = files.join(used, "walk_order", "left").select(*files.columns, F.coalesce("_used", F.lit(0)).alias("_used"))
+    if (sizes.agg(F.sum("size")).first()[0] or 0) > max_total_bytes:
+        used = running_sum(sizes, "walk_order", F.col("size"), "_used").drop("size")
+        files = files.join(used, "walk_order", "left").select(*files.columns, F.coalesce("_used", F.lit(0)).alias("_used"))
+    else:
+        files = files.withColumn("_used", F.lit(0))
     files = files.where(~counted | (F.col("_used") - F.col("size") <= max_total_bytes))
     why = (
         F.when(F.col("language") == "", F.struct(F.lit("unsupported").alias("s"), F.concat(F.lit("no grammar for '"), ext, F.lit("'")).alias("r")))
@@ -90,17 +98,20 @@ def _unbalanced() -> Column:
     return F.element_at(F.transform(F.array(code), lambda c: reduce(Column.__or__, (_count(c, a) != _count(c, b) for a, b in ("()", "[]", "{}")))), 1)
 
 
-def lines(files: DataFrame) -> DataFrame:
+def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
     """Pieces of lines: ``line``, ``shift`` (bytes before the piece), ``seq`` (its
     place in the file), ``body``, and the nesting ``before`` and ``after`` it.
 
     Where braces nest, a line is cut after each of ``{``, ``}`` and ``;``, so
     that several definitions on a line are each at the start of a piece."""
-    return each_language(files.where("status = 'parsed'"), _lines, "lines")
+    parsed = files.where("status = 'parsed'")
+    return each_language(parsed, _lines, languages_of(parsed) if there is None else there, "lines")
 
 
 def _lines(files: DataFrame, lang: Language) -> DataFrame:
-    split = files.select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
+    # dealt by path as whole contents, which the running sums of their lines can use
+    whole = files.select("path", "language", "walk_order", "content").repartition("path")
+    split = whole.select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
     braced = F.lit(lang.nesting == "brace")
     pieces = F.when(braced, F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole"))
     split = split.withColumn("braced", braced).withColumn("pieces", pieces)
@@ -137,68 +148,81 @@ def _listed(kind: str, pattern: str, label: str) -> Column:
     return F.transform(items, lambda x, k: F.struct(F.lit(kind).alias(label), name(x).alias("name"), (start + before(k) + blank(x)).alias("col")))
 
 
-def _hits(rows: DataFrame, patterns: Callable[[Language], list[tuple[str, str]]], label: str) -> DataFrame:
-    """(path, ..., label, name, col) for each pattern that a piece meets."""
+def _called(lang: Language) -> Column:
+    """An array of (label, name, col) of the calls in a piece; the places follow from the matches in order."""
+    skip = ", ".join(f"'{k}'" for k in lang.keywords)
+    pattern = lang.calls.replace("\\", "\\\\").replace("'", "\\'")
+    return F.expr(
+        f"transform(filter(aggregate(regexp_extract_all(body, '{pattern}', 1), named_struct('p', 1, 'out', cast(array() as array<struct<name:string,at:int>>)),"
+        " (s, m) -> named_struct('p', locate(m, body, s.p) + length(m), 'out', concat(s.out, array(named_struct('name', m, 'at', locate(m, body, s.p)))))).out,"
+        f" x -> not blank and x.name not in ({skip})), x -> named_struct('label', 'calls', 'name', x.name, 'col', octet_length(substring(body, 1, x.at - 1))))"
+    )
+
+
+def hits(rows: DataFrame, there: list[Language] | None = None) -> DataFrame:
+    """(path, language, walk_order, line, seq, before, braced, label, name, col)
+    of all that the patterns find, in one pass: ``label`` is the kind of a
+    definition, ``imports`` or ``calls``."""
 
     def found(of: DataFrame, lang: Language) -> DataFrame:
-        made = [F.struct(F.lit(k).alias(label), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col")) for k, p in patterns(lang) if p not in lang.lists]
-        each = [_listed(k, p, label) for k, p in patterns(lang) if p in lang.lists]
-        if not made and not each:
-            return of.withColumn("hit", F.lit(None).cast(f"struct<{label}:string,name:string,col:int>")).where("false")
-        hits = F.filter(F.concat(*([F.array(*made)] if made else []), *each), lambda h: h["name"] != "")
-        return of.withColumn("hit", F.explode(hits))
+        patterns = [*lang.definitions, *(("imports", p) for p in lang.imports)]
+        single = lambda k, p: F.struct(F.lit(k).alias("label"), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col"))
+        made = [single(k, p) for k, p in patterns if p not in lang.lists]
+        each = [_listed(k, p, "label") for k, p in patterns if p in lang.lists]
+        listed = F.filter(F.concat(F.array(*made), *each), lambda h: h["name"] != "")
+        every = of.select("path", "language", "walk_order", "line", "shift", "seq", "before", "braced", F.explode(F.concat(listed, _called(lang))).alias("hit"))
+        return every.select("path", "language", "walk_order", "line", "seq", "before", "braced", "hit.label", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))
 
-    hits = each_language(rows, found, "hits")
-    return hits.select(*rows.columns, f"hit.{label}", "hit.name", (F.col("shift") + F.col("hit.col")).alias("col"))
+    return each_language(rows, found, languages_of(rows) if there is None else there, "hits")
 
 
-def definitions(rows: DataFrame) -> DataFrame:
+def definitions(rows: DataFrame, found: DataFrame) -> DataFrame:
     """path, kind, name, line, col, end_line, and the range [lo, hi) of pieces of
-    each definition; functions in classes promoted to methods, constants dropped
-    where another definition has their name and line."""
-    raw = _hits(rows, lambda lang: list(lang.definitions), "kind").select("path", "language", "walk_order", "kind", "name", "line", "col", "seq", "before", "braced")
+    each definition that ``found`` has in the pieces ``rows``; functions in
+    classes promoted to methods, constants dropped where another definition has
+    their name and line.
+
+    All of it is dealt by path once: a file is bounded, so no path is too hot."""
+    raw = found.where("label not in ('imports', 'calls')").withColumnRenamed("label", "kind").repartition("path")
     first = F.min(F.struct("seq", "col", "language", "walk_order", "before", "braced")).alias("f")
     raw = raw.groupBy("path", "kind", "name", "line").agg(first).select("path", "kind", "name", "line", "f.*")
-    others = raw.where("kind != 'constant'").select("path", "name", "line").distinct()
-    raw = raw.where("kind != 'constant'").unionByName(raw.where("kind = 'constant'").join(others, ["path", "name", "line"], "left_anti"))
+    shadowed = F.max(F.col("kind") != "constant").over(Window.partitionBy("path", "name", "line"))
+    raw = raw.withColumn("_shadowed", shadowed).where("kind != 'constant' or not _shadowed").drop("_shadowed")
     # a range closes at the next piece that is no deeper: with braces the one that brings the
-    # nesting back, with indents the line before it.  Pieces meet the levels that their file's
-    # definitions have, and one running window a level finds the next, without pairing rows.
-    full = rows.where("not blank").select("path", F.col("seq").alias("at"), F.col("line").alias("there"), F.when(F.col("braced"), F.col("after")).otherwise(F.col("before")).alias("low"))
-    in_file = Window.partitionBy("path").orderBy("at")
-    full = full.withColumn("prior", F.lag(F.struct("at", "there")).over(in_file))
-    levels = raw.select("path", F.col("before").alias("level")).distinct()
-    key = F.struct("kind", "name", "line")
-    close = F.struct(F.struct("at", "there").alias("here"), "prior")
-    events = full.join(levels, "path").where("low <= level").select("path", "level", "at", F.lit(1).alias("tie"), close.alias("close"))
-    starts = raw.select("path", F.col("before").alias("level"), F.col("seq").alias("at"), F.when(F.col("braced"), 0).otherwise(2).alias("tie"), key.alias("key"))
+    # nesting back, with indents the line before it; else at the file's last piece.  Pieces meet
+    # the levels that their file's definitions have, and one running window a level finds the
+    # next, without pairing rows.
+    low = F.when(F.col("braced"), F.col("after")).otherwise(F.col("before"))
+    full = rows.where("not blank").select("path", low.alias("low"), F.struct(F.col("seq").alias("at"), F.col("line").alias("there")).alias("here")).repartition("path")
+    in_file = Window.partitionBy("path").orderBy("here.at")
+    full = full.withColumns({"prior": F.lag("here").over(in_file), "last": F.lead("here").over(in_file).isNull()})
+    levels = raw.groupBy("path").agg(F.collect_set("before").alias("levels"))
+    closes = F.explode(F.filter("levels", lambda x: F.col("last") | (F.col("low") <= x))).alias("level")
+    events = full.join(levels, "path").select("path", closes, "low", "here", "prior")
+    before = F.when(F.col("low") <= F.col("level"), F.col("prior")).otherwise(F.col("here"))
+    events = events.select("path", "level", F.col("here.at").alias("at"), F.lit(1).alias("tie"), F.struct("here", before.alias("prior")).alias("close"))
+    rest = F.struct("language", "walk_order", "kind", "name", "line", "col", "braced")
+    starts = raw.select("path", F.col("before").alias("level"), F.col("seq").alias("at"), F.when(F.col("braced"), 0).otherwise(2).alias("tie"), rest.alias("start"))
     backward = Window.partitionBy("path", "level").orderBy(F.desc("at"), F.desc("tie")).rowsBetween(Window.unboundedPreceding, -1)
-    closed = events.unionByName(starts, allowMissingColumns=True).withColumn("next", F.last("close", ignorenulls=True).over(backward)).where("key is not null")
-    closed = closed.select("path", "key.*", "next")
-    tails = full.groupBy("path").agg(F.max(F.struct("at", "there")).alias("tail"))
-    whole = raw.join(closed, ["path", "kind", "name", "line"]).join(tails, "path")
-    end = F.coalesce(F.when(F.col("braced"), F.col("next.here")).otherwise(F.col("next.prior")), F.col("tail"))
-    whole = whole.withColumn("end", end).select("path", "language", "walk_order", "kind", "name", "line", "col", F.col("end.there").cast("int").alias("end_line"), F.col("seq").alias("lo"), (F.col("end.at") + 1).alias("hi"))
+    closed = events.unionByName(starts, allowMissingColumns=True).withColumn("next", F.last("close", ignorenulls=True).over(backward)).where("start is not null")
+    closed = closed.select("path", "start.*", F.col("at").alias("lo"), "next")
+    end = F.coalesce(F.when(F.col("braced"), F.col("next.here")).otherwise(F.col("next.prior")), F.struct(F.col("lo").alias("at"), F.col("line").alias("there")))
+    whole = closed.withColumn("end", end).select("path", "language", "walk_order", "kind", "name", "line", "col", F.col("end.there").cast("int").alias("end_line"), "lo", (F.col("end.at") + 1).alias("hi"))
+    whole = stash(whole, "ranges")
     methods = promoted_methods(whole.where("kind = 'function'"), whole.where("kind in ('class', 'interface')")).select("path", "name", "line", "lo").withColumn("_method", F.lit(True))
     promoted = whole.join(methods, ["path", "name", "line", "lo"], "left")
     return promoted.withColumn("kind", F.when((F.col("kind") == "function") & F.col("_method"), F.lit("method")).otherwise(F.col("kind"))).drop("_method")
 
 
-def calls(rows: DataFrame) -> DataFrame:
-    """path, name, line, col of each call; the places follow from the matches in order."""
+def imports(found: DataFrame) -> DataFrame:
+    """path, language, walk_order, name, line, col of each import, once a line."""
+    named = found.where("label = 'imports'").withColumn("name", text.unquoted(F.col("name")))
+    return named.select("path", "language", "walk_order", "name", "line", "col").dropDuplicates(["path", "name", "line"])
 
-    def found(of: DataFrame, lang: Language) -> DataFrame:
-        skip = ", ".join(f"'{k}'" for k in lang.keywords)
-        pattern = lang.calls.replace("\\", "\\\\").replace("'", "\\'")
-        hits = F.expr(
-            f"filter(aggregate(regexp_extract_all(body, '{pattern}', 1), named_struct('p', 1, 'out', cast(array() as array<struct<name:string,at:int>>)),"
-            " (s, m) -> named_struct('p', locate(m, body, s.p) + length(m), 'out', concat(s.out, array(named_struct('name', m, 'at', locate(m, body, s.p)))))).out,"
-            f" x -> x.name not in ({skip}))"
-        )
-        return of.withColumn("hit", F.explode(hits))
 
-    hits = each_language(rows.where("not blank"), found, "calls")
-    return hits.select("path", "walk_order", "hit.name", "line", "seq", (F.col("shift") + F.octet_length(F.expr("substring(body, 1, hit.at - 1)"))).alias("col"))
+def calls(found: DataFrame) -> DataFrame:
+    """path, name, line, col, seq of each call."""
+    return found.where("label = 'calls'").select("path", "walk_order", "name", "line", "seq", "col")
 
 
 #: What a file gives by itself, whatever the others hold, and which version of it.
@@ -212,17 +236,17 @@ _PARSED = "path string, sha256 string"
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:
     """Definitions, imports and calls (with their callers) of classified files."""
-    rows = lines(files)
-    defs = definitions(rows)
+    there = languages_of(files.where("status = 'parsed'"))
+    rows = lines(files, there)
+    found = hits(rows, there)
+    defs = definitions(rows, found)
     defs = stash(defs.withColumn("id", node_id(F.col("kind"), F.col("name"), F.col("path"), F.col("line"))), "definitions")
-    imported = _hits(rows, lambda lang: [("imports", p) for p in lang.imports], "type").withColumn("name", text.unquoted(F.col("name")))
-    imported = imported.select("path", "language", "walk_order", "name", "line", "col").dropDuplicates(["path", "name", "line"])
     heads = defs.select("path", "name", "line", F.col("lo").alias("seq"))
-    made = calls(rows).join(heads, ["path", "name", "line", "seq"], "left_anti")
+    made = calls(found).join(heads, ["path", "name", "line", "seq"], "left_anti")
     owners = defs.where("kind != 'constant'").select("path", "lo", "hi", "id")
     made = innermost(made.select("path", "name", "line", "col", "seq"), owners, "path", F.col("seq")).withColumnRenamed("enclosing", "src")
     made = made.withColumn("src", F.coalesce("src", F.concat(F.lit("file::"), F.col("path"))))
-    return {"definitions": defs, "imports": stash(imported, "imports"), "calls": made}
+    return {"definitions": defs, "imports": stash(imports(found), "imports"), "calls": made}
 
 
 def build(scan: DataFrame, cache: str | None = None, max_total_bytes: int = 256 << 20) -> Graph:
@@ -230,10 +254,11 @@ def build(scan: DataFrame, cache: str | None = None, max_total_bytes: int = 256
 
     With a ``cache`` folder only files that it has not (by path and SHA-256)
     are extracted, and it holds the facts of all files of this scan afterwards."""
-    files = stash(classified(stash(scan, "scan"), max_total_bytes), "files")
+    measured = {"sha256": F.coalesce(F.sha2("content", 256), F.lit("")), "n_lines": text.line_count(F.col("content").cast("string"))}
+    files = stash(classified(stash(scan, "scan"), max_total_bytes).withColumns(measured), "files")
     if not cache:
         return assemble(files, facts(files))
-    parsed = files.where("status = 'parsed'").select("path", F.sha2("content", 256).alias("sha256"), "walk_order")
+    parsed = files.where("status = 'parsed'").select("path", "sha256", "walk_order")
     old = graph_files.read_cache(files.sparkSession, cache, {"parsed": _PARSED, **_FACTS})
     same = stash(parsed.join(old["parsed"], ["path", "sha256"], "left_semi").select("path", "walk_order"), "same")
     fresh = facts(files.join(same, "path", "left_anti"))
@@ -259,11 +284,10 @@ def assemble(files: DataFrame, found: dict[str, DataFrame]) -> Graph:
     )
     node = lambda df, id_, kind, name, path, language, start, end, error, rank: df.select(id_.alias("id"), kind.alias("kind"), name.alias("name"), path.alias("path"), language.alias("language"), start.cast("int").alias("start_line"), end.cast("int").alias("end_line"), error.alias("error"), rank.alias("rank"))
     none, zero, col = F.lit(""), F.lit(0), F.col
-    content = col("content").cast("string")
     last = F.lit(1 << 40).cast("bigint")
     loose = resolved.where("type = 'references'").select("dst").distinct()
     nodes = (
-        node(known, file_id, F.lit("file"), F.element_at(F.split("path", "/"), -1), col("path"), col("language"), F.lit(1), text.line_count(content), none, col("walk_order"))
+        node(known, file_id, F.lit("file"), F.element_at(F.split("path", "/"), -1), col("path"), col("language"), F.lit(1), col("n_lines"), none, col("walk_order"))
         .unionByName(node(files.where("status = 'unparsed'"), F.concat(file_id, F.lit("#unparsed")), F.lit("unparsed"), col("name"), col("path"), col("language"), zero, zero, col("reason"), col("walk_order")))
         .unionByName(node(defs, col("id"), col("kind"), col("name"), col("path"), col("language"), col("line"), col("end_line"), none, col("walk_order")))
         .unionByName(node(imported, F.concat(F.lit("external::"), "name"), F.lit("external"), col("name"), none, col("language"), zero, zero, none, col("walk_order")))
@@ -271,5 +295,5 @@ def assemble(files: DataFrame, found: dict[str, DataFrame]) -> Graph:
     )
     nodes = first_rows(nodes, ["id"], [col("rank"), col("language")]).drop("rank")
     per_file = defs.groupBy("path").agg(F.count("*").cast("int").alias("nodes"))
-    reports = files.join(per_file, "path", "left").select("path", "status", "language", "reason", col("size").alias("bytes"), F.coalesce(F.sha2("content", 256), none).alias("sha256"), F.coalesce("nodes", zero).alias("nodes"), zero.alias("edges"))
+    reports = files.join(per_file, "path", "left").select("path", "status", "language", "reason", col("size").alias("bytes"), "sha256", F.coalesce("nodes", zero).alias("nodes"), zero.alias("edges"))
     return Graph(nodes, edges, reports)

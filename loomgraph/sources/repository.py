@@ -6,8 +6,9 @@
 The driver lists names (excluded folders are not entered, depth and number of
 sources are bounded: files of a known language and at most ``maxBytes``); tasks
 read the contents, until ``maxSeconds`` after the listing are over.  On a cluster the root has to be
-a folder that all executors see.  Contents are read only if asked for
-(``withContent``), and files over ``maxBytes`` never are.
+a folder that all executors see.  ``withContent`` says whose contents are read: of
+all files (``true``), of none (``false``) or of files of a known language
+(``sources``, which is all that extraction looks at); files over ``maxBytes`` never are.
 """
 
 from __future__ import annotations
@@ -39,6 +40,10 @@ class Chunk(InputPartition):
     until: float
 
 
+def is_source(name: str) -> bool:
+    return "." in name and f".{name.rpartition('.')[2]}".lower() in EXTENSIONS
+
+
 def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, follow: bool = False, max_bytes: int = MAX_BYTES) -> Iterator[tuple]:
     """(path, name, depth, order, size, is_symlink, status, reason), folders and files in sorted order."""
     taken, order, seen = 0, 0, set()
@@ -60,8 +65,7 @@ def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, fo
             sound = not link or os.path.exists(full)
             size = (os.stat if follow and sound else os.lstat)(full).st_size
             reason = "max_files_reached" if taken >= max_files else "symlink" if link and not follow else ""
-            source = "." in name and f".{name.rpartition('.')[2]}".lower() in EXTENSIONS
-            taken += not reason and source and sound and size <= max_bytes
+            taken += not reason and is_source(name) and sound and size <= max_bytes
             yield (name if inside == "." else f"{inside}/{name}", name, depth, order, size, link, "skipped" if reason else "", reason)
             order += 1
 
@@ -73,7 +77,7 @@ class RepositoryReader(DataSourceReader):
         self.root = os.path.realpath(options["root"])
         self.bounds = get("maxFiles", MAX_FILES), get("maxDepth", MAX_DEPTH), get("maxBytes", MAX_BYTES)
         self.excluded = frozenset(options["exclude"].split(",") if "exclude" in options else EXCLUDED)
-        self.with_content = options.get("withcontent", "true") == "true"
+        self.with_content = options.get("withcontent", "true")
         self.follow = options.get("followsymlinks", "false") == "true"
         self.chunk = get("filesPerTask", 64)
         self.seconds = get("maxSeconds", MAX_SECONDS)
@@ -90,7 +94,7 @@ class RepositoryReader(DataSourceReader):
                 status, reason = "skipped", f"file_too_large: {size} > {self.bounds[2]}"
             elif not status and time.time() > partition.until:
                 status, reason = "skipped", "wall_clock_exceeded"
-            elif not status and self.with_content:
+            elif not status and (self.with_content == "true" or self.with_content == "sources" and is_source(name)):
                 try:
                     with open(os.path.join(partition.root, path), "rb") as f:
                         content = f.read(self.bounds[2] + 1)

@@ -191,11 +191,12 @@ def test_every_language(spark, tmp_path):
     assert {r.language: r.status for r in files.collect()} == dict.fromkeys(SAMPLES, "parsed")
     rows = extract.lines(files).persist()
     defined, called, imported = {}, {}, {}
-    for r in extract.definitions(rows).collect():
+    hits = extract.hits(rows).persist()
+    for r in extract.definitions(rows, hits).collect():
         defined.setdefault(r.language, set()).add(r.name)
-    for r in extract.calls(rows).collect():
+    for r in extract.calls(hits).collect():
         called.setdefault(r.path.split("/")[0], set()).add(r.name)
-    for r in extract._hits(rows, lambda lang: [("imports", p) for p in lang.imports], "type").collect():
+    for r in extract.imports(hits).collect():
         imported.setdefault(r.language, set()).add(r.name.strip('"'))
     for k, (_, names, call, module) in SAMPLES.items():
         assert names <= defined[k], (k, defined[k])

@@ -145,7 +145,8 @@ def _listed(kind: str, pattern: str, label: str) -> Column:
     before = lambda k: F.octet_length(F.array_join(F.slice(items, F.lit(1), k), ",")) + F.when(k > 0, 1).otherwise(0)
     name = lambda x: F.regexp_extract(x, r"^\s*([^\s,]+)", 1)
     blank = lambda x: F.octet_length(F.regexp_extract(x, r"^(\s*)", 1))
-    return F.transform(items, lambda x, k: F.struct(F.lit(kind).alias(label), name(x).alias("name"), (start + before(k) + blank(x)).alias("col")))
+    listed = F.transform(items, lambda x, k: F.struct(F.lit(kind).alias(label), name(x).alias("name"), (start + before(k) + blank(x)).alias("col")))
+    return F.when(F.rlike("body", F.lit(pattern)), listed).otherwise(F.array().cast(f"array<struct<{label}:string,name:string,col:int>>"))
 
 
 def _called(lang: Language) -> Column:
@@ -166,7 +167,9 @@ def hits(rows: DataFrame, there: list[Language] | None = None) -> DataFrame:
 
     def found(of: DataFrame, lang: Language) -> DataFrame:
         patterns = [*lang.definitions, *(("imports", p) for p in lang.imports)]
-        single = lambda k, p: F.struct(F.lit(k).alias("label"), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col"))
+        hit = lambda k, p: F.struct(F.lit(k).alias("label"), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col"))
+        # most pieces meet no pattern, and are looked at once for each
+        single = lambda k, p: F.when(F.rlike("body", F.lit(p)), hit(k, p))
         made = [single(k, p) for k, p in patterns if p not in lang.lists]
         each = [_listed(k, p, "label") for k, p in patterns if p in lang.lists]
         listed = F.filter(F.concat(F.array(*made), *each), lambda h: h["name"] != "")

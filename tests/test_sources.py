@@ -34,38 +34,73 @@ SHOP = {
     "shop/wrong.py": "def wrong(:\n    oops(((\n",
     "web/page.js": 'import { show } from "./view.js";\n\nexport function load(id) {\n  return show(id);\n}\n',
     "web/view.js": "export function show(id) {\n  return fetch(id);\n}\n",
+    "till/till.go": 'package shop\n\nimport "fmt"\n\ntype Till struct{}\n\nfunc (t Till) Ring(n int) {\n\tfmt.Println(n)\n}\n\nfunc start() {\n\tt := Till{}\n\tt.Ring(2)\n}\n',
+    "shop/loop.py": "def again():\n    return again()\n",
     "notes.csv": "a,b\n",
     "README.md": "x",
 }
 
 
 def test_graph_of_a_small_tree(spark, tmp_path):
+    """All nodes and edges with their places, and no others."""
     graph = extract.build(scan(spark, write(tmp_path, SHOP)))
-    nodes = {(r.kind, r.name, r.path, r.start_line, r.end_line) for r in graph.nodes.collect()}
-    assert {
-        ("class", "Cart", "shop/cart.py", 7, 9),
-        ("method", "total", "shop/cart.py", 8, 9),
-        ("function", "sum_up", "shop/cart.py", 12, 13),
-        ("constant", "LIMIT", "shop/cart.py", 4, 4),
-        ("function", "load", "web/page.js", 3, 5),
-        ("external", "decimal", "", 0, 0),
-        ("external", "fetch", "", 0, 0),
-        ("file", "wrong.py", "shop/wrong.py", 1, 3),
-    } <= nodes
-    assert not [n for n in nodes if n[1] in ("wrong", "oops", "README.md")]
-    edges = {(r.src.split("::")[-1], r.type, r.dst.split("::")[-1], r.line, r.col) for r in graph.edges.collect()}
-    assert {
-        ("method:total@8", "calls", "function:sum_up@12", 9, 15),
-        ("method:total@8", "calls", "function:rate@1", 9, 31),
-        ("function:load@3", "calls", "function:show@1", 4, 9),
-        ("function:show@1", "references", "fetch", 2, 9),
-        ("web/page.js", "imports", "./view.js", 1, 22),
-        ("shop/cart.py", "imports", "shop.tax", 2, 5),
-    } <= edges
+    nodes = sorted((r.kind, r.name, r.path, r.start_line, r.end_line) for r in graph.nodes.collect())
+    assert nodes == sorted(
+        [
+            ("file", "cart.py", "shop/cart.py", 1, 14),
+            ("file", "loop.py", "shop/loop.py", 1, 3),
+            ("file", "tax.py", "shop/tax.py", 1, 3),
+            ("file", "wrong.py", "shop/wrong.py", 1, 3),
+            ("file", "till.go", "till/till.go", 1, 15),
+            ("file", "page.js", "web/page.js", 1, 6),
+            ("file", "view.js", "web/view.js", 1, 4),
+            ("class", "Cart", "shop/cart.py", 7, 9),
+            ("class", "Till", "till/till.go", 5, 5),
+            ("method", "total", "shop/cart.py", 8, 9),
+            ("method", "Ring", "till/till.go", 7, 9),
+            ("function", "sum_up", "shop/cart.py", 12, 13),
+            ("function", "again", "shop/loop.py", 1, 2),
+            ("function", "rate", "shop/tax.py", 1, 2),
+            ("function", "start", "till/till.go", 11, 14),
+            ("function", "load", "web/page.js", 3, 5),
+            ("function", "show", "web/view.js", 1, 3),
+            ("constant", "LIMIT", "shop/cart.py", 4, 4),
+            *(("external", name, "", 0, 0) for name in ("decimal", "shop.tax", "fmt", "./view.js", "sum", "Println", "fetch")),
+        ]
+    )
+    edges = sorted((r.src.split("::")[-1], r.type, r.dst.split("::")[-1], r.line, r.col) for r in graph.edges.collect())
+    assert edges == sorted(
+        [
+            ("shop/cart.py", "defines", "constant:LIMIT@4", 4, 0),
+            ("shop/cart.py", "defines", "class:Cart@7", 7, 0),
+            ("shop/cart.py", "defines", "method:total@8", 8, 4),
+            ("shop/cart.py", "defines", "function:sum_up@12", 12, 0),
+            ("shop/loop.py", "defines", "function:again@1", 1, 0),
+            ("shop/tax.py", "defines", "function:rate@1", 1, 0),
+            ("till/till.go", "defines", "class:Till@5", 5, 5),
+            ("till/till.go", "defines", "method:Ring@7", 7, 0),
+            ("till/till.go", "defines", "function:start@11", 11, 0),
+            ("web/page.js", "defines", "function:load@3", 3, 7),
+            ("web/view.js", "defines", "function:show@1", 1, 7),
+            ("shop/cart.py", "imports", "decimal", 1, 7),
+            ("shop/cart.py", "imports", "shop.tax", 2, 5),
+            ("till/till.go", "imports", "fmt", 3, 7),
+            ("web/page.js", "imports", "./view.js", 1, 22),
+            ("method:total@8", "calls", "function:sum_up@12", 9, 15),
+            ("method:total@8", "calls", "function:rate@1", 9, 31),
+            ("function:start@11", "calls", "method:Ring@7", 13, 3),
+            ("function:load@3", "calls", "function:show@1", 4, 9),
+            ("function:sum_up@12", "references", "sum", 13, 11),
+            ("method:Ring@7", "references", "Println", 8, 5),
+            ("function:show@1", "references", "fetch", 2, 9),
+        ]
+    )
     files = {r.path: (r.status, r.reason) for r in graph.files.collect()}
     assert files["shop/wrong.py"] == ("partial", "syntax_errors_present")
     assert files["notes.csv"] == ("unsupported", "no grammar for '.csv'")
     assert "README.md" not in files
+    sources = extract.build(scan(spark, tmp_path, withContent="sources"))
+    assert sorted(map(tuple, sources.edges.collect())) == sorted(map(tuple, graph.edges.collect()))
 
     graph_files.write(graph, str(tmp_path / "out"))
     again = graph_files.read(spark, str(tmp_path / "out"))

@@ -30,12 +30,12 @@ from loomgraph.sources.repository import RepositorySource
 OK, FAILED, REFUSED, NOT_CONFIGURED, INTERRUPTED = 0, 1, 2, 78, 130
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, contents: str = "true") -> DataFrame:
     ship(spark)
     spark.dataSource.register(RepositorySource)
     limits = settings.of(settings.Limits, spark)
     bounds = {"maxFiles": limits.max_files, "maxBytes": limits.max_file_bytes, "maxDepth": limits.max_depth, "maxSeconds": limits.max_wall_seconds}
-    return spark.read.format("repository").options(root=root, **bounds).load()
+    return spark.read.format("repository").options(root=root, withContent=contents, **bounds).load()
 
 
 def parser() -> argparse.ArgumentParser:
@@ -76,7 +76,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.verb == "doctor":
         return {"languages": [lang.name for lang in LANGUAGES], "spark": spark.version}
     if args.verb == "map":
-        built = extract.build(scan(spark, args.root), args.cache, settings.of(settings.Limits, spark).max_total_bytes)
+        built = extract.build(scan(spark, args.root, "sources"), args.cache, settings.of(settings.Limits, spark).max_total_bytes)
         graph_files.write(built, args.graph)
         return Engine(graph_files.read(spark, args.graph)).stats()
     if args.verb == "stacks":

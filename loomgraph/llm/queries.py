@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import bloom_lookup, mil_quality, packing, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
+from loomgraph.llm import alignment, bloom_lookup, mil_quality, packing, phrases, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
 from loomgraph.llm.common import delete_at_exit, shared_dir, table
 
 
@@ -83,6 +83,14 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *map(count, secret_ledger.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), least=100, longest=5, top=2000, share=100)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -96,6 +104,8 @@ QUERIES = {
         op8_iblt_fingerprint,
         op9_quality_mil,
         op10_secret_ledger,
+        op12_token_alignment,
+        op13_collocations,
     )
 }
 
@@ -120,5 +130,24 @@ select page_id, host, path,
        (select h || p from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1) as rule,
        coalesce((select v from r where (host = h or ends_with(host, '.' || h)) and starts_with(path, p) order by length(h || p) desc, length(h) desc limit 1), 'allow') as verdict
 from u
+""",
+    "op13_collocations": """
+with d as (select coalesce(lang, 'und') as lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents),
+p as (select lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') as w from d),
+s as (select lang, w, unnest(range(1, len(w) + 1)) as i from p),
+g as (select lang, w[i : i + m - 1] as g from s, (values (1), (2), (3), (4), (5)) v(m) where i + m - 1 <= len(w)),
+f as (select lang, g, count(*) as f from g group by all),
+t as (select lang, sum(f) as n from f where len(g) = 1 group by lang),
+c as (select lang, g, f as a from f where len(g) > 1 and f >= 100),
+e as (select lang, g, a, unnest(range(2, len(g))) as m from c where len(g) > 2),
+b as (select lang, g, a, m, unnest(range(1, len(g) - m + 2)) as s from e),
+z as (select lang, g[s : s + m - 1] as g, max(a) as longer from b group by all),
+k as (select c.* from c left join z using (lang, g) where longer is null or 100 * longer < 100 * a),
+u as (select lang, g, a, unnest(range(1, len(g))) as k from k),
+v as (select u.lang, u.g, u.a, u.k, l.f as l, r.f as r, t.n, (1000::hugeint * u.a * t.n) // (l.f::hugeint * r.f) as score
+      from u join f l on l.lang = u.lang and l.g = u.g[1 : u.k] join f r on r.lang = u.lang and r.g = u.g[u.k + 1 : len(u.g)] join t on t.lang = u.lang),
+y as (select *, row_number() over (partition by lang, g order by score, k) as best from v),
+q as (select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score from y where best = 1)
+select * from (select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, cast(n as bigint) as n, cast(score as bigint) as score from q) where rank <= 2000
 """,
 }

@@ -28,8 +28,11 @@ import json
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 import tiktoken
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from loomgraph.llm.common import small_batches, stash
+from loomgraph.llm.common import stash
 
 #: Pairs of ids that are broadcast at most.
 MOST_PAIRS = 4_000_000
@@ -89,85 +92,157 @@ class Pieces:
         return self.model.encode(text, num_threads=1)
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @cache
 def _reader(kind: type, path: str) -> ByteLevel | Pieces:
     return kind(path)
 
 
-def _ids(kind: type, path: str):
-    """Ids of each text; none where their bytes are not a space and the text."""
+def _narrow(byte_level: str, pieces: str) -> bool:
+    """Whether ids fit 16 bits."""
+    return max(*_reader(ByteLevel, byte_level).bytes, *_reader(Pieces, pieces).bytes) < 1 << 16
+
+
+def _tokenized(byte_level: str, pieces: str, narrow: bool):
+    """Ids of both, one after the other, and how many are the first's; none where
+    either's bytes are not a space and the text."""
+    kind = T.ShortType() if narrow else T.IntegerType()
 
-    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    @F.arrow_udf(T.StructType([T.StructField("n_a", T.IntegerType()), T.StructField("tokens", T.ArrayType(kind))]))
     def ids(texts: pa.Array) -> pa.Array:
-        reader = _reader(kind, path)
-        found = []
+        readers = _reader(ByteLevel, byte_level), _reader(Pieces, pieces)
+        sizes, found = [], []
         for text in texts.to_pylist():
-            of = reader.ids(text) if text else []
-            found.append(of if b"".join(map(reader.bytes.__getitem__, of)) == b" " + (text or "").encode() else [])
-        return pa.array(found, pa.list_(pa.int32()))
+            both = [r.ids(text) if text else [] for r in readers]
+            whole = b" " + (text or "").encode()
+            if any(b"".join(map(r.bytes.__getitem__, of)) != whole for r, of in zip(readers, both)):
+                both = [[], []]
+            sizes.append(len(both[0]))
+            found.append(np.array(both[0] + both[1], np.uint16 if narrow else np.int32))
+        ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
+        ids = np.concatenate([*found, np.empty(0, np.uint16 if narrow else np.int32)])
+        return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(ids.view(np.int16) if narrow else ids))], ["n_a", "tokens"])
+
+    # evaluated once, before the texts' ids move
+    return ids.asNondeterministic()
+
+
+def held_tokens(docs: DataFrame, byte_level: str, pieces: str, task_bytes: int) -> DataFrame:
+    """key, doc_id, n_a, tokens dealt by key, those of ``task_bytes`` of text or so in each part."""
+    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", _tokenized(byte_level, pieces, _narrow(byte_level, pieces))("text").alias("t"))
+    rows = rows.select("key", "doc_id", "t.n_a", "t.tokens")
+    # in order already, so that the windows have little to sort
+    return rows.repartition(max(1, math.ceil(size / task_bytes)), "key").sortWithinPartitions("key")
 
-    return ids
 
+def _tokens(held: DataFrame, kind: type, path: str, side: str, narrow: bool) -> DataFrame:
+    """key, end, place and id of each token; the last one of a document, or else a
+    row without a token, has its doc_id and all its ids.
 
-def _tokens(held: DataFrame, kind: type, path: str, side: str) -> DataFrame:
-    """key, end, place and id of each token; the last one of a document has all its ids."""
+    Both sides read all columns, so that they share one shuffle."""
     spark = held.sparkSession
     # bounded by the vocabulary
     lengths = F.broadcast(spark.createDataFrame([(i, len(b)) for i, b in _reader(kind, path).bytes.items()], f"{side} int, length int"))
-    rows = held.select("key", _ids(kind, path)("text").alias("all")).select("key", "all", F.posexplode("all").alias("place", side))
-    rows = rows.select("key", "place", side, F.when(F.col("place") == F.size("all") - 1, F.col("all")).alias(f"{side}_all")).join(lengths, side)
+    whole = lambda c: c.cast("int").bitwiseAND(F.lit(0xFFFF)) if narrow else c
+    n_a = F.col("n_a")
+    own = F.slice("tokens", F.lit(1), n_a) if side == "a" else F.slice("tokens", n_a + 1, F.size("tokens") - n_a)
+    rows = held.select("key", "doc_id", own.alias("all")).select("key", "doc_id", "all", F.posexplode_outer("all").alias("place", "id"))
+    last = F.col("place").isNull() | (F.col("place") == F.size("all") - 1)
+    rows = rows.select("key", "place", whole(F.col("id")).alias(side), F.when(last, F.struct("doc_id", "all")).alias(f"{side}_last"))
+    rows = rows.join(lengths, side, "left")
     end = F.sum("length").over(Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("key", end.alias("end"), F.col("place").alias(f"{side}_place"), side, f"{side}_all")
-
-
-def held_texts(docs: DataFrame, task_bytes: int) -> DataFrame:
-    """key, doc_id, text dealt by key, ``task_bytes`` of text or so in each part."""
-    size = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    rows = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text")
-    return rows.repartition(max(1, math.ceil(size / task_bytes)), "key").sortWithinPartitions("key")
+    return rows.select("key", end.alias("end"), F.col("place").alias(f"{side}_place"), side, f"{side}_last")
 
 
 def cuts(held: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     """key, ``group`` (from 1), ``end`` (bytes), ``a``, ``b`` (the linked ids), ``a_place``,
-    ``b_place`` (theirs, from 0), ``a_from``, ``b_from`` (the group's first tokens)
-    of each place where tokens of both end; ``a_all``, ``b_all`` in a document's last."""
-    a, b = _tokens(held, ByteLevel, byte_level, "a"), _tokens(held, Pieces, pieces, "b")
-    both = a.join(b.hint("merge"), ["key", "end"])
-    in_order = Window.partitionBy("key").orderBy("end")
-    after = lambda place: F.coalesce(F.lag(place).over(in_order) + 1, F.lit(0)).alias(place.replace("place", "from"))
-    return both.select("*", F.row_number().over(in_order).alias("group"), after("a_place"), after("b_place"))
+    ``b_place`` (theirs, from 0) of each place where tokens of both end, in order
+    within a key; ``a_last``, ``b_last`` (doc_id, all ids) in a document's last,
+    which is always a cut.  A document without tokens has one row without places."""
+    narrow = _narrow(byte_level, pieces)
+    a, b = _tokens(held, ByteLevel, byte_level, "a", narrow), _tokens(held, Pieces, pieces, "b", narrow)
+    # the parts are bounded, and a hash join keeps the order that the next window needs
+    both = a.join(b.hint("shuffle_hash"), ["key", "end"], "left").where("b is not null or a is null")
+    return both.withColumn("group", F.row_number().over(Window.partitionBy("key").orderBy("a_place")))
+
+
+def grouped(a: np.ndarray, b: np.ndarray, a_last: np.ndarray, b_last: np.ndarray) -> bytes:
+    """Groups as text, from the ids of both and the last token of each group:
+    ids with commas, the two sides with a bar, groups with semicolons."""
+    n = np.arange(len(a_last))
+    size_a, size_b = np.diff(a_last, prepend=-1), np.diff(b_last, prepend=-1)
+    group_a, group_b = np.repeat(n, size_a), np.repeat(n, size_b)
+    seat_a = np.arange(len(a)) + (b_last - size_b + 1)[group_a]
+    seat_b = np.arange(len(b)) + (a_last + 1)[group_b]
+    ids, marks = np.empty(len(a) + len(b), np.int64), np.full(len(a) + len(b), ord(","), np.uint8)
+    ids[seat_a], ids[seat_b] = a, b
+    marks[seat_a[a_last]], marks[seat_b[b_last]] = ord("|"), ord(";")
+    digits = _digits(int(ids.max()).bit_length())
+    text = np.concatenate((digits[ids], marks[:, None]), axis=1).ravel()
+    return text[text > 0][:-1].tobytes()
 
 
-@F.arrow_udf(T.StringType())
-def _spelled(a: pa.Array, b: pa.Array, a_last: pa.Array, b_last: pa.Array) -> pa.Array:
-    """Groups as text: ids with commas, the two sides with a bar, groups with semicolons."""
-
-    def one(a, b, a_last, b_last):
-        a, b = list(map(str, a)), list(map(str, b))
-        starts = zip([0, *(x + 1 for x in a_last)], [0, *(x + 1 for x in b_last)])
-        return ";".join([f"{','.join(a[i : x + 1])}|{','.join(b[j : y + 1])}" for (i, j), x, y in zip(starts, a_last, b_last)])
-
-    return pa.array(map(one, a.to_pylist(), b.to_pylist(), a_last.to_pylist(), b_last.to_pylist()), pa.string())
+@cache
+def _digits(bits: int) -> np.ndarray:
+    """The digits of all numbers of so many bits, zeros after them."""
+    names = np.array([str(k).encode() for k in range(1 << bits)])
+    return names.view(np.uint8).reshape(len(names), -1)
+
+
+def _documents(narrow: bool):
+    """A row for each key, from its cuts in order; the row with ``all_a`` is its last."""
+
+    def ids(col: pa.ListArray, at: int) -> np.ndarray:
+        found = col.values.to_numpy(zero_copy_only=False)[col.offsets[at].as_py() : col.offsets[at + 1].as_py()]
+        return (found.view(np.uint16) if narrow else found).astype(np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for batch in batches:
+            places = [batch[c].to_numpy(zero_copy_only=False) for c in ("a_place", "b_place")]
+            every_a, every_b, out, start = batch["all_a"], batch["all_b"], [], 0
+            for at in np.flatnonzero(every_a.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                held.append(tuple(x[start : at + 1] for x in places))
+                start = at + 1
+                a = ids(every_a, at)
+                if len(a):
+                    b = ids(every_b, at)
+                    a_last, b_last = (np.concatenate(x) for x in zip(*held))
+                    pairs, times = np.unique((a[a_last] << 32) | b[b_last], return_counts=True)
+                    out.append((at, len(a), len(b), batch["group"][at].as_py(), grouped(a, b, a_last, b_last), pairs, times))
+                else:
+                    out.append((at, 0, 0, 0, None, np.empty(0, np.int64), np.empty(0, np.int64)))
+                held = []
+            held.append(tuple(x[start:].copy() for x in places))
+            if out:
+                at, n_a, n_b, n_groups, groups, pairs, times = zip(*out)
+                each = pa.StructArray.from_arrays([pa.array(np.concatenate(pairs)), pa.array(np.concatenate(times).astype(np.int64))], ["pair", "times"])
+                ends = pa.array(np.cumsum([0, *map(len, pairs)]), pa.int32())
+                rows = batch.select(["key", "doc_id"]).take(pa.array(at))
+                columns = [*rows.columns, *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(groups, pa.binary()).cast(pa.string()), pa.ListArray.from_arrays(ends, each)]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc_id", "n_a", "n_b", "n_groups", "groups", "pairs"])
+
+    return run
 
 
 def aligned(docs: DataFrame, byte_level: str, pieces: str, task_bytes: int = 4 << 20) -> DataFrame:
-    """key, doc_id, n_a, n_b, n_groups, groups (text), a_links, b_links of every row."""
-    small_batches(docs.sparkSession, 500)
-    held = held_texts(docs, task_bytes)
-    found = cuts(held, byte_level, pieces)
-    # a document's groups in order, each with its last tokens of both
-    cut = F.struct("group", "a_place", "b_place")
-    docs_of = found.groupBy("key").agg(F.sort_array(F.collect_list(cut)).alias("cuts"), F.any_value("a_all", F.lit(True)).alias("a_all"), F.any_value("b_all", F.lit(True)).alias("b_all"))
-    docs_of = docs_of.select(
-        "key",
-        F.size("a_all").alias("n_a"),
-        F.size("b_all").alias("n_b"),
-        F.size("cuts").alias("n_groups"),
-        _spelled("a_all", "b_all", "cuts.a_place", "cuts.b_place").alias("groups"),
-        F.transform("cuts", lambda c: F.get("a_all", c["a_place"])).alias("a_links"),
-        F.transform("cuts", lambda c: F.get("b_all", c["b_place"])).alias("b_links"),
-    )
-    return held.select("key", "doc_id").join(docs_of.hint("merge"), "key", "left")
+    """key, doc_id, n_a, n_b, n_groups, groups (text) and pairs of every row:
+    ``pairs`` has each linked pair once, as one number, and how many ``times``."""
+    found = cuts(held_tokens(docs, byte_level, pieces, task_bytes), byte_level, pieces)
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    rows = found.select("key", F.coalesce("a_last.doc_id", "b_last.doc_id").alias("doc_id"), "group", zero("a_place"), zero("b_place"), F.col("a_last.all").alias("all_a"), F.col("b_last.all").alias("all_b"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(_documents(_narrow(byte_level, pieces)), f"key long, doc_id {kind}, n_a long, n_b long, n_groups long, groups string, pairs array<struct<pair:long,times:long>>")
 
 
 def most_pairs(byte_level: str, pieces: str) -> int:
@@ -179,23 +254,21 @@ def most_pairs(byte_level: str, pieces: str) -> int:
 
 def linked(docs: DataFrame, byte_level: str, pieces: str, task_bytes: int = 4 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
-    n = lambda c: F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(c)
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     digest = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
-    rows = aligned(docs, byte_level, pieces, task_bytes).select("key", "doc_id", n("n_a"), n("n_b"), n("n_groups"), digest, "a_links", "b_links")
-    rows = stash(rows, "aligned")
-    pair = lambda outer: (F.explode_outer if outer else F.explode)(F.arrays_zip("a_links", "b_links"))
-    counts = rows.select(pair(False).alias("p")).groupBy("p.a_links", "p.b_links").agg(F.count("*").alias("n"))
-    counts = stash(counts.select(F.col("a_links").alias("a"), F.col("b_links").alias("b"), "n"), "pairs")
-    best = counts.groupBy("b").agg(F.max("n").alias("most"))
+    # rows dealt by document alone meet by document and end where they are
+    with _set(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        rows = stash(aligned(docs, byte_level, pieces, task_bytes).select("key", "doc_id", "n_a", "n_b", "n_groups", digest, "pairs"), "aligned")
+    counts = stash(rows.select(F.inline("pairs")).groupBy("pair").agg(F.sum("times").alias("n")), "pairs")
+    b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))
+    best = counts.groupBy(b.alias("b")).agg(F.max("n").alias("most"))
     # one row for each piece: bounded by the vocabulary
-    counts = counts.join(F.broadcast(best), "b").select("a", "b", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
+    counts = counts.withColumn("b", b).join(F.broadcast(best), "b").select("pair", "n", (F.col("n") == F.col("most")).cast("long").alias("best"))
     if most_pairs(byte_level, pieces) <= MOST_PAIRS:
         counts = F.broadcast(counts)
-    every = rows.select("key", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256", pair(True).alias("p"))
-    every = every.select("*", F.col("p.a_links").alias("a"), F.col("p.b_links").alias("b")).join(counts, ["a", "b"], "left")
-    zero = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
-    summed = every.groupBy("key", "doc_id", "n_a", "n_b", "n_groups", "groups_sha256").agg(F.count("n").alias("n_links"), zero("best").alias("n_best"), zero("n").alias("count_sum"))
-    return summed.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    every = rows.select("key", F.inline("pairs")).join(counts, "pair")
+    sums = every.groupBy("key").agg(F.sum("times").alias("n_links"), F.sum(F.col("times") * F.col("best")).alias("n_best"), F.sum(F.col("times") * F.col("n")).alias("count_sum"))
+    return rows.join(sums, "key", "left").select("doc_id", "n_a", "n_b", "n_groups", zero("n_links"), zero("n_best"), zero("count_sum"), "groups_sha256")
 
 
 def tokenizers_of(spark: SparkSession, byte_level: str, pieces: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomgraph.llm import alignment, bloom_lookup, mil_quality, packing, phrases, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
+from loomgraph.llm import alignment, bloom_lookup, mil_quality, packing, phrases, pii, pivotal_mix, pu_toxicity, secret_ledger, simhash, substring_dedup, tiff_pages, url_filter
 from loomgraph.llm.common import delete_at_exit, shared_dir, table
 
 
@@ -83,6 +83,14 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("path").alias("doc_id"), *map(count, secret_ledger.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+def op11_pii_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.spans(table(spark, sf_dir, "documents").select("doc_id", "text"), reach=8, least=3, generalise=0.6, remove=0.9)
+    count = lambda kind: F.size(F.filter("_spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    base = F.filter("_spans", lambda s: s["kind"].isin(*pii.BASE))
+    return found.select(F.col("row.doc_id").alias("doc_id"), *map(count, pii.BASE), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("_spans")).alias("spans"))
+
+
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.linked(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -104,6 +112,7 @@ QUERIES = {
         op8_iblt_fingerprint,
         op9_quality_mil,
         op10_secret_ledger,
+        op11_pii_sanitise,
         op12_token_alignment,
         op13_collocations,
     )

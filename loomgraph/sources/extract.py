@@ -1,11 +1,11 @@
 """Definitions, imports and calls of source files, as joins over a table of lines.
 
-Files explode to lines; the patterns of their language find definitions,
-imports and calls; running sums of braces (or indents) give each definition
-its range; interval joins promote functions to methods and find the caller of
-each call; ``resolve_calls`` binds the calls.  Nothing runs outside Spark's
-own expressions.  Files with unbalanced brackets are ``partial`` and give
-their file node only.
+A scan of each file blanks strings and comments (``lexical``).  Files explode to
+lines; the patterns of their language find definitions, imports and calls;
+running sums of braces (or indents) give each definition its range; interval
+joins promote functions to methods and find the caller of each call;
+``resolve_calls`` binds the calls.  Files with unbalanced brackets are
+``partial``, and give what is outside of the damage.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from loomgraph.operators.resolve import innermost, promoted_methods, resolve_cal
 from loomgraph.operators.windows import running_sum
 from loomgraph.plans.schema import EDGE_COLUMNS, Graph, first_rows, node_id
 from loomgraph.plans.storage import stash
-from loomgraph.sources import graph_files
+from loomgraph.sources import graph_files, lexical
 from loomgraph.sources.languages import EXTENSIONS, LANGUAGES, NOISE, Language
 
 
@@ -45,7 +45,7 @@ def each_language(rows: DataFrame, make: Callable[[DataFrame, Language], DataFra
 
 
 def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
-    """Status and language of each scanned file; unknown extensions are
+    """Status, language and scanned code of each file; unknown extensions are
     ``unsupported``, noise is left out.
 
     Only sources that were read count towards ``max_total_bytes``: the first one
@@ -64,61 +64,53 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
     else:
         files = files.withColumn("_used", F.lit(0))
     files = files.where(~counted | (F.col("_used") - F.col("size") <= max_total_bytes))
+    readable = counted & (F.col("_used") <= max_total_bytes) & ~has_nul & F.is_valid_utf8("content")
+    by_indent = F.col("language").isin(*(lang.name for lang in LANGUAGES if lang.nesting == "indent"))
+    files = files.withColumn("_scan", lexical.scan(F.when(readable, F.col("content").cast("string")), "language", by_indent))
     why = (
         F.when(F.col("language") == "", F.struct(F.lit("unsupported").alias("s"), F.concat(F.lit("no grammar for '"), ext, F.lit("'")).alias("r")))
         .when(known, F.struct(F.col("status").alias("s"), F.col("reason").alias("r")))
         .when(F.col("_used") > max_total_bytes, F.struct(F.lit("skipped").alias("s"), F.lit("total_bytes_exceeded").alias("r")))
         .when(has_nul, F.struct(F.lit("skipped").alias("s"), F.lit("binary").alias("r")))
         .when(~F.is_valid_utf8("content"), F.struct(F.lit("unparsed").alias("s"), F.lit("utf8_decode_error").alias("r")))
-        .when(_unbalanced(), F.struct(F.lit("partial").alias("s"), F.lit("syntax_errors_present").alias("r")))
+        .when(F.col("_scan.broken"), F.struct(F.lit("partial").alias("s"), F.lit("syntax_errors_present").alias("r")))
         .otherwise(F.struct(F.lit("parsed").alias("s"), F.lit("").alias("r")))
     )
-    return files.withColumn("_why", why).withColumns({"status": F.col("_why.s"), "reason": F.col("_why.r")}).drop("_why", "_used")
-
-
-def _code(column: Column, comment: str = "") -> Column:
-    """Without the insides of strings and without line comments."""
-    # possessive, so that a long string needs no deep stack
-    plain = F.regexp_replace(column, r"""'[^'\\\n]*+(?:\\.[^'\\\n]*+)*+'|"[^"\\\n]*+(?:\\.[^"\\\n]*+)*+\"""", '""')
-    return F.regexp_replace(plain, comment + ".*", "") if comment else plain
+    found = {"status": F.col("_why.s"), "reason": F.col("_why.r"), "code": F.col("_scan.code"), "within": F.col("_scan.within")}
+    return files.withColumn("_why", why).withColumns(found).drop("_why", "_used", "_scan")
 
 
 def _count(column: Column, mark: str) -> Column:
     return F.length(column) - F.length(F.replace(column, F.lit(mark), F.lit("")))
 
 
-_COMMENTS = sorted({lang.comment for lang in LANGUAGES})
-
-
-def _unbalanced() -> Column:
-    text = F.col("content").try_cast("string")
-    of = lambda comment: [lang.name for lang in LANGUAGES if lang.comment == comment]
-    code = reduce(lambda c, m: c.when(F.col("language").isin(*of(m)), _code(text, m)), _COMMENTS[1:], F.when(F.col("language").isin(*of(_COMMENTS[0])), _code(text, _COMMENTS[0])))
-    # stripped once for each file
-    return F.element_at(F.transform(F.array(code), lambda c: reduce(Column.__or__, (_count(c, a) != _count(c, b) for a, b in ("()", "[]", "{}")))), 1)
+#: Files that give definitions, imports and calls.
+_READ = "status in ('parsed', 'partial')"
 
 
 def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
     """Pieces of lines: ``line``, ``shift`` (bytes before the piece), ``seq`` (its
-    place in the file), ``body``, and the nesting ``before`` and ``after`` it.
+    place in the file), ``body``, the nesting ``before`` and ``after`` it, and
+    whether its line starts ``within`` brackets or a string.  The braces of a
+    broken file say nothing, so its indents nest.
 
     Where braces nest, a line is cut after each of ``{``, ``}`` and ``;``, so
     that several definitions on a line are each at the start of a piece."""
-    parsed = files.where("status = 'parsed'")
+    parsed = files.where(_READ)
     return each_language(parsed, _lines, languages_of(parsed) if there is None else there, "lines")
 
 
 def _lines(files: DataFrame, lang: Language) -> DataFrame:
     # dealt by path as whole contents, which the running sums of their lines can use
-    whole = files.select("path", "language", "walk_order", "content").repartition("path")
-    split = whole.select("path", "language", "walk_order", F.posexplode(F.split(F.col("content").cast("string"), "\r?\n", -1)).alias("at", "whole"))
-    braced = F.lit(lang.nesting == "brace")
-    pieces = F.when(braced, F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole"))
-    split = split.withColumn("braced", braced).withColumn("pieces", pieces)
-    split = split.select("path", "language", "walk_order", "braced", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
+    whole = files.select("path", "language", "walk_order", "status", "code", "within").repartition("path")
+    each = F.arrays_zip(F.split("code", "\r?\n", -1).alias("whole"), F.col("within").alias("within"))
+    split = whole.select("path", "language", "walk_order", "status", F.posexplode(each).alias("at", "each"))
+    split = split.select("path", "language", "walk_order", "at", "each.whole", "each.within", (F.lit(lang.nesting == "brace") & (F.col("status") == "parsed")).alias("braced"))
+    split = split.withColumn("pieces", F.when(F.col("braced"), F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole")))
+    split = split.select("path", "language", "walk_order", "braced", "within", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
     shift = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), ""))
-    code = _code(F.col("body"), lang.comment)
-    split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", F.trim(code) == "").withColumn("shift", shift)
+    code = F.col("body")
+    split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", (F.trim(code) == "") & ~F.col("within")).withColumn("shift", shift)
     split = split.withColumn("seq", F.col("at").cast("bigint") * (1 << 20) + F.col("nth")).withColumn("line", F.col("at") + 1)
     after = F.sum("change").over(Window.partitionBy("path").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0))
     indent = F.length(F.regexp_extract("body", r"^(\s*)", 1))
@@ -132,6 +124,7 @@ def _lines(files: DataFrame, lang: Language) -> DataFrame:
         "seq",
         "body",
         "blank",
+        "within",
         F.when(F.col("braced"), F.col("total") - F.col("change")).otherwise(indent).alias("before"),
         F.when(F.col("braced"), F.col("total")).otherwise(indent).alias("after"),
         "braced",
@@ -195,7 +188,7 @@ def definitions(rows: DataFrame, found: DataFrame) -> DataFrame:
     # nesting back, with indents the line before it; else at the file's last piece.  Pieces meet
     # the levels that their file's definitions have, and one running window a level finds the
     # next, without pairing rows.
-    low = F.when(F.col("braced"), F.col("after")).otherwise(F.col("before"))
+    low = F.when(F.col("braced"), F.col("after")).when(F.col("within"), 1 << 30).otherwise(F.col("before"))
     full = rows.where("not blank").select("path", low.alias("low"), F.struct(F.col("seq").alias("at"), F.col("line").alias("there")).alias("here")).repartition("path")
     in_file = Window.partitionBy("path").orderBy("here.at")
     full = full.withColumns({"prior": F.lag("here").over(in_file), "last": F.lead("here").over(in_file).isNull()})
@@ -239,7 +232,7 @@ _PARSED = "path string, sha256 string"
 
 def facts(files: DataFrame) -> dict[str, DataFrame]:
     """Definitions, imports and calls (with their callers) of classified files."""
-    there = languages_of(files.where("status = 'parsed'"))
+    there = languages_of(files.where(_READ))
     rows = lines(files, there)
     found = hits(rows, there)
     defs = definitions(rows, found)
@@ -258,7 +251,7 @@ def build(scan: DataFrame, cache: str | None = None, max_total_bytes: int = 256
     With a ``cache`` folder only files that it has not (by path and SHA-256)
     are extracted, and it holds the facts of all files of this scan afterwards."""
     measured = {"sha256": F.coalesce(F.sha2("content", 256), F.lit("")), "n_lines": text.line_count(F.col("content").cast("string"))}
-    files = stash(classified(stash(scan, "scan"), max_total_bytes).withColumns(measured), "files")
+    files = stash(classified(stash(scan, "scan"), max_total_bytes).withColumns(measured).drop("content"), "files")
     if not cache:
         return assemble(files, facts(files))
     parsed = files.where("status = 'parsed'").select("path", "sha256", "walk_order")

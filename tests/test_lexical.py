@@ -1,0 +1,90 @@
+"""The scan of source files: what is blanked, what is kept, and how broken files go on."""
+
+import ast
+import random
+import sysconfig
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+from test_sources import scan, write
+
+from loomgraph.functions.redact import redact, redacted
+from loomgraph.sources import extract, lexical
+from loomgraph.sources.languages import LANGUAGES
+
+
+@pytest.mark.parametrize(
+    ("language", "text", "gone", "kept"),
+    [
+        ("python", 's = """a(b\n  def no(): {"""\nx = f(\'it\\\'s (\') # ((\ny = "a\\\nb("\n', ("a(b", "no", "it", "((", "b("), ("s =", "x = f(", "y =")),
+        ("javascript", "const a = `x ${ `in(` + {b: 1}.b } (`; // ((\nconst r = /[/(]+/g, d = a / b; /* ( */ import x from './y.js';", ("in(", "((", "[/("), ("const a", "d = a / b", "./y.js")),
+        ("go", 'import (\n\t"fmt"\n)\nvar s = `{{`\nvar r = \'{\'\n', ("{{",), ('"fmt"', "var r")),
+        ("rust", "fn f<'a>(x: &'a str) { let s = r#\"a\"{\"#; let c = '{'; }", ('a"{',), ("fn f<'a>", "&'a str", "}")),
+        ("java", 'String s = """\n  {{ "q" (\n  """; char c = \'{\'; // don\'t', ("{{", "don"), ("String s", "char c")),
+        ("cpp", 'auto s = R"x(a)"({)x"; int n = 1\'000; #include "a.h"\n', ("({",), ("int n", "000")),
+        ("c", '#include "own/a.h"\nchar *s = "{(";', ("{(",), ("own/a.h", "char *s")),
+        ("c_sharp", 'var s = @"a""{"; var t = $"{x}(";', ('""{',), ("var s", "var t")),
+        ("ruby", "=begin\ndef no(\n=end\nx = <<~EOS\n  def other(\nEOS\ny = 1 # (\n", ("no", "other", "# ("), ("x =", "y = 1")),
+        ("php", "<p>don't</p><?php # (\n$s = <<<EOT\n{{\nEOT;\nf('(');\n", ("don", "# (", "{{", "'('"), ("$s", "f(")),
+        ("bash", "x='{' # {\ncat <<EOF\n{\nEOF\necho ${#x}\n", ("'{'", "# {", "\n{"), ("x=", "cat", "${#x}")),
+        ("lua", "--[[ ( ]] x = [==[ ( ]==] -- (\nf()", ("( ]]", "( ]=", "-- ("), ("x =", "f()")),
+        ("sql", "select 'it''s (' from t -- (\n", ("it''s", "-- ("), ("select", "from t")),
+    ],
+)
+def test_what_is_blanked(language, text, gone, kept):
+    code, within = lexical.blanked(text, language)
+    assert not [g for g in gone if g in code] and not [k for k in kept if k not in code], code
+    assert [len(x.encode()) for x in code.split("\n")] == [len(x.encode()) for x in text.split("\n")]
+    assert not lexical.scanned(text, language, language == "python")[2]
+
+
+def test_every_language_and_any_text():
+    r = random.Random(3)
+    for lang in LANGUAGES:
+        for _ in range(200):
+            text = "".join(r.choice("'\"`/*#\\\n(){}[]ab é<?=-R$@ \r") for _ in range(r.randrange(60)))
+            code, within, _ = lexical.scanned(text, lang.name, lang.nesting == "indent")
+            assert len(code.encode()) == len(text.encode()) and len(within) == text.count("\n") + 1
+
+
+def test_valid_python_is_whole():
+    """No file that Python reads is broken, and no name is lost."""
+    for path in sorted(Path(sysconfig.get_paths()["stdlib"]).glob("*.py"))[:150]:
+        text = path.read_text("utf-8")
+        code, within, broken = lexical.scanned(text, "python", True)
+        defined = {(n.name, n.lineno) for n in ast.walk(ast.parse(text)) if isinstance(n, (ast.FunctionDef, ast.ClassDef))}
+        lines = code.split("\n")
+        assert not broken and all(name in lines[at - 1] and not within[at - 1] for name, at in defined), path
+
+
+def test_broken_files_keep_the_rest(spark, tmp_path):
+    write(
+        tmp_path,
+        {
+            "a.py": 'def one():\n    """Doc (\n\nof one."""\n    return two("f(x)")\n\nbad = [1, (2,\n\ndef two(\n    x,\n):\n    return three(\n        x)\n\nclass C:\n    def three(self): pass\n',
+            "b.js": "function four() {\n  return five();\n}\nfunction open() {\n  if (x) {\n}\nfunction five() {\n  return `g(${1})`;\n}\n",
+        },
+    )
+    graph = extract.build(scan(spark, tmp_path))
+    assert {r.path: r.status for r in graph.files.collect()} == {"a.py": "partial", "b.js": "partial"}
+    found = {(r.kind, r.name, r.start_line) for r in graph.nodes.where("kind not in ('file', 'external')").collect()}
+    assert found == {("function", "one", 1), ("function", "two", 9), ("class", "C", 15), ("method", "three", 16), ("function", "four", 1), ("function", "open", 4), ("function", "five", 7)}
+    ends = {r.name: r.end_line for r in graph.nodes.where("path = 'a.py' and kind != 'file'").collect()}
+    assert (ends["one"], ends["two"], ends["C"]) == (5, 13, 16)
+    calls = {(r.src.split("::")[-1].split("@")[0], r.dst.split("::")[-1].split("@")[0]) for r in graph.edges.where("type in ('calls', 'references')").collect()}
+    assert calls == {("function:one", "function:two"), ("function:two", "method:three"), ("function:four", "function:five")}
+
+
+def test_redaction_agrees_on_any_letters(spark):
+    """The native filter never keeps a text with a secret from the rules."""
+    r = random.Random(5)
+    odd = ["\u00a0", "ñ", "ß", "ſ", "\u2003", "\x1c", "\u0301", "²", "İ", "ı", "K", "\u0085", " ", "é", "_", "Ⅷ"]
+    texts = ["passwordñ = hunter22", "my_tokenß: hunter22", "password\u00a0= hunter22", "Bearer\u00a0abcdefgh12345", "paſſword=hunter22", "prİvate_key: abcdefgh", None, ""]
+    for _ in range(1500):
+        key = "".join(r.choice((c, c.upper(), {"s": "ſ", "k": "K", "i": r.choice("ıİ")}.get(c, c))) for c in r.choice(("password", "api_key", "auth", "session-key", "token", "basic", "bearer")))
+        some = lambda: "".join(r.choice(odd) for _ in range(r.randrange(3)))
+        texts.append(f"{some()}{key}{some()}{r.choice(('=', ':', ' ', '=>', ''))}{some()}{r.choice(('abcdefgh1234', 'sk-abcdefghijklmnop1234', 'x://u:pw@h'))}{some()}")
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", redacted(F.col("t")).alias("r")).collect()
+    want = {k: (None, 0) if t is None else redact(t) for k, t in enumerate(texts)}
+    assert {y.k: (y.r["text"], y.r["count"]) for y in rows} == want

@@ -5,7 +5,7 @@
    language as well.  A phrase with a rarer word is rarer still, so texts are cut
    there, as they are between pieces.
 2. From each place the next ``longest`` ids, zeros from the first cut on, are
-   packed into one binary key of four bytes an id.  Keys of a batch are radix
+   packed into one binary key, of as many bytes an id as the dictionary needs.  Keys of a batch are radix
    sorted and run-length counted before they leave it.
 3. Keys are dealt out by range and radix sorted once more.  Equal prefixes then
    lie together, so one sorted run counts the phrases of every length: the runs
@@ -63,8 +63,8 @@ def _counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dictionary(texts: DataFrame, least: int) -> DataFrame:
-    """id (4 bytes), lang, word, n, total of each word with ``least``
-    occurrences in its language, which has ``total``; a written table."""
+    """id (bytes, of equal lengths), lang, word, n, total of each word with
+    ``least`` occurrences in its language, which has ``total``; a written table."""
     counts = texts.mapInArrow(_counted, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counts = stash(counts.where((F.col("n") >= least) | F.col("word").isNull()), "words")
     totals = counts.where("word is null").select("lang", F.col("n").alias("total"))
@@ -76,7 +76,8 @@ def dictionary(texts: DataFrame, least: int) -> DataFrame:
     before = parts.select("part", (F.sum("rows").over(Window.orderBy("part")) - F.col("rows")).alias("before"))
     numbered = with_small(frequent.withColumn("part", part), before, "part")
     place = F.col("before") + F.col("row").bitwiseAND(F.lit((1 << 33) - 1)) + 1
-    out = stash(numbered.select(F.unhex(F.lpad(F.hex(place), 8, "0")).alias("id"), "lang", "word", "n", "total"), "dictionary")
+    width = max(1, math.ceil(frequent.count().bit_length() / 8))
+    out = stash(numbered.select(F.unhex(F.lpad(F.hex(place), 2 * width, "0")).alias("id"), "lang", "word", "n", "total"), "dictionary")
     drop_stash(counts, frequent)
     return out
 
@@ -108,39 +109,42 @@ def runs(rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rows[starts], np.add.reduceat(n, starts)
 
 
-def _packed(rows: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-    width = rows.shape[1] * 4
+def _packed(rows: np.ndarray, n: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
+    """key, n: the last ``width`` bytes of each id."""
+    size = rows.shape[1] * width
     for at in range(0, len(rows), _GIVEN):
-        part = np.ascontiguousarray(rows[at : at + _GIVEN].astype(">u4"))
-        ends = np.arange(0, (len(part) + 1) * width, width, dtype=np.int32)
-        keys = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(part)])
+        part = rows[at : at + _GIVEN].astype(">u4").view(np.uint8).reshape(-1, rows.shape[1], 4)[:, :, 4 - width :]
+        ends = np.arange(0, (len(part) + 1) * size, size, dtype=np.int32)
+        keys = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(part))])
         yield pa.RecordBatch.from_arrays([keys, pa.array(n[at : at + _GIVEN].astype(np.int64))], ["key", "n"])
 
 
-def _unpacked(keys: pa.Array, longest: int) -> np.ndarray:
-    data = np.frombuffer(keys.buffers()[2], ">u4", len(keys) * longest, keys.offset * longest * 4)
-    return data.reshape(-1, longest).astype(np.uint32)
+def _unpacked(keys: pa.Array, longest: int, width: int) -> np.ndarray:
+    data = np.frombuffer(keys.buffers()[2], np.uint8, len(keys) * longest * width, keys.offset * longest * width)
+    out = np.zeros((len(keys), longest, 4), np.uint8)
+    out[:, :, 4 - width :] = data.reshape(-1, longest, width)
+    return out.view(">u4").reshape(-1, longest).astype(np.uint32)
 
 
-def _sorted_runs(parts: list[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+def _sorted_runs(parts: list[np.ndarray], longest: int, width: int) -> Iterator[pa.RecordBatch]:
     rows = np.concatenate(parts) if parts else np.zeros((0, longest), np.uint32)
     rows = rows[radix_order(rows)]
-    yield from _packed(*runs(rows, np.ones(len(rows), np.int64)))
+    yield from _packed(*runs(rows, np.ones(len(rows), np.int64)), width)
 
 
-def _keys_of(ids: Iterable[np.ndarray], longest: int) -> Iterator[pa.RecordBatch]:
+def _keys_of(ids: Iterable[np.ndarray], longest: int, width: int) -> Iterator[pa.RecordBatch]:
     """Counted keys of streams of ids, a bounded number at once."""
     parts, size = [], 0
     for some in ids:
         parts.append(windows(some, longest))
         size += len(parts[-1])
         if size >= CHUNK:
-            yield from _sorted_runs(parts, longest)
+            yield from _sorted_runs(parts, longest, width)
             parts, size = [], 0
-    yield from _sorted_runs(parts, longest)
+    yield from _sorted_runs(parts, longest, width)
 
 
-def _encoded(words, longest: int):
+def _encoded(words, longest: int, width: int):
     """``words``: a broadcast list of (lang, word, id)."""
 
     def run(batches):
@@ -161,7 +165,7 @@ def _encoded(words, longest: int):
                         found = []
                 yield _kept(found)
 
-        return _keys_of(ids(), longest)
+        return _keys_of(ids(), longest, width)
 
     return run
 
@@ -185,7 +189,7 @@ def _exploded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
 
-def _joined(longest: int):
+def _joined(longest: int, width: int):
     """Keys of the (place, id) of the frequent words of each text."""
 
     def ids(batches):
@@ -196,22 +200,22 @@ def _joined(longest: int):
                 cut[places - places[0]] = [int.from_bytes(f["id"], "big") for f in found]
                 yield cut
 
-    return lambda batches: _keys_of(ids(batches), longest)
+    return lambda batches: _keys_of(ids(batches), longest, width)
 
 
-def _keys(texts: DataFrame, words: DataFrame, longest: int, most: int) -> DataFrame:
+def _keys(texts: DataFrame, words: DataFrame, longest: int, width: int, most: int) -> DataFrame:
     schema = "key binary, n long"
     if words.limit(most + 1).count() <= most:
         few = [(r.lang, r.word.encode(), int.from_bytes(r.id, "big")) for r in words.select("lang", "word", "id").toLocalIterator()]
-        return texts.mapInArrow(_encoded(texts.sparkSession.sparkContext.broadcast(few), longest), schema)
+        return texts.mapInArrow(_encoded(texts.sparkSession.sparkContext.broadcast(few), longest, width), schema)
     rows = texts.withColumn("row", F.monotonically_increasing_id())
     every = rows.mapInArrow(_exploded, "row long, lang string, place long, word string").withColumn("salt", F.pmod("place", F.lit(_SALTS)))
-    salted = words.select("lang", "word", "id", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long").alias("salt"))
+    salted = words.select("lang", "word", "id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt"))
     found = every.join(salted, ["lang", "word", "salt"]).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("place", "id"))).alias("found"))
-    return found.select("found").mapInArrow(_joined(longest), schema)
+    return found.select("found").mapInArrow(_joined(longest, width), schema)
 
 
-def _prefix_runs(least: int, longest: int):
+def _prefix_runs(least: int, longest: int, width: int):
     """Counts of all prefixes of two ids or more.  Where a task has its whole
     range at once, runs within it are whole, and those under ``least`` go."""
 
@@ -226,7 +230,7 @@ def _prefix_runs(least: int, longest: int):
             if whole and len(prefix):
                 ends = (prefix == rows[0, :size]).all(axis=1) | (prefix == rows[-1, :size]).all(axis=1)
                 prefix, sums = prefix[ends | (sums >= least)], sums[ends | (sums >= least)]
-            yield from _packed(prefix, sums)
+            yield from _packed(prefix, sums, width)
 
     def run(batches):
         parts, size, whole = [], 0, True
@@ -237,7 +241,7 @@ def _prefix_runs(least: int, longest: int):
                 whole = False
                 yield from counted(parts, whole)
                 parts, size = [], 0
-            parts.append((_unpacked(batch["key"], longest), batch["n"].to_numpy(zero_copy_only=False)))
+            parts.append((_unpacked(batch["key"], longest, width), batch["n"].to_numpy(zero_copy_only=False)))
             size += batch.num_rows
         if parts:
             yield from counted(parts, whole)
@@ -245,14 +249,14 @@ def _prefix_runs(least: int, longest: int):
     return run
 
 
-def phrases(texts: DataFrame, words: DataFrame, least: int, longest: int, most: int) -> DataFrame:
+def phrases(texts: DataFrame, words: DataFrame, least: int, longest: int, most: int, width: int) -> DataFrame:
     """key, n of each phrase of 2 to ``longest`` words with ``least`` occurrences; a written table."""
-    keys = stash(_keys(texts, words, longest, most), "keys")
-    ranged = keys.repartitionByRange(max(1, math.ceil(keys.count() / RANGE)), "key")
-    sums = ranged.mapInArrow(_prefix_runs(least, longest), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    out = stash(sums.where(F.col("n") >= least), "phrases")
-    drop_stash(keys)
-    return out
+    keys = _keys(texts, words, longest, width, most)
+    # there are at most as many keys as frequent words occur; the ranges are sampled, so keys are made twice but not kept
+    at_most = words.agg(F.sum("n")).first()[0] or 0
+    ranged = keys.repartitionByRange(max(1, math.ceil(at_most / RANGE)), "key")
+    sums = ranged.mapInArrow(_prefix_runs(least, longest, width), "key binary, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return stash(sums.where(F.col("n") >= least), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int = 2000, share: int = 100, most: int = 1_000_000) -> DataFrame:
@@ -264,12 +268,13 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     words = dictionary(texts, least)
-    found = phrases(texts, words, least, longest, most)
-    size = F.expr("int(length(key) / 4)")
-    piece = lambda at, n: F.substring(F.col("key"), at * 4 + 1, n * 4)
+    width = len((words.select("id").first() or [b"0"])[0])
+    found = phrases(texts, words, least, longest, most, width)
+    size = F.expr(f"int(length(key) / {width})")
+    piece = lambda at, n: F.substring(F.col("key"), at * width + 1, n * width)
 
     # inside a longer phrase: all its shorter runs, by the greatest count
-    shorter = F.expr("flatten(transform(sequence(2, size - 1), m -> transform(sequence(0, size - m), s -> substring(key, s * 4 + 1, m * 4))))")
+    shorter = F.expr(f"flatten(transform(sequence(2, size - 1), m -> transform(sequence(0, size - m), s -> substring(key, s * {width} + 1, m * {width}))))")
     within = found.withColumn("size", size).where("size > 2").select(F.explode(shorter).alias("key"), F.col("n").alias("longer"))
     within = within.groupBy("key").agg(F.max("longer").alias("longer"))
     kept = stash(found.join(within, "key", "left").where("longer is null or 100 * longer < " + f"{share} * n").select("key", "n"), "kept")
@@ -285,7 +290,7 @@ def collocations(docs: DataFrame, least: int = 100, longest: int = 5, top: int =
     weakest = F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut")
     scored = cuts.groupBy("key", "lang", "a", "n").agg(weakest).select("key", "lang", "a", "n", "cut.l", "cut.r", "cut.score")
 
-    spelled = kept.select("key", F.posexplode(F.expr("transform(sequence(0, int(length(key) / 4) - 1), s -> substring(key, s * 4 + 1, 4))")).alias("at", "id"))
+    spelled = kept.select("key", F.posexplode(F.expr(f"transform(sequence(0, int(length(key) / {width}) - 1), s -> substring(key, s * {width} + 1, {width}))")).alias("at", "id"))
     spelled = with_small(spelled, words.select("id", "word"), "id").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("at", "word"))).alias("w"))
     scored = scored.join(spelled.select("key", F.array_join("w.word", " ").alias("phrase")), "key")
 

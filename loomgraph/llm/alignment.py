@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from loomgraph.llm.common import stash
+from loomgraph.llm.common import small_batches, stash
 
 #: Pairs of ids that are broadcast at most.
 MOST_PAIRS = 4_000_000
@@ -93,13 +93,16 @@ class Pieces:
 
 
 @contextmanager
-def _set(spark: SparkSession, name: str, value: str):
-    before = spark.conf.get(name)
-    spark.conf.set(name, value)
+def _set(spark: SparkSession, settings: dict[str, str]):
+    """Settings of the session for a while."""
+    before = {name: spark.conf.get(name) for name in settings}
+    for name, value in settings.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 @cache
@@ -256,8 +259,11 @@ def linked(docs: DataFrame, byte_level: str, pieces: str, task_bytes: int = 4 <<
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     zero = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     digest = F.coalesce(F.sha2("groups", 256), F.lit("")).alias("groups_sha256")
-    # rows dealt by document alone meet by document and end where they are
-    with _set(docs.sparkSession, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+    # rows dealt by document alone meet by document and end where they are; batches are bounded by
+    # rows, as Spark weighs a batch anew at each row where it bounds their bytes
+    small_batches(docs.sparkSession)
+    settings = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1)}
+    with _set(docs.sparkSession, settings):
         rows = stash(aligned(docs, byte_level, pieces, task_bytes).select("key", "doc_id", "n_a", "n_b", "n_groups", digest, "pairs"), "aligned")
     counts = stash(rows.select(F.inline("pairs")).groupBy("pair").agg(F.sum("times").alias("n")), "pairs")
     b = F.col("pair").bitwiseAND(F.lit((1 << 32) - 1))

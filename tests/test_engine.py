@@ -63,6 +63,9 @@ def test_retrieval(engine, spark):
     assert found["terms"] == ["alpha_run", "gamma_run"]
     assert [r.operation for r in found["results"]] == ["impact", "impact", "path_between"]
     told = retrieve.answer(found)
+    assert "## Code" in told and "m.py:1\n\n    run = 1" in told and redact.MARK in told and "hunter2" not in told
+    bare = retrieve.retrieve(Engine(engine.graph, log=io.StringIO()), "how does alpha_run connect to GAMMA_RUN?")
+    assert "## Code" not in retrieve.answer(bare) and bare["citations"] == found["citations"]
     assert all(part in told for part in ("alpha_run", "(calls)", "`beta_run`", "m.py:1")) and "m.py:1" in found["citations"]
     assert retrieve.retrieve(engine, "what calls connect?")["terms"] == ["connect"]
     assert retrieve.retrieve(engine, "what happens when it explodes")["terms"] == []

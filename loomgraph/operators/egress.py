@@ -50,14 +50,14 @@ def build_plan(question: str, result: QueryResult, policy: EgressPolicy, model:
     notes = []
     room = int((policy.max_prompt_tokens - estimated_tokens(asked) - 1) * CHARS_PER_TOKEN)
     if room <= 0:
-        raise QueryRefused("egress: refused - the question alone is over the token ceiling.")
+        raise QueryRefused("egress: the question alone takes more tokens than allowed.")
     if len(context) > room:
         context = context[:room]
         notes.append(f"context trimmed to {room} characters")
     tokens = estimated_tokens(asked) + estimated_tokens(context)
     cost = round((tokens + policy.max_completion_tokens) / 1e6 * policy.price_per_million, 6)
     if cost > policy.max_cost:
-        raise QueryRefused(f"egress: refused - {cost} is over the spend ceiling of {policy.max_cost}.")
+        raise QueryRefused(f"egress: {cost} is more than the {policy.max_cost} allowed.")
     body, more = redact_tree({"model": model, "max_tokens": policy.max_completion_tokens, "messages": [{"role": "user", "content": f"{asked}\n\n{context}"}]})
     return EgressPlan(model, body, tokens, cost, n_asked + n_context + more + result.redactions, notes)
 
@@ -66,5 +66,5 @@ def execute(plan: EgressPlan, policy: EgressPolicy, key: str = "") -> None:
     """Always refuses: this library has no network sink."""
     for closed, why in ((not policy.enabled, "egress is not enabled"), (policy.dry_run, "this is a dry run"), (not key, "there is no key")):
         if closed:
-            raise QueryRefused(f"egress: refused - {why}.")
-    raise QueryRefused("egress: refused - no network sink is built in.")
+            raise QueryRefused(f"egress: {why}.")
+    raise QueryRefused("egress: no network sink is built in.")

@@ -56,6 +56,12 @@ class Engine:
         self.audit("query", operation=result.operation, nodes=len(result.nodes), edges=len(result.edges), **params)
         return result
 
+    def _hops(self, asked: int, result: QueryResult) -> int:
+        hops = self.caps.hops(asked)
+        if hops < asked:
+            result.notes.append(f"{hops} hops are the most, {asked} were asked for")
+        return hops
+
     def _rows(self, df: DataFrame, order: tuple[str, ...], most: int) -> list[dict]:
         """The first rows by ``order``: a bounded top-k, one more than the cap tells that it cut."""
         return [r.asDict() for r in df.orderBy(*order).limit(most).collect()]
@@ -74,11 +80,11 @@ class Engine:
         policy.one_of(direction, DIRECTIONS, "direction")
         policy.require(symbol, "impact", "a symbol")
         result = QueryResult("impact")
-        depth = policy.clamp_depth(depth, self.caps, result.notes)
+        depth = self._hops(depth, result)
         nodes, edges = graph_ops.impact(self.graph, symbol, direction, depth)
         result.total_matched = nodes.count()
         if not result.total_matched:
-            result.notes.append(f"no symbol named {symbol!r} in the graph")
+            result.notes.append(f"no symbol is called {symbol!r}")
             return self._finish(result, symbol=symbol)
         policy.check_bulk("impact", result.total_matched, self.total, self.caps)
         # nodes are cut without the flag: total_matched tells
@@ -92,11 +98,11 @@ class Engine:
         policy.require(source, "path_between", "a source")
         policy.require(target, "path_between", "a target")
         result = QueryResult("path_between")
-        depth = policy.clamp_depth(max_depth, self.caps, result.notes)
+        depth = self._hops(max_depth, result)
         result.edges = [{c: r[c] for c in EDGE_COLUMNS} for r in graph_ops.path_between(self.graph, source, target, depth).orderBy("step").collect()]
         ids = list(dict.fromkeys(i for e in result.edges for i in (e["src"], e["dst"])))
         if not ids:
-            result.notes.append(f"no path from {source!r} to {target!r} within depth {depth}")
+            result.notes.append(f"{depth} hops do not lead from {source!r} to {target!r}")
         else:
             by_id = {r.id: r.asDict() for r in self.graph.nodes.where(F.col("id").isin(ids)).select(*NODE_COLUMNS).collect()}
             result.nodes = [by_id[i] for i in ids if i in by_id]
@@ -108,7 +114,7 @@ class Engine:
         nodes, edges = graph_ops.file_summary(self.graph, path)
         result = QueryResult("file_summary", total_matched=nodes.count())
         if not result.total_matched:
-            result.notes.append(f"no such file in graph: {path}")
+            result.notes.append(f"the graph has no file {path!r}")
             return self._finish(result, path=path)
         result.nodes = self._rows(nodes, ("id",), self.caps.max_nodes)
         result.edges = self._rows(edges, ("src", "type", "dst", "path", "line", "col"), self.caps.max_edges)

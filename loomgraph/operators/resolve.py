@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Over so many candidates elsewhere a call stays unresolved.
@@ -37,10 +37,17 @@ def resolve_calls(calls: DataFrame, definitions: DataFrame, most: int = MOST_CAN
 
 
 def promoted_methods(functions: DataFrame, classes: DataFrame) -> DataFrame:
-    """Functions (path, lo, hi, ...) strictly inside a class range of their file."""
-    c = classes.select(F.col("path").alias("cp"), F.col("lo").alias("clo"), F.col("hi").alias("chi"))
-    inside = (F.col("path") == F.col("cp")) & (F.col("clo") <= F.col("lo")) & (F.col("hi") <= F.col("chi")) & ~((F.col("clo") == F.col("lo")) & (F.col("chi") == F.col("hi")))
-    return functions.join(c, inside, "left_semi")
+    """Functions (path, lo, hi, ...) strictly inside a class range of their file.
+
+    One sweep over the sorted ranges of a file: of the classes that start before
+    a function, or with it but end later, it matters only how far they reach.
+    Rows without a path or an end are inside nothing; equal rows count each."""
+    spans = lambda rows, kept: rows.select("path", "lo", "hi", kept.alias("_row"))
+    rows = spans(functions, F.struct(*functions.columns)).unionByName(spans(classes.where("lo is not null"), F.lit(None).cast(functions.schema)))
+    before = Window.partitionBy("path").orderBy("lo", F.desc("hi"), F.col("_row").isNull()).rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.when(F.col("_row").isNull(), F.col("hi"))).over(before)
+    inside = rows.withColumn("_reach", reach).where("_row is not null and path is not null and lo is not null and _reach >= hi")
+    return inside.select("_row.*")
 
 
 def unshadowed_constants(constants: DataFrame, others: DataFrame) -> DataFrame:
@@ -49,12 +56,30 @@ def unshadowed_constants(constants: DataFrame, others: DataFrame) -> DataFrame:
 
 
 def innermost(points: DataFrame, ranges: DataFrame, key: str, at: Column, order: str = "id") -> DataFrame:
-    """Each point with ``enclosing``: the id of the shortest range [lo, hi) of
-    the same key around it (the least by ``order`` of equals), or null."""
-    r = ranges.select(F.col(key).alias("_key"), "lo", "hi", F.col("id").alias("_id"), F.col(order).alias("_order"))
-    met = (F.col(key) == F.col("_key")) & (F.col("lo") <= at) & (at < F.col("hi"))
-    best = F.min_by("_id", F.when(F.col("_id").isNotNull(), F.struct(F.col("hi") - F.col("lo"), F.col("_order"))))
-    return points.join(r, met, "left").groupBy(*points.columns).agg(best.alias("enclosing"))
+    """Each distinct point with ``enclosing``: the id of the shortest range [lo, hi)
+    of the same key around it (the least by ``order``, then id, of equals), or null.
+
+    A range is cut into blocks: of each length 2**k, at multiples of it, two at
+    most.  A point lies in one block of a length, so it meets all ranges around
+    it by an equi-join on key and block.  Of a block only the best range is kept
+    before, so a point meets a row a length at most, and a key with very many
+    ranges or points is dealt by its blocks.  Empty ranges, and nulls, hold nothing."""
+    size = (F.col("hi") - F.col("lo")).cast("bigint")
+    shift = lambda c, k: F.call_function("shiftright", c.cast("bigint"), k)
+
+    def cut(k: Column) -> Column:
+        first, last = -shift(-F.col("lo"), k), shift(F.col("hi"), k)
+        piece = lambda odd, block: F.when((first < last) & (odd.bitwiseAND(1) == 1), F.struct(k.alias("k"), block.alias("block")))
+        return F.array_compact(F.array(piece(first, first), piece(last, last - 1)))
+
+    whole = ranges.where("lo < hi").select(F.col(key).alias("_key"), "lo", "hi", F.struct(size.alias("size"), F.col(order).alias("order"), F.col("id").alias("id")).alias("range"))
+    lengths = F.sequence(F.lit(0), F.length(F.bin(size)) - 1)
+    blocks = whole.select("_key", F.inline(F.flatten(F.transform(lengths, cut))), "range").groupBy("_key", "k", "block").agg(F.min("range").alias("range"))
+    longest = ranges.where("lo < hi").agg(F.max(F.length(F.bin(size)) - 1)).scalar()
+    seats = points.select(F.struct(*points.columns).alias("_point"), F.col(key).alias("_key"), at.alias("_at"), F.explode_outer(F.sequence(F.lit(0), longest)).alias("k"))
+    seats = seats.withColumn("block", shift(F.col("_at"), F.col("k")))
+    found = seats.join(blocks, ["_key", "k", "block"], "left").groupBy("_point").agg(F.min("range").alias("range"))
+    return found.select("_point.*", F.col("range.id").alias("enclosing"))
 
 
 def dependency_signals(dependencies: DataFrame, signals: DataFrame) -> DataFrame:

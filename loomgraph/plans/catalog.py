@@ -478,8 +478,7 @@ SAMPLES = (
     "Bearer abcdefgh12345 and basic a",
     "password = 'open' and my_api-key: x",
 )
-_KEY = "(?:api[-_]?key|apikey|secret|token|passwd|password|pwd|auth|credential|private[-_]?key|access[-_]?key|client[-_]?secret|session[-_]?key|bearer)"
-ASSIGNED = r"""(?i)["'`]?\b\w*""" + _KEY + r"""\w*["'`]?\s*(?:=|:|=>|:=)\s*(?:(?:bearer|token|basic)\s+)?(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|[^\s,;)\]}#]+)"""
+ASSIGNED = r"""(?i)["'`]?\b\w*""" + redact.SECRET_KEYS + r"""\w*["'`]?\s*(?:=|:|=>|:=)\s*(?:(?:bearer|token|basic)\s+)?(?:"[^"\n]*"|'[^'\n]*'|`[^`\n]*`|[^\s,;)\]}#]+)"""
 RULES = (*redact.TOKEN_SHAPES, r"(?i)[a-z][a-z0-9+.\-]*://[^\s:/@]+:[^\s@/]+@", r"(?i)\b(?:bearer|token|basic)\s+[A-Za-z0-9._\-+/=]{8,}", ASSIGNED)
 _QUOTED = [x.replace("'", "''") for x in (*RULES, *SAMPLES)]
 _COUNTS = "".join(

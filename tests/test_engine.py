@@ -44,10 +44,10 @@ def test_bulk_refusal_and_caps(engine):
 
 def test_impact_clamps_and_redacts_snippets(engine):
     found = engine.impact("beta_run", "both", 99, include_snippets=True)
-    assert found.notes == ["depth clamped from 99 to 5"] and len(found.nodes) == 4
+    assert found.notes == ["5 hops are the most, 99 were asked for"] and len(found.nodes) == 4
     assert found.redactions >= 1 and not any("hunter2" in line for lines in found.snippets.values() for line in lines)
     assert json.loads(engine.log.getvalue().splitlines()[-1])["operation"] == "impact"
-    assert engine.impact("nobody").notes == ["no symbol named 'nobody' in the graph"]
+    assert engine.impact("nobody").notes == ["no symbol is called 'nobody'"]
 
 
 def test_path_file_and_stats(engine):

@@ -57,7 +57,7 @@ def build_plan(question: str, result: QueryResult, policy: EgressPolicy, model:
     tokens = estimated_tokens(asked) + estimated_tokens(context)
     cost = round((tokens + policy.max_completion_tokens) / 1e6 * policy.price_per_million, 6)
     if cost > policy.max_cost:
-        raise QueryRefused(f"egress: {cost} is more than the {policy.max_cost} allowed.")
+        raise QueryRefused(f"egress would spend {cost}, more than {policy.max_cost}.")
     body, more = redact_tree({"model": model, "max_tokens": policy.max_completion_tokens, "messages": [{"role": "user", "content": f"{asked}\n\n{context}"}]})
     return EgressPlan(model, body, tokens, cost, n_asked + n_context + more + result.redactions, notes)
 

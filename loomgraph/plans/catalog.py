@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.functions import redact, text
-from loomgraph.operators import graph_ops, layout, resolve, retrieve, windows
+from loomgraph.operators import digest, graph_ops, labels, layout, resolve, retrieve, windows
 from loomgraph.plans import relational
 from loomgraph.plans.relational import table
 from loomgraph.plans.schema import Graph, first_rows
@@ -241,6 +241,25 @@ def graph_digest(g: Graph) -> DataFrame:
     return g.edges.agg(F.count("*").alias("n"), F.sum(part).cast("string").alias("digest"))
 
 
+def _root_sql(name: str, columns: str) -> str:
+    """Tables of each level of a Merkle tree over ``name``, and its root."""
+    sized = " || ".join(f"coalesce(strlen({c}::varchar) || ':' || {c}, '~')" for c in columns.split(", "))
+    out = f", {name}_9 as (select h as k, n, h || ':' || n as d from (select sha256({sized}) as h, count(*) as n from {name} group by 1))"
+    for above, below in ((9, 6), (6, 4), (4, 2), (2, 0)):
+        out += f", {name}_{below} as (select substr(k, 1, {below}) as k, sum(n) as n, sha256(string_agg(d, ',' order by k)) as d from {name}_{above} group by 1)"
+    return out
+
+
+@registered(
+    f"""{_root_sql("nodes", "id, kind, name, path, language, start_line, start_line")}{_root_sql("edges", "src, dst, type, path, line, col")},
+    roots as (select 'nodes' as part, n, d from nodes_0 union all select 'edges', n, d from edges_0)
+    select part, n::bigint as n, d as digest from roots union all select 'graph', sum(n)::bigint, sha256(string_agg(d, ',' order by part)) from roots""",
+    graph=True,
+)
+def graph_merkle(g: Graph) -> DataFrame:
+    return digest.graph_root(g)
+
+
 LCG = "(({0} * 1664525 + 1013904223) % 4294967296)"
 FIRST = LCG.format("cast(start_line + length(id) as bigint)")
 START = ", ".join(f"round(({x} / 4294967296.0 * 2 - 1) * 100.0, 6) as {axis}" for axis, x in zip("xyz", (FIRST, LCG.format(FIRST), LCG.format(LCG.format(FIRST)))))
@@ -261,6 +280,28 @@ def layout_positions(g: Graph) -> DataFrame:
     return layout.step(_start(g), g.edges)
 
 
+SPOTS = f"""spots as (select v.id, name, degree, (round({FIRST} / 4294967296.0 * 2 - 1, 6) * 0.5 + 0.5) * 1280 as x, (round({LCG.format(FIRST)} / 4294967296.0 * 2 - 1, 6) * 0.5 + 0.5) * 720 as y,
+        least(length(name) * 7.4 + 20, 300)::double as w, row_number() over (order by degree desc, v.id) as n from (select *, start_line + length(id) as s from nodes) v join deg using (id) where kind != 'external' qualify n <= 160)"""
+
+
+@registered(
+    f"""{DEGREES}, {SPOTS},
+    r(n, kept) as (select 0::bigint, []::struct(id varchar, x double, y double, w double)[] union all
+        select s.n, case when len(list_filter(kept, lambda k: abs(s.x - k.x) * 2 < s.w + k.w and abs(s.y - k.y) * 2 < 42)) = 0 then list_append(kept, struct_pack(id := s.id, x := s.x, y := s.y, w := s.w)) else kept end
+        from r join spots s on s.n = r.n + 1)
+    select k.id, k.x, k.y, k.w from (select unnest(kept) as k from r where n = (select max(n) from r))""",
+    graph=True,
+)
+def label_cull(g: Graph) -> DataFrame:
+    """Labels of the 160 nodes of greatest degree, at their start places on a screen, without overlaps."""
+    top = graph_ops.labelled(g, 160)
+    seed = (F.col("start_line") + F.length("id")).cast("bigint")
+    at = layout.start(top.select("id", "start_line"), seed, 1.0).select("id", *((F.round(c, 6) * 0.5 + 0.5).alias(c) for c in "xy"))
+    box = labels.label_box(F.col("name"), F.col("x") * 1280, F.col("y") * 720)
+    boxes = top.join(at, "id").select("id", (-F.col("degree")).alias("order"), box.alias("box")).select("id", "order", "box.*")
+    return labels.without_overlaps(boxes, "order").select("id", "x", "y", "w")
+
+
 @registered(
     """with s as (select 'nation/' || (doc_id % 25) as path, case when n_chars > 4000 then 'skipped' when lang = 'de' then 'partial' else 'parsed' end as status,
     case when n_chars > 4000 then 'file_too_large' else '' end as reason, doc_id from documents) select * from s where status != 'parsed' or reason != ''"""
@@ -494,6 +535,21 @@ def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.select("doc_id", redact.redacted(F.col("text"))["count"].alias("redactions"))
 
 
+NESTED = """'{"user": ' || user_id || ', "' || case event_type when 'error' then 'session_key' when 'signup' then 'Auth' else 'seen' end || '": [' || props || ', null], "notes": [["' ||
+    case event_type when 'purchase' then 'pwd=' else 'kind ' end || event_type || '"], {"token": ' || case event_type when 'click' then '"[REDACTED]"' else 'true' end || '}]}'"""
+
+
+@registered(
+    """select event_id, '{"user": ' || user_id || ', ' || case event_type when 'error' then '"session_key": "[REDACTED]"' when 'signup' then '"Auth": "[REDACTED]"' else '"seen": [' || props || ', null]' end || ', "notes": [["' ||
+    case event_type when 'purchase' then 'pwd=[REDACTED]' else 'kind ' || event_type end || '"], {"token": "[REDACTED]"}]}' as props,
+    cast((event_type in ('error', 'signup', 'purchase'))::int + (event_type != 'click')::int as bigint) as redactions from events"""
+)
+def redacted_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON around the properties of each event: values under secret keys go whole, strings by the rules."""
+    nested = table(spark, sf_dir, "events").select("event_id", F.expr(NESTED).alias("props"))
+    return nested.select("event_id", redact.redacted_json(F.col("props")).alias("r")).select("event_id", F.col("r.text").alias("props"), F.col("r.count").alias("redactions"))
+
+
 @registered("select doc_id, cast(floor(length(text) / 3.5) + 1 as bigint) as tokens, round((floor(length(text) / 3.5) + 1 + 500) / 1e6 * 5, 6) as cost from documents")
 def token_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))

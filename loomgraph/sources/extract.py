@@ -76,7 +76,7 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
         .when(F.col("_scan.broken"), F.struct(F.lit("partial").alias("s"), F.lit("syntax_errors_present").alias("r")))
         .otherwise(F.struct(F.lit("parsed").alias("s"), F.lit("").alias("r")))
     )
-    found = {"status": F.col("_why.s"), "reason": F.col("_why.r"), "code": F.col("_scan.code"), "within": F.col("_scan.within")}
+    found = {"status": F.col("_why.s"), "reason": F.col("_why.r"), "code": F.col("_scan.code"), "within": F.col("_scan.within"), "ahead": F.col("_scan.ahead")}
     return files.withColumn("_why", why).withColumns(found).drop("_why", "_used", "_scan")
 
 
@@ -90,7 +90,8 @@ _READ = "status in ('parsed', 'partial')"
 
 def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
     """Pieces of lines: ``line``, ``shift`` (bytes before the piece), ``seq`` (its
-    place in the file), ``body``, the nesting ``before`` and ``after`` it, and
+    place in the file), ``body``, ``look`` (it and what is ahead of its line, for
+    the last piece of a line), the nesting ``before`` and ``after`` it, and
     whether its line starts ``within`` brackets or a string.  The braces of a
     broken file say nothing, so its indents nest.
 
@@ -102,12 +103,14 @@ def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
 
 def _lines(files: DataFrame, lang: Language) -> DataFrame:
     # dealt by path as whole contents, which the running sums of their lines can use
-    whole = files.select("path", "language", "walk_order", "status", "code", "within").repartition("path")
-    each = F.arrays_zip(F.split("code", "\r?\n", -1).alias("whole"), F.col("within").alias("within"))
+    whole = files.select("path", "language", "walk_order", "status", "code", "within", "ahead").repartition("path")
+    each = F.arrays_zip(F.split("code", "\r?\n", -1).alias("whole"), F.col("within").alias("within"), F.col("ahead").alias("ahead"))
     split = whole.select("path", "language", "walk_order", "status", F.posexplode(each).alias("at", "each"))
-    split = split.select("path", "language", "walk_order", "at", "each.whole", "each.within", (F.lit(lang.nesting == "brace") & (F.col("status") == "parsed")).alias("braced"))
+    split = split.select("path", "language", "walk_order", "at", "each.whole", "each.within", "each.ahead", (F.lit(lang.nesting == "brace") & (F.col("status") == "parsed")).alias("braced"))
     split = split.withColumn("pieces", F.when(F.col("braced"), F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole")))
-    split = split.select("path", "language", "walk_order", "braced", "within", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
+    split = split.select("path", "language", "walk_order", "braced", "within", "ahead", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
+    last = F.trim(F.array_join(F.slice("pieces", F.col("nth") + 2, F.size("pieces")), "")) == ""
+    split = split.withColumn("look", F.when((F.col("ahead") != "") & last, F.concat("body", "ahead")).otherwise(F.col("body"))).drop("ahead")
     shift = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), ""))
     code = F.col("body")
     split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", (F.trim(code) == "") & ~F.col("within")).withColumn("shift", shift)
@@ -123,6 +126,7 @@ def _lines(files: DataFrame, lang: Language) -> DataFrame:
         "shift",
         "seq",
         "body",
+        "look",
         "blank",
         "within",
         F.when(F.col("braced"), F.col("total") - F.col("change")).otherwise(indent).alias("before"),
@@ -160,9 +164,10 @@ def hits(rows: DataFrame, there: list[Language] | None = None) -> DataFrame:
 
     def found(of: DataFrame, lang: Language) -> DataFrame:
         patterns = [*lang.definitions, *(("imports", p) for p in lang.imports)]
-        hit = lambda k, p: F.struct(F.lit(k).alias("label"), F.regexp_extract("body", p, 2).alias("name"), F.octet_length(F.regexp_extract("body", p, 1)).alias("col"))
+        of_ = lambda k: "body" if k == "imports" else "look"
+        hit = lambda k, p: F.struct(F.lit(k).alias("label"), F.regexp_extract(of_(k), p, 2).alias("name"), F.octet_length(F.regexp_extract(of_(k), p, 1)).alias("col"))
         # most pieces meet no pattern, and are looked at once for each
-        single = lambda k, p: F.when(F.rlike("body", F.lit(p)), hit(k, p))
+        single = lambda k, p: F.when(F.rlike(of_(k), F.lit(p)), hit(k, p))
         made = [single(k, p) for k, p in patterns if p not in lang.lists]
         each = [_listed(k, p, "label") for k, p in patterns if p in lang.lists]
         listed = F.filter(F.concat(F.array(*made), *each), lambda h: h["name"] != "")

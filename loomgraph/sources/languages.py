@@ -3,7 +3,9 @@
 A definition pattern has two groups: what stands before the definition on its
 line, and the name.  An import pattern has the same two, with what is imported;
 where a comma lists several modules, its second group is the whole list.
-They find what usual formatting puts on one line; they are no grammar.
+A definition is looked for in a line and what is ahead of it (``lexical.ahead``):
+a parameter list may go on over lines, and a brace may stand on its own.  They
+find what usual formatting writes; they are no grammar.
 """
 
 from __future__ import annotations
@@ -11,6 +13,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 NAME = r"([A-Za-z_$][\w$]*)"
+#: A list in brackets, whose parts may have brackets of their own.
+LIST = r"\((?:[^();]|\((?:[^();]|\([^();]*\))*\))*\)"
+#: No name of a function stands here.
+NOT_NAMED = r"(?!(?:if|for|foreach|while|do|switch|case|catch|try|finally|else|return|throw|new|using|lock|fixed|synchronized|function|await|yield|typeof|super|this)\b)"
 
 
 @dataclass(frozen=True)
@@ -29,12 +35,13 @@ class Language:
 
 _JS = (
     ("function", r"^(\s*(?:export\s+)?(?:default\s+)?)(?:async\s+)?function\s*\*?\s*" + NAME),
-    ("function", r"^(\s*(?:export\s+)?(?:const|let|var)\s+)" + NAME + r"\s*=\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>)"),
+    ("function", r"^(\s*(?:export\s+)?(?:const|let|var)\s+)" + NAME + r"\s*(?::[^=]+)?=\s*(?:async\s*)?(?:function\b|" + LIST + r"\s*(?::[^=]+)?=>|\w+\s*=>)"),
     ("class", r"^(\s*(?:export\s+)?(?:default\s+)?)(?:abstract\s+)?class\s+" + NAME),
-    ("method", r"^(\s*(?:static\s+|async\s+|get\s+|set\s+)*)(?!(?:if|for|while|switch|catch|function|return)\b)" + NAME + r"\s*\([^)]*\)\s*(?::\s*[^{]+)?\{\s*$"),
-    ("constant", r"^((?:export\s+)?(?:const|let)\s+)" + NAME + r"\s*(?::[^=]+)?=(?!\s*(?:async\s*)?(?:function\b|\([^)]*\)\s*=>|\w+\s*=>))"),
+    ("method", r"^(\s*(?:static\s+|async\s+|get\s+|set\s+)*)" + NOT_NAMED + NAME + r"\s*(?:<[^>()]*>\s*)?" + LIST + r"\s*(?::\s*[^{]+)?\{\s*$"),
+    ("constant", r"^((?:export\s+)?(?:const|let)\s+)" + NAME + r"\s*(?::[^=]+)?=(?!\s*(?:async\s*)?(?:function\b|" + LIST + r"\s*(?::[^=]+)?=>|\w+\s*=>))"),
 )
-_TS = (*_JS, ("interface", r"^(\s*(?:export\s+)?)interface\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)(?:const\s+)?enum\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)type\s+" + NAME + r"\s*(?:<[^>]*>)?\s*="))
+_TS = (*_JS, ("interface", r"^(\s*(?:export\s+)?)interface\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)(?:const\s+)?enum\s+" + NAME), ("class", r"^(\s*(?:export\s+)?)type\s+" + NAME + r"\s*(?:<[^>]*>)?\s*="),
+    ("method", r"^(\s+(?:readonly\s+)?)" + NOT_NAMED + NAME + r"\??\s*(?:<[^>()]*>\s*)?" + LIST + r"\s*:[^{};]+;\s*$"))
 _JS_IMPORTS = (r"""^(\s*import\s[^"']*["'])([^"']+)""", r"""^(.*\bfrom\s+["'])([^"']+)""", r"""^(.*\brequire\(\s*["'])([^"']+)""")
 _C = (("function", r"^((?:\s*(?:public|private|protected)\s*:)?\s*(?!(?:return|else|new|case|goto)\b)[A-Za-z_][\w:<>,*&\s]*?[\s*&])(?:\w+::)*([A-Za-z_]\w*)\s*\([^;]*\{?$"), ("class", r"^(\s*(?:typedef\s+)?)(?:struct|enum|union)\s+" + NAME + r"[^;()]*\{"))
 _INCLUDE = (r'^(\s*#\s*include\s*[<"])([^>"]+)',)
@@ -48,12 +55,12 @@ LANGUAGES = (
     Language("javascript", (".js", ".mjs", ".cjs", ".jsx"), _JS, _JS_IMPORTS),
     Language("typescript", (".ts", ".mts", ".cts"), _TS, _JS_IMPORTS),
     Language("tsx", (".tsx",), _TS, _JS_IMPORTS),
-    Language("go", (".go",), (("method", r"^()func\s*\([^)]*\)\s*" + NAME), ("function", r"^()func\s+" + NAME), ("class", r"^(type\s+)" + NAME + r"\s+(?:struct|interface|func|map|\[|\w)"), ("constant", r"^(const\s+)" + NAME)), (r'^(\s*(?:import\s+)?(?:\w+\s+)?)("[^"\s]+")\s*$',)),
+    Language("go", (".go",), (("method", r"^()func\s*\([^)]*\)\s*" + NAME), ("function", r"^()func\s+" + NAME), ("class", r"^(type\s+)" + NAME + r"\s+(?:struct|interface|func|map|\[|\w)"), ("class", r"^(\s+)" + NAME + r"\s+\S.*\stype$"), ("constant", r"^(const\s+)" + NAME), ("constant", r"^(\s+)" + NAME + r"\b.*\sconst$")), (r'^(\s*(?:import\s+)?(?:\w+\s+)?)("[^"\s]+")\s*$',)),
     Language("rust", (".rs",), (("function", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:async\s+|unsafe\s+|const\s+)*fn\s+" + NAME), ("class", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:struct|enum|mod|type|union)\s+" + NAME), ("interface", r"^(\s*)(?:pub\s+)?(?:unsafe\s+)?trait\s+" + NAME), ("constant", r"^(\s*)(?:pub(?:\([^)]*\))?\s+)?(?:const|static)\s+(?:mut\s+)?" + NAME + r"\s*:")), (r"^(\s*(?:pub\s+)?use\s+)([\w:]+)",)),
-    Language("java", (".java",), (("class", r"^(\s*)(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|private|protected|static)\s+)*interface\s+" + NAME), ("method", r"^(\s+)(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*(?!return\b|new\b|else\b)(?:[\w<>\[\],.?]+\s+)?" + NAME + r"\s*\([^;]*\{")), (r"^(\s*import\s+(?:static\s+)?)([\w.]+)",)),
-    Language("c", (".c", ".h"), _C, _INCLUDE),
+    Language("java", (".java",), (("class", r"^(\s*)(?:(?:public|private|protected|static|final|abstract)\s+)*(?:class|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|private|protected|static)\s+)*interface\s+" + NAME), ("method", r"^(\s+)(?:(?:public|private|protected|static|final|synchronized|abstract)\s+)*(?!(?:return|new|else|throw)\b)(?:<[^>]*>\s*)?(?:[\w<>\[\],.?]+\s+)?" + NOT_NAMED + NAME + r"\s*" + LIST + r"[^;{}]*\{")), (r"^(\s*import\s+(?:static\s+)?)([\w.]+)",)),
+    Language("c", (".c", ".h"), (*_C, ("class", r"^((?:.*[\s*])?)" + NAME + r"\s*(?:\[[^\]]*\]\s*)*;\s*typedef$")), _INCLUDE),
     Language("cpp", (".cpp", ".cc", ".cxx", ".hpp", ".hh", ".hxx"), (*_C, ("class", r"^(\s*)(?:class|namespace)\s+" + NAME + r"[^;]*\{")), _INCLUDE),
-    Language("c_sharp", (".cs",), (("class", r"^(\s*)(?:(?:public|private|internal|protected|static|sealed|abstract|partial)\s+)*(?:class|struct|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|internal)\s+)*interface\s+" + NAME), ("method", r"^(\s*)(?:(?:public|private|internal|protected|static|async|override|virtual)\s+)*(?!(?:return|new|else|using|namespace|class)\b)[\w<>\[\],.?]+\s+" + NAME + r"\s*\([^;]*\{")), (r"^(\s*using\s+)([\w.]+)\s*;",)),
+    Language("c_sharp", (".cs",), (("class", r"^(\s*)(?:(?:public|private|internal|protected|static|sealed|abstract|partial)\s+)*(?:class|struct|enum|record)\s+" + NAME), ("interface", r"^(\s*)(?:(?:public|internal)\s+)*interface\s+" + NAME), ("method", r"^(\s*)(?:(?:public|private|internal|protected|static|async|override|virtual)\s+)*(?!(?:return|new|else|using|namespace|class)\b)[\w<>\[\],.?]+\s+" + NOT_NAMED + NAME + r"\s*(?:<[^>()]*>\s*)?" + LIST + r"[^;{}]*\{")), (r"^(\s*using\s+)([\w.]+)\s*;",)),
     Language("ruby", (".rb", ".rake", ".gemspec"), (("class", r"^(\s*)(?:class|module)\s+" + NAME), ("method", r"^(\s*)def\s+self\.([A-Za-z_]\w*[?!]?)"), ("function", r"^(\s*)def\s+(?!self\.)([A-Za-z_]\w*[?!]?)")), (), "end", "#", _RUBY_CALL),
     Language("php", (".php", ".phtml"), (("class", r"^(\s*)(?:abstract\s+|final\s+)?(?:class|trait)\s+" + NAME), ("interface", r"^(\s*)interface\s+" + NAME), ("function", r"^(\s*)(?:(?:public|private|protected|static|abstract|final)\s+)*function\s+" + NAME)), (_PHP_LIST,), lists=(_PHP_LIST,)),
     Language("bash", (".sh", ".bash", ".zsh"), (("function", r"^(\s*)(?:function\s+)?([A-Za-z_][\w-]*)\s*\(\)"),), (), "brace", "#", r"^\s*([A-Za-z_][\w-]*)(?=\s|;|$)"),

@@ -128,6 +128,62 @@ def blanked(text: str, language: str) -> tuple[str, set[int]]:
     return "".join([*out, text[at:]]), inside
 
 
+_MARK = re.compile(r"[(){};]|\btypedef\b")
+_GROUP = re.compile(r"\s*(const|type)\s*\(\s*$")
+
+
+def ahead(lines: list[str], language: str) -> list[str]:
+    """What follows each line that its definitions need: the rest of a parameter
+    list, up to the next brace or semicolon, and the brace on a line of its own.
+
+    Lines of a group in brackets (Go) get the word before the group, and those
+    that end a ``typedef`` (C) that word.  Only lists that start outside of
+    brackets go on, so no text is in two of them."""
+    out = [""] * len(lines)
+    outer: list[tuple[int, bool]] = []
+    depth, typed, waits, before, group = 0, False, None, None, None
+    for k, line in enumerate(lines):
+        code = line.strip()
+        if not code:
+            continue
+        if waits is not None:
+            end = re.search(r"[{};]", code)
+            out[waits] += " " + (code[: end.end()] if end else code)
+        elif before is not None and code[0] == "{":
+            out[before] += " {"
+        if group and (len(outer), depth) == (group[1], 1) and code[0] != ")":
+            out[k] += f" {group[0]}"
+        free, ended = depth == 0, False
+        for m in _MARK.finditer(code):
+            mark = m.group()
+            if mark == "typedef":
+                typed = typed or language == "c" and not depth
+            elif mark in "()":
+                depth = max(0, depth + (1 if mark == "(" else -1))
+            else:
+                if mark == "{":
+                    outer.append((depth, typed))
+                    depth, typed = 0, False
+                elif mark == "}":
+                    depth, typed = outer.pop() if outer else (0, False)
+                elif typed and not depth:
+                    out[k], typed = " typedef", False
+                free, ended = depth == 0, True
+        if language == "go":
+            if m := _GROUP.match(code):
+                group = (m.group(1), len(outer))
+            elif group and not depth and len(outer) <= group[1]:
+                group = None
+        if ended:
+            waits = None
+        before = None if code[-1] in "{};" else k if waits is None else waits if not depth else None
+        if not depth:
+            waits = None
+        elif waits is None and free and code[-1] not in "{};":
+            waits, before = k, None
+    return out
+
+
 def scanned(text: str, language: str, by_indent: bool) -> tuple[str, list[bool], bool]:
     """The code of a file, whether each line starts within a string (or, where
     indents nest, brackets), and whether it is broken."""
@@ -159,13 +215,18 @@ def scanned(text: str, language: str, by_indent: bool) -> tuple[str, list[bool],
     return "\n".join(lines) if broken else code, within, broken
 
 
-_SCANNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("within", T.ArrayType(T.BooleanType())), T.StructField("broken", T.BooleanType())])
+_SCANNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("within", T.ArrayType(T.BooleanType())), T.StructField("broken", T.BooleanType()), T.StructField("ahead", T.ArrayType(T.StringType()))])
 
 
 @F.pandas_udf(_SCANNED)
 def scan(content, language, by_indent):
-    """Contents (null: nothing to scan) as struct<code, within, broken>."""
+    """Contents (null: nothing to scan) as struct<code, within, broken, ahead>; where indents nest nothing is ahead."""
     import pandas as pd
 
-    none = (None, None, None)
-    return pd.DataFrame([none if c is None else scanned(c, lang, indent) for c, lang, indent in zip(content, language, by_indent)], columns=["code", "within", "broken"])
+    def row(text: str | None, lang: str, indent: bool) -> tuple:
+        if text is None:
+            return None, None, None, None
+        code, within, broken = scanned(text, lang, indent)
+        return code, within, broken, [] if indent else ahead(code.split("\n"), lang)
+
+    return pd.DataFrame([row(*r) for r in zip(content, language, by_indent)], columns=["code", "within", "broken", "ahead"])

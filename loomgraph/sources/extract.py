@@ -76,7 +76,7 @@ def classified(scan: DataFrame, max_total_bytes: int = 256 << 20) -> DataFrame:
         .when(F.col("_scan.broken"), F.struct(F.lit("partial").alias("s"), F.lit("syntax_errors_present").alias("r")))
         .otherwise(F.struct(F.lit("parsed").alias("s"), F.lit("").alias("r")))
     )
-    found = {"status": F.col("_why.s"), "reason": F.col("_why.r"), "code": F.col("_scan.code"), "within": F.col("_scan.within"), "ahead": F.col("_scan.ahead")}
+    found = {"status": F.col("_why.s"), "reason": F.col("_why.r"), "code": F.col("_scan.code"), "within": F.col("_scan.within"), "ahead": F.col("_scan.ahead"), "unfinished": F.col("_scan.unfinished")}
     return files.withColumn("_why", why).withColumns(found).drop("_why", "_used", "_scan")
 
 
@@ -91,7 +91,7 @@ _READ = "status in ('parsed', 'partial')"
 def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
     """Pieces of lines: ``line``, ``shift`` (bytes before the piece), ``seq`` (its
     place in the file), ``body``, ``look`` (it and what is ahead of its line, for
-    the last piece of a line), the nesting ``before`` and ``after`` it, and
+    the last piece of a line), whether it is ``unfinished`` there, the nesting ``before`` and ``after`` it, and
     whether its line starts ``within`` brackets or a string.  The braces of a
     broken file say nothing, so its indents nest.
 
@@ -103,14 +103,15 @@ def lines(files: DataFrame, there: list[Language] | None = None) -> DataFrame:
 
 def _lines(files: DataFrame, lang: Language) -> DataFrame:
     # dealt by path as whole contents, which the running sums of their lines can use
-    whole = files.select("path", "language", "walk_order", "status", "code", "within", "ahead").repartition("path")
-    each = F.arrays_zip(F.split("code", "\r?\n", -1).alias("whole"), F.col("within").alias("within"), F.col("ahead").alias("ahead"))
+    whole = files.select("path", "language", "walk_order", "status", "code", "within", "ahead", "unfinished").repartition("path")
+    each = F.arrays_zip(F.split("code", "\r?\n", -1).alias("whole"), F.col("within").alias("within"), F.col("ahead").alias("ahead"), F.col("unfinished").alias("unfinished"))
     split = whole.select("path", "language", "walk_order", "status", F.posexplode(each).alias("at", "each"))
-    split = split.select("path", "language", "walk_order", "at", "each.whole", "each.within", "each.ahead", (F.lit(lang.nesting == "brace") & (F.col("status") == "parsed")).alias("braced"))
+    split = split.select("path", "language", "walk_order", "at", "each.whole", "each.within", "each.ahead", "each.unfinished", (F.lit(lang.nesting == "brace") & (F.col("status") == "parsed")).alias("braced"))
     split = split.withColumn("pieces", F.when(F.col("braced"), F.split("whole", r"(?<=[{};])", -1)).otherwise(F.array("whole")))
-    split = split.select("path", "language", "walk_order", "braced", "within", "ahead", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
+    split = split.select("path", "language", "walk_order", "braced", "within", "ahead", "unfinished", "at", "pieces", F.posexplode("pieces").alias("nth", "body"))
     last = F.trim(F.array_join(F.slice("pieces", F.col("nth") + 2, F.size("pieces")), "")) == ""
     split = split.withColumn("look", F.when((F.col("ahead") != "") & last, F.concat("body", "ahead")).otherwise(F.col("body"))).drop("ahead")
+    split = split.withColumn("unfinished", F.coalesce(F.col("unfinished") & last & ~F.rlike(F.rtrim("body"), F.lit("[{};]$")), F.lit(False)))
     shift = F.octet_length(F.array_join(F.slice("pieces", F.lit(1), F.col("nth")), ""))
     code = F.col("body")
     split = split.withColumn("change", _count(code, "{") - _count(code, "}")).withColumn("blank", (F.trim(code) == "") & ~F.col("within")).withColumn("shift", shift)
@@ -127,6 +128,7 @@ def _lines(files: DataFrame, lang: Language) -> DataFrame:
         "seq",
         "body",
         "look",
+        "unfinished",
         "blank",
         "within",
         F.when(F.col("braced"), F.col("total") - F.col("change")).otherwise(indent).alias("before"),
@@ -193,7 +195,7 @@ def definitions(rows: DataFrame, found: DataFrame) -> DataFrame:
     # nesting back, with indents the line before it; else at the file's last piece.  Pieces meet
     # the levels that their file's definitions have, and one running window a level finds the
     # next, without pairing rows.
-    low = F.when(F.col("braced"), F.col("after")).when(F.col("within"), 1 << 30).otherwise(F.col("before"))
+    low = F.when(F.col("unfinished"), 1 << 30).when(F.col("braced"), F.col("after")).when(F.col("within"), 1 << 30).otherwise(F.col("before"))
     full = rows.where("not blank").select("path", low.alias("low"), F.struct(F.col("seq").alias("at"), F.col("line").alias("there")).alias("here")).repartition("path")
     in_file = Window.partitionBy("path").orderBy("here.at")
     full = full.withColumns({"prior": F.lag("here").over(in_file), "last": F.lead("here").over(in_file).isNull()})

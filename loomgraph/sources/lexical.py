@@ -132,14 +132,15 @@ _MARK = re.compile(r"[(){};]|\btypedef\b")
 _GROUP = re.compile(r"\s*(const|type)\s*\(\s*$")
 
 
-def ahead(lines: list[str], language: str) -> list[str]:
+def ahead(lines: list[str], language: str) -> tuple[list[str], list[bool]]:
     """What follows each line that its definitions need: the rest of a parameter
     list, up to the next brace or semicolon, and the brace on a line of its own.
 
     Lines of a group in brackets (Go) get the word before the group, and those
     that end a ``typedef`` (C) that word.  Only lists that start outside of
-    brackets go on, so no text is in two of them."""
-    out = [""] * len(lines)
+    brackets go on, so no text is in two of them.  Also whether the last code of
+    a line goes on at the next, so that what starts there does not end there."""
+    out, on, last = [""] * len(lines), [False] * len(lines), 0
     outer: list[tuple[int, bool]] = []
     depth, typed, waits, before, group = 0, False, None, None, None
     for k, line in enumerate(lines):
@@ -151,6 +152,7 @@ def ahead(lines: list[str], language: str) -> list[str]:
             out[waits] += " " + (code[: end.end()] if end else code)
         elif before is not None and code[0] == "{":
             out[before] += " {"
+            on[last] = True
         if group and (len(outer), depth) == (group[1], 1) and code[0] != ")":
             out[k] += f" {group[0]}"
         free, ended = depth == 0, False
@@ -179,9 +181,10 @@ def ahead(lines: list[str], language: str) -> list[str]:
         before = None if code[-1] in "{};" else k if waits is None else waits if not depth else None
         if not depth:
             waits = None
-        elif waits is None and free and code[-1] not in "{};":
+        elif waits is None and free and not group and code[-1] not in "{};":
             waits, before = k, None
-    return out
+        on[k], last = waits is not None, k
+    return out, on
 
 
 def scanned(text: str, language: str, by_indent: bool) -> tuple[str, list[bool], bool]:
@@ -215,18 +218,18 @@ def scanned(text: str, language: str, by_indent: bool) -> tuple[str, list[bool],
     return "\n".join(lines) if broken else code, within, broken
 
 
-_SCANNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("within", T.ArrayType(T.BooleanType())), T.StructField("broken", T.BooleanType()), T.StructField("ahead", T.ArrayType(T.StringType()))])
+_SCANNED = T.StructType([T.StructField("code", T.StringType()), T.StructField("within", T.ArrayType(T.BooleanType())), T.StructField("broken", T.BooleanType()), T.StructField("ahead", T.ArrayType(T.StringType())), T.StructField("unfinished", T.ArrayType(T.BooleanType()))])
 
 
 @F.pandas_udf(_SCANNED)
 def scan(content, language, by_indent):
-    """Contents (null: nothing to scan) as struct<code, within, broken, ahead>; where indents nest nothing is ahead."""
+    """Contents (null: nothing to scan) as struct<code, within, broken, ahead, unfinished>; where indents nest the last two are empty."""
     import pandas as pd
 
     def row(text: str | None, lang: str, indent: bool) -> tuple:
         if text is None:
-            return None, None, None, None
+            return None, None, None, None, None
         code, within, broken = scanned(text, lang, indent)
-        return code, within, broken, [] if indent else ahead(code.split("\n"), lang)
+        return code, within, broken, *(([], []) if indent else ahead(code.split("\n"), lang))
 
-    return pd.DataFrame([row(*r) for r in zip(content, language, by_indent)], columns=["code", "within", "broken", "ahead"])
+    return pd.DataFrame([row(*r) for r in zip(content, language, by_indent)], columns=["code", "within", "broken", "ahead", "unfinished"])

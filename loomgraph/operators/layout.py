@@ -1,13 +1,61 @@
-"""Layout of a graph in space: seeded start positions and force steps, as DataFrame operations."""
+"""Layout of a graph in space: seeded start places, and a force simulation whose state is a table.
+
+A tick sorts the nodes into cells of an octree, level by level (the level is a
+shift of the cell's key), and lets every node walk the tree from its root: a
+cell is taken as one body where it is a leaf or looks small from the node, or
+else the node meets the cell's children by an equi-join on the cell.  So a node
+meets some hundred cells, whatever the number of nodes, and no step pairs nodes.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import drop_stash, stash
+
 # The linear congruential generator of the start positions.
 FACTOR, ADDEND, MODULUS = 1664525, 1013904223, 1 << 32
 
+AXES = ("x", "y", "z")
+STATE = ("id", *AXES, "vx", "vy", "vz", "seed")
+#: Bits of a cell's key for each axis; a cell's parent has one less of them in use.
+_BITS = 20
+#: Cells of one level that are broadcast at most; level l has no more than 8 ** l.
+BROADCAST_CELLS = 1 << 15
+
+
+@dataclass(frozen=True)
+class Forces:
+    """The constants of the simulation (fixed values)."""
+
+    repulsion: float = 220.0
+    #: a cell is one body where its side is below so many times its distance
+    opening: float = 0.9
+    #: squared distance below which no body repels more strongly
+    least_gap: float = 36.0
+    #: cells of less than this half side are not divided
+    finest: float = 0.5
+    rest_length: float = 42.0
+    centring: float = 0.012
+    #: share of its velocity that a node keeps
+    kept: float = 0.6
+    fastest: float = 30.0
+    farthest: float = 20000.0
+    #: the heat of the first tick, where it tends to and how fast
+    heat: float = 1.0
+    coolest: float = 0.001
+    cooling: float = 0.0228
+
+    def heats(self) -> Iterator[float]:
+        heat = self.heat
+        while True:
+            yield heat
+            heat += (self.coolest - heat) * self.cooling
+
 
 def lcg(seed: Column) -> Column:
     """The next number of the generator; stays within 64 bits."""
@@ -21,46 +69,134 @@ def start(nodes: DataFrame, seed: Column, extent: float = 100.0) -> DataFrame:
     return steps.select("id", scale("a").alias("x"), scale("b").alias("y"), scale("c").alias("z"))
 
 
-def _masses(at: DataFrame, cell: float) -> DataFrame:
-    """Per cell that holds nodes (cx, cy, cz): ``groups``, (m, mx, my, mz) of all cells.
-
-    Level by level, edges double.  A cell meets the 27 cells around its own at
-    the first level; at each level it meets what lies in the 27 around its
-    parent and not in the 27 around itself.  At the last level all are among
-    the 27, so that each node counts once for each cell."""
-    axes = ("x", "y", "z")
-    mass = at.groupBy(*(F.floor(F.col(a) / cell).alias(f"c{a}") for a in axes)).agg(F.count("*").alias("m"), *(F.sum(a).alias(f"s{a}") for a in axes))
-    own = [f"c{a}" for a in axes]
-    far = F.greatest(*(F.max(F.greatest(F.col(c), -F.col(c) - 1)) for c in own))
-    height = mass.agg(F.length(F.bin(far)).alias("levels"))
-    tall = mass.crossJoin(F.broadcast(height)).withColumn("level", F.explode(F.sequence(F.lit(0), F.col("levels") - 1)))
-    tall = tall.select(*own, "m", *(f"s{a}" for a in axes), "level", *(F.expr(f"shiftright(c{a}, level)").alias(f"u{a}") for a in axes))
-    up = ["level", *(f"u{a}" for a in axes)]
-    groups = tall.groupBy(*up).agg(F.sum("m").alias("m"), *(F.sum(f"s{a}").alias(f"s{a}") for a in axes))
-    met = groups.select(*up)
-    for a in axes:
-        first = F.shiftright(f"u{a}", 1) * 2 - 2
-        met = met.withColumn(f"o{a}", F.explode(F.sequence(first, first + 5)))
-    near = F.greatest(*(F.abs(F.col(f"o{a}") - F.col(f"u{a}")) for a in axes)) <= 1
-    met = met.where((F.col("level") == 0) | ~near)
-    masses = groups.select("level", *(F.col(f"u{a}").alias(f"o{a}") for a in axes), F.struct("m", *((F.col(f"s{a}") / F.col("m")).alias(f"m{a}") for a in axes)).alias("g"))
-    lists = met.join(masses, ["level", "ox", "oy", "oz"]).groupBy(*up).agg(F.collect_list("g").alias("groups"))
-    return tall.select(*own, *up).join(lists, up).groupBy(*own).agg(F.flatten(F.collect_list("groups")).alias("groups"))
-
-
-def step(at: DataFrame, edges: DataFrame, spring: float = 0.05, repulsion: float = 400.0, cell: float = 50.0, centring: float = 0.012, limit: float = 30.0) -> DataFrame:
-    """One step of springs, repulsion and centring.
-
-    Repulsion comes from the mean positions of cells, the larger the farther
-    they are, and leaves no node out; no step pairs all nodes.  Springs sum
-    over edges."""
-    axes = ("x", "y", "z")
-    cells = [F.floor(F.col(a) / cell).alias(f"c{a}") for a in axes]
-    around = at.select("id", *axes, *cells).join(_masses(at, cell), [f"c{a}" for a in axes]).select("id", *axes, F.explode("groups").alias("g")).select("id", *axes, "g.*")
-    gap = F.greatest(sum(((F.col(a) - F.col(f"m{a}")) ** 2 for a in axes), F.lit(0.0)), F.lit(36.0))
-    push = around.groupBy("id").agg(*(F.sum(F.lit(repulsion) * F.col("m") * (F.col(a) - F.col(f"m{a}")) / (gap * F.sqrt(gap))).alias(f"f{a}") for a in axes))
-    both = edges.select("src", "dst").union(edges.select("dst", "src")).join(at.select(F.col("id").alias("dst"), *(F.col(a).alias(f"o{a}") for a in axes)), "dst")
-    pull = both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("k"), *(F.sum(f"o{a}").alias(f"s{a}") for a in axes))
-    joined = at.join(push, "id", "left").join(pull, "id", "left").na.fill(0)
-    move = [F.col(f"f{a}") + spring * (F.col(f"s{a}") - F.col("k") * F.col(a)) - centring * F.col(a) for a in axes]
-    return joined.select("id", *((F.col(a) + F.greatest(F.lit(-limit), F.least(F.lit(limit), m))).alias(a) for a, m in zip(axes, move)))
+def at_rest(places: DataFrame, seed: Column | None = None) -> DataFrame:
+    """A state without velocities; places that are null or NaN count as 0.
+
+    ``seed`` (from 1 on, say) decides where a node goes that lies on another's place."""
+    place = [F.coalesce(F.nanvl(F.col(a).cast("double"), F.lit(0.0)), F.lit(0.0)).alias(a) for a in AXES]
+    zero = [F.lit(0.0).alias(f"v{a}") for a in AXES]
+    return places.select("id", *place, *zero, (F.lit(0) if seed is None else seed).cast("bigint").alias("seed"))
+
+
+def springs(edges: DataFrame) -> DataFrame:
+    """(src, dst, weight): all edges of a pair as one, weaker between two hubs.
+
+    An edge counts one over the smaller degree of its ends, so that a hub's
+    leaves follow it, and two hubs do not pull each other in."""
+    pairs = edges.where("src is not null and dst is not null").groupBy("src", "dst").agg(F.count("*").alias("n"))
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("id"), "n").groupBy("id").agg(F.sum("n").alias("degree"))
+    for end in ("src", "dst"):
+        pairs = pairs.join(ends.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree")), end)
+    return pairs.select("src", "dst", (F.col("n") / F.least("src_degree", "dst_degree")).alias("weight"))
+
+
+def _mask(shift: int) -> int:
+    """What is left of a key when each axis has lost its last ``shift`` bits."""
+    field = (1 << (_BITS - shift)) - 1
+    return field << 2 * _BITS | field << _BITS | field
+
+
+def octree(state: DataFrame, half: float, levels: int) -> DataFrame:
+    """level, cell, up (the cell around it), m (nodes), and the mean place mx, my, mz of each cell that holds nodes."""
+    side = 2 * half / (1 << levels)
+    key = F.lit(0).cast("bigint")
+    for a in AXES:
+        # a place on a border belongs to the lower cell
+        key = F.shiftleft(key, _BITS).bitwiseOR(F.greatest(F.ceil((F.col(a) + half) / side) - 1, F.lit(0)).cast("bigint"))
+    fine = state.groupBy(key.alias("fine")).agg(F.count("*").alias("m"), *(F.sum(a).alias(f"s{a}") for a in AXES))
+    shifts = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(levels - k).alias("shift"), F.lit(_mask(levels - k)).alias("mask")) for k in range(levels + 1)))
+    tall = fine.select("*", F.inline(shifts)).withColumn("cell", F.expr("shiftright(fine, shift) & mask"))
+    sums = tall.groupBy("level", "cell").agg(*(F.sum(c).alias(c) for c in ("m", "sx", "sy", "sz")))
+    up = F.shiftright("cell", 1).bitwiseAND(F.lit(_mask(1)))
+    return sums.select("level", "cell", up.alias("up"), "m", *((F.col(f"s{a}") / F.col("m")).alias(f"m{a}") for a in AXES))
+
+
+def _seen(met: DataFrame, level: int, levels: int, half: float, forces: Forces) -> DataFrame:
+    """Pairs of a node and a cell: whether the cell is ``open`` to the node, or else
+    its push on it, or that it lies on the ``same`` place."""
+    gap = sum((F.col(f"m{a}") - F.col(a)) ** 2 for a in AXES)
+    far = F.greatest(F.col("gap"), F.lit(forces.least_gap))
+    leaf = F.lit(level == levels) | (F.col("m") == 1)
+    small = F.lit(2 * half / (1 << level)) / F.sqrt(far) < forces.opening
+    met = met.withColumn("gap", gap).withColumn("same", F.col("gap") < 1e-6).withColumn("open", ~(F.col("same") | leaf | small))
+    push = [F.when(F.col("same"), 0.0).otherwise((F.col(a) - F.col(f"m{a}")) * forces.repulsion * F.col("m") / far).alias(f"f{a}") for a in AXES]
+    return met.select("id", *AXES, "cell", "open", F.col("same").cast("int").alias("same"), *push)
+
+
+def repelled(state: DataFrame, forces: Forces, held: list[DataFrame]) -> DataFrame:
+    """(id, fx, fy, fz, same): the push of all other nodes on each, and how many cells
+    lie on its own place.  Tables that it stashes go to ``held``."""
+    extent = state.agg(F.max(F.greatest(*(F.abs(a) for a in AXES)))).first()[0]
+    half = max(1.0, extent or 0.0) + 10.0
+    levels = next(k for k in range(_BITS) if half / (1 << k) < forces.finest)
+    # ordered by level, so that a read of one level skips the others
+    cells = stash(octree(state, half, levels).sortWithinPartitions("level"), "cells")
+    held.append(cells)
+    root = cells.where("level = 0").first()
+    if root is None:
+        return state.select("id", *(F.lit(0.0).alias(f"f{a}") for a in AXES), F.lit(0).alias("same"))
+    body = [F.lit(root[c]).alias(c) for c in ("cell", "m", "mx", "my", "mz")]
+    seen = _seen(state.select("id", *AXES, *body), 0, levels, half, forces)
+    pushes = [seen.where("not open")]
+    for level in range(1, levels + 1):
+        children = cells.where(F.col("level") == level).drop("level")
+        if 8**level <= BROADCAST_CELLS:
+            children = F.broadcast(children)
+        met = seen.where("open").select("id", *AXES, F.col("cell").alias("up")).join(children, "up")
+        seen = _seen(met, level, levels, half, forces)
+        if level > 1:
+            seen = stash(seen, "seen")
+            held.append(seen)
+        pushes.append(seen.where("not open"))
+        if level > 1 and seen.where("open").isEmpty():
+            break
+    every = pushes[0]
+    for more in pushes[1:]:
+        every = every.unionByName(more)
+    return every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz", "same")))
+
+
+def _pulled(state: DataFrame, links: DataFrame, heat: float, forces: Forces) -> DataFrame:
+    """(id, px, py, pz): the change of velocity by springs, equal and opposite at their ends."""
+    ends = links
+    for end, mark in (("src", "a"), ("dst", "b")):
+        ends = ends.join(state.select(F.col("id").alias(end), *(F.col(a).alias(f"{mark}{a}") for a in AXES)), end)
+    length = F.sqrt(sum((F.col(f"b{a}") - F.col(f"a{a}")) ** 2 for a in AXES))
+    share = F.when(length == 0, 0.0).otherwise((length - forces.rest_length) / length) * (heat * 0.5) * F.col("weight")
+    pull = [share * (F.col(f"b{a}") - F.col(f"a{a}")) for a in AXES]
+    both = F.array(F.struct(F.col("src").alias("id"), *(p.alias(f"p{a}") for p, a in zip(pull, AXES))), F.struct(F.col("dst").alias("id"), *((-p).alias(f"p{a}") for p, a in zip(pull, AXES))))
+    return ends.select(F.inline(both)).groupBy("id").agg(*(F.sum(f"p{a}").alias(f"p{a}") for a in AXES))
+
+
+def tick(state: DataFrame, links: DataFrame, heat: float, forces: Forces, held: list[DataFrame]) -> DataFrame:
+    """The state after one tick: repulsion, springs and a weak pull to the centre change the
+    velocity, which then decays and is bounded, and moves the node."""
+    joined = state.join(repelled(state, forces, held), "id", "left").join(_pulled(state, links, heat, forces), "id", "left")
+    # moves nodes apart that lie on one place
+    jitter = {a: (F.pmod(F.col("seed"), F.lit(n)) - n // 2) * 0.4 for a, n in zip(AXES, (7, 5, 3))}
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    speed = {a: (F.col(f"v{a}") + heat * (zero(f"f{a}") + zero("same") * jitter[a] - forces.centring * F.col(a)) + zero(f"p{a}")) * forces.kept for a in AXES}
+    moved = joined.select("id", "seed", *AXES, *(speed[a].alias(f"v{a}") for a in AXES)).withColumn("speed", F.sqrt(sum(F.col(f"v{a}") ** 2 for a in AXES)))
+    bound = F.when(F.col("speed") > forces.fastest, forces.fastest / F.col("speed")).otherwise(1.0)
+    moved = moved.select("id", "seed", *AXES, *((F.col(f"v{a}") * bound).alias(f"v{a}") for a in AXES))
+    place = {a: F.col(a) + F.col(f"v{a}") for a in AXES}
+    inside = lambda c: F.greatest(F.lit(-forces.farthest), F.least(F.lit(forces.farthest), c))
+    out = [F.when(F.abs(place[a]) > forces.farthest, 0.0).otherwise(F.col(f"v{a}")).alias(f"v{a}") for a in AXES]
+    return moved.select("id", *(inside(place[a]).alias(a) for a in AXES), *out, "seed")
+
+
+def simulate(state: DataFrame, edges: DataFrame, ticks: int, forces: Forces = Forces()) -> DataFrame:
+    """The state (``at_rest``, or what a call before returned) after so many ticks.
+
+    Each tick's state is a table of the shared folder; what a tick made is
+    deleted once the next state is written.  Ids are unique; edges whose ends
+    are not both there do nothing; an empty state stays empty."""
+    links = stash(springs(edges), "springs")
+    now = stash(state.select(*STATE), "state")
+    for _, heat in zip(range(ticks), forces.heats()):
+        held: list[DataFrame] = []
+        after = stash(tick(now, links, heat, forces, held), "state")
+        drop_stash(now, *held)
+        now = after
+    drop_stash(links)
+    return now

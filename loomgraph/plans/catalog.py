@@ -274,10 +274,32 @@ def layout_start(g: Graph) -> DataFrame:
     return _start(g).select("id", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
-@registered(graph=True)
+PLACED = f"""{DEGREES}, places as (select id, start_line + length(id) as seed, {START} from nodes),
+    size as (select greatest(1.0, max(greatest(abs(x), abs(y), abs(z)))) + 10 as half from places), depth as (select ceil(log2(half / 0.5))::int + (log2(half / 0.5) = ceil(log2(half / 0.5)))::int as deepest from size),
+    fine as (select id, x, y, z, ceil((x + half) / (2 * half / 2 ** deepest))::bigint - 1 as cx, ceil((y + half) / (2 * half / 2 ** deepest))::bigint - 1 as cy, ceil((z + half) / (2 * half / 2 ** deepest))::bigint - 1 as cz from places, size, depth),
+    cells as (select level, cx >> (deepest - level) as cx, cy >> (deepest - level) as cy, cz >> (deepest - level) as cz, count(*) as m, sum(x) / count(*) as mx, sum(y) / count(*) as my, sum(z) / count(*) as mz
+        from fine, depth, lateral (select unnest(range(deepest + 1))::int as level) group by all),
+    met as (select id, x, y, z, level, cx, cy, cz, m, mx, my, mz, (mx - x) ** 2 + (my - y) ** 2 + (mz - z) ** 2 as gap from places, cells where level = 0
+        union all select t.id, t.x, t.y, t.z, c.level, c.cx, c.cy, c.cz, c.m, c.mx, c.my, c.mz, (c.mx - t.x) ** 2 + (c.my - t.y) ** 2 + (c.mz - t.z) ** 2
+        from met t join cells c on c.level = t.level + 1 and c.cx >> 1 = t.cx and c.cy >> 1 = t.cy and c.cz >> 1 = t.cz, size, depth
+        where t.gap >= 1e-6 and t.m > 1 and t.level < deepest and 2 * half / 2 ** t.level / sqrt(greatest(t.gap, 36.0)) >= 0.9),
+    pushed as (select id, sum(case when gap < 1e-6 then 0 else (x - mx) * 220.0 * m / greatest(gap, 36.0) end) as fx, sum(case when gap < 1e-6 then 0 else (y - my) * 220.0 * m / greatest(gap, 36.0) end) as fy,
+        sum(case when gap < 1e-6 then 0 else (z - mz) * 220.0 * m / greatest(gap, 36.0) end) as fz, sum((gap < 1e-6)::int) as same from met, size, depth
+        where gap < 1e-6 or m = 1 or level = deepest or 2 * half / 2 ** level / sqrt(greatest(gap, 36.0)) < 0.9 group by id),
+    spring as (select src, dst, b.x - a.x as dx, b.y - a.y as dy, b.z - a.z as dz, sqrt((b.x - a.x) ** 2 + (b.y - a.y) ** 2 + (b.z - a.z) ** 2) as d, 1.0 / least(e.degree, f.degree) as bias
+        from edges join places a on a.id = src join places b on b.id = dst join deg e on e.id = src join deg f on f.id = dst),
+    pull as (select id, sum(px) as px, sum(py) as py, sum(pz) as pz from (select src as id, dx * w as px, dy * w as py, dz * w as pz from (select *, case when d = 0 then 0 else (d - 42.0) / d * 0.5 * bias end as w from spring)
+        union all select dst, -dx * w, -dy * w, -dz * w from (select *, case when d = 0 then 0 else (d - 42.0) / d * 0.5 * bias end as w from spring)) group by id),
+    v as (select id, x, y, z, (fx + same * (seed % 7 - 3) * 0.4 - 0.012 * x + coalesce(px, 0)) * 0.6 as vx, (fy + same * (seed % 5 - 2) * 0.4 - 0.012 * y + coalesce(py, 0)) * 0.6 as vy,
+        (fz + same * (seed % 3 - 1) * 0.4 - 0.012 * z + coalesce(pz, 0)) * 0.6 as vz from places join pushed using (id) left join pull using (id)),
+    k as (select *, case when sqrt(vx ** 2 + vy ** 2 + vz ** 2) > 30 then 30 / sqrt(vx ** 2 + vy ** 2 + vz ** 2) else 1.0 end as k from v)"""
+
+
+@registered(f"{PLACED} select id, round(x + vx * k, 3) as x, round(y + vy * k, 3) as y, round(z + vz * k, 3) as z from k", graph=True)
 def layout_positions(g: Graph) -> DataFrame:
-    """One force step from the start; the repulsion of cell means has no SQL counterpart here."""
-    return layout.step(_start(g), g.edges)
+    """All nodes after the first tick of the simulation from their start places."""
+    places = g.nodes.select("id", (F.col("start_line") + F.length("id")).alias("seed")).join(layout_start(g), "id")
+    return layout.simulate(layout.at_rest(places, F.col("seed")), g.edges, 1).select("id", *(F.round(c, 3).alias(c) for c in "xyz"))
 
 
 SPOTS = f"""spots as (select v.id, name, degree, (round({FIRST} / 4294967296.0 * 2 - 1, 6) * 0.5 + 0.5) * 1280 as x, (round({LCG.format(FIRST)} / 4294967296.0 * 2 - 1, 6) * 0.5 + 0.5) * 720 as y,

@@ -9,15 +9,21 @@ read the contents, until ``maxSeconds`` after the listing are over.  On a cluste
 a folder that all executors see.  ``withContent`` says whose contents are read: of
 all files (``true``), of none (``false``) or of files of a known language
 (``sources``, which is all that extraction looks at); files over ``maxBytes`` never are.
+
+With the option ``pushdown`` (and ``spark.sql.python.filterPushdown.enabled``, which it needs),
+filters on what a listing knows (path, name, depth, order, size, link) are taken over: files that they leave out
+are not read, and still count for the bounds.  ``listing`` has the folders listed by tasks.
 """
 
 from __future__ import annotations
 
+import operator
 import os
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
+from pyspark.sql import datasource as ds
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from loomgraph.sources.languages import EXTENSIONS
@@ -70,6 +76,37 @@ def walk(root: str, excluded: frozenset[str], max_files: int, max_depth: int, fo
             order += 1
 
 
+#: Columns that the listing knows, in its order.
+_KNOWN = ("path", "name", "depth", "walk_order", "size", "is_symlink")
+_COMPARED: dict[type, Callable] = {
+    ds.EqualTo: operator.eq,
+    ds.EqualNullSafe: operator.eq,
+    ds.GreaterThan: operator.gt,
+    ds.GreaterThanOrEqual: operator.ge,
+    ds.LessThan: operator.lt,
+    ds.LessThanOrEqual: operator.le,
+    ds.In: lambda value, listed: value in listed,
+    ds.StringStartsWith: str.startswith,
+    ds.StringEndsWith: str.endswith,
+    ds.StringContains: str.__contains__,
+}
+
+
+def holds(filter_: ds.Filter, file: tuple) -> bool | None:
+    """Whether a listed file meets a filter; none if the listing can't tell."""
+    if isinstance(filter_, ds.Not):
+        inner = holds(filter_.child, file)
+        return None if inner is None else not inner
+    if len(filter_.attribute) != 1 or filter_.attribute[0] not in _KNOWN:
+        return None
+    if isinstance(filter_, (ds.IsNull, ds.IsNotNull)):
+        return isinstance(filter_, ds.IsNotNull)
+    # a comparison with null is for Spark to judge
+    if type(filter_) not in _COMPARED or filter_.value is None or isinstance(filter_, ds.In) and None in filter_.value:
+        return None
+    return bool(_COMPARED[type(filter_)](file[_KNOWN.index(filter_.attribute[0])], filter_.value))
+
+
 class RepositoryReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         options = {k.lower(): v for k, v in options.items()}
@@ -81,9 +118,11 @@ class RepositoryReader(DataSourceReader):
         self.follow = options.get("followsymlinks", "false") == "true"
         self.chunk = get("filesPerTask", 64)
         self.seconds = get("maxSeconds", MAX_SECONDS)
+        self.filters: list[ds.Filter] = []
 
     def partitions(self) -> list[Chunk]:
-        files = list(walk(self.root, self.excluded, self.bounds[0], self.bounds[1], self.follow, self.bounds[2]))
+        walked = walk(self.root, self.excluded, self.bounds[0], self.bounds[1], self.follow, self.bounds[2])
+        files = [file for file in walked if all(holds(one, file) for one in self.filters)]
         until = time.time() + self.seconds
         return [Chunk(self.root, files[k : k + self.chunk], until) for k in range(0, len(files), self.chunk)] or [Chunk(self.root, [], until)]
 
@@ -103,6 +142,17 @@ class RepositoryReader(DataSourceReader):
             yield path, name, depth, order, size, link, status, reason, content
 
 
+class FilteringReader(RepositoryReader):
+    """Takes filters over; a class of its own, as Spark refuses such readers where it does not push filters."""
+
+    def pushFilters(self, filters: list[ds.Filter]) -> Iterable[ds.Filter]:
+        for one in filters:
+            if holds(one, ("", "", 0, 0, 0, False)) is None:
+                yield one
+            else:
+                self.filters.append(one)
+
+
 class RepositorySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -112,4 +162,5 @@ class RepositorySource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> RepositoryReader:
-        return RepositoryReader(dict(self.options))
+        kind = FilteringReader if self.options.get("pushdown", "false") == "true" else RepositoryReader
+        return kind(dict(self.options))

@@ -3,7 +3,7 @@
     python -m loomgraph.cli map ROOT GRAPH
     python -m loomgraph.cli find|impact|path|file|stats|ask|explain|stacks|report|models|tools|doctor ...
 
-``map --cache FOLDER`` extracts only what changed; ``--root ROOT`` beside a query
+``map --cache FOLDER`` extracts only what changed, ``map --json FILE`` also writes one JSON document, in ROOT; ``--root ROOT`` beside a query
 adds snippets.  Limits come from the environment (``plans/settings.py``).
 """
 
@@ -23,7 +23,7 @@ from loomgraph.operators import egress, graph_ops, retrieve
 from loomgraph.operators.engine import Engine
 from loomgraph.operators.policy import QueryCaps, QueryRefused
 from loomgraph.plans import settings
-from loomgraph.sources import extract, graph_files, models, stacks
+from loomgraph.sources import document, extract, graph_files, models, stacks
 from loomgraph.sources.languages import LANGUAGES
 from loomgraph.sources.repository import RepositorySource
 
@@ -63,6 +63,7 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--direction", default="callers")
         if verb == "map":
             sub.add_argument("--cache")
+            sub.add_argument("--json")
         if verb in ("impact", "ask", "explain"):
             sub.add_argument("--root")
         if verb == "models":
@@ -78,6 +79,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.verb == "map":
         built = extract.build(scan(spark, args.root, "sources"), args.cache, settings.of(settings.Limits, spark).max_total_bytes)
         graph_files.write(built, args.graph)
+        if args.json:
+            document.write_document(graph_files.read(spark, args.graph), args.json, args.root)
         return Engine(graph_files.read(spark, args.graph)).stats()
     if args.verb == "stacks":
         return [r.asDict() for r in stacks.detect(scan(spark, args.root)).orderBy("category", "name").collect()]
@@ -119,7 +122,7 @@ def main(argv: list[str] | None = None) -> int:
     except QueryRefused as e:
         print(e, file=sys.stderr)
         return REFUSED
-    except (ValueError, AnalysisException) as e:
+    except (ValueError, PermissionError, AnalysisException) as e:
         print(e, file=sys.stderr)
         return FAILED
     except KeyboardInterrupt:

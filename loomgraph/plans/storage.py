@@ -34,6 +34,17 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """What lies in a folder."""
+    fs, where = _file(spark, path)
+    return [found.getPath().getName() for found in fs.listStatus(where)]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, where = _file(spark, path)
+    fs.delete(where, True)
+
+
 def delete_at_exit(spark: SparkSession, path: str) -> str:
     """The JVM deletes the folder when it ends."""
     fs, where = _file(spark, path)
@@ -57,5 +68,4 @@ def drop_stash(*tables: DataFrame) -> None:
     """Deletes stashed tables that nothing reads any more; others are left alone."""
     for table in tables:
         if path := _where.pop(table, None):
-            fs, where = _file(table.sparkSession, path)
-            fs.delete(where, True)
+            delete(table.sparkSession, path)

@@ -1,4 +1,4 @@
-"""Graphs on disk: Parquet tables, JSON documents, and the scan cache."""
+"""Graphs on disk: Parquet tables, and the scan cache."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph.plans.schema import EDGES, FILES, NODES, Graph
-from loomgraph.plans.storage import exists
+from loomgraph.plans.storage import delete, exists, names_in
 
 FORMAT = "loomgraph/1"
 _TABLES = {"nodes": NODES, "edges": EDGES, "files": FILES}
@@ -29,30 +29,29 @@ def read(spark: SparkSession, path: str, files: bool = True) -> Graph:
     return Graph(get("nodes"), get("edges"), get("files") if files else None)
 
 
-def write_json(graph: Graph, path: str) -> None:
-    """One JSON row for each node, edge and file, in their total orders, under ``path``."""
-    graph.nodes.orderBy("id").write.mode("overwrite").json(f"{path}/nodes")
-    graph.edges.orderBy("src", "type", "dst", "path", "line", "col").write.mode("overwrite").json(f"{path}/edges")
-    if graph.files is not None:
-        graph.files.orderBy("path").write.mode("overwrite").json(f"{path}/files")
-
-
-def read_document(spark: SparkSession, path: str) -> Graph:
-    """A graph kept as one JSON document with the lists ``nodes``, ``edges`` and ``files``."""
-    schema = ", ".join(f"{k} array<struct<{', '.join(':'.join(c.split()) for c in v.split(', '))}>>" for k, v in _TABLES.items())
-    whole = spark.read.schema(schema).json(path, multiLine=True)
-    tables = [whole.select(F.inline(name)) for name in _TABLES]
-    fill = lambda df: df.na.fill("").na.fill(0)
-    return Graph(*map(fill, tables))
-
-
 def write_cache(facts: dict[str, DataFrame], path: str) -> None:
-    """A new generation of the cache: one table for each kind of fact, and which generation holds."""
+    """A new generation of the cache: one table for each kind of fact, and which generation holds.
+
+    The generation before stays, for those that still read it; older ones go."""
     spark = next(iter(facts.values())).sparkSession
-    generation = uuid.uuid4().hex
+    generation, before = uuid.uuid4().hex, _holding(spark, path)
     for name, table in facts.items():
         table.write.parquet(f"{path}/{generation}/{name}")
     spark.createDataFrame([(FORMAT, generation)], "version string, generation string").write.mode("overwrite").json(f"{path}/current")
+    for name in names_in(spark, path):
+        if name not in ("current", generation, before):
+            delete(spark, f"{path}/{name}")
+
+
+def _holding(spark: SparkSession, path: str) -> str:
+    """The generation that holds, '' without one."""
+    if not exists(spark, f"{path}/current"):
+        return ""
+    try:
+        row = spark.read.schema("version string, generation string").json(f"{path}/current").first()
+    except (AnalysisException, Py4JError):
+        return ""
+    return row.generation or "" if row else ""
 
 
 def read_cache(spark: SparkSession, path: str, schemas: dict[str, str]) -> dict[str, DataFrame]:

@@ -4,7 +4,7 @@
     python -m loomgraph.cli find|impact|path|file|stats|ask|explain|stacks|report|models|tools|doctor ...
 
 ``map --cache FOLDER`` extracts only what changed, ``map --json FILE`` also writes one JSON document, in ROOT; ``--root ROOT`` beside a query
-adds snippets.  Limits come from the environment (``plans/settings.py``).
+adds snippets, ``--text`` gives lines in place of JSON.  Limits come from the environment (``plans/settings.py``).
 """
 
 from __future__ import annotations
@@ -14,15 +14,17 @@ import dataclasses
 import json
 import sys
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomgraph import ship
-from loomgraph.operators import egress, graph_ops, retrieve
+from loomgraph.operators import egress, graph_ops, render, retrieve
 from loomgraph.operators.engine import Engine
 from loomgraph.operators.policy import QueryCaps, QueryRefused
 from loomgraph.plans import settings
+from loomgraph.plans.storage import shared_dir
 from loomgraph.sources import document, extract, graph_files, models, stacks
 from loomgraph.sources.languages import LANGUAGES
 from loomgraph.sources.repository import RepositorySource
@@ -66,6 +68,8 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument("--json")
         if verb in ("impact", "ask", "explain"):
             sub.add_argument("--root")
+        if verb in ("find", "impact", "path", "file"):
+            sub.add_argument("--text", action="store_true")
         if verb == "models":
             sub.add_argument("--free", action="store_true")
         if verb in ("impact", "path"):
@@ -73,9 +77,38 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def doctor(spark: SparkSession) -> dict[str, object]:
+    """What a scan and a query would run with: each language, ready where Spark's JVM takes its
+    patterns and else with its error; the limits; where temporary tables go."""
+    languages = {}
+    for lang in LANGUAGES:
+        try:
+            for pattern in (*(of for _, of in lang.definitions), *lang.imports, lang.calls):
+                spark._jvm.java.util.regex.Pattern.compile(pattern)
+            languages[lang.name] = f"ready: {' '.join(lang.extensions)}"
+        except Py4JJavaError as e:
+            languages[lang.name] = f"failed: {e.java_exception.getMessage()}"
+    try:
+        tables = shared_dir(spark)
+    except ValueError as e:
+        tables = f"failed: {e}"
+    limits, caps = settings.of(settings.Limits, spark), settings.of(QueryCaps, spark, prefix="query_")
+    ready = sum(v.startswith("ready") for v in languages.values())
+    return {
+        "spark": spark.version,
+        "languages": dict(sorted(languages.items())),
+        "languages_ready": f"{ready} of {len(LANGUAGES)}",
+        "limits": dataclasses.asdict(limits),
+        "query_caps": dataclasses.asdict(caps),
+        "sending": "never",
+        "tables": tables,
+        "ok": ready == len(LANGUAGES) and not tables.startswith("failed"),
+    }
+
+
 def run(spark: SparkSession, args: argparse.Namespace) -> object:
     if args.verb == "doctor":
-        return {"languages": [lang.name for lang in LANGUAGES], "spark": spark.version}
+        return doctor(spark)
     if args.verb == "map":
         built = extract.build(scan(spark, args.root, "sources"), args.cache, settings.of(settings.Limits, spark).max_total_bytes)
         graph_files.write(built, args.graph)
@@ -108,7 +141,8 @@ def run(spark: SparkSession, args: argparse.Namespace) -> object:
         "path": lambda: engine.path_between(args.source, args.target, args.depth),
         "file": lambda: engine.file_summary(args.path),
     }
-    return dataclasses.asdict(calls[args.verb]())
+    found = calls[args.verb]()
+    return render.shown(found) if args.text else dataclasses.asdict(found)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -128,7 +162,7 @@ def main(argv: list[str] | None = None) -> int:
     except KeyboardInterrupt:
         return INTERRUPTED
     print(out if isinstance(out, str) else json.dumps(out, indent=2, default=str))
-    return OK
+    return FAILED if args.verb == "doctor" and not out["ok"] else OK
 
 
 if __name__ == "__main__":

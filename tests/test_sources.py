@@ -190,6 +190,13 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert "`two`" in told("ask", graph, "what is two?") and json.loads(told("path", graph, "one", "two"))["edges"]
     for argv in (("find", graph, "one"), ("file", graph, "a.py"), ("stats", graph), ("report", graph), ("stacks", str(root)), ("models", str(tmp_path / "models.json"), "--free"), ("tools",), ("doctor",)):
         assert told(*argv)
+    shown = told("impact", graph, "one", "--direction", "both", "--root", str(root), "--text")
+    assert "  function  two                              b.py:1\n" in shown and "  function:one@1 -[calls]-> function:two@1  a.py:3\n" in shown and "  | " in shown and "hunter2" not in shown
+    health = json.loads(told("doctor"))
+    assert health["languages_ready"] == f"{len(LANGUAGES)} of {len(LANGUAGES)}" and health["limits"]["max_files"] == 5000 and health["query_caps"]["max_nodes"] == 200 and health["ok"]
+    assert cli.main(["map", str(root), graph, "--json", str(tmp_path / "out.json")]) == 1 and not (tmp_path / "out.json").exists()
+    told("map", str(root), graph, "--json", str(root / "out.json"))
+    assert len(json.loads((root / "out.json").read_text())["nodes"]) == 4
     assert cli.main(["find", graph, ""]) == 2 and cli.main(["impact", graph, "one", "--direction", "up"]) == 1
     monkeypatch.setenv("LOOMGRAPH_ENV", "production")
     assert cli.main(["doctor"]) == 78

@@ -1,17 +1,24 @@
 """Layout of a graph in space: seeded start places, and a force simulation whose state is a table.
 
 A tick sorts the nodes into cells of an octree, level by level (the level is a
-shift of the cell's key), and lets every node walk the tree from its root: a
-cell is taken as one body where it is a leaf or looks small from the node, or
-else the node meets the cell's children by an equi-join on the cell.  So a node
-meets some hundred cells, whatever the number of nodes, and no step pairs nodes.
+shift of the cell's key), and walks the tree from its root: a cell is taken as
+one body where it is a leaf or looks small from the node, or else its children
+are met.  Nodes near each other walk together: a group (the nodes of a few
+cells) meets the children of each cell that may be open to any place in its box,
+by an equi-join on the cell.  Then the nodes of a group, in bounded parts, meet
+these cells in a task, where each node decides by itself which of them are
+bodies.  So a node meets some hundred cells, whatever the number of nodes; pairs
+of nodes and cells are neither stored nor moved, and no step pairs nodes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +33,10 @@ STATE = ("id", *AXES, "vx", "vy", "vz", "seed")
 _BITS = 20
 #: Cells of one level that are broadcast at most; level l has no more than 8 ** l.
 BROADCAST_CELLS = 1 << 15
+#: Lowest cells of a group at most, and nodes of a group that a task holds at once, or so.
+GROUP_SEATS, PART_NODES = 64, 4096
+#: Numbers in a matrix of nodes and cells at most, but for one node.
+_MATRIX = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -62,11 +73,11 @@ def lcg(seed: Column) -> Column:
     return F.pmod(seed * FACTOR + ADDEND, F.lit(MODULUS))
 
 
-def start(nodes: DataFrame, seed: Column, extent: float = 100.0) -> DataFrame:
-    """(id, x, y, z): three generator steps from each node's own seed, scaled to [-extent, extent]."""
-    steps = nodes.select("id", lcg(F.pmod(seed, F.lit(MODULUS))).alias("a")).withColumn("b", lcg(F.col("a"))).withColumn("c", lcg(F.col("b")))
+def start(nodes: DataFrame, seed: Column, extent: float = 100.0, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+    """(id, x, y, z): three generator steps from each node's own seed, scaled to [-extent, extent]; ``keep`` names the other columns."""
+    steps = nodes.select(*keep, lcg(F.pmod(seed, F.lit(MODULUS))).alias("a")).withColumn("b", lcg(F.col("a"))).withColumn("c", lcg(F.col("b")))
     scale = lambda c: (F.col(c) / F.lit(float(MODULUS)) * 2 - 1) * extent
-    return steps.select("id", scale("a").alias("x"), scale("b").alias("y"), scale("c").alias("z"))
+    return steps.select(*keep, scale("a").alias("x"), scale("b").alias("y"), scale("c").alias("z"))
 
 
 def at_rest(places: DataFrame, seed: Column | None = None) -> DataFrame:
@@ -96,64 +107,122 @@ def _mask(shift: int) -> int:
     return field << 2 * _BITS | field << _BITS | field
 
 
-def octree(state: DataFrame, half: float, levels: int) -> DataFrame:
-    """level, cell, up (the cell around it), m (nodes), and the mean place mx, my, mz of each cell that holds nodes."""
+def _seat(half: float, levels: int) -> Column:
+    """The key of the lowest cell around a place; one on a border belongs to the lower cell."""
     side = 2 * half / (1 << levels)
     key = F.lit(0).cast("bigint")
     for a in AXES:
-        # a place on a border belongs to the lower cell
         key = F.shiftleft(key, _BITS).bitwiseOR(F.greatest(F.ceil((F.col(a) + half) / side) - 1, F.lit(0)).cast("bigint"))
-    fine = state.groupBy(key.alias("fine")).agg(F.count("*").alias("m"), *(F.sum(a).alias(f"s{a}") for a in AXES))
+    return key
+
+
+def _around(seats: DataFrame, levels: int) -> DataFrame:
+    """``seats`` with each ``level`` and the ``cell`` of that level around the column ``seat``."""
     shifts = F.array(*(F.struct(F.lit(k).alias("level"), F.lit(levels - k).alias("shift"), F.lit(_mask(levels - k)).alias("mask")) for k in range(levels + 1)))
-    tall = fine.select("*", F.inline(shifts)).withColumn("cell", F.expr("shiftright(fine, shift) & mask"))
-    sums = tall.groupBy("level", "cell").agg(*(F.sum(c).alias(c) for c in ("m", "sx", "sy", "sz")))
+    return seats.select("*", F.inline(shifts)).withColumn("cell", F.expr("shiftright(seat, shift) & mask")).drop("shift", "mask")
+
+
+def octree(state: DataFrame, half: float, levels: int) -> DataFrame:
+    """level, cell, up (the cell around it), m (nodes), and the mean place mx, my, mz of each cell that holds nodes."""
+    fine = state.groupBy(_seat(half, levels).alias("seat")).agg(F.count("*").alias("m"), *(F.sum(a).alias(f"s{a}") for a in AXES))
+    sums = _around(fine, levels).groupBy("level", "cell").agg(*(F.sum(c).alias(c) for c in ("m", "sx", "sy", "sz")))
     up = F.shiftright("cell", 1).bitwiseAND(F.lit(_mask(1)))
     return sums.select("level", "cell", up.alias("up"), "m", *((F.col(f"s{a}") / F.col("m")).alias(f"m{a}") for a in AXES))
 
 
-def _seen(met: DataFrame, level: int, levels: int, half: float, forces: Forces) -> DataFrame:
-    """Pairs of a node and a cell: whether the cell is ``open`` to the node, or else
-    its push on it, or that it lies on the ``same`` place."""
-    gap = sum((F.col(f"m{a}") - F.col(a)) ** 2 for a in AXES)
-    far = F.greatest(F.col("gap"), F.lit(forces.least_gap))
-    leaf = F.lit(level == levels) | (F.col("m") == 1)
-    small = F.lit(2 * half / (1 << level)) / F.sqrt(far) < forces.opening
-    met = met.withColumn("gap", gap).withColumn("same", F.col("gap") < 1e-6).withColumn("open", ~(F.col("same") | leaf | small))
-    push = [F.when(F.col("same"), 0.0).otherwise((F.col(a) - F.col(f"m{a}")) * forces.repulsion * F.col("m") / far).alias(f"f{a}") for a in AXES]
-    return met.select("id", *AXES, "cell", "open", F.col("same").cast("int").alias("same"), *push)
+def grouped(cells: DataFrame, half: float, levels: int) -> DataFrame:
+    """seat (each lowest cell), its group (``top``, ``group``: level and key of the highest
+    cell around it of ``GROUP_SEATS`` lowest cells at most) and the group's ``nodes``."""
+    tall = _around(cells.where(F.col("level") == levels).select(F.col("cell").alias("seat"), "m"), levels)
+    fit = tall.groupBy("level", "cell").agg(F.count("*").alias("seats"), F.sum("m").alias("nodes")).where(F.col("seats") <= GROUP_SEATS)
+    best = tall.join(fit, ["level", "cell"]).groupBy("seat").agg(F.min(F.struct("level", "cell", "nodes")).alias("g"))
+    return best.select("seat", F.col("g.level").alias("top"), F.col("g.cell").alias("group"), F.col("g.nodes").alias("nodes"))
+
+
+def _boxes(groups: DataFrame, half: float, levels: int) -> DataFrame:
+    """top, group, nodes and the box (lx, hx, ...) around the lowest cells of each group, a hair wider."""
+    side, hair = 2 * half / (1 << levels), 1e-9 * half
+    index = {a: F.shiftright("seat", 2 * _BITS - k * _BITS).bitwiseAND(F.lit((1 << _BITS) - 1)) for k, a in enumerate(AXES)}
+    low = [(F.min(c) * side - half - hair).alias(f"l{a}") for a, c in index.items()]
+    high = [((F.max(c) + 1) * side - half + hair).alias(f"h{a}") for a, c in index.items()]
+    return groups.groupBy("top", "group").agg(F.max("nodes").alias("nodes"), *low, *high)
+
+
+def _met(boxes: DataFrame, level: int, levels: int, half: float, forces: Forces) -> DataFrame:
+    """Groups and cells that they meet: whether the cell may be ``open`` to a place in the box."""
+    out = [F.greatest(F.col(f"l{a}") - F.col(f"m{a}"), F.col(f"m{a}") - F.col(f"h{a}"), F.lit(0.0)) for a in AXES]
+    least = F.sqrt(F.greatest(sum(c**2 for c in out), F.lit(forces.least_gap)))
+    small = F.lit(2 * half / (1 << level)) / least < forces.opening
+    return boxes.withColumn("level", F.lit(level)).withColumn("open", F.lit(level < levels) & (F.col("m") > 1) & ~small)
+
+
+def _pushes(levels: int, half: float, forces: Forces):
+    """The state of nodes with their pushes, from the cells that their group meets; each node
+    takes a cell as one body, or opens it and so reaches the children, by itself."""
+
+    def run(nodes: pa.Table, cells: pa.Table) -> pa.Table:
+        places = np.stack([nodes[a].to_numpy() for a in AXES])
+        level, key, m = (cells[c].to_numpy() for c in ("level", "cell", "m"))
+        order = np.lexsort((key, level))
+        level, key, m = level[order], key[order], m[order]
+        means = np.stack([cells[f"m{a}"].to_numpy()[order] for a in AXES])
+        ends = np.searchsorted(level, np.arange(level.max(initial=-1) + 2))
+        force, same = np.zeros_like(places), np.zeros(places.shape[1], np.int64)
+        step = max(1, _MATRIX // max(1, int(np.diff(ends).max(initial=1))))
+        for first in range(0, places.shape[1], step):
+            here = slice(first, first + step)
+            opened = before = None
+            for k, (low, high) in enumerate(zip(ends, ends[1:])):
+                apart = places[:, here, None] - means[:, None, low:high]
+                gap = (apart**2).sum(axis=0)
+                equal = gap < 1e-6
+                far = np.maximum(gap, forces.least_gap)
+                body = equal | (m[low:high] == 1) | (k == levels) | (2 * half / (1 << k) / np.sqrt(far) < forces.opening)
+                reached = np.ones_like(body) if before is None else opened[:, np.searchsorted(before, key[low:high] >> 1 & _mask(1))]
+                taken = reached & body
+                force[:, here] += np.einsum("anc,nc->an", apart, np.where(taken & ~equal, forces.repulsion * m[low:high] / far, 0.0))
+                same[here] += (taken & equal).sum(axis=1)
+                opened, before = reached & ~body, key[low:high]
+        columns = {c: nodes[c] for c in STATE} | {f"f{a}": pa.array(f) for a, f in zip(AXES, force)} | {"same": pa.array(same)}
+        return pa.table(columns)
+
+    return run
 
 
 def repelled(state: DataFrame, forces: Forces, held: list[DataFrame]) -> DataFrame:
-    """(id, fx, fy, fz, same): the push of all other nodes on each, and how many cells
-    lie on its own place.  Tables that it stashes go to ``held``."""
+    """The state with fx, fy, fz (the push of all other nodes on each) and same (how many
+    cells lie on its own place).  Tables that it stashes go to ``held``."""
     extent = state.agg(F.max(F.greatest(*(F.abs(a) for a in AXES)))).first()[0]
-    half = max(1.0, extent or 0.0) + 10.0
-    levels = next(k for k in range(_BITS) if half / (1 << k) < forces.finest)
+    if extent is None:
+        return state.select("*", *(F.lit(0.0).alias(f"f{a}") for a in AXES), F.lit(0).alias("same"))
+    half = max(1.0, extent) + 10.0
+    finest = next(k for k in range(_BITS) if half / (1 << k) < forces.finest)
+    # a cell that looks small from the least distance is never open, so none is needed below it
+    levels = next(k for k in range(_BITS) if k == finest or 2 * half / (1 << k) / sqrt(forces.least_gap) < forces.opening)
     # ordered by level, so that a read of one level skips the others
     cells = stash(octree(state, half, levels).sortWithinPartitions("level"), "cells")
-    held.append(cells)
-    root = cells.where("level = 0").first()
-    if root is None:
-        return state.select("id", *(F.lit(0.0).alias(f"f{a}") for a in AXES), F.lit(0).alias("same"))
-    body = [F.lit(root[c]).alias(c) for c in ("cell", "m", "mx", "my", "mz")]
-    seen = _seen(state.select("id", *AXES, *body), 0, levels, half, forces)
-    pushes = [seen.where("not open")]
+    groups = stash(grouped(cells, half, levels), "groups")
+    held += [cells, groups]
+    boxes = _boxes(groups, half, levels)
+    met = [_met(boxes.crossJoin(F.broadcast(cells.where("level = 0").drop("level", "up"))), 0, levels, half, forces)]
     for level in range(1, levels + 1):
         children = cells.where(F.col("level") == level).drop("level")
         if 8**level <= BROADCAST_CELLS:
             children = F.broadcast(children)
-        met = seen.where("open").select("id", *AXES, F.col("cell").alias("up")).join(children, "up")
-        seen = _seen(met, level, levels, half, forces)
-        if level > 1:
-            seen = stash(seen, "seen")
-            held.append(seen)
-        pushes.append(seen.where("not open"))
-        if level > 1 and seen.where("open").isEmpty():
+        above = met[-1].where("open").drop("level", "m", "mx", "my", "mz", "open").withColumnRenamed("cell", "up")
+        met.append(stash(_met(above.join(children, "up").drop("up"), level, levels, half, forces), "met"))
+        held.append(met[-1])
+        if met[-1].where("open").isEmpty():
             break
-    every = pushes[0]
-    for more in pushes[1:]:
+    every = met[0]
+    for more in met[1:]:
         every = every.unionByName(more)
-    return every.groupBy("id").agg(*(F.sum(c).alias(c) for c in ("fx", "fy", "fz", "same")))
+    parts = F.ceil(F.col("nodes") / PART_NODES)
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)).alias("part_of")
+    dealt = every.select(F.col("top").alias("top_of"), F.col("group").alias("group_of"), part, "level", "cell", "m", "mx", "my", "mz")
+    seated = state.withColumn("seat", _seat(half, levels)).join(groups, "seat").withColumn("part", F.pmod(F.xxhash64("id"), parts)).drop("seat", "nodes")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in state.select(*STATE).schema) + ", fx double, fy double, fz double, same bigint"
+    return seated.groupBy("top", "group", "part").cogroup(dealt.groupBy("top_of", "group_of", "part_of")).applyInArrow(_pushes(levels, half, forces), schema)
 
 
 def _pulled(state: DataFrame, links: DataFrame, heat: float, forces: Forces) -> DataFrame:
@@ -171,7 +240,7 @@ def _pulled(state: DataFrame, links: DataFrame, heat: float, forces: Forces) ->
 def tick(state: DataFrame, links: DataFrame, heat: float, forces: Forces, held: list[DataFrame]) -> DataFrame:
     """The state after one tick: repulsion, springs and a weak pull to the centre change the
     velocity, which then decays and is bounded, and moves the node."""
-    joined = state.join(repelled(state, forces, held), "id", "left").join(_pulled(state, links, heat, forces), "id", "left")
+    joined = repelled(state, forces, held).join(_pulled(state, links, heat, forces), "id", "left")
     # moves nodes apart that lie on one place
     jitter = {a: (F.pmod(F.col("seed"), F.lit(n)) - n // 2) * 0.4 for a, n in zip(AXES, (7, 5, 3))}
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))

@@ -298,7 +298,8 @@ PLACED = f"""{DEGREES}, places as (select id, start_line + length(id) as seed, {
 @registered(f"{PLACED} select id, round(x + vx * k, 3) as x, round(y + vy * k, 3) as y, round(z + vz * k, 3) as z from k", graph=True)
 def layout_positions(g: Graph) -> DataFrame:
     """All nodes after the first tick of the simulation from their start places."""
-    places = g.nodes.select("id", (F.col("start_line") + F.length("id")).alias("seed")).join(layout_start(g), "id")
+    seed = (F.col("start_line") + F.length("id")).cast("bigint")
+    places = layout.start(g.nodes.select("id", seed.alias("seed")), F.col("seed"), keep=("id", "seed")).withColumns({c: F.round(c, 6) for c in "xyz"})
     return layout.simulate(layout.at_rest(places, F.col("seed")), g.edges, 1).select("id", *(F.round(c, 3).alias(c) for c in "xyz"))
 
 

@@ -111,3 +111,18 @@ def test_odd_states_and_deleted_tables(spark):
     assert [tuple(r)[1:4] for r in alone] == [pytest.approx((0.0, -0.8 * 0.6, 1.0 - 0.012 * 0.6))]
     # of all tables only the last state of each call is left
     assert sorted(name.split("-")[0] for name in set(os.listdir(folder)) - before) == ["state", "state"]
+
+
+def test_a_tick_stores_no_pairs_of_nodes_and_cells(spark, monkeypatch):
+    stored, stash, n = [], layout.stash, 4000
+    monkeypatch.setattr(layout, "stash", lambda df, label: stored.append(stash(df, label)) or stored[-1])
+    counted = []
+    monkeypatch.setattr(layout, "drop_stash", lambda *tables: counted.extend(t.count() for t in tables))
+    monkeypatch.setattr(layout, "PART_NODES", 40, raising=False)
+    rng = np.random.default_rng(9)
+    places = rng.normal(scale=10.0, size=(n, 3))
+    places[:500] = places[0]  # very many on one place, dealt to parts
+    got = run(spark, places, rng.integers(1, 1000, n).tolist(), [], 1)
+    assert len(got[0]) == n and np.ptp(got[0][:500], axis=0).max() < 10
+    # each node meets over a hundred cells
+    assert sum(counted) < 40 * n

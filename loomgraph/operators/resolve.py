@@ -5,35 +5,45 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomgraph.plans.storage import stash
+
 #: Over so many candidates elsewhere a call stays unresolved.
 MOST_CANDIDATES = 4
+#: Definitions that a name's row holds at most.
+MOST_HELD = 64
 
 
 def resolve_calls(calls: DataFrame, definitions: DataFrame, most: int = MOST_CANDIDATES) -> DataFrame:
     """Edges (src, dst, type, path, line, col), and ``ambiguous``, of each call.
 
-    ``calls``: path, src, name, line, col.  ``definitions``: path, name, id.
-    A name that the call's own file defines binds to all of these; else, with
-    1 to ``most`` definitions elsewhere, to all of those; else it references
-    ``external::name``.  Bound to itself, a call is dropped.  Names are counted
-    before the join, so a name with many definitions never multiplies."""
-    local = definitions.groupBy("path", "name").agg(F.collect_set("id").alias("local"))
-    few = definitions.groupBy("name").agg(F.count("*").alias("n"))
-    wide = definitions.join(few.where(F.col("n") <= most), "name").groupBy("name").agg(F.collect_set("id").alias("wide"))
-    counted = few.join(wide, "name", "left")
-    found = calls.join(local, ["path", "name"], "left").join(counted, "name", "left")
-    targets = F.coalesce("local", "wide")
-    bound = found.where(targets.isNotNull()).select("src", F.explode(targets).alias("dst"), F.lit("calls").alias("type"), "path", "line", "col", F.lit(0).alias("ambiguous")).where("src != dst")
-    loose = found.where(targets.isNull()).select(
-        "src",
-        F.concat(F.lit("external::"), F.col("name")).alias("dst"),
-        F.lit("references").alias("type"),
-        "path",
-        "line",
-        "col",
-        (F.coalesce("n", F.lit(0)) > most).cast("int").alias("ambiguous"),
-    )
-    return bound.unionByName(loose)
+    ``calls``: path, src, name, line, col.  ``definitions``: path, name, id; equal
+    ones count once.  A name that the call's own file defines binds to all of these;
+    else, with 1 to ``most`` definitions elsewhere, to all of those; else it references
+    ``external::name``.  Bound to itself, a call is dropped.
+
+    A name is one row with its definitions, or without them if it has over
+    ``MOST_HELD``, so a call meets it once and never multiplies; definitions of such
+    a name are met by file and name, in a join that is made only if there are any.
+    The rows of names are a table of the shared folder."""
+    held = max(most, MOST_HELD)
+    rank = F.dense_rank().over(Window.partitionBy("name").orderBy("path", "id"))
+    few = definitions.select("path", "name", "id").withColumn("_rank", rank).where(F.col("_rank") <= held + 1)
+    few = few.groupBy("name").agg(F.collect_set(F.struct("path", "id")).alias("held"))
+    few = stash(few.select("name", F.size("held").alias("n"), F.when(F.size("held") <= held, F.col("held")).alias("held")), "names")
+    found = calls.join(few, "name", "left")
+    ids = lambda rows: F.array_distinct(F.transform(rows, lambda x: x["id"]))
+    local = F.filter("held", lambda x: x["path"] == F.col("path"))
+    own = F.when(F.size(local) > 0, ids(local))
+    often = few.where("held is null").select("name")
+    if not often.isEmpty():
+        many = definitions.join(often, "name", "left_semi").groupBy("path", "name").agg(F.collect_set("id").alias("_many"))
+        found, own = found.join(many, ["path", "name"], "left"), F.coalesce("_many", own)
+    found = found.select("src", "name", "path", "line", "col", "n", F.coalesce(own, F.when(F.col("n") <= most, ids("held"))).alias("_targets"))
+    edge = lambda dst, type_, ambiguous: F.struct(dst.alias("dst"), F.lit(type_).alias("type"), ambiguous.cast("int").alias("ambiguous"))
+    bound = F.transform(F.filter("_targets", lambda x: x != F.col("src")), lambda x: edge(x, "calls", F.lit(0)))
+    loose = F.array(edge(F.concat(F.lit("external::"), F.col("name")), "references", F.coalesce("n", F.lit(0)) > most))
+    edges = found.select("src", "path", "line", "col", F.inline(F.when(F.col("_targets").isNotNull(), bound).otherwise(loose)))
+    return edges.select("src", "dst", "type", "path", "line", "col", "ambiguous")
 
 
 def promoted_methods(functions: DataFrame, classes: DataFrame) -> DataFrame:

@@ -355,7 +355,7 @@ def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.concat_ws("_", F.lit("part"), F.col("l_partkey").cast("string"), F.col("l_linenumber").cast("string")).alias("name"))
     nation = lambda key: F.concat(F.lit("nation/"), F.col(key).cast("string")).alias("path")
     by = F.concat(F.lit("supplier::"), F.col("l_suppkey").cast("string"), F.lit("/"), F.col("l_partkey").cast("string"))
-    definitions = items.join(read("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select(nation("s_nationkey"), "name", by.alias("id")).distinct()
+    definitions = items.join(read("supplier").withColumnRenamed("s_suppkey", "l_suppkey"), "l_suppkey").select(nation("s_nationkey"), "name", by.alias("id"))
     orders = read("orders").join(read("customer").withColumnRenamed("c_custkey", "o_custkey"), "o_custkey").select(F.col("o_orderkey").alias("l_orderkey"), nation("c_nationkey"))
     calls = items.join(orders, "l_orderkey").select("path", F.concat(F.lit("order::"), F.col("l_orderkey").cast("string")).alias("src"), "name", F.col("l_linenumber").alias("line"), F.lit(0).alias("col"))
     return resolve.resolve_calls(calls, definitions)

@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from loomgraph.operators.resolve import innermost, promoted_methods
+from loomgraph.operators import resolve
+from loomgraph.operators.resolve import innermost, promoted_methods, resolve_calls
 
 RANGE = "path string, lo int, hi int, id string"
 
@@ -49,3 +50,28 @@ def test_methods_lie_strictly_inside_a_class(spark):
     wanted = [x for x in functions if None not in x and inside(*x[:3])]
     assert sorted(map(tuple, found.collect())) == sorted(wanted)
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_calls_meet_names_with_few_and_many_definitions(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "MOST_HELD", 6, raising=False)
+    r = random.Random(4)
+    defs = [(r.choice("pqrst"), f"n{min(int(r.expovariate(0.3)), 9)}", f"i{r.randrange(40)}") for _ in range(90)] + [(p, "every", f"e{p}{k}") for p in "pq" for k in range(20)]
+    calls = [(r.choice("pqrstu"), f"i{r.randrange(40)}", r.choice([f"n{k}" for k in range(12)] + ["every", "none"]), k, 0) for k in range(300)]
+    expected = []
+    for path, src, name, line, col in calls:
+        known = {d for d in defs if d[1] == name}
+        targets = {i for p, _, i in known if p == path} or ({i for _, _, i in known} if len(known) <= 4 else set())
+        rows = [(src, i, "calls", path, line, col, 0) for i in targets if i != src]
+        expected += rows if targets else [(src, f"external::{name}", "references", path, line, col, int(len(known) > 4))]
+    # equal definitions count once
+    made = spark.createDataFrame(defs + defs[:30], "path string, name string, id string")
+    found = resolve_calls(spark.createDataFrame(calls, "path string, src string, name string, line int, col int"), made)
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+    assert {e[2] for e in expected} == {"calls", "references"} and {e[6] for e in expected} == {0, 1}
+
+
+def test_calls_move_once_by_name(spark):
+    calls = spark.createDataFrame([("p", "s", "n", 1, 0)], "path string, src string, name string, line int, col int")
+    found = resolve_calls(calls, spark.createDataFrame([("p", "n", "i")], "path string, name string, id string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and "Union" not in plan

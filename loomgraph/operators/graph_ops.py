@@ -191,9 +191,13 @@ def prune(nodes: DataFrame, max_nodes: int = 40, max_external: int = 6) -> DataF
 
 
 def merge_edges(edges: DataFrame, order: list[Column]) -> DataFrame:
-    """One edge for each (src, type, dst, line): the first by ``order``."""
-    nth = F.row_number().over(Window.partitionBy("src", "type", "dst", "line").orderBy(*order))
-    return edges.withColumn("_nth", nth).where("_nth = 1").drop("_nth")
+    """One edge for each (src, type, dst, line): the first by ``order``.
+
+    Edges move before they are sorted: few are alike, and a sort where they come
+    from would hold its rows beside those of what made them."""
+    key = ("src", "type", "dst", "line")
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(*order))
+    return edges.repartition(*key).withColumn("_nth", nth).where("_nth = 1").drop("_nth")
 
 
 def citations(nodes: DataFrame) -> DataFrame:

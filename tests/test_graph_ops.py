@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from loomgraph.operators import graph_ops
 from loomgraph.plans.schema import EDGES, NODES, Graph
@@ -83,3 +84,11 @@ def test_prune_keeps_six_externals(spark):
     rows = [(f"external::{k:02}", "external", "e", "", "", 0, 0, "") for k in range(50)] + [("f", "function", "f", "p", "x", 1, 1, "")]
     kept = graph_ops.prune(spark.createDataFrame(rows, NODES)).collect()
     assert len(kept) == 7 and kept[0].id == "f"
+
+
+def test_merged_edges_are_sorted_only_once_moved(spark):
+    edges = spark.createDataFrame([("a", "b", "calls", "p", 1, 0), ("a", "b", "calls", "o", 1, 3), ("a", "b", "calls", "o", 2, 0)], EDGES)
+    merged = graph_ops.merge_edges(edges, [F.col("path"), F.col("col")])
+    assert sorted(map(tuple, merged.collect())) == [("a", "b", "calls", "o", 1, 3), ("a", "b", "calls", "o", 2, 0)]
+    before = merged._jdf.queryExecution().executedPlan().toString().split("Exchange hashpartitioning")[-1]
+    assert "Scan" in before and "Sort" not in before and "Limit" not in before

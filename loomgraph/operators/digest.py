@@ -4,8 +4,10 @@ Rows are hashed, equal ones counted, and the hashes dealt by their first digits:
 each group is digested in order, then the groups of groups, up to one root.  A
 hash says where its row belongs, so no partitioning, order of files or order of
 rows makes a difference, and any other value in any row does.  Groups at the
-bottom hold a 16-millionth of the distinct rows each, above 256 digests each, so
-no task sees more, and copies of a row are one entry, however many.
+bottom hold a 16-millionth of the distinct rows each, above 256 digests each, and
+copies of a row are one entry, however many.  A row moves once, as the bytes of
+its hash, dealt by its first two; what is counted, sorted and digested down to
+four digits is found where it is, and above there are 65,536 digests at most.
 """
 
 from __future__ import annotations
@@ -29,11 +31,14 @@ def row_hash(*columns: str) -> Column:
 
 def merkle_root(rows: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """One row (n, digest) of a table; of none, the digest of an empty text."""
-    level = rows.groupBy(row_hash(*columns).alias("at")).agg(F.count("*").alias("n"))
+    # bytes sort as their digits do; the first two are the first four digits
+    level = rows.select(F.unhex(row_hash(*columns)).alias("at")).select(F.substring("at", 1, 2).alias("first"), "at")
+    level = level.repartition("first").groupBy("first", "at").agg(F.count("*").alias("n")).withColumn("at", F.lower(F.hex("at")))
     level = level.withColumn("digest", F.concat_ws(":", "at", F.col("n").cast("string")))
     for digits in LEVELS:
         inner = F.transform(F.array_sort(F.collect_list(F.struct("at", "digest"))), lambda x: x["digest"])
-        level = level.groupBy(F.substring("at", 1, digits).alias("at")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(inner, ","), 256).alias("digest"))
+        where_it_is = ["first"] if digits >= 4 else []
+        level = level.groupBy(*where_it_is, F.substring("at", 1, digits).alias("at")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(inner, ","), 256).alias("digest"))
     # no group comes of no rows
     return level.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("n"), F.coalesce(F.max("digest"), F.sha2(F.lit(""), 256)).alias("digest"))
 

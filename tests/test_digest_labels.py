@@ -34,6 +34,12 @@ def test_digest_tells_any_change(spark):
     assert found[-1] == (0, "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855")
 
 
+def test_rows_of_a_digest_move_once(spark):
+    plan = digest.merkle_root(spark.createDataFrame(ROWS, SCHEMA), ("name", "n"))._jdf.queryExecution().executedPlan().toString()
+    # once by row; the others are of 256 groups and of one
+    assert plan.count("Exchange hashpartitioning") == 3
+
+
 BOX = "id string, rank int, x double, y double, w double, h double"
 
 

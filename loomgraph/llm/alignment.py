@@ -34,6 +34,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -49,6 +50,10 @@ MOST_PAIRS = 4_000_000
 _SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Beyond these, what is a letter may differ between versions of Unicode.
 _YOUNG = re.compile("[^\x00-ɏ‐-‧€]")
+#: A word that a space may follow without a change of its tokens.
+_PLAIN = re.compile(r"[\x00-ɏ‐-‧€]+(?<!\s)")
+#: Words that are read at once.
+_AT_ONCE = 1000
 
 
 def _byte_of() -> dict[str, int]:
@@ -105,6 +110,88 @@ def _set(spark: SparkSession, settings: dict[str, str]):
             spark.conf.set(name, value)
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, as many as its size, one run after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Both:
+    """Ids of texts by two readers, none where either's bytes are not a space and the text.
+
+    No token goes on from a word into the space behind it, so each different
+    word of a batch is read once, in a line with others.  A text with a word for
+    which this is not certain (white space at its end, no character at all, a
+    young one) or is not given back is read by itself."""
+
+    def __init__(self, byte_level: ByteLevel, pieces: Pieces):
+        self.readers = byte_level, pieces
+        self.lengths = [_lengths(r) for r in self.readers]
+        self.apart = byte_level.fast and not any(b" " in b.lstrip(b" ") for b in pieces.bytes.values())
+
+    def of(self, text: str) -> list[list[int]] | None:
+        """Ids of both if they give back a space and the text."""
+        both, whole = [r.ids(text) for r in self.readers], b" " + text.encode()
+        return both if all(b"".join(map(r.bytes.__getitem__, of)) == whole for r, of in zip(self.readers, both)) else None
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+        """Whether each word is certain; by reader, how many ids each has, and all ids."""
+        certain, counts, ids = np.zeros(len(words), bool), [np.zeros(len(words), np.int64) for _ in self.readers], [[], []]
+        plain = [k for k, w in enumerate(words) if _PLAIN.fullmatch(w)]
+        for first in range(0, len(plain), _AT_ONCE):
+            some = plain[first : first + _AT_ONCE]
+            line = self.of(" ".join(map(words.__getitem__, some)))
+            if line:
+                ends = np.cumsum([len(words[k].encode()) + 1 for k in some])
+                certain[some] = True
+                for side, of in enumerate(line):
+                    at = np.searchsorted(np.cumsum(self.lengths[side][of]), ends) + 1
+                    counts[side][some] = np.diff(at, prepend=0)
+                    ids[side].append(np.array(of, np.int32))
+            else:
+                for k in some:
+                    if one := self.of(words[k]):
+                        certain[k] = True
+                        for side, of in enumerate(one):
+                            counts[side][k] = len(of)
+                            ids[side].append(np.array(of, np.int32))
+        return certain, counts, [np.concatenate([*x, np.empty(0, np.int32)]) for x in ids]
+
+    def texts(self, texts: pa.Array) -> list[list]:
+        """Ids of each text by the first and by the second."""
+        none, words = [[], []], pc.split_pattern(texts.fill_null(""), " ")
+        if not self.apart:
+            return [self.of(t) or none if t else none for t in texts.to_pylist()]
+        of, bounds = words.flatten().dictionary_encode(), words.offsets.to_numpy()
+        seat = of.indices.to_numpy()
+        certain, counts, ids = self.words(of.dictionary.to_pylist())
+        doubts = np.concatenate(([0], np.cumsum(~certain[seat])))[bounds]
+        sides = []
+        for n, all_ids in zip(counts, ids):
+            sizes = n[seat]
+            sides.append((all_ids[_runs((np.cumsum(n) - n)[seat], sizes)], np.concatenate(([0], np.cumsum(sizes)))[bounds].tolist()))
+        out = []
+        for k, doubt in enumerate((np.diff(doubts) > 0).tolist()):
+            if doubt:
+                text = texts[k].as_py()
+                out.append(self.of(text) or none if text else none)
+            else:
+                out.append([found[at[k] : at[k + 1]] for found, at in sides])
+        return out
+
+
+@cache
+def _both(byte_level: str, pieces: str) -> Both:
+    return Both(_reader(ByteLevel, byte_level), _reader(Pieces, pieces))
+
+
+def _lengths(reader: ByteLevel | Pieces) -> np.ndarray:
+    """Bytes of each id's token."""
+    found = np.zeros(max(reader.bytes) + 1, np.int32)
+    found[list(reader.bytes)] = list(map(len, reader.bytes.values()))
+    return found
+
+
 @cache
 def _reader(kind: type, path: str) -> ByteLevel | Pieces:
     return kind(path)
@@ -122,15 +209,9 @@ def _tokenized(byte_level: str, pieces: str, narrow: bool):
 
     @F.arrow_udf(T.StructType([T.StructField("n_a", T.IntegerType()), T.StructField("tokens", T.ArrayType(kind))]))
     def ids(texts: pa.Array) -> pa.Array:
-        readers = _reader(ByteLevel, byte_level), _reader(Pieces, pieces)
-        sizes, found = [], []
-        for text in texts.to_pylist():
-            both = [r.ids(text) if text else [] for r in readers]
-            whole = b" " + (text or "").encode()
-            if any(b"".join(map(r.bytes.__getitem__, of)) != whole for r, of in zip(readers, both)):
-                both = [[], []]
-            sizes.append(len(both[0]))
-            found.append(np.array(both[0] + both[1], np.uint16 if narrow else np.int32))
+        kind = np.uint16 if narrow else np.int32
+        both = _both(byte_level, pieces).texts(texts)
+        sizes, found = [len(a) for a, _ in both], [np.concatenate((a, b)).astype(kind) for a, b in both]
         ends = pa.array(np.cumsum([0, *map(len, found)]), pa.int32())
         ids = np.concatenate([*found, np.empty(0, np.uint16 if narrow else np.int32)])
         return pa.StructArray.from_arrays([pa.array(sizes, pa.int32()), pa.ListArray.from_arrays(ends, pa.array(ids.view(np.int16) if narrow else ids))], ["n_a", "tokens"])
@@ -157,14 +238,14 @@ def _tokens(held: DataFrame, kind: type, path: str, side: str, narrow: bool) ->
     # bounded by the vocabulary
     lengths = F.broadcast(spark.createDataFrame([(i, len(b)) for i, b in _reader(kind, path).bytes.items()], f"{side} int, length int"))
     whole = lambda c: c.cast("int").bitwiseAND(F.lit(0xFFFF)) if narrow else c
-    n_a = F.col("n_a")
+    n_a, place = F.col("n_a"), F.col(f"{side}_place")
     own = F.slice("tokens", F.lit(1), n_a) if side == "a" else F.slice("tokens", n_a + 1, F.size("tokens") - n_a)
-    rows = held.select("key", "doc_id", own.alias("all")).select("key", "doc_id", "all", F.posexplode_outer("all").alias("place", "id"))
-    last = F.col("place").isNull() | (F.col("place") == F.size("all") - 1)
-    rows = rows.select("key", "place", whole(F.col("id")).alias(side), F.when(last, F.struct("doc_id", "all")).alias(f"{side}_last"))
+    rows = held.select("key", "doc_id", own.alias("all")).select("key", "doc_id", "all", F.posexplode_outer("all").alias(f"{side}_place", "id"))
+    last = place.isNull() | (place == F.size("all") - 1)
+    rows = rows.select("key", place, whole(F.col("id")).alias(side), F.when(last, F.struct("doc_id", "all")).alias(f"{side}_last"))
     rows = rows.join(lengths, side, "left")
-    end = F.sum("length").over(Window.partitionBy("key").orderBy("place").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.select("key", end.alias("end"), F.col("place").alias(f"{side}_place"), side, f"{side}_last")
+    end = F.sum("length").over(Window.partitionBy("key").orderBy(place).rowsBetween(Window.unboundedPreceding, 0))
+    return rows.select("key", end.alias("end"), place, side, f"{side}_last")
 
 
 def cuts(held: DataFrame, byte_level: str, pieces: str) -> DataFrame:
@@ -175,7 +256,7 @@ def cuts(held: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     narrow = _narrow(byte_level, pieces)
     a, b = _tokens(held, ByteLevel, byte_level, "a", narrow), _tokens(held, Pieces, pieces, "b", narrow)
     # the parts are bounded, and a hash join keeps the order that the next window needs
-    both = a.join(b.hint("shuffle_hash"), ["key", "end"], "left").where("b is not null or a is null")
+    both = a.join(b.hint("shuffle_hash"), ["key", "end"], "left").where("b_place is not null or a_place is null")
     return both.withColumn("group", F.row_number().over(Window.partitionBy("key").orderBy("a_place")))
 
 

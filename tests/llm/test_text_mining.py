@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -173,6 +175,27 @@ def test_groups_as_text():
         assert alignment.grouped(np.array(a), np.array(b), *last).decode() == want
 
 
+def test_words_joined_are_the_texts_tokens():
+    both, r = alignment._both(BYTES, PIECES), random.Random(6)
+    assert both.apart
+    parts = ["a", "b", "The", " ", "  ", "\n", "\n ", "\t", "é", "’", "'s", "12", "3.4", "▁", "<|endoftext|>", "<s>", "\u00a0", "\x1c", "x" * 70, "京", " naïve"]
+    texts = ["".join(r.choice(parts[: r.choice((8, 13, 21))]) if r.random() < 0.6 else f" w{r.randrange(50)}" for _ in range(r.randrange(12))) for _ in range(2000)] + [None, ""]
+    for size in (1, 7, 500):
+        for first in range(0, len(texts), size):
+            some = texts[first : first + size]
+            for text, found in zip(some, both.texts(pa.array(some, pa.string()))):
+                want = (both.of(text) if text else None) or [[], []]
+                assert [list(x) for x in found] == want
+
+
+def test_a_word_is_read_once(monkeypatch):
+    both, read = alignment._both(BYTES, PIECES), []
+    plain = alignment.Both.of
+    monkeypatch.setattr(alignment.Both, "of", lambda self, text: read.append(text) or plain(self, text))
+    both.texts(pa.array([" ".join(f"word{k % 7}" for k in range(n)) for n in (500, 300, 1)]))
+    assert sorted(" ".join(read).split()) == [f"word{k}" for k in range(7)]
+
+
 # phrases
 
 
